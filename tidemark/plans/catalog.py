@@ -1,4 +1,4 @@
-"""Query catalogue of the engine."""
+"""Query catalogue of the engine: one query per operator over the timed-text views, each with its SQL where SQL can."""
 
 from __future__ import annotations
 
@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import evidence, intervals, runs
+from tidemark.plans.runs import rendering_health
+
+MODULES = [runs, intervals, evidence]
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query."""
+    return rendering_health(spark, sf_dir)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
