@@ -9,6 +9,7 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that change the meaning of a line whatever its size.
 SALIENT_WORDS = """
@@ -112,30 +113,30 @@ def bounded_edits(a: Column, b: Column, cap: int) -> Column:
     return F.when(found < 0, cap + 1).otherwise(found)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """HTML entities decoded (Spark has no such function)."""
     return text.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def percent_decoded(text: pd.Series) -> pd.Series:
     """Percent escapes decoded; a plus sign stays one, unlike in url_decode."""
     return text.map(unquote, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def squashed(text: pd.Series) -> pd.Series:
     """Compatibility-normalised, case-folded letters and digits only."""
     return text.map(lambda t: "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if c.isalnum()), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def slug(text: pd.Series) -> pd.Series:
     """First eight ASCII words joined by dashes, without accents."""
 

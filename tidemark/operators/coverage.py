@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
 from tidemark.operators.sequence import KEY
@@ -60,7 +61,7 @@ def verbatim_share(notes: DataFrame, passages: DataFrame, run: int = VERBATIM_RU
     return sizes.join(covered, "note_id", "left").select("note_id", "words", F.coalesce("verbatim", F.lit(0)).cast("long").alias("verbatim")).withColumn("share", F.when(F.col("words") > 0, F.col("verbatim") / F.col("words")).otherwise(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts (no Spark expression computes it)."""
     return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
