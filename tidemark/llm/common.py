@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step holds at a time; a longer text is a step of its own.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 300_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -47,6 +48,16 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         total += size
     if start < len(sizes):
         yield start, values.slice(start).to_pylist()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: Python workers outlive tasks and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def record_batch(schema: pa.Schema, columns: dict[str, object]) -> pa.RecordBatch:
@@ -87,6 +98,53 @@ def has_repeats(docs: DataFrame, *columns: str | Column) -> bool:
     return bool(docs.groupBy(*columns).count().where("count > 1").limit(1).collect())
 
 
+#: Bits of an id filter: what is broadcast never exceeds FILTER_BITS / 8 bytes, however many ids there are.
+FILTER_BITS = 1 << 26
+
+
+class IdFilter:
+    """A Bloom filter of ids with two bits each: no id of the set is ever missed, few others pass until it is crowded.
+
+    It spares rows a shuffle before an exact join and never decides anything by itself.
+    """
+
+    def __init__(self, ids: DataFrame):
+        """ids: one column of longs; nulls are left out. Bits are gathered by task, then by word."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+            for batch in batches:
+                for place in _places(pc.drop_null(batch.column(0)).to_numpy(zero_copy_only=False)):
+                    np.bitwise_or.at(words, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
+            some = np.flatnonzero(words)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(words[some].view(np.int64), pa.int64())], names=["word", "bits"])
+
+        found = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        words = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+        words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        self.words = ids.sparkSession.sparkContext.broadcast(words)
+
+    def rows(self, docs: DataFrame, column: str, held: bool) -> DataFrame:
+        """The rows whose id may be in the set, or those whose id surely isn't (null ids aren't)."""
+        words = self.words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(batch.schema.get_field_index(column)).cast(pa.int64())
+                known = np.asarray(pc.is_valid(ids))
+                maybe = known
+                for place in _places(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)):
+                    maybe = maybe & ((words.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+                yield batch.filter(pa.array(maybe if held else ~maybe))
+
+        return docs.mapInArrow(run, docs.schema)
+
+
+def _places(ids: np.ndarray) -> list[np.ndarray]:
+    hashed = mix64(ids.astype(np.int64).view(np.uint64))
+    return [hashed % np.uint64(FILTER_BITS), (hashed >> np.uint64(32)) % np.uint64(FILTER_BITS)]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the splitmix64 constants)."""
     x = x.astype(np.uint64, copy=True)
@@ -117,3 +175,4 @@ def span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     with np.errstate(over="ignore"):
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers[: len(values)])])
         return mix64((prefix[end] - prefix[begin]) * inverses[begin] + (end - begin).astype(np.uint64))
+

@@ -170,10 +170,20 @@ class Minima:
         np.minimum(self.since, gaps.min(), out=self.since)
 
 
-def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix lengths, up to depth, of pairs of suffixes."""
+def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int, packed: np.ndarray | None = None) -> np.ndarray:
+    """Common prefix lengths, up to depth, of pairs of different suffixes. packed: four_at_once(text), for many pairs."""
     out, n = np.zeros(len(a), dtype=np.uint8), len(text)
     live = np.arange(len(a))
+    if packed is not None:
+        for k in range(0, depth, 4):
+            x, y = np.minimum(a[live] + k, n), np.minimum(b[live] + k, n)
+            differ = packed[x] ^ packed[y]
+            equal = np.where(differ == 0, 4, np.frexp((differ & (~differ + np.uint64(1))).astype(np.float64))[1] - 1 >> 4)
+            out[live] = np.minimum(k + equal, depth)
+            live = live[differ == 0]
+            if not len(live):
+                break
+        return out
     for k in range(depth):
         x, y = a[live] + k, b[live] + k
         inside = (x < n) & (y < n)
@@ -186,6 +196,14 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.nda
     return out
 
 
+def four_at_once(text: np.ndarray) -> np.ndarray | None:
+    """Four 16-bit symbols at each position as one number; behind the end stands a symbol that no text has."""
+    if text.dtype != np.uint16:
+        return None
+    padded = np.concatenate([text, np.full(4, 0xFFFF, dtype=np.uint16)]).astype(np.uint64)
+    return padded[:-3] | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(32) | padded[3:] << np.uint64(48)
+
+
 def _tuples(at: np.ndarray, lcp: np.ndarray | int) -> np.ndarray:
     block = np.empty(len(at), dtype=_TUPLE)
     block["at"], block["lcp"] = at, lcp
@@ -209,14 +227,10 @@ def _induce(text: np.ndarray, symbols: int, seeds: Fifo, pool: Pool, lcps: bool)
             if minima:
                 minima.passed(block["lcp"])
             return
-        order = np.argsort(found.astype(np.uint16) if symbols <= 1 << 16 else found, kind="stable")
-        source, before, found = source[order], before[order], found[order]
-        lcp = minima.induced(block["lcp"], source, found) if minima else 0
-        out, keys = _tuples(before, lcp), found if queue.sign > 0 else symbols - 1 - found
-        if queue.sign < 0:
-            order = np.argsort(keys, kind="stable")
-            out, keys = out[order], keys[order]
-        queue.push(keys, out)
+        keys = found if queue.sign > 0 else symbols - 1 - found
+        order = np.argsort(keys.astype(np.uint16) if symbols <= 1 << 16 else keys, kind="stable")
+        source, before, keys = source[order], before[order], keys[order]
+        queue.push(keys, _tuples(before, minima.induced(block["lcp"], source, keys) if minima else 0))
 
     def edge(block: np.ndarray, before: int | None) -> None:
         """Set the first tuple's prefix with the tuple scanned before it, which came from another queue."""
@@ -319,7 +333,9 @@ def _named(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.nda
     # Shifted to a common power instead of divided by one.
     shift = powers[len(text) - lms]
     digest = (prefix[ends] - prefix[lms]) * shift
-    rank_of = np.searchsorted(lms, order)
+    number = np.empty(len(text), dtype=np.int64)
+    number[lms] = np.arange(len(lms))
+    rank_of = number[order]
     d, s = digest[rank_of], size[rank_of]
     fresh = np.concatenate([[0], np.cumsum((d[1:] != d[:-1]) | (s[1:] != s[:-1]))])
     names = np.empty(len(lms), dtype=np.int32 if len(lms) < 1 << 31 else np.int64)
@@ -328,19 +344,34 @@ def _named(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.nda
 
 
 def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix order of a string of names by prefix doubling, until names or depth are exhausted."""
-    rank, n, reach = names.astype(np.int64), len(names), 1
+    """Suffix order of a string of names by prefix doubling, until names or depth are exhausted.
+
+    A suffix's rank is the place of its group in the order; only groups of several suffixes are sorted again.
+    """
+    n, reach = len(names), 1
+    order = np.argsort(names, kind="stable")
+    rank = np.empty(n, dtype=np.int64)
+    live = order
+    same = np.concatenate([[False], names[order][1:] == names[order][:-1]])
+    rank[order] = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
     while True:
-        ahead = np.zeros(n, dtype=np.int64)
-        ahead[:-reach or None] = rank[reach:] + 1 if reach < n else 0
-        key = rank * (n + 2) + ahead
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        fresh = np.concatenate([[0], np.cumsum(~same)])
-        rank[order] = fresh
-        reach *= 2
-        if not same.any() or reach >= depth or reach >= n:
+        tied = same.copy()
+        tied[:-1] |= same[1:]
+        live = live[tied]
+        if not len(live) or reach >= depth or reach >= n:
             return order
+        ahead = np.where(live + reach < n, rank[np.minimum(live + reach, n - 1)] + 1, 0)
+        group = rank[live]
+        by = np.argsort(group * (n + 1) + ahead)
+        live, ahead, group = live[by], ahead[by], group[by]
+        first = np.concatenate([[True], group[1:] != group[:-1]])
+        same = np.concatenate([[False], (ahead[1:] == ahead[:-1]) & ~first[1:]])
+        at = np.arange(len(live))
+        start = np.maximum.accumulate(np.where(first, at, 0))
+        place = group + at - start
+        order[place] = live
+        rank[live] = place[np.maximum.accumulate(np.where(same, 0, at))]
+        reach *= 2
 
 
 def _sorted_lms(text: np.ndarray, symbols: int, pool: Pool) -> np.ndarray:
@@ -366,7 +397,7 @@ def _suffixes(text: np.ndarray, symbols: int, pool: Pool, lcps: bool) -> Iterato
     order = _sorted_lms(text, symbols, pool)
     lcp = np.zeros(len(order), dtype=np.uint8)
     if lcps and len(order) > 1:
-        lcp[1:] = common(text, order[:-1], order[1:], pool.depth)
+        lcp[1:] = common(text, order[:-1], order[1:], pool.depth, four_at_once(text))
     seeds = Fifo(pool)
     for part in np.array_split(np.arange(len(order)), -(-len(order) // pool.block)) if len(order) else []:
         seeds.push(_tuples(order[part], lcp[part]))

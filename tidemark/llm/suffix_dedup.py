@@ -1,6 +1,6 @@
 """Suffix-array dedup: remove every byte covered by a 100-byte string that also starts earlier in the table.
 
-Strings are brought together by content. Each 100-byte window belongs to its minimizer, the least hash among its 20-byte
+Strings are brought together by content. Each 100-byte window belongs to its minimizer, the least hash among its 32-byte
 substrings, so equal windows always share one; runs of windows with the same minimizer occurrence are one segment. Then:
 
 1. each task cuts its texts into segments and collapses equal ones, keeping the earliest (the rest repeat it, whole);
@@ -29,21 +29,25 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.common import checkpointed, clean_text, mix64, record_batch, span_hashes
+from tidemark.llm.common import checkpointed, clean_text, mix64, record_batch, span_hashes, trim
 from tidemark.llm.induced_sort import Pool, suffixes
 
 LENGTH = 100
-GRAM = 20
-#: Bytes of text that one vectorised step holds.
-PIECE = 1 << 20
+GRAM = 32
+#: Bytes of text that one vectorised step holds, and steps after which a task hands its segments on.
+PIECE = 1 << 19
+STEPS = 12
+#: Buckets of open segments per shuffle partition; their suffixes are sorted one bucket at a time.
+FINE = 8
 HOT_SEGMENTS = 20_000
 _KEEP_BITS = np.uint64(24)
 _LAST_ID = (1 << 63) - 1
 _BLOCK_SCHEMA = "bucket int, kind int, block binary"
 _BLOCKS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
-_RESULT = "doc_id long, text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-_RESULTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+_RESULT = "doc_id long, text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_RESULTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 SEGMENT = np.dtype([("mh", "u8"), ("sh", "u8"), ("doc", "i8"), ("hash", "i8"), ("start", "u4"), ("n", "u1")])
 SPAN = np.dtype([("doc", "i8"), ("hash", "i8"), ("start", "u4"), ("n", "u4"), ("mh", "u8"), ("open", "u1")])
 _TABLES = [mix64(np.arange(256, dtype=np.uint64) + np.uint64(k)) for k in (1000, 7000)]
@@ -79,10 +83,10 @@ def segments(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     h1 = _TABLES[0][raw]
     with np.errstate(over="ignore"):
         h2 = h1[:-1] * m + h1[1:]
-        h4 = h2[:-2] * (m * m) + h2[2:]
+        h4 = h2[:-2] * m**2 + h2[2:]
         h8 = h4[:-4] * m**4 + h4[4:]
         h16 = h8[:-8] * m**8 + h8[8:]
-        gram = mix64(h16[:-4] * m**4 + h4[16 : 16 + len(h16) - 4])
+        gram = mix64(h16[:-16] * m**16 + h16[16:])
     low = (gram & ~((np.uint64(1) << _KEEP_BITS) - np.uint64(1))) | np.arange(len(gram), dtype=np.uint64)
     least, reach, width = low, 1, LENGTH - GRAM + 1
     while reach * 2 <= width:
@@ -151,9 +155,11 @@ def _merged_spans(spans: np.ndarray) -> np.ndarray:
 
 
 def _by_bucket(records: np.ndarray, bucket: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket, records = bucket[order], records[order]
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for a, b in zip(first, [*first[1:], len(bucket)], strict=True):
         yield int(bucket[a]), kind, _pack(records[a:b])
 
@@ -190,6 +196,12 @@ def _cut(buckets: int):
             out.append(s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed(found: list[np.ndarray]) -> pa.RecordBatch:
+            kept, copies = _collapsed(np.concatenate(found))
+            rows = list(_by_bucket(kept, (kept["mh"] % np.uint64(buckets)).astype(np.int64), 0))
+            copies = _merged_spans(copies)
+            return _batch([*rows, *_by_bucket(copies, _doc_bucket(copies["doc"], buckets), 1)])
+
         for batch in batches:
             ids, hashes, data, offsets = _texts(batch)
             found: list[np.ndarray] = []
@@ -206,15 +218,15 @@ def _cut(buckets: int):
                     if size >= PIECE:
                         flush(pieces, data, ids, hashes, found)
                         pieces, size = [], 0
+                        if len(found) >= STEPS:
+                            yield handed(found)
+                            found = []
                     at = stop - LENGTH + 1 if stop < end else end
             if pieces:
                 flush(pieces, data, ids, hashes, found)
             if found:
-                kept, copies = _collapsed(np.concatenate(found))
-                rows = list(_by_bucket(kept, (kept["mh"] % np.uint64(buckets)).astype(np.int64), 0))
-                copies = _merged_spans(copies)
-                rows += _by_bucket(copies, _doc_bucket(copies["doc"], buckets), 1)
-                yield _batch(rows)
+                yield handed(found)
+            trim()
 
     return run
 
@@ -257,12 +269,13 @@ def _meet(buckets: int):
         out = list(_by_bucket(spans, _doc_bucket(spans["doc"], buckets), 1))
         if out:
             yield _batch(out)
+        trim()
 
     return run
 
 
 def _text_blocks(buckets: int):
-    """Texts by bucket of documents: (id, hash, size) records and the bytes."""
+    """Texts by bucket of documents: (id, hash, size) records, the bytes, and any further columns as an Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,6 +292,12 @@ def _text_blocks(buckets: int):
                 heads = np.empty(len(own), dtype=_HEAD)
                 heads["doc"], heads["hash"], heads["size"] = ids[own], hashes[own], offsets[own + 1] - offsets[own]
                 payload = b"".join(data[offsets[k] : offsets[k + 1]].tobytes() for k in own)
+                if batch.num_columns > 3:
+                    further = pa.RecordBatch.from_arrays(batch.columns[3:], names=batch.schema.names[3:]).take(pa.array(own))
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, further.schema) as stream:
+                        stream.write_batch(further)
+                    payload += sink.getvalue().to_pybytes()
                 rows.append((int(bucket[order[at]]), 2, _pack(heads, payload)))
                 at = end
             if rows:
@@ -349,7 +368,7 @@ def _contents(buckets: int):
                 if not records:
                     continue
                 pieces, where = np.concatenate(records), np.concatenate(wheres)
-                bucket = (pieces["key"] % np.uint64(buckets)).astype(np.int64)
+                bucket = (pieces["key"] % np.uint64(buckets * FINE)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 first = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
                 rows = []
@@ -415,6 +434,7 @@ def _compare(buckets: int, budget: int):
             found = _merged_spans(_repeats(np.concatenate(pieces), np.frombuffer(b"".join(texts), dtype=np.uint8), Pool(budget=budget, depth=LENGTH)))
             if len(found):
                 yield _batch(list(_by_bucket(found, _doc_bucket(found["doc"], buckets), 1)))
+            trim()
 
     return run
 
@@ -428,61 +448,95 @@ def _whole_characters(kept: np.ndarray, raw: np.ndarray) -> bytes:
     return raw[kept & ~broken[character]].tobytes()
 
 
-def _apply(with_text: bool):
-    """Step 5: remove the spans from their texts."""
+def _cut_text(text: bytes, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text's bytes and which of them are kept."""
+    edges = np.zeros(len(text) + 1, dtype=np.int32)
+    np.add.at(edges, spans["start"].astype(np.int64), 1)
+    np.add.at(edges, spans["start"].astype(np.int64) + spans["n"].astype(np.int64) + LENGTH - 1, -1)
+    return np.frombuffer(text, dtype=np.uint8), np.cumsum(edges[:-1]) == 0
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, bytes, list[tuple[bytes, np.ndarray]]]]:
+    """Blocks of texts (heads, what follows the texts) with each text and its spans."""
+    spans = _Spans()
+    for batch in batches:
+        for kind, block in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if kind == 1:
+                spans.add(block, 0)
+                continue
+            heads, payload = _unpack(block, _HEAD)
+            ends = np.cumsum(heads["size"]).tolist()
+            texts = [payload[end - size : end] for size, end in zip(heads["size"].tolist(), ends, strict=True)]
+            yield heads, payload[ends[-1] :], list(zip(texts, spans.of(heads), strict=True))
+
+
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 5: measure what the spans remove from their texts."""
+    for heads, _, texts in _documents(batches):
+        out = {f.name: [] for f in _RESULTS}
+        for head, (text, spans) in zip(heads, texts, strict=True):
+            size, removed, runs = len(text), 0, 0
+            if len(spans):
+                raw, kept = _cut_text(text, spans)
+                gone = ~kept
+                removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & kept[:-1]).sum())
+                text = raw[kept].tobytes()
+            for name, value in zip(out, (int(head["doc"]), int(head["hash"]), size, removed, runs, hashlib.sha256(text).hexdigest()), strict=True):
+                out[name].append(value)
+        yield record_batch(_RESULTS, out)
+
+
+def _rewrite(schema: pa.Schema):
+    """Step 5, for whole rows: the other columns as they were, the text without what is removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = _Spans()
-        for batch in batches:
-            for kind, block in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if kind == 1:
-                    spans.add(block, 0)
-                    continue
-                heads, payload = _unpack(block, _HEAD)
-                ends = np.cumsum(heads["size"]).tolist()
-                out = {f.name: [] for f in _RESULTS}
-                for head, own, end in zip(heads, spans.of(heads), ends, strict=True):
-                    size = int(head["size"])
-                    text = payload[end - size : end]
-                    removed = runs = 0
-                    kept_text = None
-                    if len(own):
-                        edges = np.zeros(size + 1, dtype=np.int32)
-                        np.add.at(edges, own["start"].astype(np.int64), 1)
-                        np.add.at(edges, own["start"].astype(np.int64) + own["n"].astype(np.int64) + LENGTH - 1, -1)
-                        kept = np.cumsum(edges[:-1]) == 0
-                        raw = np.frombuffer(text, dtype=np.uint8)
-                        removed = size - int(kept.sum())
-                        gone = ~kept
-                        runs = int(gone[0]) + int((gone[1:] & kept[:-1]).sum())
-                        text = raw[kept].tobytes()
-                        if with_text:
-                            kept_text = _whole_characters(kept, raw).decode("utf-8", "ignore")
-                    elif with_text:
-                        kept_text = text.decode("utf-8", "replace")
-                    for name, value in zip(out, (int(head["doc"]), int(head["hash"]), size, removed, runs, hashlib.sha256(text).hexdigest(), kept_text), strict=True):
-                        out[name].append(value)
-                yield record_batch(_RESULTS, out)
+        for _, further, texts in _documents(batches):
+            rest = pa.ipc.open_stream(further).read_next_batch()
+            cut = []
+            for text, spans in texts:
+                if len(spans):
+                    raw, kept = _cut_text(text, spans)
+                    text = _whole_characters(kept, raw)
+                cut.append(text.decode("utf-8", "replace"))
+            columns = {name: rest.column(k) for k, name in enumerate(rest.schema.names)}
+            columns["text"] = pa.array(cut, type=pa.string())
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(t) for t in cut])
+            yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
 
     return run
 
 
-def dedup(docs: DataFrame, with_text: bool = False, budget: int = 64 << 20) -> DataFrame:
-    """(doc_id, text_hash, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of every row of (doc_id, text).
-
-    text_hash is xxhash64 of the text and tells rows of one doc_id apart. kept_text is null unless with_text is set.
-    budget: bytes of suffix tuples that one sorter keeps in memory before it writes scratch files.
-    """
+def _met(docs: DataFrame, further: list[str], budget: int) -> DataFrame:
+    """All spans and texts, as sorted blocks: spans before texts in each partition."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = clean_text("text")
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))
-    docs = docs.select(ids.alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
-    meet = lambda df, last="kind": df.repartition(buckets, "bucket").sortWithinPartitions(last)
-    cut = docs.mapInArrow(_cut(buckets), _BLOCK_SCHEMA)
+    own = [ids.alias("_id"), F.xxhash64(text).alias("_hash"), text.cast("binary").alias("_text")]
+    bare, whole = docs.select(*own), docs.select(*own, *further)
+    meet = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("kind")
+    cut = bare.mapInArrow(_cut(buckets), _BLOCK_SCHEMA)
     spans = checkpointed(cut.repartition(buckets, "bucket").mapInArrow(_meet(buckets), _BLOCK_SCHEMA))
-    texts = docs.mapInArrow(_text_blocks(buckets), _BLOCK_SCHEMA)
-    pieces = meet(spans.union(texts)).mapInArrow(_contents(buckets), _BLOCK_SCHEMA)
+    pieces = meet(spans.union(bare.mapInArrow(_text_blocks(buckets), _BLOCK_SCHEMA))).mapInArrow(_contents(buckets), _BLOCK_SCHEMA)
     more = checkpointed(pieces.repartition(buckets, "bucket").mapInArrow(_compare(buckets, budget), _BLOCK_SCHEMA))
-    out = meet(spans.union(more).union(texts)).mapInArrow(_apply(with_text), _RESULT)
+    return meet(spans.union(more).union(whole.mapInArrow(_text_blocks(buckets), _BLOCK_SCHEMA)))
+
+
+def dedup(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
+    """(doc_id, text_hash, n_bytes, n_removed, n_spans, kept_sha256) of every row of (doc_id, text).
+
+    text_hash is xxhash64 of the text and tells rows of one doc_id apart. budget: bytes of suffix tuples that one sorter
+    keeps in memory before it writes scratch files.
+    """
+    out = _met(docs, [], budget).mapInArrow(_apply, _RESULT)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != _LAST_ID, F.col("doc_id")))
+
+
+def rewrite(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
+    """All rows and columns of docs, their texts without what occurs earlier; n_chars, if there, is counted anew.
+
+    A character of which only some bytes go is removed whole. A null text becomes an empty one.
+    """
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in docs.schema])
+    return _met(docs, [c for c in docs.columns if c != "text"], budget).mapInArrow(_rewrite(schema), docs.schema)
