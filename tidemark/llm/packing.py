@@ -8,8 +8,8 @@ the work on the driver depends on the capacity alone, not on the number of docum
 Documents get their places by rank among those of equal length. Ranks come from counts per task and length (each task
 numbers its own pieces), so a length that many documents share is never gathered in one task.
 
-Tokens: distinct words are encoded once per task (a bounded cache) where the tokenizer's word rule is certain to apply;
-texts with other characters or special-token strings are encoded whole.
+Tokens: distinct words are encoded once per process (a bounded table) where the tokenizer's word rule is certain to
+apply; texts with other characters, apostrophes or special-token strings are encoded whole.
 
 Cases: null text is empty and gives the end id only; a document longer than the capacity is cut into full pieces and a
 rest; repeated rows are packed separately; an empty table gives an empty result.
@@ -29,13 +29,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed, clean_text, record_batch, text_slices
+from tidemark.llm.word_table import WordTable, per_text
 
 CAPACITY = 2048
 END = 0
-CACHE_WORDS = 500_000
-#: Printable Latin-1 text, of which the tokenizer's normaliser and word rule are restated below.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
-_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+CACHE_WORDS = 1 << 20
+WORD_END = "</w>"
+#: Printable Latin-1 text without apostrophes, for which the tokenizer's normaliser and word rule are restated below:
+#: a word is a run of letters, one digit, or a run of other signs.
+_PLAIN = re.compile("[\t\n\r\x20-\x26\x28-\x7e\xa1-\xac\xae-\xff]*")
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+_KIND = np.full(256, _SIGN, dtype=np.uint8)
+_KIND[[ord(c) for c in "\t\n\r "]] = _SPACE
+_KIND[[ord(c) for c in "0123456789²³¹¼½¾"]] = _DIGIT
+_KIND[[ord(c) for c in map(chr, range(256)) if c.isalpha()]] = _LETTER
 
 
 class WordEncoder:
@@ -47,30 +54,38 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-
-    @staticmethod
-    def _raw(ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            plain = _PLAIN.fullmatch(text) and not any(s in text for s in self.special)
-            split.append(_WORD.findall(text.lower()) if plain else None)
-        every = {w for words in split if words for w in words}
-        missing = every - self.cache.keys()
-        if self.cache and len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache.clear()
-            missing = every
-        new = list(missing)
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.cache[word] = self._raw(found.ids)
-        whole = [k for k, words in enumerate(split) if words is None]
-        found = dict(zip(whole, self.tokenizer.encode_batch([texts[k] for k in whole], add_special_tokens=False), strict=True))
-        get = self.cache.__getitem__
-        return [self._raw(found[k].ids) if words is None else b"".join(map(get, words)) for k, words in enumerate(split)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.table = WordTable(CACHE_WORDS)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, and how many each has: encoded as one text, told apart by the tokens that end a word."""
+        ids = self._whole([b" ".join(words).decode("latin-1")])[0]
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            found = self._whole([w.decode("latin-1") for w in words])
+            return np.concatenate(found), np.asarray([len(f) for f in found])
+        return ids, np.diff(stops, prepend=0)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        raw = np.frombuffer(b"".join(t.lower().encode("latin-1") + b" " for t, p in zip(texts, plain, strict=True) if p), dtype=np.uint8)
+        kind = _KIND[raw]
+        begins = kind != _SPACE
+        begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        ends = kind != _SPACE
+        ends[:-1] &= (kind[1:] != kind[:-1]) | (kind[:-1] == _DIGIT)
+        begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        stops = np.cumsum([len(t) + 1 for t, p in zip(texts, plain, strict=True) if p])
+        ids, counts = self.table.encode(raw, begin, end, self._words)
+        own = iter(np.split(ids, per_text(counts, np.searchsorted(stops, begin, side="right"), len(stops))[:-1]) if len(stops) else [])
+        others = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [next(own) if p else next(others) for p in plain]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -158,8 +173,8 @@ def _pieces(path: str, capacity: int):
             ids = batch.column(0).to_pylist()
             for begin, texts in text_slices(batch):
                 rows = []
-                for doc_id, raw in zip(ids[begin:], own.encode(texts), strict=False):
-                    raw += end
+                for doc_id, found in zip(ids[begin:], own.encode(texts), strict=False):
+                    raw = found.tobytes() + end
                     for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                         cut = raw[at : at + 4 * capacity]
                         rows.append((doc_id, piece, at // 4, len(cut) // 4, zlib.crc32(cut)))
