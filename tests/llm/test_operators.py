@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -398,3 +399,10 @@ def test_surrogates_are_a_bijection():
     for names in surrogates.GIVEN.values():
         assert len({surrogates._person(n, b"k", 0) for n in names}) == len(names)
         assert all(surrogates._person(n, b"k", 0) in names and surrogates._person(n, b"k", 0) != n for n in names)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(found) > 20 and sum(r.lang_pred == r.lang for r in found) >= 0.97 * len(found)
