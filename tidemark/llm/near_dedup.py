@@ -5,11 +5,13 @@ are computed; each pair of one sub-hash from either collection is a table key, s
 cost 2 * COLLECTION * ROWS minimum hashes only. At a similarity of 0.75 a link is missed with probability below 3.1e-4,
 at 0.8 below 2.1e-5, at 0.9 below 1e-9.
 
-Documents with equal sets are one class from the start. Within a table key every class is compared with the key's
-smallest one (a star); verified links give components. Keys that still hold several components are then searched for
-further links between them, so a link is lost only where no table brings its ends together. No partner is dropped by
-number. Pairs that 2 * COLLECTION * ROWS one-byte signatures put far below the threshold (five standard deviations) are
-not fetched; all others are decided by the exact condition 100 * |A and B| >= 75 * |A or B|.
+Documents with equal sets are one class from the start. Table keys that several classes share are compared in rounds: in
+each, every class meets one leader of its keys, links are verified, and keys whose members are connected by then are done.
+After ROUNDS of these (whose leaders differ), all pairs of different components within a key are looked at, inside one
+task and without listing them; so a link is lost only where no table brings its ends together. No partner is dropped by
+number. Signatures of WIDE two-bit minimum hashes stop pairs that they put far below the threshold (4.5 standard
+deviations) before their texts are fetched; all others are decided by the exact condition
+100 * |A and B| >= 75 * |A or B|.
 
 Cases: null or empty texts have no shingles and no links; texts under five words are one shingle of all their words;
 rows with a null doc_id are kept, unlinked, with a null component; rows that share a doc_id are one node of the graph,
@@ -25,23 +27,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, clean_text, mix64, record_batch, span_hashes, text_slices
+from tidemark.llm.common import IdFilter, checkpointed, clean_text, mix64, record_batch, span_hashes, text_slices
 
 WORDS = 5
 PERCENT = 75
 COLLECTION, ROWS = 16, 3
 HASHES = 2 * COLLECTION * ROWS
-#: Of HASHES signature bytes, so many agree at least: the mean at the threshold less five standard deviations.
-LEAST_AGREEING = int(HASHES * PERCENT / 100 - 5 * (HASHES * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
-#: Members of one comparison task; larger stars are compared in several.
+ROUNDS = 2
+#: Two-bit hashes of a wide signature. Two sets agree in a quarter of them by chance.
+WIDE = 512
+_CHANCE = 0.25 + 0.75 * PERCENT / 100
+LEAST_AGREEING = int(WIDE * _CHANCE - 4.5 * (WIDE * _CHANCE * (1 - _CHANCE)) ** 0.5)
+#: Texts that meet in one group of comparisons: members of a star, and of either of two blocks of a family.
 STAR_CHUNK = 200
+FAMILY_BLOCK = 128
 _BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(31))
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_ODD = mix64(np.arange(HASHES, dtype=np.uint64) + np.uint64(77)) | np.uint64(1)
-_ADD = mix64(np.arange(HASHES, dtype=np.uint64) + np.uint64(770))
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("sig", pa.binary())])
+_ODD = mix64(np.arange(HASHES + WIDE, dtype=np.uint64) + np.uint64(77)) | np.uint64(1)
+_ADD = mix64(np.arange(HASHES + WIDE, dtype=np.uint64) + np.uint64(7700))
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int32()))])
+_WIDE = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -79,33 +86,60 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return value[fresh], np.bincount(of[fresh], minlength=len(texts))
 
 
+def minimum_hashes(values: np.ndarray, sizes: np.ndarray, which: range) -> np.ndarray:
+    """(texts x hashes) mixed minimum hashes of sets as shingle_sets returns them; zero for empty sets."""
+    least = np.zeros((len(sizes), len(which)), dtype=np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        first = (np.cumsum(sizes) - sizes)[some]
+        with np.errstate(over="ignore"):
+            for at, k in enumerate(which):
+                least[some, at] = np.minimum.reduceat(values * _ODD[k] + _ADD[k], first)
+    return mix64(least)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, texts in text_slices(batch):
             values, sizes = shingle_sets(texts)
             some = np.flatnonzero(sizes)
             first = (np.cumsum(sizes) - sizes)[some]
-            least = np.zeros((len(texts), HASHES), dtype=np.uint64)
             keys = np.zeros((len(texts), 2), dtype=np.uint64)
-            if len(some):
-                with np.errstate(over="ignore"):
-                    for k in range(HASHES):
-                        least[some, k] = np.minimum.reduceat(values * _ODD[k] + _ADD[k], first)
+            grouped = minimum_hashes(values, sizes, range(HASHES)).reshape(len(texts), 2 * COLLECTION, ROWS)
+            with np.errstate(over="ignore"):
+                if len(some):
                     keys[some, 0] = np.add.reduceat(values, first)
                     keys[some, 1] = np.add.reduceat(mix64(values ^ np.uint64(0x5555555555555555)), first)
-            with np.errstate(over="ignore"):
-                mixed = mix64(least)
-                grouped = mixed.reshape(len(texts), 2 * COLLECTION, ROWS)
                 sub = grouped[:, :, 0].copy()
                 for k in range(1, ROWS):
                     sub = mix64(sub * np.uint64(3) + grouped[:, :, k])
             sub = sub.view(np.int64)
-            yield record_batch(_SIGNED, {"doc_id": batch.column(0).slice(start, len(texts)), "n": sizes, "k1": keys[:, 0].view(np.int64), "k2": keys[:, 1].view(np.int64), "a": list(sub[:, :COLLECTION]), "b": list(sub[:, COLLECTION:]), "sig": [s.tobytes() for s in (mixed >> np.uint64(11)).astype(np.uint8)]})
+            yield record_batch(_SIGNED, {"doc_id": batch.column(0).slice(start, len(texts)), "n": sizes, "k1": keys[:, 0].view(np.int64), "k2": keys[:, 1].view(np.int64), "a": list(sub[:, :COLLECTION]), "b": list(sub[:, COLLECTION:].astype(np.int32))})
+
+
+def _sign_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, texts in text_slices(batch):
+            values, sizes = shingle_sets(texts)
+            two = (minimum_hashes(values, sizes, range(HASHES, HASHES + WIDE)) >> np.uint64(9)).astype(np.uint8) & 3
+            packed = two[:, ::4] | two[:, 1::4] << 2 | two[:, 2::4] << 4 | two[:, 3::4] << 6
+            yield record_batch(_WIDE, {"rep": batch.column(0).slice(start, len(texts)), "n": sizes, "sig": [s.tobytes() for s in packed]})
+
+
+def agreeing(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """In how many of their hashes rows of packed signatures (as 64-bit words) agree."""
+    differ = one ^ other
+    differ = (differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)
+    return WIDE - np.bitwise_count(differ).sum(axis=-1, dtype=np.int64)
+
+
+def _unpacked(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint64).reshape(-1, WIDE // 32)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, k1, k2, a, b, sig) of every row: set size, set key, the two sub-hash collections, signature bytes."""
-    schema = "doc_id long, n long, k1 long, k2 long, a array<long>, b array<long>, sig binary"
+    """(doc_id, n, k1, k2, a, b) of every row: set size, set key, the two sub-hash collections."""
+    schema = "doc_id long, n long, k1 long, k2 long, a array<long>, b array<int>"
     return docs.select(F.col("doc_id").cast("long"), clean_text("text").alias("text")).mapInArrow(_sign, schema)
 
 
@@ -122,55 +156,74 @@ def table_members(classes: DataFrame) -> DataFrame:
     return keys.join(least, "key")
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, wide: DataFrame) -> DataFrame:
     """The (a, b) pairs whose sizes and signatures allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for k in (2, 3))
-            keep = pa.array((one == other).sum(axis=1) >= LEAST_AGREEING)
+            one, other = (_unpacked(batch.column(k).to_pylist()) for k in (2, 3))
+            keep = pa.array(agreeing(one, other) >= LEAST_AGREEING)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=_PAIR)
 
-    side = lambda name: classes.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
+    side = lambda name: wide.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, chunk, b, text), the texts of a (b is null) before its partners: the pairs that pass the exact test."""
-    owner: tuple | None = None
-    leaders: list[np.ndarray] = []
+    """Rows (g, a, b, text), the texts of a group (b is null) before its pairs: the pairs that pass the exact test.
+
+    An id with several texts is linked if any of them is.
+    """
+    owner, sets = None, {}
     for batch in batches:
-        a, chunk, b = (batch.column(k).to_pylist() for k in range(3))
+        g, a, b = (batch.column(k).to_pylist() for k in range(3))
         for start, texts in text_slices(batch):
             values, sizes = shingle_sets(texts)
             ends = np.cumsum(sizes)
             found = []
             for k in range(len(texts)):
-                own = values[ends[k] - sizes[k] : ends[k]]
-                if (a[start + k], chunk[start + k]) != owner:
-                    owner, leaders = (a[start + k], chunk[start + k]), []
+                if g[start + k] != owner:
+                    owner, sets = g[start + k], {}
                 if b[start + k] is None:
-                    leaders.append(own.copy())
-                    continue
-                for leader in leaders:
-                    both = len(np.intersect1d(leader, own, assume_unique=True))
-                    if both and 100 * both >= PERCENT * (len(leader) + len(own) - both):
-                        found.append((a[start + k], b[start + k]))
-                        break
+                    sets.setdefault(a[start + k], []).append(values[ends[k] - sizes[k] : ends[k]].copy())
+                elif any(_similar(one, other) for one in sets[a[start + k]] for other in sets[b[start + k]]):
+                    found.append((a[start + k], b[start + k]))
             if found:
                 yield record_batch(_PAIR, dict(zip("ab", zip(*found, strict=True), strict=True)))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (a, b) pairs that are links. texts: (doc_id, text) of all ids in pairs. Large stars are split into chunks."""
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _similar(one: np.ndarray, other: np.ndarray) -> bool:
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return both > 0 and 100 * both >= PERCENT * (len(one) + len(other) - both)
+
+
+def in_stars(pairs: DataFrame) -> DataFrame:
+    """(g, a, b): pairs by their leader a, large stars in several groups."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_CHUNK).alias("chunks"))
-    dealt = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b")
-    partners = dealt.join(texts, dealt.b == texts.doc_id).select("a", "chunk", "b", "text")
-    heads = dealt.select("a", "chunk").distinct().join(texts, F.col("a") == texts.doc_id).select("a", "chunk", F.lit(None).cast("long").alias("b"), "text")
-    rows = heads.union(partners).repartition(n, "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_linked, "a long, b long")
+    return pairs.join(sizes, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("chunks"))).alias("g"), "a", "b")
+
+
+def in_blocks(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(g, a, b): pairs by two blocks of classes, so that a text goes to each pair of blocks but once.
+
+    Classes lie together by their smallest shared table key, which those of a family largely have in common.
+    """
+    homes = members.groupBy("rep").agg(F.min("key").alias("home"))
+    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / FAMILY_BLOCK).alias("blocks"))
+    block = homes.join(sizes, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"))
+    of = lambda name: block.select(F.col("rep").alias(name), F.col("block").alias(f"block_{name}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.select(F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("g"), "a", "b")
+
+
+def verified(grouped: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (a, b) pairs of (g, a, b) that are links; a group's texts are held by one task at a time."""
+    n = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = grouped.select("g", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    needed = ids.join(texts, "doc_id").select("g", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = needed.union(grouped.select("g", "a", "b", F.lit(None).cast("string"))).repartition(n, "g")
+    return rows.sortWithinPartitions("g", F.col("b").asc_nulls_first()).mapInArrow(_linked, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,25 +244,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, least, rep, label, n, sig) sorted by key: pairs between labels of a key that may be links.
-
-    Pairs with the key's smallest class were compared before.
-    """
+    """Rows (key, rep, label, n, sig) sorted by key: pairs between labels of a key that may be links."""
 
     def pairs(rows: list[tuple]) -> set[tuple[int, int]]:
-        rep, label, n = (np.asarray([r[k] for r in rows], dtype=np.int64) for k in (2, 3, 4))
-        sig = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint8).reshape(-1, HASHES)
+        rep, label, n = (np.asarray([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
+        sig = _unpacked([r[4] for r in rows])
         out = set()
-        for k in np.flatnonzero(rep != rows[0][1]).tolist():
+        for k in range(len(rows)):
             other = np.flatnonzero((rep > rep[k]) & (label != label[k]) & (100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k])))
-            other = other[(sig[other] == sig[k]).sum(axis=1) >= LEAST_AGREEING]
+            other = other[agreeing(sig[other], sig[k]) >= LEAST_AGREEING]
             out.update((int(rep[k]), int(rep[o])) for o in other)
         return out
 
     held: list[tuple] = []
     ready: set[tuple[int, int]] = set()
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+        for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if held and row[0] != held[0][0]:
                 ready |= pairs(held)
                 held = []
@@ -223,30 +273,45 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(_PAIR, dict(zip("ab", zip(*sorted(ready), strict=True), strict=True)))
 
 
+def _relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, rep, label) of the keys that still hold several components; of keys with the same members one."""
+    rows = members.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
+    content = F.sum(F.xxhash64("rep").cast("decimal(20,0)"))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), content.alias("content"), F.count("*").alias("size")).where("lo < hi")
+    return rows.join(mixed.groupBy("content", "size").agg(F.min("key").alias("key")).select("key"), "key")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of (doc_id, text)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = checkpointed(signatures(docs))
     linkable = signed.where("n > 0 and doc_id is not null")
-    classes = checkpointed(linkable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "a", "b", "sig")).alias("r")).select("k1", "k2", F.col("r.doc_id").alias("rep"), "r.n", "r.a", "r.b", "r.sig"))
+    classes = checkpointed(linkable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "a", "b")).alias("r")).select("k1", "k2", F.col("r.doc_id").alias("rep"), "r.a", "r.b"))
     members = checkpointed(table_members(classes))
-    small = classes.select("rep", "n", "sig")
-    star = _agreeing(members.where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), small)
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = checkpointed(docs.select(F.col("doc_id").cast("long"), clean_text("text").alias("text")).join(wanted, "doc_id", "left_semi"))
-    links = checkpointed(verified(star, texts))
+    rows = docs.select(F.col("doc_id").cast("long"), clean_text("text").alias("text"))
+    texts = checkpointed(IdFilter(wanted).rows(rows, "doc_id", True).join(wanted, "doc_id", "left_semi"))
+    wide = checkpointed(texts.mapInArrow(_sign_wide, "rep long, n long, sig binary"))
+    # The first leader of a class is the smallest class of its keys.
+    pairs = members.where("rep > least").groupBy("rep").agg(F.min("least").alias("a")).select("a", F.col("rep").alias("b"))
+    links = checkpointed(verified(in_stars(checkpointed(_agreeing(pairs, wide))), texts))
     labels = components(links)
-    # Keys that still hold several components.
-    labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "least", "rep", F.coalesce("component", "rep").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key")
-    rows = labelled.join(mixed, "key").join(small, "rep").select("key", "least", "rep", "label", "n", "sig")
-    more = rows.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_across, "a long, b long").distinct()
-    further = checkpointed(verified(checkpointed(more), texts))
-    labels = components(links.union(further))
+    members = checkpointed(_relabelled(members, labels))
+    for turn in range(1, ROUNDS):
+        # Later leaders are the smallest by a hash that each round draws anew.
+        drawn = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("leader"), F.col("label").alias("of"))
+        leaders = members.groupBy("key").agg(F.min(drawn).alias("l"))
+        met = members.join(leaders, "key").where("label <> l.of").groupBy("rep").agg(F.min("l").alias("l"))
+        pairs = met.select(F.least("rep", "l.leader").alias("a"), F.greatest("rep", "l.leader").alias("b")).distinct()
+        links = checkpointed(links.union(verified(in_stars(checkpointed(_agreeing(pairs, wide))), texts)))
+        labels = components(links)
+        members = checkpointed(_relabelled(members, labels))
+    rows = members.join(wide, "rep").select("key", "rep", "label", "n", "sig")
+    more = checkpointed(rows.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_across, "a long, b long").distinct())
+    labels = components(links.union(verified(in_blocks(more, members), texts)))
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    linked = signed.where("n > 0 and doc_id is not null").join(of_class, ["k1", "k2"])
+    linked = linkable.join(of_class, ["k1", "k2"])
     alone = signed.where("not (n > 0 and doc_id is not null)").withColumn("component_id", F.col("doc_id"))
     out = linked.select("doc_id", "n", "component_id").union(alone.select("doc_id", "n", "component_id"))
-    # Rows that share a doc_id may belong to several classes; the graph's node is the doc_id.
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
