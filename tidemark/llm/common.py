@@ -27,7 +27,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch: whole texts are in it, on both sides of the Python worker.
+BATCH_ROWS = 3000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small enough for texts, unless the session keeps them smaller still."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

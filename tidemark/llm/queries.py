@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint, language_id, media, near_dedup, packing, piece_bpe, sharding, suffix_dedup, surrogates, url_filter
-from tidemark.llm.common import clean_text, documents, has_repeats
+from tidemark.llm.common import IdFilter, bounded_batches, checkpointed, documents, has_repeats
 
 
 def tokenizer_path(name: str) -> str:
@@ -102,37 +101,36 @@ def oracle_sql() -> dict[str, str]:
 
 def accept_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
+    bounded_batches(spark)
     bank = language_id.fit(docs.where(~language_id.held_out()).select("doc_id", "lang", "text"))
     return language_id.accepted(docs, bank)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates; of repeated rows one."""
-    found = near_dedup.near_duplicates(docs)
-    kept = docs.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
-    kept = kept.select(docs.columns)
+    bounded_batches(spark)
+    found = checkpointed(near_dedup.near_duplicates(docs))
+    gone = found.where("not kept").select("doc_id").distinct()
+    maybe = IdFilter(gone)
+    kept = maybe.rows(docs, "doc_id", False).unionByName(maybe.rows(docs, "doc_id", True).join(gone, "doc_id", "left_anti").select(docs.columns))
     if has_repeats(docs.where("doc_id is not null"), "doc_id"):
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 100 bytes and more that occur earlier."""
-    cut = suffix_dedup.dedup(docs, with_text=True).select(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash"), "kept_text")
-    if has_repeats(docs.select("doc_id", F.xxhash64(clean_text("text")).alias("h")), "doc_id", "h"):
-        cut = cut.dropDuplicates(["cut_id", "cut_hash"])
-    text_hash = F.xxhash64(clean_text("text"))
-    rest = docs.withColumn("text_hash", text_hash).drop("text", "n_chars")
-    joined = rest.join(cut, rest.doc_id.eqNullSafe(F.col("cut_id")) & (rest.text_hash == F.col("cut_hash")))
-    made = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return joined.select(*(made[c].alias(c) if c in made else F.col(c) for c in docs.columns))
+    bounded_batches(spark)
+    return suffix_dedup.rewrite(docs)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data."""
+    bounded_batches(spark)
     return surrogates.rewrite(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))

@@ -202,9 +202,9 @@ def _cut(buckets: int):
             copies = _merged_spans(copies)
             return _batch([*rows, *_by_bucket(copies, _doc_bucket(copies["doc"], buckets), 1)])
 
+        found: list[np.ndarray] = []
         for batch in batches:
             ids, hashes, data, offsets = _texts(batch)
-            found: list[np.ndarray] = []
             pieces: list[tuple[int, int, int, int]] = []
             size = 0
             for row in range(len(ids)):
@@ -224,9 +224,9 @@ def _cut(buckets: int):
                     at = stop - LENGTH + 1 if stop < end else end
             if pieces:
                 flush(pieces, data, ids, hashes, found)
-            if found:
-                yield handed(found)
-            trim()
+        if found:
+            yield handed(found)
+        trim()
 
     return run
 
