@@ -163,9 +163,9 @@ def refused_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT coalesce(t.name, c.name) AS name, CASE WHEN c.code IS NULL THEN 'unread' WHEN t.code IS NULL THEN 'extra' WHEN t.code = c.code THEN 'correct' ELSE 'mispaired' END AS verdict
 FROM (SELECT doc_id AS name, quality AS code FROM labels) t FULL JOIN (SELECT doc_id AS name, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS code FROM documents WHERE doc_id % 3 <> 0) c ON t.name = c.name""")
 def truth_vs_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality labels against claims made from length, for two thirds of the documents."""
+    """Quality labels against claims made from every document's length."""
     truth = views.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("name"), F.col("quality").alias("code"))
-    claims = views.table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("name"), F.when(F.col("n_chars") > 500, 1).otherwise(0).alias("code"))
+    claims = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.when(F.col("n_chars") > 500, 1).otherwise(0).alias("code"))
     return rules.truth_vs_claim(truth, claims)
 
 
