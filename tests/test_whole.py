@@ -14,3 +14,14 @@ def test_truth_vs_claim_reads_every_document(spark, tmp_path):
     found = evidence.truth_vs_claim(spark, written(spark, tmp_path, documents=documents, labels=labels)).collect()
     expected = {0: "correct", 3: "mispaired", 6: "correct", 1: "correct", 9: "unread", 10: "unread", 2: "extra", 4: "extra", 5: "extra", 7: "extra"}
     assert len(found) == len(expected) and {r.name: r.verdict for r in found} == expected
+
+
+def turns(count):
+    """Turns of one conversation, a user's first; each pair says the same words."""
+    words = "alpha bravo charlie delta golf hotel"
+    return [("c", k, "user" if k % 2 == 0 else "assistant", words) for k in range(count)], "conv_id string, turn long, role string, text string"
+
+
+def test_spoken_vote_scores_items_after_the_first_minute(spark, tmp_path):
+    (row,) = evidence.spoken_vote(spark, written(spark, tmp_path, conversations=turns(40))).collect()
+    assert (row.spoken, row.beyond, row.short, row.witnessed, row.unwitnessed) == (20, 0, 0, 20, 0)

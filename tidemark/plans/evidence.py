@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import clock
 from tidemark.functions import text as tx
-from tidemark.operators import coverage, rules, witness
+from tidemark.operators import coverage, planning, rules, witness
 from tidemark.plans import views
 from tidemark.plans.registry import Registry, r6
 from tidemark.plans.views import with_views
@@ -55,10 +55,10 @@ h AS (SELECT item_id, count(DISTINCT w.word) AS hits FROM w JOIN said USING (rec
 p AS (SELECT recording_id, at_s, len(words) AS words, coalesce(hits, 0) AS hits FROM items LEFT JOIN h USING (item_id))
 SELECT recording_id, count(*) AS spoken, count(*) FILTER (WHERE at_s > 60) AS beyond, count(*) FILTER (WHERE at_s <= 60 AND words < 6) AS short, count(*) FILTER (WHERE at_s <= 60 AND words >= 6 AND {_PASS}) AS witnessed, count(*) FILTER (WHERE at_s <= 60 AND words >= 6 AND NOT ({_PASS})) AS unwitnessed FROM p GROUP BY 1""", "seg_conv"))
 def spoken_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each spoken item is beyond the recording (a minute here), too short to score, witnessed or not."""
-    found = witness.spoken_hits(*_items(spark, sf_dir))
+    """Each spoken item is beyond its recording's end, too short to score, witnessed or not."""
+    found = witness.spoken_hits(*_items(spark, sf_dir)).join(planning.totals(views.seg_conv(spark, sf_dir)), "recording_id")
     seen = witness.passes(F.col("hits"), F.col("words"))
-    kind = F.when(F.col("at_s") > 60, "beyond").when(F.col("words") < witness.ITEM_WORDS, "short").when(seen, "witnessed").otherwise("unwitnessed")
+    kind = F.when(F.col("at_s") > F.col("total_s"), "beyond").when(F.col("words") < witness.ITEM_WORDS, "short").when(seen, "witnessed").otherwise("unwitnessed")
     kinds = ["beyond", "short", "witnessed", "unwitnessed"]
     return found.withColumn("kind", kind).groupBy("recording_id").agg(F.count("*").alias("spoken"), *(F.count_if(F.col("kind") == k).alias(k) for k in kinds))
 
