@@ -1,6 +1,9 @@
 """Queries whose results once left out rows, on small tables with answers known by hand."""
 
-from tidemark.plans import evidence
+from tidemark.plans import evidence, intervals
+
+LONG = " ".join(["alpha"] * 120)
+
 
 def written(spark, path, **tables):
     for name, (rows, schema) in tables.items():
@@ -25,3 +28,9 @@ def turns(count):
 def test_spoken_vote_scores_items_after_the_first_minute(spark, tmp_path):
     (row,) = evidence.spoken_vote(spark, written(spark, tmp_path, conversations=turns(40))).collect()
     assert (row.spoken, row.beyond, row.short, row.witnessed, row.unwitnessed) == (20, 0, 0, 20, 0)
+
+
+def test_thin_spans_reach_the_end_of_a_long_conversation(spark, tmp_path):
+    rows = [("c", k, "user" if k % 2 == 0 else "assistant", "hm" if k % 2 == 0 else LONG) for k in range(40)] + [("d", 0, "assistant", LONG), ("d", 2, "assistant", LONG), ("d", 20, "user", "")]
+    found = intervals.thin_spans(spark, written(spark, tmp_path, conversations=(rows, "conv_id string, turn long, role string, text string"))).collect()
+    assert sorted((r.recording_id, r.chunk) for r in found) == [*(("c", k) for k in range(20)), ("d", 0), ("d", 1)]

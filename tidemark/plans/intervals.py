@@ -166,7 +166,9 @@ SELECT * FROM w WHERE second_words >= 100 AND first_words < 0.75 * second_words"
 def thin_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans in which the user's turns hold far fewer words than the assistant's."""
     segments = views.seg_conv(spark, sf_dir)
-    spans = segments.select("recording_id").distinct().select("recording_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("chunk"))
+    # A turn that starts at the very end of its recording lies in the span that starts there.
+    last = F.floor(F.col("total_s") / 24.0).cast("int")
+    spans = planning.totals(segments).select("recording_id", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
     spans = spans.select("recording_id", "chunk", (F.col("chunk") * 24.0).alias("lo_s"), (F.col("chunk") * 24.0 + 24.0).alias("hi_s"))
     return planning.thin_spans(segments.where("role = 'user'"), segments.where("role = 'assistant'"), spans, width=24.0)
 
