@@ -393,6 +393,14 @@ def test_surrogates(docs, rows, empty):
     assert surrogates.replaced(text, b"other key")[0] != out
 
 
+def test_names_after_signs_are_found():
+    for text, names in [('She said "John Smith" left.', ["John Smith"]), ("(Mrs. Jones) wrote", ["Jones"]), ("then\u2014Maria Lopez, «Анна Петрова»", ["Maria Lopez", "Анна Петрова"]), ("[JOHN SMITH]", ["JOHN SMITH"]), ("William Brown met Elizabeth Jones.", ["William Brown", "Elizabeth Jones"])]:
+        out, found = surrogates.replaced(text)
+        assert [text[a:b] for a, b, _ in found] == names
+        assert not any(name in out for name in names)
+    assert surrogates.replaced("Johnny Smith and xJohn Smith, Mrs Jones")[1] == []
+
+
 def test_surrogates_are_a_bijection():
     assert len({surrogates.permuted(f"{k:04d}", b"k") for k in range(10_000)}) == 10_000
     assert len({surrogates._ip(f"10.0.{a}.{b}", b"k", 0) for a in range(40) for b in range(256)}) == 40 * 256

@@ -35,8 +35,8 @@ KEY = b"tidemark-surrogates-1"
 
 # Fixed lists of common given names by script and gender; each list is a class within which names are permuted.
 GIVEN = {
-    ("latin", "f"): "Maria Anna Sophie Laura Julia Clara Emma Alice Elena Lucia Carmen Claire Camille Ingrid Heike Sabine Susan Emily Sarah Linda".split(),
-    ("latin", "m"): "John James Robert Michael David Thomas Peter Paul Pierre Jean Louis Hans Klaus Stefan Carlos Miguel Javier Antonio Daniel Martin".split(),
+    ("latin", "f"): "Maria Anna Sophie Laura Julia Clara Emma Alice Elena Lucia Carmen Claire Camille Ingrid Heike Sabine Susan Emily Sarah Linda Mary Patricia Jennifer Elizabeth Barbara Jessica Karen Lisa Nancy Sandra Ashley Kimberly Betty Margaret Donna Michelle".split(),
+    ("latin", "m"): "John James Robert Michael David Thomas Peter Paul Pierre Jean Louis Hans Klaus Stefan Carlos Miguel Javier Antonio Daniel Martin William Richard Joseph Christopher Charles Matthew Anthony Steven Donald Andrew Joshua".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия".split(),
     ("cyrillic", "m"): "Иван Александр Дмитрий Сергей Андрей Алексей Михаил Николай Владимир Павел".split(),
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Ιωάννα Δήμητρα Βασιλική".split(),
@@ -201,7 +201,7 @@ def _people() -> tuple[frozenset[str], re.Pattern]:
     upper = "[^\\W\\d_a-zß-öø-ÿа-яα-ω]"
     name = f"{upper}[^\\W\\d_]+(?:-{upper}[^\\W\\d_]+)?"
     pattern = re.compile(f"(?<!\\w)(?:(?:{titles})[ ](?P<titled>{name}(?:[ ]{name})?)|(?P<full>(?:{given})[ ]{name}))(?!\\w)")
-    return frozenset([*TITLES, *names, *(n.upper() for n in names)]), pattern
+    return frozenset([*(t.rstrip(".") for t in TITLES), *names, *(n.upper() for n in names)]), pattern
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
@@ -215,7 +215,8 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                 start += len(m[0]) - len(m[0].lstrip(".-+"))
             out.append((start, end, m.lastgroup))
     words, people = _people()
-    if not words.isdisjoint(text.split()):
+    # A listed name or title has no word character on either side, so it is one whole run of them.
+    if not words.isdisjoint(re.findall(r"\w+", text)):
         taken = out
         for m in people.finditer(text):
             group = "titled" if m["titled"] else "full"
