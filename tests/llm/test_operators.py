@@ -393,6 +393,18 @@ def test_surrogates(docs, rows, empty):
     assert surrogates.replaced(text, b"other key")[0] != out
 
 
+def test_rare_grams_stay_in_large_models(spark):
+    common, rare = "the and of with there thing water other house people " * 200, "zqxj vkwq"
+    rows = spark.range(900).selectExpr("id as doc_id", "'en' as lang").crossJoin(spark.createDataFrame([(common,)], "text string"))
+    rows = rows.unionByName(spark.createDataFrame([(1000, "en", rare)], "doc_id long, lang string, text string"))
+    (found,) = language_id.predict(spark.createDataFrame([(1, rare)], "doc_id long, text string"), language_id.fit(rows)).collect()
+    many, few = language_id.grams_of([common])[0], language_id.grams_of([rare])[0]
+    grams, counts = language_id._merged([(k, n * times) for own, times in ((many, 900), (few, 1)) for k, n in [language_id._counted(own)]])
+    model = language_id.KneserNey(grams, counts, symbols=len(np.unique(grams & np.uint64(0xFFFF))))
+    assert counts.sum() * 2.0**-22 > 2
+    assert found.cross_entropy == pytest.approx(-model.logp(few).mean(), rel=1e-5)
+
+
 def test_names_after_signs_are_found():
     for text, names in [('She said "John Smith" left.', ["John Smith"]), ("(Mrs. Jones) wrote", ["Jones"]), ("then\u2014Maria Lopez, «Анна Петрова»", ["Maria Lopez", "Анна Петрова"]), ("[JOHN SMITH]", ["JOHN SMITH"]), ("William Brown met Elizabeth Jones.", ["William Brown", "Elizabeth Jones"])]:
         out, found = surrogates.replaced(text)
