@@ -413,6 +413,15 @@ def test_names_after_signs_are_found():
     assert surrogates.replaced("Johnny Smith and xJohn Smith, Mrs Jones")[1] == []
 
 
+def test_collisions_find_a_free_surrogate():
+    names = surrogates.GIVEN["greek", "f"]
+    for text in ("; ".join(f"Κυρία {n}" for n in names), "; ".join(f"{c}@x.example.com" for c in "aeiou")):
+        out, found = surrogates.replaced(text)
+        originals = [text[a:b] for a, b, _ in found]
+        changed = [x.removeprefix("Κυρία ") for x in out.split("; ")]
+        assert len(set(originals)) == len(originals) == len(set(changed)) and not set(originals) & set(changed)
+
+
 def test_surrogates_are_a_bijection():
     assert len({surrogates.permuted(f"{k:04d}", b"k") for k in range(10_000)}) == 10_000
     assert len({surrogates._ip(f"10.0.{a}.{b}", b"k", 0) for a in range(40) for b in range(256)}) == 40 * 256

@@ -11,7 +11,8 @@ under reserved names stay. Given names are permuted within the list of their scr
 matched without regard to case and written in the case found.
 
 Within a document a surrogate must differ from every entity of the document and from the other surrogates; on a
-collision that entity alone takes the next tweak of the key, in order of first appearance.
+collision that entity alone takes the next tweak of the key, in order of first appearance, and a larger space once
+tweaks run out.
 
 Cases: null text stays null with no entities; text without entities is unchanged to the byte; repeated rows, ties and
 texts of any length are treated alike; nothing depends on other rows.
@@ -24,6 +25,7 @@ import hmac
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -226,6 +228,25 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def _candidates(kind: str, entity: str, key: bytes) -> Iterator[str]:
+    """Surrogates by tweak, then from ever larger spaces, so that one that is free always follows.
+
+    Names leave their lists for permuted letters; where a format may be used up, the last candidates are longer.
+    """
+    yield from (SURROGATES[kind](entity, key, tweak) for tweak in range(64))
+    more = (lambda e, key, tweak: permuted(e, key, ("any", tweak))) if kind == "person" else SURROGATES[kind]
+    yield from (more(entity, key, tweak) for tweak in range(64, 4096))
+    longer = more(entity, key, 4096)
+    for number in count():
+        if kind in ("person", "email"):
+            # The number in letters goes before the domain of an address, and after a name.
+            letters = "".join("aeioubcdfg"[int(d)] for d in str(number))
+            local, at, domain = longer.partition("@")
+            yield f"{local}{_like(entity, letters) if entity.isupper() else letters}{at}{domain}"
+        else:
+            yield f"{longer}{number}"
+
+
 def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with all entities replaced, and what was found."""
     found = entities(text)
@@ -238,10 +259,7 @@ def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str
         entity = text[a:b]
         if (kind, entity) in chosen:
             continue
-        for tweak in range(64):
-            surrogate = SURROGATES[kind](entity, key, tweak)
-            if surrogate not in used and surrogate not in originals:
-                break
+        surrogate = next(s for s in _candidates(kind, entity, key) if s not in used and s not in originals)
         chosen[kind, entity] = surrogate
         used.add(surrogate)
     out, at = [], 0
