@@ -7,11 +7,11 @@ at 0.8 below 2.1e-5, at 0.9 below 1e-9.
 
 Documents with equal sets are one class from the start. Table keys that several classes share are compared in rounds: in
 each, every class meets one leader of its keys, links are verified, and keys whose members are connected by then are done.
-After ROUNDS of these (whose leaders differ), all pairs of different components within a key are looked at, inside one
-task and without listing them; so a link is lost only where no table brings its ends together. No partner is dropped by
-number. Signatures of WIDE two-bit minimum hashes stop pairs that they put far below the threshold (4.5 standard
-deviations) before their texts are fetched; all others are decided by the exact condition
-100 * |A and B| >= 75 * |A or B|.
+After ROUNDS of these (whose leaders differ), classes of different components that share a key meet in blocks of a bounded
+size, two blocks at a time, and no pair leaves a task before it is known to be a link; so a link is lost only where no
+table brings its ends together. No partner is dropped by number. Signatures of WIDE two-bit minimum hashes stop pairs that
+they put far below the threshold (6 standard deviations: one link in 10^9) before their texts are fetched; all others are
+decided by the exact condition 100 * |A and B| >= 75 * |A or B|.
 
 Cases: null or empty texts have no shingles and no links; texts under five words are one shingle of all their words;
 rows with a null doc_id are kept, unlinked, with a null component; rows that share a doc_id are one node of the graph,
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import IdFilter, checkpointed, clean_text, mix64, record_batch, span_hashes, text_slices
+from tidemark.llm.common import SLICE_CHARS, IdFilter, checkpointed, clean_text, mix64, record_batch, span_hashes, text_slices
 
 WORDS = 5
 PERCENT = 75
@@ -37,10 +37,12 @@ ROUNDS = 2
 #: Two-bit hashes of a wide signature. Two sets agree in a quarter of them by chance.
 WIDE = 512
 _CHANCE = 0.25 + 0.75 * PERCENT / 100
-LEAST_AGREEING = int(WIDE * _CHANCE - 4.5 * (WIDE * _CHANCE * (1 - _CHANCE)) ** 0.5)
+LEAST_AGREEING = int(WIDE * _CHANCE - 6 * (WIDE * _CHANCE * (1 - _CHANCE)) ** 0.5)
 #: Texts that meet in one group of comparisons: members of a star, and of either of two blocks of a family.
 STAR_CHUNK = 200
 FAMILY_BLOCK = 128
+#: Values that a product of membership matrices takes at a time.
+MATRIX_COLUMNS = 1 << 15
 _BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(31))
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, dtype=bool)
@@ -50,6 +52,7 @@ _ADD = mix64(np.arange(HASHES + WIDE, dtype=np.uint64) + np.uint64(7700))
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int32()))])
 _WIDE = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_HOPEFUL = pa.schema([("g", pa.int64()), ("rep", pa.int64())])
 
 
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,19 +207,6 @@ def in_stars(pairs: DataFrame) -> DataFrame:
     return pairs.join(sizes, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("chunks"))).alias("g"), "a", "b")
 
 
-def in_blocks(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(g, a, b): pairs by two blocks of classes, so that a text goes to each pair of blocks but once.
-
-    Classes lie together by their smallest shared table key, which those of a family largely have in common.
-    """
-    homes = members.groupBy("rep").agg(F.min("key").alias("home"))
-    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / FAMILY_BLOCK).alias("blocks"))
-    block = homes.join(sizes, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"))
-    of = lambda name: block.select(F.col("rep").alias(name), F.col("block").alias(f"block_{name}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.select(F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("g"), "a", "b")
-
-
 def verified(grouped: DataFrame, texts: DataFrame) -> DataFrame:
     """The (a, b) pairs of (g, a, b) that are links; a group's texts are held by one task at a time."""
     n = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -243,34 +233,123 @@ def components(edges: DataFrame) -> DataFrame:
         edges = checkpointed(small)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, rep, label, n, sig) sorted by key: pairs between labels of a key that may be links."""
+def blocks_of(members: DataFrame) -> DataFrame:
+    """(rep, block): classes in blocks of about FAMILY_BLOCK that lie together by the smallest class they share a key with."""
+    least = members.groupBy("key").agg(F.min("rep").alias("least"))
+    homes = members.join(least, "key").groupBy("rep").agg(F.min("least").alias("home"))
+    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / FAMILY_BLOCK).alias("blocks"))
+    return homes.join(sizes, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"))
 
-    def pairs(rows: list[tuple]) -> set[tuple[int, int]]:
-        rep, label, n = (np.asarray([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
-        sig = _unpacked([r[4] for r in rows])
-        out = set()
-        for k in range(len(rows)):
-            other = np.flatnonzero((rep > rep[k]) & (label != label[k]) & (100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k])))
-            other = other[agreeing(sig[other], sig[k]) >= LEAST_AGREEING]
-            out.update((int(rep[k]), int(rep[o])) for o in other)
-        return out
 
+def meetings(members: DataFrame, block: DataFrame) -> DataFrame:
+    """(g, block): the groups in which two blocks meet, or one meets itself, because a key has classes of both.
+
+    Keys with the same blocks, as those of a family mostly are, count once before their pairs of blocks are formed.
+    """
+    held = members.join(block, "rep").groupBy("key").agg(F.sort_array(F.collect_set("block")).alias("blocks")).select("blocks").distinct()
+    firsts = held.select("blocks", F.posexplode("blocks").alias("at", "one"))
+    met = firsts.select("one", F.explode(F.slice("blocks", F.col("at") + 1, F.size("blocks") - F.col("at"))).alias("other")).distinct()
+    return met.select(F.xxhash64("one", "other").alias("g"), F.explode(F.array_distinct(F.array("one", "other"))).alias("block"))
+
+
+def _promising(label: np.ndarray, n: np.ndarray, sig: np.ndarray, k: int) -> np.ndarray:
+    """Which rows after k have another label, and a size and signature that allow a link with row k."""
+    fits = (label[k + 1 :] != label[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= PERCENT * np.maximum(n[k + 1 :], n[k]))
+    other = k + 1 + np.flatnonzero(fits)
+    return other[agreeing(sig[other], sig[k]) >= LEAST_AGREEING]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+    """Rows of consecutive equal first columns, group by group; a group has two blocks at most."""
     held: list[tuple] = []
-    ready: set[tuple[int, int]] = set()
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        for row in zip(*(batch.column(k).to_pylist() for k in range(width)), strict=True):
             if held and row[0] != held[0][0]:
-                ready |= pairs(held)
+                yield held
                 held = []
-                if len(ready) > 100_000:
-                    yield record_batch(_PAIR, dict(zip("ab", zip(*sorted(ready), strict=True), strict=True)))
-                    ready = set()
             held.append(row)
     if held:
-        ready |= pairs(held)
-    if ready:
-        yield record_batch(_PAIR, dict(zip("ab", zip(*sorted(ready), strict=True), strict=True)))
+        yield held
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (g, rep, label, n, sig) sorted by g the (g, rep) that may have a link in their group."""
+    for rows in _groups(batches, 5):
+        rep, label, n = (np.asarray([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
+        sig, some = _unpacked([r[4] for r in rows]), np.zeros(len(rows), dtype=bool)
+        for k in range(len(rows) - 1):
+            other = _promising(label, n, sig, k)
+            some[other] = True
+            some[k] |= len(other) > 0
+        yield record_batch(_HOPEFUL, {"g": np.full(int(some.sum()), rows[0][0]), "rep": rep[some]})
+
+
+def _sets(texts: list[str | None]) -> list[np.ndarray]:
+    values, sizes = shingle_sets(texts)
+    return [own.copy() for own in np.split(values, np.cumsum(sizes)[:-1])]
+
+
+def _within(rows: list[tuple], column: int) -> Iterator[list[tuple]]:
+    """Runs of rows whose texts in that column have about SLICE_CHARS characters."""
+    start = total = 0
+    for k, row in enumerate(rows):
+        if total and total + len(row[column]) > SLICE_CHARS:
+            yield rows[start:k]
+            start, total = k, 0
+        total += len(row[column])
+    yield rows[start:]
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of some sets share, exactly: a product of membership matrices, MATRIX_COLUMNS values at a time."""
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    fresh = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, dtype=bool)
+    column = np.cumsum(fresh) - 1
+    common = np.bincount(column)[column] > 1 if len(values) else fresh
+    owner, column = owner[common], column[common]
+    column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if len(column) else column
+    out = np.zeros((len(sets), len(sets)))
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, MATRIX_COLUMNS):
+        lo, hi = np.searchsorted(column, [start, start + MATRIX_COLUMNS])
+        held = np.zeros((len(sets), MATRIX_COLUMNS), dtype=np.float32)
+        held[owner[lo:hi], column[lo:hi] - start] = 1
+        out += held @ held.T
+    return out.astype(np.int64)
+
+
+def _meeting_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (g, rep, label, text) sorted by g links that join all labels of a group which are linked, decided on full sets."""
+    for rows in _groups(batches, 4):
+        sets = [s for part in _within(rows, 3) for s in _sets([r[3] for r in part])]
+        sizes = np.asarray([len(s) for s in sets])
+        rep, label = (np.asarray([r[k] for r in rows], dtype=np.int64) for k in (1, 2))
+        both = shared_counts(sets)
+        linked = np.triu((both > 0) & (100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)), 1)
+        found: list[tuple[int, int]] = []
+        for k, o in zip(*np.nonzero(linked), strict=True):
+            if label[k] != label[o]:
+                found.append((int(rep[k]), int(rep[o])))
+                label[label == max(label[k], label[o])] = min(label[k], label[o])
+        if found:
+            yield record_batch(_PAIR, dict(zip("ab", zip(*found, strict=True), strict=True)))
+
+
+def across(members: DataFrame, wide: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) links that join the components (label) of (key, rep, label) keys.
+
+    Classes meet in blocks, two blocks to a task at a time. Signatures say which classes a meeting needs; only their texts
+    are fetched, and no pair leaves a task before it is known to be a link.
+    """
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = checkpointed(blocks_of(members))
+    at = meetings(members, block).join(block, "block").select("g", "rep")
+    known = members.select("rep", "label").distinct().join(wide, "rep")
+    at = checkpointed(at.join(known, "rep").select("g", "rep", "label", "n", "sig").repartition(n, "g").sortWithinPartitions("g").mapInArrow(_hopeful, "g long, rep long").distinct())
+    labels = members.select("rep", "label").distinct()
+    rows = at.join(labels, "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("g", "rep", "label", "text")
+    return rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_meeting_links, "a long, b long")
 
 
 def _relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -307,9 +386,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = checkpointed(links.union(verified(in_stars(checkpointed(_agreeing(pairs, wide))), texts)))
         labels = components(links)
         members = checkpointed(_relabelled(members, labels))
-    rows = members.join(wide, "rep").select("key", "rep", "label", "n", "sig")
-    more = checkpointed(rows.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_across, "a long, b long").distinct())
-    labels = components(links.union(verified(in_blocks(more, members), texts)))
+    labels = components(links.union(across(members, wide, texts)))
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     linked = linkable.join(of_class, ["k1", "k2"])
     alone = signed.where("not (n > 0 and doc_id is not null)").withColumn("component_id", F.col("doc_id"))
