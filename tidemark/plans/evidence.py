@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import clock
 from tidemark.functions import text as tx
-from tidemark.operators import coverage, planning, rules, witness
+from tidemark.operators import coverage, planning, rules, sequence, witness
 from tidemark.plans import views
 from tidemark.plans.registry import Registry, r6
 from tidemark.plans.views import with_views
@@ -52,8 +51,9 @@ def shift_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views(f"""WITH {_ITEMS}, w AS (SELECT recording_id, item_id, at_s, unnest(words) AS word FROM items),
 h AS (SELECT item_id, count(DISTINCT w.word) AS hits FROM w JOIN said USING (recording_id, word) WHERE start_s <= at_s + 12 AND end_s >= at_s - 12 GROUP BY 1),
-p AS (SELECT recording_id, at_s, len(words) AS words, coalesce(hits, 0) AS hits FROM items LEFT JOIN h USING (item_id))
-SELECT recording_id, count(*) AS spoken, count(*) FILTER (WHERE at_s > 60) AS beyond, count(*) FILTER (WHERE at_s <= 60 AND words < 6) AS short, count(*) FILTER (WHERE at_s <= 60 AND words >= 6 AND {_PASS}) AS witnessed, count(*) FILTER (WHERE at_s <= 60 AND words >= 6 AND NOT ({_PASS})) AS unwitnessed FROM p GROUP BY 1""", "seg_conv"))
+t AS (SELECT recording_id, max(greatest(start_s, coalesce(end_s, start_s))) AS total_s FROM seg_conv GROUP BY 1),
+p AS (SELECT recording_id, at_s, total_s, len(words) AS words, coalesce(hits, 0) AS hits FROM items LEFT JOIN h USING (item_id) JOIN t USING (recording_id))
+SELECT recording_id, count(*) AS spoken, count(*) FILTER (WHERE at_s > total_s) AS beyond, count(*) FILTER (WHERE at_s <= total_s AND words < 6) AS short, count(*) FILTER (WHERE at_s <= total_s AND words >= 6 AND {_PASS}) AS witnessed, count(*) FILTER (WHERE at_s <= total_s AND words >= 6 AND NOT ({_PASS})) AS unwitnessed FROM p GROUP BY 1""", "seg_conv"))
 def spoken_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each spoken item is beyond its recording's end, too short to score, witnessed or not."""
     found = witness.spoken_hits(*_items(spark, sf_dir)).join(planning.totals(views.seg_conv(spark, sf_dir)), "recording_id")
@@ -128,13 +128,13 @@ _GRAMS = "list_transform(range(1, len(t) - 10), lambda i: array_to_string(t[i:i
 
 
 @query(f"""
-WITH d AS (SELECT doc_id AS note_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL), b AS (SELECT {_TOKENS} AS t FROM benchmark),
+WITH d AS (SELECT doc_id AS note_id, {_TOKENS.replace("lower(text)", "lower(coalesce(text, ''))")} AS t FROM documents), b AS (SELECT {_TOKENS} AS t FROM benchmark),
 g AS (SELECT DISTINCT unnest({_GRAMS}) AS gram FROM b WHERE len(t) >= 12), w AS (SELECT note_id, unnest({_GRAMS}) AS gram, unnest(range(len(t) - 11)) AS pos FROM d WHERE len(t) >= 12),
 h AS (SELECT note_id, pos FROM w SEMI JOIN g USING (gram)), c AS (SELECT note_id, sum(gain)::BIGINT AS verbatim FROM (SELECT note_id, least(coalesce(pos - lag(pos) OVER (PARTITION BY note_id ORDER BY pos), 12), 12) AS gain FROM h) GROUP BY 1)
 SELECT note_id, len(t) AS words, coalesce(verbatim, 0) AS verbatim, round(CASE WHEN len(t) > 0 THEN coalesce(verbatim, 0) / len(t)::DOUBLE ELSE 0 END, 6) AS share FROM d LEFT JOIN c USING (note_id)""")
 def verbatim_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside twelve-word runs of a benchmark passage."""
-    notes = views.table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("note_id"), "text")
+    notes = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), F.coalesce("text", F.lit("")).alias("text"))
     return coverage.verbatim_share(notes, views.table(spark, sf_dir, "benchmark")).select("note_id", "words", "verbatim", r6("share"))
 
 
@@ -161,7 +161,7 @@ def refused_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT coalesce(t.name, c.name) AS name, CASE WHEN c.code IS NULL THEN 'unread' WHEN t.code IS NULL THEN 'extra' WHEN t.code = c.code THEN 'correct' ELSE 'mispaired' END AS verdict
-FROM (SELECT doc_id AS name, quality AS code FROM labels) t FULL JOIN (SELECT doc_id AS name, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS code FROM documents WHERE doc_id % 3 <> 0) c ON t.name = c.name""")
+FROM (SELECT doc_id AS name, quality AS code FROM labels) t FULL JOIN (SELECT doc_id AS name, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS code FROM documents) c ON t.name = c.name""")
 def truth_vs_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality labels against claims made from every document's length."""
     truth = views.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("name"), F.col("quality").alias("code"))
@@ -169,9 +169,9 @@ def truth_vs_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.truth_vs_claim(truth, claims)
 
 
-@query("""SELECT md5(text) AS key, count(*) AS copies, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
+@query("""SELECT md5(text) AS key, count(*) AS copies, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = views.table(spark, sf_dir, "documents").where("text is not null")
+    d = views.table(spark, sf_dir, "documents")
     return d.groupBy(F.md5("text").alias("key")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("copies > 1")
 
 
@@ -222,21 +222,17 @@ WITH u AS (SELECT recording_id, frame_s AS t, 0 AS pinned FROM frame_evt UNION A
 SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY t, pinned) - 1 AS idx, round(t, 6) AS t, pinned FROM u""", "frame_evt", "anchor_evt"))
 def merge_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled and pinned frames in one numbered list; sampled ones first at equal times."""
-    both = views.frame_evt(spark, sf_dir).select("recording_id", F.col("frame_s").alias("t"), F.lit(0).alias("pinned")).union(views.anchor_evt(spark, sf_dir).select("recording_id", "at_s", F.lit(1)))
-    order = Window.partitionBy("recording_id").orderBy("t", "pinned")
-    return both.select("recording_id", (F.row_number().over(order) - 1).alias("idx"), r6("t"), "pinned")
+    sampled, pinned = views.frame_evt(spark, sf_dir).withColumnRenamed("frame_s", "t"), views.anchor_evt(spark, sf_dir).withColumnRenamed("at_s", "t")
+    return sequence.merged_frames(sampled, pinned).select("recording_id", "idx", r6("t"), "pinned")
 
 
 @query(with_views("""SELECT recording_id, string_agg('[' || printf('%02d:%02d', start_s::BIGINT // 60, start_s::BIGINT % 60) || '] ' || text, chr(10) ORDER BY start_s, ord) AS transcript FROM seg_conv GROUP BY 1""", "seg_conv"))
 def transcript_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.lit("["), clock.stamp(F.col("start_s")), F.lit("] "), F.col("text"))
-    held = views.seg_conv(spark, sf_dir).groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("start_s", "ord", line.alias("line")))).alias("l"))
-    return held.select("recording_id", F.array_join(F.col("l.line"), "\n").alias("transcript"))
+    return sequence.transcript(views.seg_conv(spark, sf_dir))
 
 
 @query("""SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END, ''), 'local-' || left(sha256(coalesce(text, '')), 10)) AS recording FROM documents""")
 def recording_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A platform's id, or one from the content's digest where it has none."""
     given = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source"))
-    own = F.concat(F.lit("local-"), F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 10))
-    return views.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.nullif(given, F.lit("")), own).alias("recording"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", tx.recording_id(given, F.lit(""), F.coalesce("text", F.lit(""))).alias("recording"))

@@ -160,7 +160,7 @@ def trim_to_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "len(list_filter(regexp_split_to_array(trim(text, ' '), '[\\t\\n\\v\\f\\r ]+'), lambda w: w <> ''))"
 
 
-@query(with_views(f"""WITH sp AS (SELECT recording_id, k AS chunk, k * 24.0::DOUBLE AS lo_s, k * 24.0::DOUBLE + 24 AS hi_s FROM (SELECT DISTINCT recording_id, unnest(range(4)) AS k FROM seg_conv)),
+@query(with_views(f"""WITH sp AS (SELECT recording_id, k AS chunk, k * 24.0::DOUBLE AS lo_s, k * 24.0::DOUBLE + 24 AS hi_s FROM (SELECT recording_id, unnest(range((floor(greatest(max(end_s), max(start_s)) / 24))::BIGINT + 1)) AS k FROM seg_conv GROUP BY 1)),
 w AS (SELECT recording_id, chunk, sum(CASE WHEN role = 'assistant' THEN {_WORDS} ELSE 0 END)::BIGINT AS second_words, sum(CASE WHEN role = 'user' THEN {_WORDS} ELSE 0 END)::BIGINT AS first_words FROM seg_conv JOIN sp USING (recording_id) WHERE start_s >= lo_s AND start_s < hi_s GROUP BY 1, 2)
 SELECT * FROM w WHERE second_words >= 100 AND first_words < 0.75 * second_words""", "seg_conv"))
 def thin_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
