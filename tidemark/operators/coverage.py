@@ -23,9 +23,12 @@ def document_frequency(segments: DataFrame) -> DataFrame:
 def salient(segments: DataFrame) -> DataFrame:
     """(recording_id, token, kind): figures, else names, else rare terms. Every token has one kind."""
     sizes = segments.groupBy(KEY).agg(F.greatest(F.lit(1), F.least(F.lit(RARE), F.floor(F.count("*") / 20).cast("int"))).alias("cutoff"))
-    own = segments.select(KEY, F.explode(F.array_distinct(tx.tokens("text"))).alias("token"), tx.name_candidates("text").alias("names"))
-    # One row per token: its frequency, and whether some segment writes it as a name.
-    counted = own.groupBy(KEY, "token").agg(F.count("*").alias("df"), F.bool_or(F.array_contains("names", F.col("token"))).alias("named"))
+    # A segment's tokens are split into names and others before they are listed, so each text is read once.
+    own = segments.select(KEY, F.array_distinct(tx.tokens("text")).alias("tokens"), tx.name_candidates("text").alias("names"))
+    names = F.transform(F.array_intersect("tokens", "names"), lambda w: F.struct(w.alias("token"), F.lit(True).alias("named")))
+    others = F.transform(F.array_except("tokens", "names"), lambda w: F.struct(w.alias("token"), F.lit(False).alias("named")))
+    marked = F.concat(names, others)
+    counted = own.select(KEY, F.explode(marked).alias("t")).groupBy(KEY, "t.token").agg(F.count("*").alias("df"), F.bool_or("t.named").alias("named"))
     rare = (F.length("token") >= TERM_LETTERS) & (F.col("df") <= F.col("cutoff"))
     kind = F.when(F.col("token").rlike("[0-9]"), "figures").when(F.col("named"), "names").when(rare, "terms")
     return counted.join(sizes, KEY).select(KEY, "token", kind.alias("kind")).where("kind is not null")
@@ -51,13 +54,16 @@ def verbatim_share(notes: DataFrame, passages: DataFrame, run: int = VERBATIM_RU
     notes: note_id, text; passages: text. Runs meet by equality, so only shared ones are ever joined; covered words are
     counted from the runs' distances, without listing the words.
     """
-    words = tx.tokens("text")
-    said = passages.select(F.explode(F.array_distinct(tx.shingles(words, run))).alias("gram")).distinct()
+    # Tokens are a column of their own: inside the shingles they would be found anew for each.
+    words = F.col("words")
+    told = passages.select(tx.tokens("text").alias("words"))
+    said = told.select(F.explode(F.array_distinct(tx.shingles(words, run))).alias("gram")).distinct()
+    notes = notes.select("note_id", tx.tokens("text").alias("words"))
     wrote = notes.select("note_id", F.posexplode(tx.shingles(words, run)).alias("at", "gram"))
     hits = wrote.join(said, "gram", "left_semi").select("note_id", "at")
     step = F.col("at") - F.lag("at").over(Window.partitionBy("note_id").orderBy("at"))
     covered = hits.select("note_id", F.least(F.coalesce(step, F.lit(run)), F.lit(run)).alias("gain")).groupBy("note_id").agg(F.sum("gain").alias("verbatim"))
-    sizes = notes.select("note_id", F.size(words).cast("long").alias("words"))
+    sizes = notes.select("note_id", F.greatest(F.size(words), F.lit(0)).cast("long").alias("words"))
     return sizes.join(covered, "note_id", "left").select("note_id", "words", F.coalesce("verbatim", F.lit(0)).cast("long").alias("verbatim")).withColumn("share", F.when(F.col("words") > 0, F.col("verbatim") / F.col("words")).otherwise(0.0))
 
 
@@ -99,6 +105,37 @@ def align(base: DataFrame, other: DataFrame, least: int = 3) -> DataFrame:
     return tokened(base).cogroup(tokened(other)).applyInPandas(one, f"{KEY} long, ratio double, regions long, substantial long, salient long")
 
 
+def regions(base: DataFrame, other: DataFrame, least: int = 3) -> DataFrame:
+    """(recording_id, rank, tag, at_s, size, base, other, is_salient) where two renderings differ, as align() counts them.
+
+    Small regions count only if they are salient; salient ones come first, then by size. at_s is the base's time.
+    """
+    words = frozenset(tx.SALIENT_WORDS)
+
+    def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values(["start_s", "ord"]), b.sort_values(["start_s", "ord"])
+        left, times = [w for ws in a["words"] for w in ws], [t for t, ws in zip(a["start_s"], a["words"], strict=True) for _ in ws]
+        right = [w for ws in b["words"] for w in ws]
+        found = []
+        for tag, i, j, k, m in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
+            if tag == "equal":
+                continue
+            weighty = any(w in words or any(c.isdigit() for c in w) for w in left[i:j] + right[k:m])
+            at = times[i] if i < len(times) else times[-1] if times else 0.0
+            found.append((tag, at, max(j - i, m - k), " ".join(left[i:j]), " ".join(right[k:m]), weighty))
+        shown = sorted((r for r in found if r[2] >= least or r[5]), key=lambda r: (not r[5], -r[2]))
+        return pd.DataFrame([(key[0], rank, *r) for rank, r in enumerate(shown)], columns=[KEY, "rank", "tag", "at_s", "size", "base", "other", "is_salient"])
+
+    tokened = lambda df: df.select(KEY, "start_s", "ord", tx.tokens("text").alias("words")).groupBy(KEY)
+    return tokened(base).cogroup(tokened(other)).applyInPandas(one, f"{KEY} long, rank long, tag string, at_s double, size long, base string, other string, is_salient boolean")
+
+
+def region_census(found: DataFrame) -> DataFrame:
+    """(recording_id, only_base, only_other): words that only one of two renderings has, of regions()."""
+    words = lambda c: F.sum(F.size(F.filter(F.split(c, " "), lambda w: w != "")))
+    return found.groupBy(KEY).agg(words("base").alias("only_base"), words("other").alias("only_other"))
+
+
 def bind_classes(item: Column) -> Column:
     """The evidence class of an item that names exactly one; NONE without any, MULTI with several."""
     found = F.array_distinct(F.regexp_extract_all(item, F.lit(r"\b(ON-SCREEN|SPOKEN|INFERRED)\b"), F.lit(1)))

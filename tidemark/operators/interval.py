@@ -95,7 +95,9 @@ def nearest(points: DataFrame, frames: DataFrame) -> DataFrame:
     # Frames come before points of the same second.
     order = Window.partitionBy(KEY).orderBy("at_s", F.col("frame").asc_nulls_last())
     earlier = F.last("frame", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    later = F.first("frame", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # The same window read backwards: a frame that grows forwards is kept up, one that shrinks is built anew for each row.
+    back = Window.partitionBy(KEY).orderBy(F.col("at_s").desc(), F.col("frame").desc_nulls_first())
+    later = F.last("frame", True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     found = both.select("*", earlier.alias("lo"), later.alias("hi")).where("point_id is not null")
     pick = F.when(F.col("lo").isNull(), F.col("hi")).when(F.col("hi").isNull(), F.col("lo")).when(F.col("at_s") - F.col("lo") <= F.col("hi") - F.col("at_s"), F.col("lo")).otherwise(F.col("hi"))
     return found.select(KEY, "point_id", "at_s", pick.alias("frame_s"))
@@ -115,7 +117,8 @@ def coverage_ledger(frames: DataFrame, cited: DataFrame, durations: DataFrame) -
     marked = frames.join(cited.select(KEY, "frame_s").distinct().withColumn("cited", F.col("frame_s")), [KEY, "frame_s"], "left")
     order = Window.partitionBy(KEY).orderBy("frame_s")
     lo = F.coalesce(F.last("cited", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    hi = F.first("cited", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy(KEY).orderBy(F.col("frame_s").desc())
+    hi = F.last("cited", True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     spans = marked.select(KEY, "cited", lo.alias("lo"), hi.alias("hi")).join(durations, KEY)
     free = F.col("cited").isNull()
     return spans.groupBy(KEY).agg(F.count("*").alias("frames"), F.count_if(free).alias("uncited"), F.max(F.when(free, F.coalesce("hi", "duration_s") - F.col("lo"))).alias("longest_span"))
