@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.words import COLONS, LOOKALIKES, POINTING, STOPWORDS, UNNAMING
+
 # Words that change the meaning of a line whatever its size.
 SALIENT_WORDS = """
 no not never none nor neither cannot can't don't doesn't didn't won't wouldn't shouldn't isn't aren't wasn't weren't
@@ -113,6 +115,108 @@ def bounded_edits(a: Column, b: Column, cap: int) -> Column:
     return F.when(found < 0, cap + 1).otherwise(found)
 
 
+def item_words(text: Column | str) -> Column:
+    """Distinct words of four and more letters outside markup, without stop words; parts of hyphenated words count too."""
+    plain = F.regexp_replace(text, r"(?s)`[^`]*`|<!--.*?-->|\{\{[^}]*\}\}|[*_>#|]", " ")
+    found = F.regexp_extract_all(F.lower(plain), F.lit("[a-z][a-z'-]{3,}"), F.lit(0))
+    parts = F.filter(F.flatten(F.transform(F.filter(found, lambda w: w.contains("-")), lambda w: F.split(w, "-"))), lambda w: F.length(w) >= 4)
+    return F.array_except(F.array_union(found, parts), F.array(*map(F.lit, STOPWORDS)))
+
+
+def candidates(text: Column | str) -> Column:
+    """proper_nouns() outside code spans, without words that name no one, by themselves or as the head of a compound."""
+    words = proper_nouns(F.regexp_replace(text, "`[^`]*`", " "))
+    known = lambda w: w.isin(UNNAMING)
+    return F.filter(words, lambda w: ~known(F.lower(w)) & ~known(F.element_at(F.split(F.lower(w), "-"), 1)))
+
+
+def points(text: Column | str) -> Column:
+    """Whether a line points at what is shown."""
+    return F.rlike(F.col(text) if isinstance(text, str) else text, F.lit(r"(?i)\b(?:" + "|".join(POINTING) + ")"))
+
+
+def recording_id(platform: Column, display: Column, source: Column) -> Column:
+    """The platform's id, else the display id, else one from the source's digest; empty ids don't count."""
+    own = F.concat(F.lit("local-"), F.substring(F.sha2(source, 256), 1, 10))
+    return F.coalesce(F.nullif(platform, F.lit("")), F.nullif(display, F.lit("")), own)
+
+
+def one_line(text: Column | str) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def moments(text: Column) -> Column:
+    """Sorted distinct seconds that a (plainly written) line names: clock stamps, 1h02m03s forms that aren't round
+    numbers of five seconds, and t= parameters."""
+    clock = r"(?<![\d:])\d{1,3}:[0-5]\d(?::[0-5]\d)?(?![\d:])(?!\.\d)"
+    unit = r"(?i)(?<![0-9A-Za-z.])P?T?(?=\d)(?:\d{1,2}(?:h|\s*(?:hr|hrs|hour|hours))\s*)?(?:\d{1,3}(?:m|\s*(?:min|mins|minute|minutes))\s*)?(?:\d{1,4}(?:s|\s*(?:sec|secs|second|seconds)))?(?![0-9A-Za-z])"
+    stamps = F.transform(F.regexp_extract_all(text, F.lit(clock), F.lit(0)), lambda s: F.aggregate(F.split(s, ":"), F.lit(0).cast("long"), lambda a, x: a * 60 + x.cast("long")))
+    field = lambda s, letter: F.coalesce(F.regexp_extract(F.lower(s), rf"(\d+)\s*{letter}", 1).try_cast("long"), F.lit(0).cast("long"))
+    spelt = F.transform(F.regexp_extract_all(text, F.lit(unit), F.lit(0)), lambda s: field(s, "h") * 3600 + field(s, "m") * 60 + field(s, "s"))
+    given = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(?<![0-9A-Za-z])t=(\d{1,5})(?:s)?(?![0-9A-Za-z])"), F.lit(1)), lambda s: s.cast("long"))
+    return F.array_sort(F.array_distinct(F.concat(stamps, F.filter(spelt, lambda s: s % 5 != 0), given)))
+
+
+def is_round_pair(seconds: Column) -> Column:
+    """Two whole minutes: a coincidence, not a fingerprint."""
+    return (F.size(seconds) == 2) & F.forall(seconds, lambda s: s % 60 == 0)
+
+
+def plainly(text: Column) -> Column:
+    """The text with every way of writing a digit or a colon written plainly; text that is plain already skips Python."""
+    return F.coalesce(_folded(F.when(text.rlike(r"[^\x09-\x0d\x20-\x7e]"), text)), text)
+
+
+@F.pandas_udf(T.StringType())
+def _folded(text: pd.Series) -> pd.Series:
+    colons = str.maketrans(dict.fromkeys(COLONS, ":"))
+
+    def one(t: str) -> str:
+        plain = unicodedata.normalize("NFKC", t.translate(colons))
+        shown = (c for c in plain if c.isspace() or unicodedata.category(c) not in ("Cf", "Cc"))
+        return "".join(c if (d := unicodedata.decimal(c, None)) is None else str(d) for c in shown)
+
+    return text.map(one, na_action="ignore")
+
+
+_PLACED = T.StructType([T.StructField("plain", T.StringType()), T.StructField("line", T.ArrayType(T.IntegerType())), T.StructField("column", T.ArrayType(T.IntegerType()))])
+
+
+@F.pandas_udf(_PLACED)
+def squashed_places(text: pd.Series) -> pd.DataFrame:
+    """Letters and digits only, with lookalikes folded, and the line and column (from 1) that each comes from.
+
+    Where a sentence ends (a stop, space, a capital) a line break is put, so no word is read across it.
+    """
+    lookalike = str.maketrans(LOOKALIKES)
+
+    def one(t: str | None) -> tuple:
+        if t is None:
+            return None, None, None
+        t = unicodedata.normalize("NFKC", t).translate(lookalike)
+        kept, lines, columns, line, column, stopped, spaced = [], [], [], 1, 1, False, False
+        for c in t:
+            if c.isalnum():
+                if stopped and spaced and c.isupper():
+                    kept.append("\n"), lines.append(line), columns.append(column)
+                folded = c.casefold()
+                kept.append(folded), lines.extend([line] * len(folded)), columns.extend([column] * len(folded))
+                stopped = spaced = False
+            elif c.isspace():
+                spaced = spaced or stopped
+            else:
+                stopped, spaced = c in ".!?" or (stopped and spaced), spaced and stopped
+            line, column = (line + 1, 1) if c == "\n" else (line, column + 1)
+        return "".join(kept), lines, columns
+
+    return pd.DataFrame([one(t) for t in text], columns=["plain", "line", "column"])
+
+
+def decodings(text: Column) -> Column:
+    """The text itself, and what it reads with percent escapes and with entities decoded, where that differs."""
+    return F.array_distinct(F.array(text, percent_decoded(text), unescape(text)))
+
+
 @F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """HTML entities decoded (Spark has no such function)."""

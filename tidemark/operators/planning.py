@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import clock
 from tidemark.functions import text as tx
 from tidemark.operators.interval import band_join
 from tidemark.operators.sequence import KEY
@@ -142,3 +143,50 @@ def frame_budget(durations: DataFrame, budget: list[tuple[int, int, int]] = BUDG
         wanted = F.when(d <= upto, F.greatest(F.lit(least), F.bround(d * rate, 0).cast("int"))).otherwise(wanted)
     fps = F.least(F.lit(most_fps), F.least(wanted, F.lit(cap)) / d)
     return durations.where("duration_s > 0").withColumn("fps", fps).select(KEY, F.least(F.lit(cap), F.greatest(F.lit(1), F.bround(F.col("fps") * d, 0).cast("int"))).alias("frames"), "fps")
+
+
+def with_fallback(candidates: DataFrame, uniform: DataFrame, least: int = 8) -> DataFrame:
+    """Candidate frames of recordings that have enough of them, and uniform frames of the others; engine names which.
+
+    Both have recording_id and the same columns. Scenes need eight, keyframes four.
+    """
+    counts = candidates.groupBy(KEY).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(KEY)
+    own = candidates.join(counts, KEY, "left_semi").withColumn("engine", F.lit("candidates"))
+    return own.unionByName(uniform.join(counts, KEY, "left_anti").withColumn("engine", F.lit("uniform")))
+
+
+def uniform_times(plan: DataFrame) -> DataFrame:
+    """(recording_id, idx, ts) of (recording_id, offset_s, fps, frames): offset + i / fps, to two places."""
+    rows = plan.where("frames > 0").select(KEY, "offset_s", "fps", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames").cast("long") - 1)).alias("idx"))
+    return rows.select(KEY, "idx", F.round(F.col("offset_s") + F.col("idx") / F.col("fps"), 2).alias("ts"))
+
+
+def requested_times(times: DataFrame, bounds: DataFrame, cap: int) -> DataFrame:
+    """(recording_id, idx, ts, dropped): distinct requested seconds (two places) inside (low, high), an even sample of cap."""
+    asked = times.select(KEY, F.round("at_s", 2).alias("ts")).distinct().join(bounds, KEY).where("ts >= low and ts <= high").select(KEY, "ts")
+    sizes = asked.groupBy(KEY).agg(F.count("*").alias("asked"))
+    order = F.row_number().over(Window.partitionBy(KEY).orderBy("ts")) - 1
+    rows = asked.join(sizes, KEY).withColumn("at", order)
+    step = F.when(F.col("asked") <= cap, F.lit(True)).otherwise(F.exists(F.sequence(F.lit(0), F.lit(max(cap - 1, 0))), lambda i: F.bround(i * (F.col("asked") - 1) / F.lit(max(cap - 1, 1))) == F.col("at")))
+    kept = rows.where(step)
+    return kept.select(KEY, (F.row_number().over(Window.partitionBy(KEY).orderBy("ts")) - 1).cast("long").alias("idx"), "ts", F.greatest(F.col("asked") - cap, F.lit(0)).alias("dropped"))
+
+
+def batches(frames: DataFrame, size: int = 20) -> DataFrame:
+    """Frames (recording_id, idx, ...) with the batch that they are reviewed in."""
+    order = F.row_number().over(Window.partitionBy(KEY).orderBy("idx")) - 1
+    return frames.withColumn("batch", F.floor(order / size).cast("long"))
+
+
+def listed(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first rows of each key (nth from 1), and one more row that says how many are left (rest); nothing is lost silently."""
+    nth = Window.partitionBy(*keys).orderBy(*order)
+    ranked = rows.withColumn("nth", F.row_number().over(nth)).withColumn("rest", F.lit(None).cast("long"))
+    left = rows.groupBy(*keys).agg((F.count("*") - most).alias("rest")).where("rest > 0").withColumn("nth", F.lit(most + 1))
+    return ranked.where(F.col("nth") <= most).unionByName(left, allowMissingColumns=True)
+
+
+def parse_moments(text: Column) -> Column:
+    """Sorted distinct seconds of a comma-separated list; blanks are passed over, unreadable ones are null and come last."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
+    return F.array_sort(F.array_distinct(F.transform(parts, clock.parse_time)))

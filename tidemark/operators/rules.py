@@ -26,8 +26,12 @@ def vocabulary(segments: DataFrame) -> DataFrame:
     return words.groupBy(KEY).agg(F.count("*").alias("vocabulary"))
 
 
-def health(segments: DataFrame) -> DataFrame:
-    """One row of measures per recording, as the health rules read them; the span is the last believed end."""
+def health(segments: DataFrame, durations: DataFrame | None = None) -> DataFrame:
+    """One row of measures per recording, as the health rules read them.
+
+    durations (recording_id, duration_s) are declared spans: recordings without a segment are among the rows then, and
+    missing_s is what lacks at the end. Else the span is the last believed end.
+    """
     order = sequence.in_order()
     keyed = segments.withColumn("key", tx.normalise("text")).withColumn("words", F.size(tx.tokens("text")).cast("long"))
     keyed = keyed.withColumn("content", F.array_distinct(tx.content_tokens("text")))
@@ -53,9 +57,13 @@ def health(segments: DataFrame) -> DataFrame:
     )
     texts = keyed.groupBy(KEY, "key").agg(F.count("*").alias("n")).groupBy(KEY).agg(F.count("*").alias("distinct"), F.max("n").alias("top"))
     rows = measured.join(texts, KEY).join(vocabulary(segments), KEY, "left").na.fill(0, ["vocabulary"])
+    rows = rows.withColumn("missing_s", F.lit(0.0))
+    if durations is not None:
+        counted = ["segments", "words", "run", "near", "gaps", "distinct", "top", "vocabulary"]
+        rows = durations.join(rows, KEY, "left").na.fill(0, counted).withColumn("missing_s", F.col("duration_s") - F.coalesce("span", F.lit(0.0))).withColumn("span", F.col("duration_s")).na.fill(0.0, ["gain", "longest"])
     return rows.select(
         KEY, "segments", "distinct", "words", "run", "near", "gaps", "span", "longest",
-        (F.col("top") / F.col("segments")).alias("top_share"),
+        "missing_s", F.when(F.col("segments") > 0, F.col("top") / F.col("segments")).otherwise(0.0).alias("top_share"),
         F.when(F.col("span") > 0, F.least(F.col("gain") / F.col("span"), F.lit(1.0))).otherwise(0.0).alias("coverage"),
         F.when(F.col("span") > 0, F.col("vocabulary") / (F.col("span") / 60)).otherwise(0.0).alias("per_minute"),
     )
@@ -71,8 +79,10 @@ def health_rules() -> dict[str, Column]:
         "E-TS-SPARSE": enough & (F.col("coverage") < COVERAGE),
         "E-TS-VOCABULARY": enough & (F.col("per_minute") < VOCABULARY),
         "E-TS-LOOP": F.col("run") >= RUN,
-        "E-TS-REPEAT": F.col("distinct") / F.col("segments") < DISTINCT,
+        "E-TS-REPEAT": (F.col("segments") > 0) & (F.col("distinct") < DISTINCT * F.col("segments")),
         "E-TS-GAP": F.col("gaps") > 0,
+        "E-TS-EMPTY": F.col("segments") == 0,
+        "E-TS-SHORT": F.col("missing_s") > GAP,
     }
 
 
@@ -94,11 +104,14 @@ def coarse(segments: DataFrame, reach: float = 30.0, median: float = 10.0) -> Da
     return interval.shape(segments).withColumn("is_coarse", (F.col("reach") > reach) & (F.col("median_span") > median))
 
 
-def excused(defects: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Defects (key, as_of, ...) with exempt: a ledger row (key, reason) begins with a real date not before the note's."""
+def excused(defects: DataFrame, ledger: DataFrame, undated: bool = True) -> DataFrame:
+    """Defects (key, as_of, ...) with exempt: a ledger row (key, reason) begins with a real date not before the note's.
+
+    undated: whether a row reaches defects without a date.
+    """
     until = F.try_to_date(F.substring("reason", 1, 10), "yyyy-MM-dd")
     dated = ledger.select("key", until.alias("until")).where("until is not null").groupBy("key").agg(F.max("until").alias("until"))
-    return defects.join(dated, "key", "left").withColumn("exempt", F.coalesce(F.col("as_of") <= F.col("until"), F.lit(False)))
+    return defects.join(dated, "key", "left").withColumn("exempt", F.when(F.col("until").isNull(), False).when(F.col("as_of").isNull(), undated).otherwise(F.col("as_of") <= F.col("until")))
 
 
 def stale(ledger: DataFrame, defects: DataFrame) -> DataFrame:

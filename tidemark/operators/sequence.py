@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import clock
 from tidemark.functions import text as tx
 
 KEY = "recording_id"
@@ -85,6 +86,33 @@ def mean_difference(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), total / F.size(a)).otherwise(F.lit(float("inf")))
 
 
+def variance(thumb: Column | str) -> Column:
+    """Population variance of a thumbnail's samples."""
+    total = lambda f: F.aggregate(thumb, F.lit(0.0), lambda a, x: a + f(x.cast("double"))) / F.size(thumb)
+    return total(lambda x: x * x) - F.pow(total(lambda x: x), F.lit(2.0))
+
+
+def without_blanks(frames: DataFrame, spread: float = 3.0) -> DataFrame:
+    """Frames whose samples vary by more than the spread; recordings of nothing else keep theirs."""
+    marked = frames.withColumn("_blank", variance("thumb") <= spread**2)
+    every = marked.groupBy(KEY).agg(F.min(F.col("_blank").cast("int")).alias("_all"))
+    return marked.join(every, KEY).where("_all = 1 or not _blank").drop("_blank", "_all")
+
+
+def transcript(segments: DataFrame) -> DataFrame:
+    """(recording_id, transcript): one stamped line per segment, in order."""
+    line = F.concat(F.lit("["), clock.stamp(F.col("start_s")), F.lit("] "), F.col("text"))
+    held = segments.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("start_s", "ord", line.alias("line")))).alias("l"))
+    return held.select(KEY, F.array_join(F.col("l.line"), "\n").alias("transcript"))
+
+
+def merged_frames(sampled: DataFrame, pinned: DataFrame) -> DataFrame:
+    """(recording_id, idx, t, pinned) of (recording_id, t) frames in one numbered list, sampled ones first at equal times."""
+    both = sampled.select(KEY, "t", F.lit(0).alias("pinned")).union(pinned.select(KEY, "t", F.lit(1)))
+    order = Window.partitionBy(KEY).orderBy("t", "pinned")
+    return both.select(KEY, (F.row_number().over(order) - 1).alias("idx"), "t", "pinned")
+
+
 def last_kept(frames: DataFrame, threshold: float = 2.0) -> DataFrame:
     """(recording_id, idx, ts) of frames that differ from the last kept one by more than the threshold."""
     item = "struct<ts:double,idx:bigint,thumb:array<double>>"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +26,14 @@ def passes(hits: Column, words: Column) -> Column:
     return (hits >= HITS) & (hits / words >= FRACTION)
 
 
-def spoken_hits(items: DataFrame, segments: DataFrame, window: float = WINDOW_S) -> DataFrame:
+def spoken_hits(items: DataFrame, segments: DataFrame, window: float = WINDOW_S, words: Callable[[str], Column] = content_words) -> DataFrame:
     """(recording_id, item_id, words, hits): how many of an item's words segments within the window say.
 
     items: recording_id, item_id, at_s, words (an array). Matching is by (recording, bucket, word), so only words that
     both sides hold are compared, and no item's neighbourhood is gathered as a whole.
     """
     wanted = items.select(KEY, "item_id", "at_s", F.explode("words").alias("word"))
-    said = segments.select(KEY, "start_s", "end_s", F.explode(content_words("text")).alias("word"))
+    said = segments.select(KEY, "start_s", "end_s", F.explode(words("text")).alias("word"))
     keyed = F.concat_ws("\0", KEY, "word")
     # The band join's key is (recording, bucket); here the recording's place is taken by (recording, word).
     left = wanted.select(keyed.alias(KEY), "item_id", F.col("at_s"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import evidence, intervals, runs
+from tidemark.plans import evidence, grading, intervals, runs, scans
 from tidemark.plans.runs import rendering_health
 
-MODULES = [runs, intervals, evidence]
+MODULES = [runs, intervals, evidence, grading, scans]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

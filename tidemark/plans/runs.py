@@ -118,8 +118,7 @@ SELECT recording_id, idx, round(list_sum(list_transform(thumb, lambda x: x::DOUB
   list_sum(list_transform(thumb, lambda x: x::DOUBLE * x)) / len(thumb) - pow(list_sum(list_transform(thumb, lambda x: x::DOUBLE)) / len(thumb), 2) <= 0.1240 * 0.1240 AS blank FROM frame_emb""", "frame_emb"))
 def blank_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames whose samples hardly vary."""
-    total = lambda f: F.aggregate("thumb", F.lit(0.0), lambda a, x: a + f(x.cast("double"))) / F.size("thumb")
-    variance = total(lambda x: x * x) - F.pow(total(lambda x: x), F.lit(2.0))
+    variance = sequence.variance("thumb")
     return views.frame_emb(spark, sf_dir).select("recording_id", "idx", r6(variance).alias("variance"), (variance <= 0.1240 * 0.1240).alias("blank"))
 
 
