@@ -5,8 +5,9 @@ best score first and leftmost among equals; stale pairs are passed over. What no
 
 Vocabularies whose pieces hold the space mark only at their start (or are runs of it) never merge across the boundary
 between a character and a following mark, so a text is the sequence of its marked words and each distinct word is merged
-once per process (a bounded table). Other vocabularies are merged as whole texts. Every newly merged word, and whole texts
-at the end of each batch, are checked against the sentencepiece library in one batch call; a difference raises.
+once per process (a bounded table). Other vocabularies are merged as whole texts. Decoding lays out the bytes of every id
+of every text from a table of pieces. Every newly merged word, and whole texts of each slice drawn by their hashes, are
+checked against the sentencepiece library in one batch call; a difference raises.
 
 Cases: null text is empty (begin and end ids only); texts of any length; a text's own space marks (U+2581) are treated
 as the library does; lone surrogates can't occur in Spark strings.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from tidemark.llm.word_table import WordTable, per_text
 
 MARK = "▁"
 CACHE_WORDS = 1 << 20
-#: Whole texts per batch that are compared with the library besides every new word.
+#: Whole texts per slice, long or short, that are compared with the library besides every new word.
 CHECKED_TEXTS = 4
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -57,6 +59,10 @@ class MergeCodec:
                 raise ValueError("user-defined or unused pieces are not supported")
         self.by_word = all(MARK not in p.lstrip(MARK) for p in self.score)
         self.byte_of = {k: b for b, k in enumerate(self.bytes_at)}
+        surface = [bytes([self.byte_of[k]]) if k in self.byte_of else self.text_of.get(k, " \u2047 " if k == self.unknown else "").encode() for k in range(len(spec.pieces))]
+        self.surface = np.frombuffer(b"".join(surface), dtype=np.uint8)
+        self.surface_size = np.asarray([len(x) for x in surface], dtype=np.int64)
+        self.surface_at = np.cumsum(self.surface_size) - self.surface_size
         self.table = WordTable(CACHE_WORDS)
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -104,8 +110,8 @@ class MergeCodec:
                 raise ValueError(f"the library encodes {text!r} in another way")
         return np.concatenate(found), np.asarray([len(f) for f in found])
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """For each text its ids (with begin and end, little-endian unsigned 32-bit) and its decoded text.
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids, with begin and end, little-endian unsigned 32-bit.
 
         A word is a run of spaces with what follows up to the next space; every text begins with the dummy prefix.
         """
@@ -121,12 +127,23 @@ class MergeCodec:
         ids, counts = self.table.encode(raw, begin, end, self.learn)
         own = iter(np.split(ids, per_text(counts, np.searchsorted(stops, begin, side="right"), len(stops))[:-1]) if len(stops) else [])
         head, tail = np.uint32(self.begin).tobytes(), np.uint32(self.end).tobytes()
-        out, decoded = [], []
+        out = []
         for text, p in zip(texts, plain, strict=True):
             found = next(own) if p else self._ids(MARK + text.replace(" ", MARK)) if text else np.zeros(0, "<u4")
             out.append(head + found.tobytes() + tail)
-            decoded.append(text.replace(MARK, " "))
-        return out, decoded
+        return out
+
+    def decode_all(self, encoded: list[bytes]) -> list[bytes]:
+        """The UTF-8 bytes of what each sequence of ids (as encode returns them) decodes to.
+
+        Texts are valid UTF-8, so runs of byte pieces are whole characters and bytes can be laid out as they are.
+        """
+        ids = np.frombuffer(b"".join(encoded), dtype="<u4").astype(np.int64)
+        size = self.surface_size[ids]
+        place = np.arange(int(size.sum())) + np.repeat(self.surface_at[ids] - (np.cumsum(size) - size), size)
+        flat = self.surface[place].tobytes()
+        stops = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])])].tolist()
+        return [flat[a + (flat[a : a + 1] == b" " and a < b) : b] for a, b in zip(stops, stops[1:], strict=False)]
 
     def decode(self, ids: list[int], prefixed: bool = False) -> str:
         """Text of ids: pieces joined, runs of byte pieces as UTF-8, control ids left out, the dummy prefix dropped.
@@ -152,11 +169,11 @@ class MergeCodec:
         text = "".join(out)
         return text[1:] if text.startswith(" ") and not prefixed else text
 
-    def check(self, texts: list[str], ids: list[bytes], decoded: list[str]) -> None:
+    def check(self, texts: list[str], ids: list[bytes], decoded: list[bytes]) -> None:
         """Raise unless the library encodes and decodes the texts alike."""
         theirs = self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
         for text, own, other, back in zip(texts, ids, theirs, decoded, strict=True):
-            if own != np.asarray(other, dtype="<u4").tobytes() or self.library.decode(other) != back:
+            if own != np.asarray(other, dtype="<u4").tobytes() or self.library.decode(other).encode() != back:
                 raise ValueError(f"the library encodes or decodes {text[:60]!r} in another way")
 
 
@@ -183,13 +200,14 @@ def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
         own = codec(model_file)
         for batch in batches:
             for start, texts in text_slices(batch):
-                ids, decoded = own.encode(texts)
-                short = sorted(range(len(texts)), key=lambda k: len(texts[k]))[: CHECKED_TEXTS]
-                odd = [k for k, (t, d) in enumerate(zip(texts, decoded, strict=True)) if t != d]
-                chosen = sorted({*short, *odd})
+                ids = own.encode(texts)
+                decoded = own.decode_all(ids)
+                drawn = sorted(range(len(texts)), key=lambda k: zlib.crc32(ids[k]))[:CHECKED_TEXTS]
+                odd = [k for k, (t, d) in enumerate(zip(texts, decoded, strict=True)) if t.encode("utf-8", "replace") != d]
+                chosen = sorted({*drawn, *odd})
                 own.check([texts[k] for k in chosen], [ids[k] for k in chosen], [decoded[k] for k in chosen])
                 digest = lambda b: hashlib.sha256(b).hexdigest()
-                yield record_batch(_SCHEMA, {"doc_id": batch.column(0).slice(start, len(texts)), "n_tokens": [len(b) // 4 for b in ids], "ids_sha256": [digest(b) for b in ids], "decoded_sha256": [digest(d.encode("utf-8", "replace")) for d in decoded]})
+                yield record_batch(_SCHEMA, {"doc_id": batch.column(0).slice(start, len(texts)), "n_tokens": [len(b) // 4 for b in ids], "ids_sha256": [digest(b) for b in ids], "decoded_sha256": [digest(d) for d in decoded]})
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long"), clean_text("text").alias("text")).mapInArrow(run, schema)
