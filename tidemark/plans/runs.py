@@ -41,7 +41,7 @@ h AS (SELECT m.recording_id, segments, distinct_ AS "distinct", words, run, near
 @query(with_views(_HEALTH + """SELECT recording_id, segments, "distinct", words, run, near, gaps, span, longest, round(top_share, 6) AS top_share, round(coverage, 6) AS coverage, round(per_minute, 6) AS per_minute FROM h""", "seg_line"))
 def rendering_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve measures of each recording."""
-    h = rules.health(views.seg_line(spark, sf_dir))
+    h = rules.health(views.seg_line(spark, sf_dir)).drop("missing_s")
     return h.select(*[c for c in h.columns if c not in ("top_share", "coverage", "per_minute")], r6("top_share"), r6("coverage"), r6("per_minute"))
 
 
