@@ -313,3 +313,50 @@ def test_undated_defects(spark):
     defects = spark.createDataFrame([("a", None)], "key string, as_of date")
     ledger = spark.createDataFrame([("a", "2024-01-01 x")], "key string, reason string")
     assert rules.excused(defects, ledger).first().exempt and not rules.excused(defects, ledger, undated=False).first().exempt
+
+
+def test_binding_control_loses_every_touch(spark):
+    body = "- `[00:04]` `SPOKEN` and `ON-SCREEN` `[01:04]`\n- `[00:09]` `SPOKEN`"
+    assert [tuple(r) for r in filing.binding_control(lines(spark, body)).collect()] == [("r", 2, 0)]
+
+
+def test_differences_stamps_and_densities(spark):
+    diff = spark.range(1).select(filing.unified_diff(F.lit("a\nb\n"), F.lit("a\nc\n")).alias("d"), filing.unified_diff(F.lit("a"), F.lit("a")).alias("e")).first()
+    assert "-b\n+c\n" in diff.d and diff.e == ""
+    digest = "0" * 64
+    stamps = spark.createDataFrame([("a", None, digest), ("b", "v1 " + digest, digest), ("c", "v0 " + digest, digest), ("d", "v1 " + "1" * 64, digest), ("e", "x", digest)], "note string, graded string, digest string")
+    assert {r.note: r.code for r in filing.grade_defects(stamps, "v1").collect()} == {"a": "E-GRADE-MISSING", "c": "E-GRADE-BUILD", "d": "E-GRADE-BODY", "e": "E-GRADE-FORM"}
+    numbers = spark.createDataFrame([("a", 10.0, 2.0, 5.0), ("b", 11.0, 2.0, 5.0), ("c", None, None, None), ("d", 10.0, 2.0, 7.0)], "note string, words double, minutes double, wpm double")
+    measured = spark.createDataFrame([(n, 10, 2.0) for n in "abcd"], "note string, words long, minutes double")
+    assert {r.note: r.code for r in filing.declared_density(numbers, measured).collect()} == {"b": "E-DENSITY-WORDS", "c": "E-DENSITY-MISSING", "d": "E-DENSITY-RATE"}
+
+
+def test_package_citations(spark):
+    cites = spark.createDataFrame([("n", 0, "p@1.0:m.py"), ("n", 1, "p@2.0:m.py"), ("n", 2, "q@1:x"), ("n", 3, "p@1.0:no.py"), ("n", 4, "docs/a.md")], "note string, k long, path string")
+    packages = spark.createDataFrame([("p", "1.0", "p/m.py"), ("p", "1.0", "p/z.py")], "name string, version string, path string")
+    assert {r.k: (r.file, r.code) for r in filing.package_targets(cites, packages).collect()} == {0: ("p/m.py", None), 1: (None, "E-CITE-VERSION"), 2: (None, "E-CITE-NOPKG"), 3: (None, "E-CITE-NOFILE")}
+
+
+def test_reviews_and_briefs(spark):
+    known = spark.createDataFrame([("n", "s", ["facts"])], "note string, sha256 string, lanes array<string>")
+    reviews = spark.createDataFrame([("f1", "n", "facts", "s", "SHIP"), ("f2", "n", "Facts", "t", "OK"), ("f3", "m", "facts", "s", "BLOCK")], "file string, note string, lane string, note_sha256 string, verdict string")
+    found = {(r.file, r.code) for r in filing.review_refusals(reviews, known, spark.createDataFrame([("f1",)], "file string")).collect()}
+    assert found == {("f1", "E-REVIEW-EXISTS"), ("f2", "E-REVIEW-LANE"), ("f2", "E-REVIEW-STALE"), ("f2", "E-REVIEW-VERDICT"), ("f3", "E-REVIEW-NOTE")}
+    asked = spark.createDataFrame([("n", "facts", "x"), ("n", "style", "x"), ("m", "facts", "x")], "note string, lane string, text string")
+    assert {(r.note, r.lane): r.code for r in filing.brief_refusals(asked, known).collect()} == {("n", "style"): "E-BRIEF-LANE", ("m", "facts"): "E-BRIEF-NOTE"}
+    frames = planning.batches(spark.createDataFrame([("r", k, f"f{k:02d}") for k in range(25)], "recording_id string, idx int, path string"))
+    written = filing.briefs(spark.createDataFrame([("n", "r", "facts")], "note string, recording_id string, lane string"), frames).orderBy("batch").collect()
+    assert [len(r.frames) for r in written] == [20, 5] and written[1].header == "# Review of n: facts, batch 2 of frames"
+    paths = spark.range(1).select(*(c.alias(f"c{k}") for k, c in enumerate(filing.review_paths(F.lit("notes/a--b.md"), F.lit("facts"))))).first()
+    assert tuple(paths) == ("notes/reviews/a--b--facts.md", "notes/reviews/a--b--facts.brief", "notes/a--b.cites.tsv")
+
+
+def test_unclaimed_and_refused(spark):
+    manifests = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "z")], "recording_id string, path string")
+    held = spark.createDataFrame([("n", "b")], "note string, recording_id string")
+    assert {(r.recording_id, r.code) for r in filing.unclaimed_manifests(manifests, held).collect()} == {("a", "E-MANIFEST-UNCLAIMED"), ("b", "E-MANIFEST-TWICE")}
+    plan = spark.createDataFrame([("a", 0, "failed"), ("b", 0, None), ("b", 1, "failed"), ("c", 0, None), ("d", 0, None)], "recording_id string, chunk int, failed string")
+    lost = spark.createDataFrame([("b", 1.0)], "recording_id string, from_s double")
+    segments = spark.createDataFrame([("b",), ("d",)], "recording_id string")
+    assert {r.recording_id: r.reason for r in filing.decode_refusals(lost, plan, segments).collect()} == {"a": "all-failed", "b": "lost-spans", "c": "empty"}
+    assert {r.recording_id for r in filing.decode_refusals(lost, plan, segments, allow_lost=True).collect()} == {"a", "c"}

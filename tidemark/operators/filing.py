@@ -5,10 +5,13 @@ Notes are (note, frontmatter, body) rows, or their lines; files are listings (pa
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import clock
 from tidemark.functions import text as tx
@@ -380,3 +383,129 @@ def run_gates(gates: dict[str, Callable[[], DataFrame]]) -> list[dict]:
         except Exception as e:  # a gate that can't run is a result of its own and must not hide the others
             rows.append({"gate": name, "status": 2, "defects": 0, "error": str(e).splitlines()[0][:200]})
     return [*rows, {"gate": "all", "status": max((r["status"] for r in rows), default=2), "defects": sum(r["defects"] for r in rows), "error": None}]
+
+
+@F.pandas_udf(T.StringType())
+def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
+    """The unified difference of two texts, empty where they are equal."""
+    lines = lambda t: (t or "").splitlines(keepends=True)
+    return pd.Series(["".join(difflib.unified_diff(lines(a), lines(b), "before", "after")) for a, b in zip(old, new, strict=True)])
+
+
+def binding_control(lines: DataFrame) -> DataFrame:
+    """(recording_id, bound, still_bound): anchors that touch decides, before and after prose is put around every class mark.
+
+    A rule that binds by touch loses all of them; still_bound above 0 means that it binds by something else.
+    """
+    spread = lines.withColumn("text", F.regexp_replace("text", f"({notes.CLASS_MARK})", "said $1 said"))
+
+    def by_touch(df: DataFrame, name: str) -> DataFrame:
+        lined = notes.blocks(df)
+        several = notes.items(lined).where(F.size(F.array_distinct(F.regexp_extract_all("raw", F.lit(notes.CLASS_MARK), F.lit(0)))) > 1).select("recording_id", "block")
+        found = notes.anchors(lined).join(several, ["recording_id", "block"], "left_semi")
+        return found.groupBy("recording_id").agg(F.count_if(F.col("class").isin(notes.CLASSES)).alias(name))
+
+    return by_touch(lines, "bound").join(by_touch(spread, "still_bound"), "recording_id")
+
+
+def grade_defects(stamps: DataFrame, build: str) -> DataFrame:
+    """(note, code) of (note, graded, digest): the stamp "build digest" of the last clean grading against what is now."""
+    was_build, was_digest = F.substring_index("graded", " ", 1), F.element_at(F.split("graded", " "), -1)
+    code = F.when(F.col("graded").isNull(), "E-GRADE-MISSING").when(~F.col("graded").rlike(r"^\S+ [0-9a-f]{64}$"), "E-GRADE-FORM").when(was_digest != F.col("digest"), "E-GRADE-BODY").when(was_build != F.lit(build), "E-GRADE-BUILD")
+    return stamps.select("note", code.alias("code")).where("code is not null")
+
+
+def band_defects(densities: DataFrame, low: float, high: float) -> DataFrame:
+    """(recording_id, wpm) of notes whose words a minute lie outside a declared band."""
+    return densities.where((F.col("wpm") < low) | (F.col("wpm") > high)).select("recording_id", "wpm")
+
+
+def declared_density(numbers: DataFrame, measured: DataFrame) -> DataFrame:
+    """(note, code): declared_numbers() that aren't those of (note, words, minutes)."""
+    rows = numbers.withColumnsRenamed({"words": "said_words", "minutes": "said_minutes"}).join(measured, "note")
+    code = F.when(F.col("said_words").isNull(), "E-DENSITY-MISSING").when(F.col("said_words") != F.col("words"), "E-DENSITY-WORDS").when(F.abs(F.col("wpm") - F.col("words") / F.col("minutes")) > 0.5, "E-DENSITY-RATE")
+    return rows.select("note", code.alias("code")).where("code is not null")
+
+
+def package_targets(cites: DataFrame, packages: DataFrame) -> DataFrame:
+    """(note, k, file, code) of citations whose path is name@version:path, against what is installed (name, version, path).
+
+    Another version than the cited one is refused, even if it holds the same file.
+    """
+    spec = r"^([A-Za-z0-9._-]+)@([A-Za-z0-9._+!-]+):(\S+)$"
+    part = lambda k: F.regexp_extract("path", spec, k)
+    asked = cites.where(F.col("path").rlike(spec)).select("note", "k", part(1).alias("name"), part(2).alias("want"), part(3).alias("rel"))
+    versions = packages.select("name", "version").distinct()
+    held = packages.select("name", F.col("version").alias("want"), F.col("path").alias("file"))
+    met = asked.join(held, ["name", "want"]).where((F.col("file") == F.col("rel")) | F.col("file").endswith(F.concat(F.lit("/"), F.col("rel")))).groupBy("note", "k").agg(F.min("file").alias("file"))
+    rows = asked.join(versions, "name", "left").join(met, ["note", "k"], "left")
+    code = F.when(F.col("version").isNull(), "E-CITE-NOPKG").when(F.col("version") != F.col("want"), "E-CITE-VERSION").when(F.col("file").isNull(), "E-CITE-NOFILE")
+    return rows.select("note", "k", "file", code.alias("code"))
+
+
+def review_refusals(reviews: DataFrame, known: DataFrame, held: DataFrame) -> DataFrame:
+    """(file, code): why a review (file, note, lane, note_sha256, verdict) can't be filed.
+
+    known: note, sha256, lanes (declared); held: file of reviews that are there.
+    """
+    rows = reviews.join(known, "note", "left").join(held.select("file", F.lit(True).alias("there")).distinct(), "file", "left")
+    codes = F.array(
+        F.when(F.col("sha256").isNull(), "E-REVIEW-NOTE"), F.when(~F.col("lane").rlike(LANE), "E-REVIEW-LANE"),
+        F.when(F.col("sha256").isNotNull() & (F.col("sha256") != F.col("note_sha256")), "E-REVIEW-STALE"), F.when(~F.col("verdict").isin(VERDICTS), "E-REVIEW-VERDICT"), F.when(F.col("there"), "E-REVIEW-EXISTS"),
+    )
+    return rows.select("file", F.explode(F.array_compact(codes)).alias("code"))
+
+
+def brief_refusals(briefs: DataFrame, known: DataFrame) -> DataFrame:
+    """(note, lane, code): why a brief (note, lane, text) can't be filed; known: note, lanes."""
+    rows = briefs.join(known.select("note", "lanes"), "note", "left")
+    code = F.when(F.col("lanes").isNull(), "E-BRIEF-NOTE").when(~F.array_contains("lanes", F.col("lane")), "E-BRIEF-LANE").when(F.trim("text") == "", "E-BRIEF-EMPTY")
+    return rows.select("note", "lane", code.alias("code")).where("code is not null")
+
+
+def briefs(declared: DataFrame, batched: DataFrame) -> DataFrame:
+    """(note, lane, batch, header, frames): what each lane is asked to review, one row for each batch of frames.
+
+    declared: note, recording_id, lane; batched: recording_id, batch, path (as planning.batches gives them, with a path).
+    """
+    listed = batched.groupBy("recording_id", "batch").agg(F.sort_array(F.collect_list("path")).alias("frames"))
+    header = F.format_string("# Review of %s: %s, batch %d of frames", "note", "lane", F.col("batch") + 1)
+    return declared.join(listed, "recording_id").select("note", "lane", "batch", header.alias("header"), "frames")
+
+
+def review_paths(note: Column, lane: Column) -> tuple[Column, Column, Column]:
+    """(report, brief, sidecar): where the papers of a note's lane are, from the note's path."""
+    folder, name = F.regexp_extract(note, r"^(.*/)", 1), F.regexp_replace(F.element_at(F.split(note, "/"), -1), r"\.md$", "")
+    base = F.concat(folder, F.lit("reviews/"), name, F.lit("--"), lane)
+    return F.concat(base, F.lit(".md")), F.concat(base, F.lit(".brief")), F.concat(folder, name, F.lit(".cites.tsv"))
+
+
+def in_review_folder(path: Column) -> Column:
+    return F.array_contains(F.split(path, "/"), "reviews")
+
+
+def note_frame(title: Column, recording_id: Column, date: Column, lanes_: Column) -> Column:
+    """The header of a new note."""
+    return F.concat(F.lit("---\ntitle: "), tx.one_line(title), F.lit("\nvideo_id: "), recording_id, F.lit("\ndate: "), date, F.lit("\nstatus: capture\nreviews: ["), F.array_join(lanes_, ", "), F.lit("]\n---\n"))
+
+
+def orphan_sidecars(sidecars: DataFrame, notes_: DataFrame) -> DataFrame:
+    """Sidecars (note, path) of notes that are no more."""
+    return sidecars.join(notes_.select("note").distinct(), "note", "left_anti")
+
+
+def unclaimed_manifests(manifests: DataFrame, notes_: DataFrame) -> DataFrame:
+    """(recording_id, code): manifests (recording_id, path) that no note claims, and those that a recording has twice."""
+    counted = manifests.groupBy("recording_id").agg(F.count("*").alias("n"))
+    alone = counted.join(notes_.select("recording_id").distinct(), "recording_id", "left_anti").select("recording_id", F.lit("E-MANIFEST-UNCLAIMED").alias("code"))
+    return alone.unionByName(counted.where("n > 1").select("recording_id", F.lit("E-MANIFEST-TWICE").alias("code")))
+
+
+def decode_refusals(lost: DataFrame, plan: DataFrame, segments: DataFrame, allow_lost: bool = False) -> DataFrame:
+    """(recording_id, reason) of recordings whose rendering is refused: every chunk failed, some span is lost, or nothing was said."""
+    chunks = plan.groupBy("recording_id").agg(F.count("*").alias("chunks"), F.count("failed").alias("failures"))
+    gone = lost.groupBy("recording_id").agg(F.count("*").alias("lost"))
+    said = segments.groupBy("recording_id").agg(F.count("*").alias("segments"))
+    rows = chunks.join(gone, "recording_id", "left").join(said, "recording_id", "left").na.fill(0)
+    reason = F.when(F.col("failures") == F.col("chunks"), "all-failed").when(F.col("segments") == 0, "empty").when((F.col("lost") > 0) & F.lit(not allow_lost), "lost-spans")
+    return rows.select("recording_id", reason.alias("reason")).where("reason is not null")
