@@ -6,7 +6,8 @@ with numpy. phash() shrinks the samples to a square by area means, takes the two
 compares its lowest frequencies with their median.
 
 Cases: an empty payload is not an image (op callers pad first); damaged files raise ValueError; every text gives one row;
-null text counts as empty; equal texts give equal values.
+null text counts as empty; equal texts give equal values; a null doc_id stays null; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import clean_text, record_batch
+from tidemark.llm.common import checkpointed, clean_text, record_batch, text_slices
 
 WIDTH = 64
 SIDE, LOW = 32, 8
@@ -176,32 +177,41 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\0" * (-len(raw) % WIDTH if raw else WIDTH)
 
 
-_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary"
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("media", pa.binary())])
+_STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+_FEATURES = pa.schema([*_STORED, ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
-def media_row(text: str | None, keep: bool) -> tuple:
-    n, payload = padded(text)
-    stored = encode(np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH))
-    samples = decode(stored)
-    back = samples.tobytes()
-    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), phash(samples), stored if keep else None
+def stored(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media) of every row of (doc_id, text): the padded bytes of the text as a PNG of WIDTH samples a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in text_slices(batch):
+                payloads = [padded(t) for t in texts]
+                files = [encode(np.frombuffer(p, dtype=np.uint8).reshape(-1, WIDTH)) for _, p in payloads]
+                yield record_batch(_STORED, {"doc_id": batch.column(0).slice(start, len(texts)), "n_bytes": [n for n, _ in payloads], "media": files})
+
+    return docs.select(F.col("doc_id").cast("long"), clean_text("text").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
-    """Store each text of (doc_id, text) as a PNG, read it back, and describe what was read."""
+def described(media: DataFrame) -> DataFrame:
+    """Rows of stored() with what reading their files back gives: payload size and digests, the file's own, and its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, held, size = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(doc_id)
-                held.append(media_row(text.as_py(), keep_media))
-                size += held[-1][4] if keep_media else 1
-                if size > 8 << 20:
-                    yield record_batch(_SCHEMA, dict(zip(_SCHEMA.names, [ids, *map(list, zip(*held, strict=True))], strict=True)))
-                    ids, held, size = [], [], 0
-            if ids:
-                yield record_batch(_SCHEMA, dict(zip(_SCHEMA.names, [ids, *map(list, zip(*held, strict=True))], strict=True)))
-
-    return docs.select(F.col("doc_id").cast("long"), clean_text("text").alias("text")).mapInArrow(run, _FEATURES)
+            for start, files in text_slices(batch, "media"):
+                samples = [decode(f) for f in files]
+                back = [s.tobytes() for s in samples]
+                digest = lambda parts: [hashlib.sha256(x).hexdigest() for x in parts]
+                own = batch.slice(start, len(files))
+                found = {"payload_bytes": [len(b) for b in back], "payload_sha256": digest(back), "tail_crc32": [zlib.crc32(b[-WIDTH:]) for b in back]}
+                found |= {"media_bytes": [len(f) for f in files], "media_sha256": digest(files), "feature": [phash(s) for s in samples]}
+                yield record_batch(_FEATURES, {name: own.column(name) for name in _STORED.names} | found)
+
+    schema = "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return media.mapInArrow(run, schema)
+
+
+def media_columns(docs: DataFrame) -> DataFrame:
+    """Write each text of (doc_id, text) as a PNG to a binary column of a stored table, read that back, and describe it."""
+    return described(checkpointed(stored(docs)))
