@@ -17,21 +17,33 @@ def activity(segments: DataFrame, window: str = "10 minutes", slide: str = "5 mi
     return grouped.agg(F.count("*").alias("segments"), F.sum(words).alias("words"))
 
 
-def spaced(times: DataFrame, min_gap: float = 20.0) -> DataFrame:
+def spaced(times: DataFrame, min_gap: float = 20.0, late: str = "1 hour", forget: int = 86_400_000) -> DataFrame:
     """(recording_id, at_s) of a stream's moments at least min_gap after the last one let through.
 
-    The state of a recording is one number. Moments that arrive behind it are passed over.
+    The state of a recording is one number. With a timestamp column ts it is forgotten that many milliseconds after the
+    recording's latest moment, by a watermark that waits so long for late ones; without, it stays. Moments of one micro-batch
+    are taken in order; one that arrives later than a moment before which it lies is passed over, as what was let through
+    can't be taken back.
     """
+    timed = "ts" in times.columns
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches))
         picked = []
-        for at in sorted(at for batch in batches for at in batch["at_s"].dropna()):
+        for at in sorted(rows["at_s"].dropna()):
             if last is None or at - last >= min_gap:
                 last = at
                 picked.append(at)
         if last is not None:
             state.update((last,))
+            if timed:
+                state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + forget)
         yield pd.DataFrame({"recording_id": [key[0]] * len(picked), "at_s": picked})
 
-    return times.groupBy("recording_id").applyInPandasWithState(step, "recording_id long, at_s double", "last double", "append", GroupStateTimeout.NoTimeout)
+    grouped = (times.withWatermark("ts", late) if timed else times).groupBy("recording_id")
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return grouped.applyInPandasWithState(step, "recording_id long, at_s double", "last double", "append", timeout)
