@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from tidemark.functions import text as tx
 
 KEY = "recording_id"
 SEGMENT_CAP = 120.0
+#: Columns that rows of a fold are in order of.
+ORDERING = ["cue_no", "start_s", "ts", "at_s", "ord", "idx"]
 
 
 def in_order(*keys: str) -> Window:
@@ -71,13 +77,19 @@ def gaps(segments: DataFrame, limit: float = 20.0, cap: float = SEGMENT_CAP) ->
     return segments.withColumn("gap_start", reach).where(F.col("start_s") - F.col("gap_start") > limit).select(KEY, "gap_start", F.col("start_s").alias("gap_end"))
 
 
-def fold(rows: DataFrame, keys: list[str], fields: list[str], zero: Column, step, finish=None) -> DataFrame:
-    """Fold each key's rows, in the order of fields, through step(state, row); (keys, folded).
+def folded(rows: DataFrame, columns: list[str], schema: str, one: Callable[[Iterable[tuple]], Iterator[tuple]]) -> DataFrame:
+    """(recording_id, ...) of what one() yields for each recording's rows (columns, which also order them).
 
-    For scans whose state depends on what was kept, which windows can't express. A key's rows are one array.
+    For scans whose state depends on what was kept, which windows can't express: one pass over a recording's sorted rows, in
+    a pandas group.
     """
-    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
-    return held.select(*keys, F.aggregate("rows", zero, step, *([finish] if finish else [])).alias("folded"))
+    names = [KEY, *(field.split()[0] for field in schema.split(","))]
+
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        ordered = df.sort_values([c for c in columns if c in ORDERING]) if len(df) > 1 else df
+        return pd.DataFrame([(key[0], *r) for r in one(ordered[columns].itertuples(index=False, name=None))], columns=names)
+
+    return rows.select(KEY, *columns).groupBy(KEY).applyInPandas(run, f"{KEY} {rows.schema[KEY].dataType.simpleString()}, {schema}")
 
 
 def mean_difference(a: Column, b: Column) -> Column:
@@ -115,30 +127,29 @@ def merged_frames(sampled: DataFrame, pinned: DataFrame) -> DataFrame:
 
 def last_kept(frames: DataFrame, threshold: float = 2.0) -> DataFrame:
     """(recording_id, idx, ts) of frames that differ from the last kept one by more than the threshold."""
-    item = "struct<ts:double,idx:bigint,thumb:array<double>>"
-    zero = F.struct(F.array().cast(f"array<{item}>").alias("kept"), F.array().cast("array<double>").alias("last"))
 
-    def step(state: Column, row: Column) -> Column:
-        thumb = row["thumb"].cast("array<double>")
-        stays = (F.size(state["kept"]) == 0) | (mean_difference(state["last"], thumb) > threshold)
-        kept = F.struct(row["ts"].cast("double").alias("ts"), row["idx"].cast("bigint").alias("idx"), thumb.alias("thumb"))
-        grown = F.struct(F.concat(state["kept"], F.array(kept)).alias("kept"), thumb.alias("last"))
-        return F.when(stays, grown).otherwise(state)
+    def one(rows: Iterable[tuple]) -> Iterator[tuple]:
+        last = None
+        for ts, idx, thumb in rows:
+            thumb = np.asarray(thumb, dtype=np.float64)
+            if last is None or len(last) != len(thumb) or not len(thumb) or np.abs(last - thumb).mean() > threshold:
+                last = thumb
+                yield idx, float(ts)
 
-    folded = fold(frames, [KEY], ["ts", "idx", "thumb"], zero, step, lambda s: F.transform(s["kept"], lambda k: F.struct(k["idx"].alias("idx"), k["ts"].alias("ts"))))
-    return folded.select(KEY, F.explode("folded").alias("k")).select(KEY, "k.idx", "k.ts")
+    return folded(frames, ["ts", "idx", "thumb"], "idx long, ts double", one)
 
 
 def spaced_picks(times: DataFrame, min_gap: float = 20.0, limit: int = 12) -> DataFrame:
     """(recording_id, pick_no, at_s): seconds at least min_gap after the last one picked, at most limit of them."""
-    zero = F.array().cast("array<double>")
 
-    def step(state: Column, row: Column) -> Column:
-        far = (F.size(state) == 0) | (row["at_s"] - F.element_at(state, -1) >= min_gap)
-        return F.when(far & (F.size(state) < limit), F.concat(state, F.array(row["at_s"]))).otherwise(state)
+    def one(rows: Iterable[tuple]) -> Iterator[tuple]:
+        last, picks = None, 0
+        for (at,) in rows:
+            if picks < limit and (last is None or at - last >= min_gap):
+                yield picks, at
+                last, picks = at, picks + 1
 
-    picked = fold(times.where(F.col("at_s").isNotNull()), [KEY], ["at_s"], zero, step)
-    return picked.select(KEY, F.posexplode("folded").alias("pick_no", "at_s"))
+    return folded(times.where(F.col("at_s").isNotNull()), ["at_s"], "pick_no int, at_s double", one)
 
 
 def collapse_equal(segments: DataFrame) -> DataFrame:
@@ -149,19 +160,21 @@ def collapse_equal(segments: DataFrame) -> DataFrame:
 
 def collapse_growing(segments: DataFrame) -> DataFrame:
     """Neighbours of equal text, or whose text begins with the (grown) one before, as one segment."""
-    item = "struct<start_s:double,end_s:double,text:string>"
-    zero = F.array().cast(f"array<{item}>")
 
-    def step(state: Column, row: Column) -> Column:
-        last = F.element_at(state, -1)
-        own = F.struct(row["start_s"].cast("double").alias("start_s"), row["end_s"].cast("double").alias("end_s"), row["text"].alias("text"))
-        head = F.slice(state, 1, F.size(state) - 1)
-        merged = F.struct(last["start_s"].alias("start_s"), own["end_s"].alias("end_s"), own["text"].alias("text"))
-        same = (own["text"] == last["text"]) | own["text"].startswith(F.concat(last["text"], F.lit(" ")))
-        return F.when(F.size(state) == 0, F.array(own)).when(same, F.concat(head, F.array(merged))).otherwise(F.concat(state, F.array(own)))
+    def one(rows: Iterable[tuple]) -> Iterator[tuple]:
+        held, number = None, 0
+        for start, _, end, text in rows:
+            if held is not None and (text == held[2] or text.startswith(held[2] + " ")):
+                held = (held[0], end, text)
+                continue
+            if held is not None:
+                yield number, *held
+                number += 1
+            held = (start, end, text)
+        if held is not None:
+            yield number, *held
 
-    folded = fold(segments, [KEY], ["start_s", "ord", "end_s", "text"], zero, step)
-    return folded.select(KEY, F.posexplode("folded").alias("ord", "s")).select(KEY, "ord", "s.*")
+    return folded(segments, ["start_s", "ord", "end_s", "text"], "ord int, start_s double, end_s double, text string", one)
 
 
 def strip_rollover(cues: DataFrame) -> DataFrame:
@@ -169,24 +182,24 @@ def strip_rollover(cues: DataFrame) -> DataFrame:
 
     A wholly repeated cue only extends the end of the one before. cues: recording_id, cue_no, start_s, end_s, lines.
     """
-    item = "struct<cue_no:bigint,start_s:double,end_s:double,lines:array<string>>"
-    zero = F.struct(F.array().cast("array<string>").alias("prev"), F.array().cast(f"array<{item}>").alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        lines = row["lines"]
-        sizes = F.sequence(F.lit(0), F.least(F.size(state["prev"]), F.size(lines)))
-        cut = F.array_max(F.filter(sizes, lambda k: (k == 0) | (F.slice(state["prev"], F.size(state["prev"]) - k + 1, k) == F.slice(lines, 1, k))))
-        rest = F.slice(lines, cut + 1, 1_000_000)
-        own = F.struct(row["cue_no"].cast("bigint").alias("cue_no"), row["start_s"].cast("double").alias("start_s"), row["end_s"].cast("double").alias("end_s"), rest.alias("lines"))
-        last = F.element_at(state["out"], -1)
-        longer = F.struct(last["cue_no"].alias("cue_no"), last["start_s"].alias("start_s"), F.greatest(last["end_s"], own["end_s"]).alias("end_s"), last["lines"].alias("lines"))
-        head = F.slice(state["out"], 1, F.size(state["out"]) - 1)
-        grown = F.struct(rest.alias("prev"), F.concat(state["out"], F.array(own)).alias("out"))
-        extended = F.struct(state["prev"].alias("prev"), F.concat(head, F.array(longer)).alias("out"))
-        return F.when(F.size(rest) > 0, grown).when(F.size(state["out"]) > 0, extended).otherwise(state)
-
-    folded = fold(cues, [KEY], ["cue_no", "start_s", "end_s", "lines"], zero, step, lambda s: s["out"])
-    return folded.select(KEY, F.explode("folded").alias("c")).select(KEY, "c.cue_no", "c.start_s", "c.end_s", F.array_join("c.lines", " ").alias("text"))
+
+    def one(rows: Iterable[tuple]) -> Iterator[tuple]:
+        shown: list[str] = []
+        held = None
+        for number, start, end, lines in rows:
+            lines = list(lines)
+            cut = next(k for k in range(min(len(shown), len(lines)), -1, -1) if shown[len(shown) - k :] == lines[:k])
+            if len(lines) > cut:
+                if held is not None:
+                    yield held
+                shown = lines[cut:]
+                held = (number, start, end, " ".join(shown))
+            elif held is not None:
+                held = (held[0], held[1], max(held[2], end), held[3])
+        if held is not None:
+            yield held
+
+    return folded(cues, ["cue_no", "start_s", "end_s", "lines"], "cue_no long, start_s double, end_s double, text string", one)
 
 
 def regroup_words(words: DataFrame, span: float = 4.0, silence: float = 0.5, sentence: float = 1.0) -> DataFrame:
@@ -194,20 +207,22 @@ def regroup_words(words: DataFrame, span: float = 4.0, silence: float = 0.5, sen
 
     A new one begins when it would span more than `span`, after `silence`, or after a sentence end once it has lasted.
     """
-    item = "struct<start_s:double,end_s:double,text:string>"
-    zero = F.array().cast(f"array<{item}>")
-
-    def step(state: Column, row: Column) -> Column:
-        last = F.element_at(state, -1)
-        own = F.struct(row["start_s"].cast("double").alias("start_s"), row["end_s"].cast("double").alias("end_s"), row["text"].alias("text"))
-        ended = last["text"].rlike(r"[.?!]$") & (last["end_s"] - last["start_s"] >= sentence)
-        fresh = (own["end_s"] - last["start_s"] > span) | (own["start_s"] - last["end_s"] >= silence) | ended
-        grown = F.struct(last["start_s"].alias("start_s"), own["end_s"].alias("end_s"), F.concat_ws(" ", last["text"], own["text"]).alias("text"))
-        head = F.slice(state, 1, F.size(state) - 1)
-        return F.when(F.size(state) == 0, F.array(own)).when(fresh, F.concat(state, F.array(own))).otherwise(F.concat(head, F.array(grown)))
-
-    folded = fold(words, [KEY], ["start_s", "ord", "end_s", "text"], zero, step)
-    return folded.select(KEY, F.posexplode("folded").alias("ord", "s")).select(KEY, "ord", "s.*")
+
+    def one(rows: Iterable[tuple]) -> Iterator[tuple]:
+        group: list[tuple] = []
+        number = 0
+        for start, _, end, text in rows:
+            if group:
+                begun, ended = group[0][0], group[-1][1]
+                complete = group[-1][2].endswith((".", "?", "!")) and ended - begun >= sentence
+                if end - begun > span or start - ended >= silence or complete:
+                    yield number, begun, ended, " ".join(w for *_, w in group)
+                    number, group = number + 1, []
+            group.append((start, end, text))
+        if group:
+            yield number, group[0][0], group[-1][1], " ".join(w for *_, w in group)
+
+    return folded(words, ["start_s", "ord", "end_s", "text"], "ord int, start_s double, end_s double, text string", one)
 
 
 def dead_runs(anchors: DataFrame, spans: DataFrame, bucket: float = 60.0) -> DataFrame:

@@ -143,12 +143,28 @@ def collapse_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.collapse_equal(views.seg_evt(spark, sf_dir)).select("recording_id", r6("start_s"), r6("end_s"), "text", "merged")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE seg_line AS ({views.SQL["seg_line"]}),
+l AS (SELECT recording_id, start_s, end_s, text, row_number() OVER (PARTITION BY recording_id ORDER BY start_s, ord) AS k FROM seg_line),
+w AS (SELECT recording_id, k, 0 AS ord, start_s, end_s, text FROM l WHERE k = 1
+  UNION ALL
+  SELECT l.recording_id, l.k, CASE WHEN g THEN w.ord ELSE w.ord + 1 END, CASE WHEN g THEN w.start_s ELSE l.start_s END, l.end_s, l.text
+  FROM w JOIN l ON l.recording_id = w.recording_id AND l.k = w.k + 1, LATERAL (SELECT l.text = w.text OR starts_with(l.text, w.text || ' ') AS g) d)
+SELECT recording_id, ord, max_by(start_s, k) AS start_s, max_by(end_s, k) AS end_s, max_by(text, k) AS text FROM w GROUP BY 1, 2""")
 def collapse_prefix_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.collapse_growing(views.seg_line(spark, sf_dir))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE seg_line AS ({views.SQL["seg_line"]}),
+l AS (SELECT recording_id, ord AS cue_no, start_s, end_s, list_filter([lag(text, 2) OVER {_W}, lag(text, 1) OVER {_W}, text], lambda t: t IS NOT NULL) AS lines, row_number() OVER {_W} AS k FROM seg_line),
+w AS (SELECT DISTINCT recording_id, 0::BIGINT AS k, []::VARCHAR[] AS shown, NULL::BIGINT AS cue_no, 0.0::DOUBLE AS start_s, 0.0::DOUBLE AS end_s, '' AS text FROM l
+  UNION ALL
+  SELECT l.recording_id, l.k, CASE WHEN len(rest) > 0 THEN rest ELSE shown END, CASE WHEN len(rest) > 0 THEN l.cue_no ELSE w.cue_no END, CASE WHEN len(rest) > 0 THEN l.start_s ELSE w.start_s END,
+    CASE WHEN len(rest) > 0 THEN l.end_s ELSE greatest(w.end_s, l.end_s) END, CASE WHEN len(rest) > 0 THEN array_to_string(rest, ' ') ELSE w.text END
+  FROM w JOIN l ON l.recording_id = w.recording_id AND l.k = w.k + 1,
+  LATERAL (SELECT lines[list_max(list_filter(range(0, least(len(shown), len(lines)) + 1), lambda c: c = 0 OR shown[len(shown) - c + 1:] = lines[1:c])) + 1:] AS rest) d)
+SELECT recording_id, cue_no, max_by(start_s, k) AS start_s, max_by(end_s, k) AS end_s, max_by(text, k) AS text FROM w WHERE cue_no IS NOT NULL GROUP BY 1, 2""")
 def rollover_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues of three lines that roll over by two."""
     lines = views.seg_line(spark, sf_dir)
