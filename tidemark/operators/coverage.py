@@ -86,6 +86,14 @@ def near_rows(rows: DataFrame, reach: int = 5, ratio: float = 0.85) -> DataFrame
     return met.groupBy(KEY, "ord").agg(F.min("like_ord").alias("like_ord"))
 
 
+def _spoken(df: pd.DataFrame) -> list[tuple[float, list[str]]]:
+    """(start, words) of one rendering's segments in order; a recording may lack the rendering."""
+    if "start_s" not in df.columns or not len(df):
+        return []
+    ordered = df.sort_values(["start_s", "ord"])[["start_s", "words"]]
+    return [(start, words if words is not None else []) for start, words in ordered.itertuples(index=False, name=None)]
+
+
 def align(base: DataFrame, other: DataFrame, least: int = 3) -> DataFrame:
     """(recording_id, ratio, regions, substantial, salient): token alignment of two renderings of each recording.
 
@@ -95,7 +103,7 @@ def align(base: DataFrame, other: DataFrame, least: int = 3) -> DataFrame:
     words = frozenset(tx.SALIENT_WORDS)
 
     def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        left, right = ([w for ws in df.sort_values(["start_s", "ord"])["words"] for w in ws] for df in (a, b))
+        left, right = ([w for _, ws in _spoken(df) for w in ws] for df in (a, b))
         match = difflib.SequenceMatcher(None, left, right, autojunk=False)
         regions = [(left[i:j], right[k:m]) for tag, i, j, k, m in match.get_opcodes() if tag != "equal"]
         weighty = [any(w in words or any(c.isdigit() for c in w) for w in x + y) for x, y in regions]
@@ -113,9 +121,8 @@ def regions(base: DataFrame, other: DataFrame, least: int = 3) -> DataFrame:
     words = frozenset(tx.SALIENT_WORDS)
 
     def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(["start_s", "ord"]), b.sort_values(["start_s", "ord"])
-        left, times = [w for ws in a["words"] for w in ws], [t for t, ws in zip(a["start_s"], a["words"], strict=True) for _ in ws]
-        right = [w for ws in b["words"] for w in ws]
+        left, times = [w for _, ws in _spoken(a) for w in ws], [t for t, ws in _spoken(a) for _ in ws]
+        right = [w for _, ws in _spoken(b) for w in ws]
         found = []
         for tag, i, j, k, m in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
             if tag == "equal":

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.words import LANGUAGES
-from tidemark.operators import decoding, filing, planning, scan
+from tidemark.operators import coverage, decoding, filing, planning, scan
 from tidemark.plans import grading, views
 from tidemark.plans.registry import Registry, r6
 from tidemark.plans.views import with_views
@@ -353,3 +353,44 @@ def moment_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.element_at(F.array(*map(F.lit, _TIMES)), (F.col("doc_id") % len(_TIMES) + 1).cast("int"))
     rows = views.table(spark, sf_dir, "documents").select("doc_id", planning.parse_moments(text).alias("m"), filing.duration_field(text).alias("duration"))
     return rows.select("doc_id", F.array_join(F.transform("m", lambda x: x.cast("long").cast("string")), "+").alias("moments"), "duration")
+
+
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS sha FROM documents), c AS (SELECT a.doc_id::VARCHAR AS note, b.doc_id AS target, CASE WHEN a.doc_id % 5 = 0 THEN 'no such words' ELSE coalesce(regexp_extract(split_part(b.text, chr(10), 1), '[A-Za-z]+', 0), '') END AS quote, b.sha FROM d a LEFT JOIN d b ON b.doc_id = a.doc_id + 1)
+SELECT note, CASE WHEN quote = '' THEN 'E-CITE-EMPTY' WHEN target IS NULL THEN 'E-CITE-NOFILE' WHEN quote = 'no such words' THEN 'E-CITE-NOMATCH' END AS code, CASE WHEN quote NOT IN ('', 'no such words') AND target IS NOT NULL THEN 0 END AS target_line, CASE WHEN quote NOT IN ('', 'no such words') AND target IS NOT NULL THEN sha END AS sha256 FROM c""")
+def resolved_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a note that quotes the first word of the next one, or words that nobody wrote."""
+    d = views.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    listing = d.select(F.col("doc_id").cast("string").alias("path"), F.md5("text").alias("sha256"), "text")
+    after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.regexp_extract(F.split_part("text", F.lit("\n"), F.lit(1)), "[A-Za-z]+", 0).alias("word"))
+    quote = F.when(F.col("doc_id") % 5 == 0, "no such words").otherwise(F.coalesce("word", F.lit("")))
+    body = F.concat(F.lit("See\n{{CITE:"), (F.col("doc_id") + 1).cast("string"), F.lit('#"'), quote, F.lit('"}}'))
+    found = filing.resolved_citations(d.join(after, "doc_id", "left").select(F.col("doc_id").cast("string").alias("note"), body.alias("body")), listing)
+    return found.select("note", "code", "target_line", "sha256")
+
+
+@query("""WITH s AS (SELECT doc_id::VARCHAR AS note, CASE WHEN doc_id % 7 = 0 THEN 'two parts' ELSE 'parts' END AS label, doc_id % 4 AS n FROM documents)
+SELECT note, label, n AS members, CASE WHEN n = 0 THEN 'E-SET-EMPTY' WHEN label = 'two parts' THEN 'E-SET-COUNT' END AS code FROM s""")
+def counted_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notes with a set of up to three members, some under a label that counts them itself."""
+    items = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n") + 1), lambda k: F.when(k > 1, F.concat(F.lit("- item "), k.cast("string"), F.lit("\n  more"))).otherwise("")), "\n")
+    d = views.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).cast("int").alias("n"))
+    label = F.when(F.col("doc_id") % 7 == 0, "two parts").otherwise("parts")
+    body = F.concat(F.lit("x {{SET:"), label, F.lit("}}\n"), items, F.lit("\n{{/SET}} y"))
+    return filing.sets(d.select(F.col("doc_id").cast("string").alias("note"), body.alias("body"))).select("note", "label", F.size("members").cast("long").alias("members"), "code")
+
+
+@query(with_views(f"""WITH i AS (SELECT recording_id, block FROM (SELECT recording_id, block, string_agg(text, chr(10) ORDER BY line_no) AS raw FROM note_block GROUP BY 1, 2) WHERE len(list_distinct(regexp_extract_all(raw, '{filing.notes.CLASS_MARK}'))) > 1)
+SELECT recording_id, count(*) FILTER (WHERE class IN ('ON-SCREEN', 'SPOKEN', 'INFERRED')) AS bound, 0 AS still_bound FROM note_anchor SEMI JOIN i USING (recording_id, block) GROUP BY 1""", "note_anchor"))
+def binding_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors bound by touch, and how many still are with prose around the class marks (none may be)."""
+    return filing.binding_control(views.note_line(spark, sf_dir))
+
+
+@query()
+def align_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where users' and assistants' turns differ as two renderings of a conversation."""
+    s = views.seg_conv(spark, sf_dir)
+    found = coverage.regions(s.where("role = 'user'"), s.where("role = 'assistant'"))
+    return found.select("recording_id", "rank", "tag", "at_s", "size", "is_salient")
