@@ -329,7 +329,7 @@ class _Spans:
             fresh = np.ones(len(self.sorted), dtype=bool)
             fresh[1:] = (self.sorted["doc"][1:] != self.sorted["doc"][:-1]) | (self.sorted["hash"][1:] != self.sorted["hash"][:-1])
             first = np.flatnonzero(fresh).tolist()
-            ends = [*first[1:], len(self.sorted)]
+            ends = [*first[1:], len(self.sorted)] if first else []
             self.where = {(int(self.sorted["doc"][a]), int(self.sorted["hash"][a])): (a, b) for a, b in zip(first, ends, strict=True)}
         return [self.sorted[slice(*self.where.get((int(d), int(h)), (0, 0)))] for d, h in zip(heads["doc"], heads["hash"], strict=True)]
 
@@ -486,19 +486,19 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(_RESULTS, out)
 
 
-def _rewrite(schema: pa.Schema):
-    """Step 5, for whole rows: the other columns as they were, the text without what is removed."""
+def _rewrite(schema: pa.Schema, further: list[str]):
+    """Step 5, for whole rows: the other columns (further, in this order) as they were, the text without what is removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, further, texts in _documents(batches):
-            rest = pa.ipc.open_stream(further).read_next_batch()
+        for _, others, texts in _documents(batches):
+            rest = pa.ipc.open_stream(others).read_next_batch()
             cut = []
             for text, spans in texts:
                 if len(spans):
                     raw, kept = _cut_text(text, spans)
                     text = _whole_characters(kept, raw)
                 cut.append(text.decode("utf-8", "replace"))
-            columns = {name: rest.column(k) for k, name in enumerate(rest.schema.names)}
+            columns = {name: rest.column(k) for k, name in enumerate(further)}
             columns["text"] = pa.array(cut, type=pa.string())
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([len(t) for t in cut])
@@ -514,7 +514,7 @@ def _met(docs: DataFrame, further: list[str], budget: int) -> DataFrame:
     text = clean_text("text")
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))
     own = [ids.alias("_id"), F.xxhash64(text).alias("_hash"), text.cast("binary").alias("_text")]
-    bare, whole = docs.select(*own), docs.select(*own, *further)
+    bare, whole = docs.select(*own), docs.select(*own, *(F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(further)))
     meet = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("kind")
     cut = bare.mapInArrow(_cut(buckets), _BLOCK_SCHEMA)
     spans = checkpointed(cut.repartition(buckets, "bucket").mapInArrow(_meet(buckets), _BLOCK_SCHEMA))
@@ -536,7 +536,8 @@ def dedup(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
 def rewrite(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
     """All rows and columns of docs, their texts without what occurs earlier; n_chars, if there, is counted anew.
 
-    A character of which only some bytes go is removed whole. A null text becomes an empty one.
+    A character of which only some bytes go is removed whole. A null text becomes an empty one. Columns may have any names.
     """
     schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in docs.schema])
-    return _met(docs, [c for c in docs.columns if c != "text"], budget).mapInArrow(_rewrite(schema), docs.schema)
+    further = [c for c in docs.columns if c != "text"]
+    return _met(docs, further, budget).mapInArrow(_rewrite(schema, further), docs.schema)
