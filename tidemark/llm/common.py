@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -19,11 +20,15 @@ SLICE_CHARS = 300_000
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the cluster's shared checkpoint folder and read it back, so a lost executor never recomputes it.
 
-    The folder comes from spark.checkpoint.dir; only a session without one (tests) gets a folder of its own.
+    The folder comes from spark.checkpoint.dir. Only a session in one process (tests) gets a folder of its own; on a
+    cluster, executors would write to disks that nobody else sees, so a missing folder is an error there.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
     return df.checkpoint(eager=True)
 
 

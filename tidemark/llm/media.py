@@ -37,8 +37,13 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def encode(samples: np.ndarray, level: int = 1, row_filter: int = UP) -> bytes:
-    """A PNG of (height, width) or (height, width, channels) 8-bit samples; rows use filter NONE, SUB or UP."""
+def encode(samples: np.ndarray, level: int = 1, row_filter: int | None = None) -> bytes:
+    """A PNG of (height, width) or (height, width, channels) 8-bit samples.
+
+    Rows use filter NONE, SUB or UP: the given one, or that of them which makes the smallest file.
+    """
+    if row_filter is None:
+        return min((encode(samples, level, k) for k in (NONE, SUB, UP)), key=len)
     height, width = samples.shape[:2]
     channels = samples.shape[2] if samples.ndim == 3 else 1
     colour = next(k for k, v in CHANNELS.items() if v == channels)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint, language_id, media, near_dedup, packing, piece_bpe, sharding, suffix_dedup, surrogates, url_filter
 from tidemark.llm.common import IdFilter, bounded_batches, checkpointed, documents, has_repeats
@@ -35,11 +36,19 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(documents(spark, sf_dir), keep_media=False).drop("media")
+    return media.media_columns(documents(spark, sf_dir)).drop("media")
+
+
+#: For the driver's synthetic tables only. A corpus of real people sets spark.tidemark.surrogates.key to a secret.
+SYNTHETIC_KEY = "synthetic tables"
+
+
+def surrogate_key(spark: SparkSession) -> bytes:
+    return spark.conf.get("spark.tidemark.surrogates.key", SYNTHETIC_KEY).encode()
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.surrogates(documents(spark, sf_dir))
+    return surrogates.surrogates(documents(spark, sf_dir), surrogate_key(spark))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,19 +111,22 @@ def oracle_sql() -> dict[str, str]:
 def accept_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
     bounded_batches(spark)
-    bank = language_id.fit(docs.where(~language_id.held_out()).select("doc_id", "lang", "text"))
+    bank = language_id.fit(docs.where(~language_id.held_out()).select("lang", "text"))
     return language_id.accepted(docs, bank)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates; of repeated rows one."""
+    """The first document of each group of near-duplicates, with all its different texts; repeated rows become one."""
     bounded_batches(spark)
     found = checkpointed(near_dedup.near_duplicates(docs))
     gone = found.where("not kept").select("doc_id").distinct()
     maybe = IdFilter(gone)
     kept = maybe.rows(docs, "doc_id", False).unionByName(maybe.rows(docs, "doc_id", True).join(gone, "doc_id", "left_anti").select(docs.columns))
     if has_repeats(docs.where("doc_id is not null"), "doc_id"):
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+        # Repeated rows are one; different texts of an id are one document's and stay or go together.
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        one = kept.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *rest)).alias("_r"))
+        kept = one.select(*[F.col("_r")[c].alias(c) if c in rest else F.col(c) for c in docs.columns]).unionByName(kept.where("doc_id is null"))
     return kept
 
 
@@ -127,7 +139,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data."""
     bounded_batches(spark)
-    return surrogates.rewrite(docs)
+    return surrogates.rewrite(docs, surrogate_key(spark))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,9 +10,12 @@ validity, IBANs their country and check digits, addresses their first octet, pho
 under reserved names stay. Given names are permuted within the list of their script and gender. Emails and names are
 matched without regard to case and written in the case found.
 
+The key is the caller's secret: whoever has it can undo the permutations, and without it nobody can repeat them.
+
 Within a document a surrogate must differ from every entity of the document and from the other surrogates; on a
 collision that entity alone takes the next tweak of the key, in order of first appearance, and a larger space once
-tweaks run out.
+tweaks run out. Such an entity may have another surrogate in another document: distinctness within a document comes
+before coreference across documents.
 
 Cases: null text stays null with no entities; text without entities is unchanged to the byte; repeated rows, ties and
 texts of any length are treated alike; nothing depends on other rows.
@@ -33,8 +36,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import record_batch, rewritten, text_slices
 
-KEY = b"tidemark-surrogates-1"
-
 # Fixed lists of common given names by script and gender; each list is a class within which names are permuted.
 GIVEN = {
     ("latin", "f"): "Maria Anna Sophie Laura Julia Clara Emma Alice Elena Lucia Carmen Claire Camille Ingrid Heike Sabine Susan Emily Sarah Linda Mary Patricia Jennifer Elizabeth Barbara Jessica Karen Lisa Nancy Sandra Ashley Kimberly Betty Margaret Donna Michelle".split(),
@@ -247,7 +248,7 @@ def _candidates(kind: str, entity: str, key: bytes) -> Iterator[str]:
             yield f"{longer}{number}"
 
 
-def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]]]:
+def replaced(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with all entities replaced, and what was found."""
     found = entities(text)
     if not found:
@@ -272,7 +273,7 @@ def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_entities", pa.int32()), ("kinds", pa.string()), ("text", pa.string())])
 
 
-def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, n_entities, kinds, text) of every row of (doc_id, text); kinds is a sorted, comma-separated list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,6 +285,6 @@ def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_entities int, kinds string, text string")
 
 
-def rewrite(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def rewrite(docs: DataFrame, key: bytes) -> DataFrame:
     """All columns of docs, with surrogates in their texts."""
     return rewritten(docs, lambda texts: [replaced(t, key)[0] if t is not None else None for t in texts])
