@@ -4,7 +4,7 @@ from tests.llm.test_operators import SCHEMA, awkward_rows, components_by_brute_f
 
 import corpus_pipeline
 from tidemark.llm import packing, surrogates
-from tidemark.llm.queries import tokenizer_path
+from tidemark.llm.queries import surrogate_key, tokenizer_path
 
 
 def test_stages(spark):
@@ -28,7 +28,7 @@ def test_stages(spark):
     assert all(r.n_chars == len(r.text) for r in third)
 
     fourth = stages["pii_surrogates"](spark, spark.createDataFrame(third, SCHEMA), "").collect()
-    assert {r.doc_id: r.text for r in fourth} == {r.doc_id: surrogates.replaced(r.text)[0] for r in third}
+    assert {r.doc_id: r.text for r in fourth} == {r.doc_id: surrogates.replaced(r.text, surrogate_key(spark))[0] for r in third}
 
     last = stages["packing"](spark, spark.createDataFrame(fourth, SCHEMA), "").collect()
     encoder = packing.encoder(tokenizer_path("word_bpe_49k.json"))
