@@ -153,6 +153,7 @@ class IdFilter:
                 for place in _places(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)):
                     maybe = maybe & ((words.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
                 yield batch.filter(pa.array(maybe if held else ~maybe))
+            trim()
 
         return docs.mapInArrow(run, docs.schema)
 

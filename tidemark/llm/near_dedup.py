@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SLICE_CHARS, IdFilter, checkpointed, clean_text, mix64, record_batch, span_hashes, text_slices
+from tidemark.llm.common import SLICE_CHARS, IdFilter, checkpointed, clean_text, mix64, record_batch, span_hashes, text_slices, trim
 
 WORDS = 5
 PERCENT = 75
@@ -282,6 +282,7 @@ def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some[other] = True
             some[k] |= len(other) > 0
         yield record_batch(_HOPEFUL, {"g": np.full(int(some.sum()), rows[0][0]), "rep": rep[some]})
+    trim()
 
 
 def _sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -334,6 +335,7 @@ def _meeting_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 label[label == max(label[k], label[o])] = min(label[k], label[o])
         if found:
             yield record_batch(_PAIR, dict(zip("ab", zip(*found, strict=True), strict=True)))
+    trim()
 
 
 def across(members: DataFrame, wide: DataFrame, texts: DataFrame) -> DataFrame:
