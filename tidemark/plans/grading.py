@@ -154,8 +154,9 @@ d AS (SELECT sc.recording_id, sc.block, sc.k, CASE WHEN "foreign" THEN 'foreign'
 
 
 def _disposed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lined = views.note_block(spark, sf_dir)
-    return notes.dispositions(notes.anchors(lined), lined, _frames(spark, sf_dir), _cues(spark, sf_dir), _durations(spark, sf_dir), views.seg_conv(spark, sf_dir))
+    # Blocks and anchors are read several times; a lost part of the cache is computed again.
+    lined = views.note_block(spark, sf_dir).persist()
+    return notes.dispositions(notes.anchors(lined).persist(), lined, _frames(spark, sf_dir), _cues(spark, sf_dir), _durations(spark, sf_dir), views.seg_conv(spark, sf_dir))
 
 
 _COUNTS = ", ".join(f"count(*) FILTER (WHERE disposition = '{d}') AS {d.replace('-', '_')}" for d in notes.DISPOSITIONS)
@@ -178,8 +179,8 @@ def corpus_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT recording_id, count(*) AS anchors, count(*) FILTER (WHERE class = 'SPOKEN') AS spoken, count(*) FILTER (WHERE kind = 'witnessed') AS witnessed, count(*) FILTER (WHERE kind = 'unwitnessed') AS unwitnessed, count(*) FILTER (WHERE kind = 'unscorable' AND class = 'SPOKEN') AS short, count(*) FILTER (WHERE kind = 'beyond' AND class = 'SPOKEN') AS beyond, count(*) FILTER (WHERE kind = 'unscorable') AS unscorable, count(*) FILTER (WHERE kind = 'candidate') AS candidates, count(*) FILTER (WHERE kind IN ('candidate', 'unattributed')) AS unattributed FROM kd GROUP BY 1""", "note_anchor"))
 def spoken_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes of what is said on the anchors of each note."""
-    lined = views.note_block(spark, sf_dir)
-    return votes.spoken_census(votes.spoken_scores(notes.anchors(lined), lined, views.seg_conv(spark, sf_dir), _durations(spark, sf_dir)))
+    lined = views.note_block(spark, sf_dir).persist()
+    return votes.spoken_census(votes.spoken_scores(notes.anchors(lined).persist(), lined, views.seg_conv(spark, sf_dir), _durations(spark, sf_dir)))
 
 
 @query(with_views("""WITH pt AS (SELECT DISTINCT recording_id, at_s FROM note_anchor WHERE NOT "foreign") SELECT recording_id, count(*) AS seconds, count(*) FILTER (WHERE f) AS framed, count(*) FILTER (WHERE s) AS spoken, count(*) FILTER (WHERE f) * 2 < count(*) AS few_framed
