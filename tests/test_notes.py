@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators import coverage, decoding, filing, notes, planning, rules, scan, sequence, votes
+from tidemark.operators import alignment, coverage, decoding, filing, notes, planning, rules, scan, sequence, votes
 from tidemark.sources import files
 
 
@@ -303,10 +303,10 @@ def test_regions_put_salient_ones_first(spark):
     schema = "recording_id long, start_s double, ord int, text string"
     base = spark.createDataFrame([(1, 0.0, 0, "we do like the red car and one big old house here")], schema)
     other = spark.createDataFrame([(1, 0.0, 0, "we do not like the red car and a very tall tree stands here")], schema)
-    found = coverage.regions(base, other).orderBy("rank").collect()
+    found = alignment.regions(base, other).orderBy("rank").collect()
     assert [(r.is_salient, r.base, r.other) for r in found][0] == (True, "one big old house", "a very tall tree stands")
     assert (True, "", "not") in [(r.is_salient, r.base, r.other) for r in found]
-    assert coverage.region_census(coverage.regions(base, other)).first().only_other == 6
+    assert coverage.region_census(alignment.regions(base, other)).first().only_other == 6
 
 
 def test_undated_defects(spark):
@@ -321,7 +321,7 @@ def test_binding_control_loses_every_touch(spark):
 
 
 def test_differences_stamps_and_densities(spark):
-    diff = spark.range(1).select(filing.unified_diff(F.lit("a\nb\n"), F.lit("a\nc\n")).alias("d"), filing.unified_diff(F.lit("a"), F.lit("a")).alias("e")).first()
+    diff = spark.range(1).select(alignment.unified_diff(F.lit("a\nb\n"), F.lit("a\nc\n")).alias("d"), alignment.unified_diff(F.lit("a"), F.lit("a")).alias("e")).first()
     assert "-b\n+c\n" in diff.d and diff.e == ""
     digest = "0" * 64
     stamps = spark.createDataFrame([("a", None, digest), ("b", "v1 " + digest, digest), ("c", "v0 " + digest, digest), ("d", "v1 " + "1" * 64, digest), ("e", "x", digest)], "note string, graded string, digest string")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidemark.operators import coverage, interval, planning, rules, sequence
+from tidemark.operators import alignment, coverage, interval, planning, rules, sequence
 
 SEG = "recording_id long, ord long, start_s double, end_s double, text string"
 
@@ -142,7 +142,7 @@ def test_near_rows_and_alignment(spark):
     assert [(r.ord, r.like_ord) for r in coverage.near_rows(rows).collect()] == [(2, 0)]
     a = segs(spark, [(0, 1, "one two three fourth five")])
     b = segs(spark, [(0, 1, "one two three"), (1, 2, "fourth five")])
-    same = coverage.align(a, b).first()
+    same = alignment.align(a, b).first()
     assert (same.ratio, same.regions) == (1.0, 0)
-    changed = coverage.align(a, segs(spark, [(0, 1, "one two three fifth five")])).first()
+    changed = alignment.align(a, segs(spark, [(0, 1, "one two three fifth five")])).first()
     assert changed.regions == 1 and changed.salient == 0

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
+from tidemark.operators.alignment import similarity
 from tidemark.operators.sequence import KEY
 
 RARE, TERM_LETTERS, VERBATIM_RUN = 3, 4, 12
@@ -67,12 +64,6 @@ def verbatim_share(notes: DataFrame, passages: DataFrame, run: int = VERBATIM_RU
     return sizes.join(covered, "note_id", "left").select("note_id", "words", F.coalesce("verbatim", F.lit(0)).cast("long").alias("verbatim")).withColumn("share", F.when(F.col("words") > 0, F.col("verbatim") / F.col("words")).otherwise(0.0))
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two texts (no Spark expression computes it)."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
-
-
 def near_rows(rows: DataFrame, reach: int = 5, ratio: float = 0.85) -> DataFrame:
     """(recording_id, ord, like_ord): rows that repeat one of the few before them; like_ord is the earliest such row."""
     order = Window.partitionBy(KEY).orderBy("ord")
@@ -86,59 +77,8 @@ def near_rows(rows: DataFrame, reach: int = 5, ratio: float = 0.85) -> DataFrame
     return met.groupBy(KEY, "ord").agg(F.min("like_ord").alias("like_ord"))
 
 
-def _spoken(df: pd.DataFrame) -> list[tuple[float, list[str]]]:
-    """(start, words) of one rendering's segments in order; a recording may lack the rendering."""
-    if "start_s" not in df.columns or not len(df):
-        return []
-    ordered = df.sort_values(["start_s", "ord"])[["start_s", "words"]]
-    return [(start, words if words is not None else []) for start, words in ordered.itertuples(index=False, name=None)]
-
-
-def align(base: DataFrame, other: DataFrame, least: int = 3) -> DataFrame:
-    """(recording_id, ratio, regions, substantial, salient): token alignment of two renderings of each recording.
-
-    Longest matching blocks over whole recordings, without popularity heuristics. Needs both token streams at once, so
-    each recording is one pandas group.
-    """
-    words = frozenset(tx.SALIENT_WORDS)
-
-    def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        left, right = ([w for _, ws in _spoken(df) for w in ws] for df in (a, b))
-        match = difflib.SequenceMatcher(None, left, right, autojunk=False)
-        regions = [(left[i:j], right[k:m]) for tag, i, j, k, m in match.get_opcodes() if tag != "equal"]
-        weighty = [any(w in words or any(c.isdigit() for c in w) for w in x + y) for x, y in regions]
-        return pd.DataFrame([{KEY: key[0], "ratio": match.ratio(), "regions": len(regions), "substantial": sum(max(len(x), len(y)) >= least for x, y in regions), "salient": sum(weighty)}])
-
-    tokened = lambda df: df.select(KEY, "start_s", "ord", tx.tokens("text").alias("words")).groupBy(KEY)
-    return tokened(base).cogroup(tokened(other)).applyInPandas(one, f"{KEY} long, ratio double, regions long, substantial long, salient long")
-
-
-def regions(base: DataFrame, other: DataFrame, least: int = 3) -> DataFrame:
-    """(recording_id, rank, tag, at_s, size, base, other, is_salient) where two renderings differ, as align() counts them.
-
-    Small regions count only if they are salient; salient ones come first, then by size. at_s is the base's time.
-    """
-    words = frozenset(tx.SALIENT_WORDS)
-
-    def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        left, times = [w for _, ws in _spoken(a) for w in ws], [t for t, ws in _spoken(a) for _ in ws]
-        right = [w for _, ws in _spoken(b) for w in ws]
-        found = []
-        for tag, i, j, k, m in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-            if tag == "equal":
-                continue
-            weighty = any(w in words or any(c.isdigit() for c in w) for w in left[i:j] + right[k:m])
-            at = times[i] if i < len(times) else times[-1] if times else 0.0
-            found.append((tag, at, max(j - i, m - k), " ".join(left[i:j]), " ".join(right[k:m]), weighty))
-        shown = sorted((r for r in found if r[2] >= least or r[5]), key=lambda r: (not r[5], -r[2]))
-        return pd.DataFrame([(key[0], rank, *r) for rank, r in enumerate(shown)], columns=[KEY, "rank", "tag", "at_s", "size", "base", "other", "is_salient"])
-
-    tokened = lambda df: df.select(KEY, "start_s", "ord", tx.tokens("text").alias("words")).groupBy(KEY)
-    return tokened(base).cogroup(tokened(other)).applyInPandas(one, f"{KEY} long, rank long, tag string, at_s double, size long, base string, other string, is_salient boolean")
-
-
 def region_census(found: DataFrame) -> DataFrame:
-    """(recording_id, only_base, only_other): words that only one of two renderings has, of regions()."""
+    """(recording_id, only_base, only_other): words that only one of two renderings has, of alignment.regions()."""
     words = lambda c: F.sum(F.size(F.filter(F.split(c, " "), lambda w: w != "")))
     return found.groupBy(KEY).agg(words("base").alias("only_base"), words("other").alias("only_other"))
 

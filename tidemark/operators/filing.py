@@ -5,13 +5,10 @@ Notes are (note, frontmatter, body) rows, or their lines; files are listings (pa
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import clock
 from tidemark.functions import text as tx
@@ -385,13 +382,6 @@ def run_gates(gates: dict[str, Callable[[], DataFrame]]) -> list[dict]:
     return [*rows, {"gate": "all", "status": max((r["status"] for r in rows), default=2), "defects": sum(r["defects"] for r in rows), "error": None}]
 
 
-@F.pandas_udf(T.StringType())
-def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    """The unified difference of two texts, empty where they are equal."""
-    lines = lambda t: (t or "").splitlines(keepends=True)
-    return pd.Series(["".join(difflib.unified_diff(lines(a), lines(b), "before", "after")) for a, b in zip(old, new, strict=True)])
-
-
 def binding_control(lines: DataFrame) -> DataFrame:
     """(recording_id, bound, still_bound): anchors that touch decides, before and after prose is put around every class mark.
 

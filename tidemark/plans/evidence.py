@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators import coverage, planning, rules, sequence, witness
+from tidemark.operators import alignment, coverage, planning, rules, sequence, witness
 from tidemark.plans import views
 from tidemark.plans.registry import Registry, r6
 from tidemark.plans.views import with_views
@@ -205,7 +205,7 @@ def stale_exemptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def align_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' and assistants' turns as two renderings of a recording."""
     s = views.seg_conv(spark, sf_dir)
-    return coverage.align(s.where("role = 'user'"), s.where("role = 'assistant'"))
+    return alignment.align(s.where("role = 'user'"), s.where("role = 'assistant'"))
 
 
 @query(with_views("""

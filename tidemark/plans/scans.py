@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.words import LANGUAGES
-from tidemark.operators import coverage, decoding, filing, planning, scan
+from tidemark.operators import alignment, coverage, decoding, filing, planning, scan
 from tidemark.plans import grading, views
 from tidemark.plans.registry import Registry, r6
 from tidemark.plans.views import with_views
@@ -392,5 +392,5 @@ def binding_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 def align_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where users' and assistants' turns differ as two renderings of a conversation."""
     s = views.seg_conv(spark, sf_dir)
-    found = coverage.regions(s.where("role = 'user'"), s.where("role = 'assistant'"))
+    found = alignment.regions(s.where("role = 'user'"), s.where("role = 'assistant'"))
     return found.select("recording_id", "rank", "tag", "at_s", "size", "is_salient")
