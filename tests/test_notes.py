@@ -75,16 +75,6 @@ def test_contained_stamps(spark):
     assert [tuple(r) for r in scan.contained_lines(published, scan.stamp_sets(corpus)).collect()] == [("p", 0)]
 
 
-def test_literals_in_any_spelling(spark):
-    rows = [("a", 0, "say Acme Corp!"), ("a", 1, "ac-me cоrp"), ("a", 2, "YWNtZSBjb3Jw"), ("a", 3, "%61cme+%63orp"), ("a", 4, "none")]
-    found = scan.literal_lines(spark.createDataFrame(rows, "source_id string, line_no int, text string"), ["acme corp"]).collect()
-    assert {r.line_no: r.how for r in found if r.line_no != 1} == {0: "squashed", 2: "base64", 3: "decoded"}
-    whole = spark.createDataFrame([("t", "First\nwith Ac-\nmе corp here. Acme. Corp")], "source_id string, text string")
-    assert [(r.line, r.column) for r in scan.squashed_hits(whole, ["acme corp"]).collect()] == [(2, 6)]
-    split = spark.createDataFrame([("t", "sold the acme. Corp came")], "source_id string, text string")
-    assert scan.squashed_hits(split, ["acme corp"]).count() == 0
-
-
 def test_scope_says_what_a_scan_is_blind_to(spark):
     listed = spark.createDataFrame([("a.md", True), ("b/c.PNG", False), ("x", True)], "path string, read boolean")
     sets = spark.createDataFrame([(1, [1, 2])], "set_id long, seconds array<long>")

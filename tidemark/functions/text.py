@@ -11,7 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.words import COLONS, LOOKALIKES, POINTING, STOPWORDS, UNNAMING
+from tidemark.functions import needles
+from tidemark.functions.words import COLONS, POINTING, STOPWORDS, UNNAMING
 
 # Words that change the meaning of a line whatever its size.
 SALIENT_WORDS = """
@@ -179,44 +180,6 @@ def _folded(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
-_PLACED = T.StructType([T.StructField("plain", T.StringType()), T.StructField("line", T.ArrayType(T.IntegerType())), T.StructField("column", T.ArrayType(T.IntegerType()))])
-
-
-@F.pandas_udf(_PLACED)
-def squashed_places(text: pd.Series) -> pd.DataFrame:
-    """Letters and digits only, with lookalikes folded, and the line and column (from 1) that each comes from.
-
-    Where a sentence ends (a stop, space, a capital) a line break is put, so no word is read across it.
-    """
-    lookalike = str.maketrans(LOOKALIKES)
-
-    def one(t: str | None) -> tuple:
-        if t is None:
-            return None, None, None
-        t = unicodedata.normalize("NFKC", t).translate(lookalike)
-        kept, lines, columns, line, column, stopped, spaced = [], [], [], 1, 1, False, False
-        for c in t:
-            if c.isalnum():
-                if stopped and spaced and c.isupper():
-                    kept.append("\n"), lines.append(line), columns.append(column)
-                folded = c.casefold()
-                kept.append(folded), lines.extend([line] * len(folded)), columns.extend([column] * len(folded))
-                stopped = spaced = False
-            elif c.isspace():
-                spaced = spaced or stopped
-            else:
-                stopped, spaced = c in ".!?" or (stopped and spaced), spaced and stopped
-            line, column = (line + 1, 1) if c == "\n" else (line, column + 1)
-        return "".join(kept), lines, columns
-
-    return pd.DataFrame([one(t) for t in text], columns=["plain", "line", "column"])
-
-
-def decodings(text: Column) -> Column:
-    """The text itself, and what it reads with percent escapes and with entities decoded, where that differs."""
-    return F.array_distinct(F.array(text, percent_decoded(text), unescape(text)))
-
-
 @F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """HTML entities decoded (Spark has no such function)."""
@@ -236,8 +199,8 @@ def percent_decoded(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def squashed(text: pd.Series) -> pd.Series:
-    """Compatibility-normalised, case-folded letters and digits only."""
-    return text.map(lambda t: "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if c.isalnum()), na_action="ignore")
+    """Letters and digits only, compatibility-normalised, lookalikes folded, without case."""
+    return text.map(needles.squashed, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())

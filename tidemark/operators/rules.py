@@ -124,13 +124,3 @@ def truth_vs_claim(truth: DataFrame, claims: DataFrame) -> DataFrame:
     both = truth.select("name", F.col("code").alias("true_code")).join(claims.select("name", F.col("code").alias("claimed_code")), "name", "full_outer")
     verdict = F.when(F.col("claimed_code").isNull(), "unread").when(F.col("true_code").isNull(), "extra").when(F.col("true_code") == F.col("claimed_code"), "correct").otherwise("mispaired")
     return both.select("name", verdict.alias("verdict"))
-
-
-def literals(lines: DataFrame, needles: list[str]) -> DataFrame:
-    """(source_id, needle, how): refused words found raw, squashed or in base64; the first way found is reported."""
-    forms = tx.base64_forms(F.col("needle"))
-    rows = lines.select("source_id", "text", F.explode(F.array(*(F.lit(n) for n in needles))).alias("needle"))
-    squash = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    how = F.when(F.instr(F.col("text"), F.col("needle")) > 0, "raw").when(F.instr(squash(F.col("text")), squash(F.col("needle"))) > 0, "squashed")
-    how = how.when(F.exists(F.filter(forms, lambda f: F.length(f) >= 12), lambda f: F.instr(F.col("text"), f) > 0), "base64")
-    return rows.select("source_id", "needle", how.alias("how")).where("how is not null").distinct()

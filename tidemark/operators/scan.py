@@ -1,16 +1,16 @@
-"""Corpus scans: files that may quote private notes, by their words in any spelling or by the moments that they name."""
+"""Corpus scans: whole files that may quote private notes, by refused words in any spelling or by the moments they name."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import needles
 from tidemark.functions import text as tx
 
-# Fixed value: the least characters of a base64 rendering that is hunted.
-RENDERING_FLOOR = 12
-
-
 def stamp_lines(lines: DataFrame, least: int = 2) -> DataFrame:
     """(source_id, line_no, seconds) of lines of (source_id, line_no, text) that name at least so many moments."""
     found = lines.select("source_id", "line_no", tx.moments(tx.plainly(F.col("text"))).alias("seconds"))
@@ -38,42 +38,86 @@ def contained_lines(lines: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("line_id.source_id", "line_id.line_no").distinct()
 
 
-def literal_lines(lines: DataFrame, needles: list[str]) -> DataFrame:
-    """(source_id, line_no, needle, how): one report per line and needle, by the first way that finds it.
+#: Bytes of names that one automaton holds; it takes some forty times that. More names are looked for in turns.
+AUTOMATON_BYTES = 1 << 20
+
+
+def _turns(names: list[str]) -> list[list[tuple[int, str]]]:
+    """The names with their numbers, in groups that fit one automaton."""
+    turns: list[list[tuple[int, str]]] = []
+    room = 0
+    for k, name in enumerate(names):
+        size = 4 * len(name.encode())
+        if not turns or size > room:
+            turns.append([])
+            room = AUTOMATON_BYTES
+        turns[-1].append((k, name))
+        room -= size
+    return turns
 
-    raw, in base64 (renderings of RENDERING_FLOOR characters and more), squashed, or squashed after decoding escapes.
+
+def literals(files: DataFrame, names: list[str]) -> DataFrame:
+    """(source_id, line_no, column, name, way) of whole texts (source_id, text): one for each line and name.
+
+    name is a number, from 1, as findings may not repeat names; way is how it is written (needles.WAYS); line_no and column
+    count from 1. One automaton of all names is broadcast, within AUTOMATON_BYTES; names without letters and digits are never
+    found; null texts have nothing.
     """
-    forms = F.filter(tx.base64_forms(F.col("needle")), lambda f: F.length(f) >= RENDERING_FLOOR)
-    read = lines.select("source_id", "line_no", "text", tx.squashed(F.col("text")).alias("plain"), F.transform(tx.decodings(F.col("text")), lambda t: t).alias("decoded"))
-    read = read.withColumn("opened", tx.squashed(F.array_join("decoded", "\n")))
-    rows = read.withColumn("needle", F.explode(F.array(*map(F.lit, needles))))
-    bare = F.regexp_replace(F.lower("needle"), "[^a-z0-9]", "")
-    holds = lambda where, what: F.instr(where, what) > 0
-    how = F.when(holds(F.col("text"), F.col("needle")), "raw").when(F.exists(forms, lambda f: holds(F.col("text"), f)), "base64")
-    how = how.when(holds(F.col("plain"), bare), "squashed").when(holds(F.col("opened"), bare), "decoded")
-    return rows.select("source_id", "line_no", "needle", how.alias("how")).where("how is not null")
+    of = files.schema["source_id"].dataType.simpleString()
+    schema = f"source_id {of}, line_no long, column long, name int, way string"
+    files = files.select("source_id", "text").where("text is not null")
+    out = None
+    for turn in _turns(names) or [[]]:
+        numbers, spelt = [k for k, _ in turn], files.sparkSession.sparkContext.broadcast(tuple(n for _, n in turn))
+
+        def run(batches: Iterator[pa.RecordBatch], numbers=numbers, spelt=spelt) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, rows = [], []
+                for k, text in enumerate(batch.column(1)):
+                    found = needles.find(text.as_py(), spelt.value)
+                    at += [k] * len(found)
+                    rows += found
+                line, column, name, way = ([r[k] for r in rows] for k in range(4))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(line, pa.int64()), pa.array(column, pa.int64()), pa.array([numbers[k] + 1 for k in name], pa.int32()), pa.array(way, pa.string())],
+                    names=["source_id", "line_no", "column", "name", "way"],
+                )
+
+        found = files.mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+# A dated exemption, in either order; the codes of findings.
+DATED_EXEMPTION = r"(?i)\d{4}-\d{2}-\d{2}.{0,80}?\b(exempt|exemption|reaped|waiv)|\b(exempt|exemption|reaped|waiv)\w*.{0,80}?\d{4}-\d{2}-\d{2}"
+ID, DATED, STAMPS, LITERAL = "E-CORPUS-VIDEO-ID", "E-CORPUS-DATED-EXEMPTION", "E-CORPUS-ANCHOR-SET", "E-CORPUS-REFUSED-WORD"
+_LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def text_lines(files: DataFrame) -> DataFrame:
+    """(source_id, line_no, text) of whole texts, lines from 1, ended as text files end them."""
+    return files.select("source_id", F.posexplode(F.split("text", _LINE_END)).alias("at", "text")).select("source_id", (F.col("at") + 1).cast("long").alias("line_no"), "text")
 
 
 def id_lines(lines: DataFrame, allowed: list[str] | None = None) -> DataFrame:
-    """(source_id, line_no, token) of id-shaped tokens that no allow-list names."""
-    tokens = lines.select("source_id", "line_no", F.explode(F.array_distinct(tx.id_shaped("text"))).alias("token"))
+    """(source_id, line_no, token) of id-shaped tokens that no allow-list names, each as often as it stands there."""
+    tokens = lines.select("source_id", "line_no", F.explode(tx.id_shaped("text")).alias("token"))
     return tokens.where(~F.col("token").isin(allowed)) if allowed else tokens
 
 
-def findings(lines: DataFrame, needles: list[str], sets: DataFrame, allowed: list[str] | None = None) -> DataFrame:
-    """(source_id, line_no, code) of all scans, one row for each finding."""
-    ids = id_lines(lines, allowed).select("source_id", "line_no", F.lit("E-SCAN-ID").alias("code"))
-    words = literal_lines(lines, needles).select("source_id", "line_no", F.concat(F.lit("E-SCAN-LITERAL-"), F.upper("how")).alias("code"))
-    moments = contained_lines(lines, sets).select("source_id", "line_no", F.lit("E-SCAN-STAMPS").alias("code"))
-    return ids.unionByName(words).unionByName(moments)
+def findings(files: DataFrame, names: list[str], sets: DataFrame, allowed: list[str] | None = None) -> DataFrame:
+    """(source_id, line_no, code, column, name, way) of all scans of whole texts (source_id, text), a row for each finding.
 
-
-def squashed_hits(texts: DataFrame, needles: list[str]) -> DataFrame:
-    """(source_id, needle, line, column) of the first place in whole texts where a squashed needle stands."""
-    placed = texts.select("source_id", tx.squashed_places("text").alias("s"), F.array(*map(F.lit, needles)).alias("needles"))
-    rows = placed.select("source_id", "s", F.explode("needles").alias("needle"))
-    at = F.instr(F.col("s.plain"), F.regexp_replace(F.lower("needle"), "[^a-z0-9]", ""))
-    return rows.withColumn("at", at).where("at > 0").select("source_id", "needle", F.element_at("s.line", F.col("at")).alias("line"), F.element_at("s.column", F.col("at")).alias("column"))
+    column, name and way belong to refused words (see literals); a finding never repeats what was found.
+    """
+    lines = text_lines(files)
+    none = (F.lit(None).cast("long").alias("column"), F.lit(None).cast("int").alias("name"), F.lit(None).cast("string").alias("way"))
+    coded = lambda rows, code: rows.select("source_id", "line_no", F.lit(code).alias("code"), *none)
+    words = literals(files, names).select("source_id", "line_no", F.lit(LITERAL).alias("code"), "column", "name", "way")
+    by_line = [coded(id_lines(lines, allowed), ID), coded(lines.where(F.col("text").rlike(DATED_EXEMPTION)), DATED), coded(contained_lines(lines, sets), STAMPS)]
+    for part in by_line:
+        words = words.unionByName(part)
+    return words
 
 
 def suffix(path: Column) -> Column:
@@ -86,12 +130,13 @@ def suffix_census(files: DataFrame) -> DataFrame:
     return files.groupBy(suffix(F.col("path")).alias("suffix")).agg(F.count("*").alias("files"))
 
 
-def scope(files: DataFrame, needles: list[str], sets: DataFrame) -> DataFrame:
+def scope(files: DataFrame, names: list[str], sets: DataFrame) -> DataFrame:
     """One row: what the scan could not have found. files: path, read (whether its text was read).
 
     blind is true where a required scan would have to count as not run.
     """
-    short = sum(len(n.encode()) * 4 // 3 < RENDERING_FLOOR for n in needles)
+    names = [n for n in names if needles.squashed(n)]
+    short = sum(map(needles.under_floor, names))
     rows = files.agg(F.count("*").alias("files"), F.count_if(~F.col("read")).alias("unread"))
-    rows = rows.withColumn("literals", F.lit(len(needles))).withColumn("stamp_sets", sets.agg(F.count("*")).scalar()).withColumn("under_floor", F.lit(short))
+    rows = rows.withColumn("literals", F.lit(len(names))).withColumn("stamp_sets", sets.agg(F.count("*")).scalar()).withColumn("under_floor", F.lit(short))
     return rows.withColumn("blind", (F.col("literals") == 0) | (F.col("files") == F.col("unread")) | (F.col("stamp_sets") == 0))

@@ -64,10 +64,13 @@ def captions_around(moments: DataFrame, segments: DataFrame, window: float = 6.0
 
 
 def phrase_lookup(segments: DataFrame, phrases: list[str]) -> DataFrame:
-    """(recording_id, ord, phrase) of segments whose normalised text holds a phrase; a short list of phrases."""
-    found = F.array(*(F.lit(p) for p in phrases))
-    plain = segments.select(KEY, "ord", tx.alnum("text").alias("plain"), F.explode(found).alias("phrase"))
-    return plain.where(F.instr(F.col("plain"), F.col("phrase")) > 0).select(KEY, "ord", "phrase")
+    """(recording_id, ord, phrase) of segments whose normalised text holds a phrase; a short list of phrases.
+
+    Only phrases that are there make rows.
+    """
+    plain = segments.select(KEY, "ord", tx.alnum("text").alias("plain"))
+    held = F.filter(F.array(*map(F.lit, phrases)), lambda p: F.instr(F.col("plain"), p) > 0)
+    return plain.select(KEY, "ord", F.explode(held).alias("phrase"))
 
 
 def fuzzy_matches(wanted: DataFrame, seen: DataFrame, window: float = 30.0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators import alignment, coverage, planning, rules, sequence, witness
+from tidemark.operators import alignment, coverage, planning, rules, scan, sequence, witness
 from tidemark.plans import views
 from tidemark.plans.registry import Registry, r6
 from tidemark.plans.views import with_views
@@ -147,17 +147,15 @@ def id_shaped_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEEDLES = ["track(1", "utf-8", "worthless", "the.of"]
 
 
-def _squash(c: str) -> str:
-    return f"regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
+_FILES = "SELECT 'page-' || page_id AS source_id, html AS text FROM pages UNION ALL SELECT 'doc-' || doc_id, text FROM documents"
 
 
-@query(f"""
-WITH s AS (SELECT 'page-' || page_id AS source_id, html AS text FROM pages UNION ALL SELECT 'doc-' || doc_id, text FROM documents), r AS (SELECT *, unnest({_NEEDLES}) AS needle FROM s)
-SELECT DISTINCT source_id, needle, how FROM (SELECT source_id, needle, CASE WHEN strpos(text, needle) > 0 THEN 'raw' WHEN strpos({_squash('text')}, {_squash('needle')}) > 0 THEN 'squashed' WHEN length(to_base64(encode(needle))) >= 12 AND strpos(text, rtrim(translate(to_base64(encode(needle)), '+/', '-_'), '=')) > 0 THEN 'base64' END AS how FROM r) WHERE how IS NOT NULL""")
+@query("WITH " + views.literal_sql(_FILES, _NEEDLES, ["track1", "utf8", "worthless", "theof"]) + " SELECT * FROM literal")
 def refused_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refused words in whole pages and documents, one for each line and word."""
     pages = views.table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), "page_id").alias("source_id"), F.col("html").alias("text"))
     docs = views.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("source_id"), "text")
-    return rules.literals(pages.union(docs), _NEEDLES)
+    return scan.literals(pages.union(docs), _NEEDLES)
 
 
 @query("""SELECT coalesce(t.name, c.name) AS name, CASE WHEN c.code IS NULL THEN 'unread' WHEN t.code IS NULL THEN 'extra' WHEN t.code = c.code THEN 'correct' ELSE 'mispaired' END AS verdict

@@ -50,10 +50,24 @@ def suffix_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEEDLES = ["track(1", "utf-8", "thonan", "0"]
 
 
-@query()
+_PAGES = "SELECT page_id::VARCHAR AS source_id, coalesce(html, '') AS text FROM pages"
+
+
+@query(with_views(rf"""WITH {views.literal_sql(_PAGES, _NEEDLES[:3], ["track1", "utf8", "thonan"])},
+page_line AS (SELECT source_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS text FROM files),
+s AS (SELECT DISTINCT {_MOMENTS} AS known FROM note_line), k AS (SELECT known FROM s WHERE len(known) >= 2), a AS (SELECT source_id, line_no, {_MOMENTS} AS asked FROM page_line),
+b AS (SELECT * FROM a WHERE len(asked) >= 2 AND NOT (len(asked) = 2 AND len(list_filter(asked, lambda x: x % 60 <> 0)) = 0)),
+hit AS (SELECT DISTINCT asked FROM b JOIN k ON list_has_all(known, asked)),
+t AS (SELECT source_id, line_no, unnest(regexp_extract_all(text, '[A-Za-z0-9_-]+')) AS w FROM page_line),
+bare AS (
+  SELECT source_id, line_no, 'E-CORPUS-VIDEO-ID' AS code FROM t WHERE length(w) = 11 AND regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Z]') AND regexp_matches(w, '[a-z]') UNION ALL
+  SELECT source_id, line_no, 'E-CORPUS-DATED-EXEMPTION' FROM page_line WHERE regexp_matches(text, '(?i)\d{{4}}-\d{{2}}-\d{{2}}.{{0,80}}?\b(exempt|exemption|reaped|waiv)|\b(exempt|exemption|reaped|waiv)\w*.{{0,80}}?\d{{4}}-\d{{2}}-\d{{2}}') UNION ALL
+  SELECT source_id, line_no, 'E-CORPUS-ANCHOR-SET' FROM b SEMI JOIN hit USING (asked)
+)
+SELECT source_id, line_no, 'E-CORPUS-REFUSED-WORD' AS code, "column", name, way FROM literal UNION ALL SELECT source_id, line_no, code, NULL, NULL, NULL FROM bare""", "note_line"))
 def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything that the scan of page lines finds, by kind."""
-    pages = views.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.posexplode(F.split("html", "\n")).alias("line_no", "text"))
+    """Everything that the scan of whole pages finds."""
+    pages = views.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.coalesce("html", F.lit("")).alias("text"))
     return scan.findings(pages, _NEEDLES[:3], scan.stamp_sets(_corpus(spark, sf_dir)))
 
 

@@ -178,3 +178,37 @@ def with_views(body: str, *names: str) -> str:
     head = ", ".join(f"{n} AS ({SQL[n]})" for n in wanted)
     body = body.strip()
     return f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"
+
+
+#: Entities of the driver's tables and the signs that they stand for, as SQL; the ampersand comes last.
+ENTITIES = {"&nbsp;": "chr(160)", "&lt;": "'<'", "&gt;": "'>'", "&quot;": "chr(34)", "&#39;": "chr(39)", "&amp;": "'&'"}
+
+
+def literal_sql(files: str, names: list[str], spelt: list[str]) -> str:
+    """WITH tables that end in literal(source_id, line_no, "column", name, way): names in whole texts of files(source_id, text).
+
+    spelt: the names' letters and digits. For texts whose signs are their own compatibility forms, and whose entities are ENTITIES.
+    """
+    reach = max(map(len, spelt))
+    run = r"[\p{L}\p{N}]+"
+    at_once = " UNION ALL ".join(
+        f"SELECT source_id, way, pos, line_no, line_at, {' || '.join(['run', *(f'lead(run, {i}) OVER w' for i in range(1, j))])} AS spelt, {' OR '.join(['FALSE', *(f'lead(ends, {i}) OVER w' for i in range(1, j))])} AS ends FROM placed WINDOW w AS (PARTITION BY source_id, way ORDER BY k)"
+        for j in range(1, reach + 1)
+    )
+    opened = "text"
+    for entity, sign in ENTITIES.items():
+        opened = f"replace({opened}, '{entity}', {sign})"
+    named = ", ".join(f"({k + 1}, '{n}', '{s}')" for k, (n, s) in enumerate(zip(names, spelt, strict=True)))
+    return rf"""files AS ({files}),
+read AS (SELECT source_id, 3 AS way, text FROM files UNION ALL SELECT source_id, 5, {opened} FROM files WHERE text <> {opened}),
+runs AS (SELECT source_id, way, generate_subscripts(regexp_extract_all(text, '{run}'), 1) AS k, unnest(regexp_extract_all(text, '{run}')) AS run,
+  unnest(list_slice(regexp_split_to_array(text, '{run}'), 1, len(regexp_extract_all(text, '{run}')))) AS gap FROM read),
+sized AS (SELECT *, sum(length(gap) + length(run)) OVER (PARTITION BY source_id, way ORDER BY k) - length(run) AS pos,
+  sum(length(gap) - length(replace(gap, chr(10), ''))) OVER (PARTITION BY source_id, way ORDER BY k) + 1 AS line_no FROM runs),
+placed AS (SELECT source_id, way, k, lower(run) AS run, pos, line_no, coalesce(max(CASE WHEN contains(gap, chr(10)) THEN pos - strpos(reverse(gap), chr(10)) + 1 END) OVER (PARTITION BY source_id, way ORDER BY k), 0) AS line_at,
+  regexp_matches(run, '^\p{{Lu}}') AND regexp_matches(gap, '[.!?;]\s*[^\S\n]') AS ends FROM sized),
+names AS (SELECT * FROM (VALUES {named}) v(name, said, spelt)),
+forms AS (SELECT name, way, form FROM (SELECT name, said, unnest([0, 1, 2]) AS way, unnest([to_base64(encode(said)), translate(to_base64(encode(said)), '+/', '-_'), rtrim(to_base64(encode(said)), '=')]) AS form FROM names) WHERE length(form) >= 12 AND form <> said),
+coded AS (SELECT source_id, line_no, strpos(line, form) AS pos, name, way FROM (SELECT source_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM files) JOIN forms ON strpos(line, form) > 0),
+met AS (SELECT source_id, line_no, pos - line_at + 1 AS pos, name, way FROM ({at_once}) JOIN names USING (spelt) WHERE NOT ends UNION ALL SELECT * FROM coded),
+literal AS (SELECT source_id, line_no::BIGINT AS line_no, arg_min(pos, (way, pos))::BIGINT AS "column", name, ['base64', 'base64-url', 'base64-bare', 'squashed', 'percent', 'entities'][min(way) + 1] AS way FROM met GROUP BY source_id, line_no, name)"""
