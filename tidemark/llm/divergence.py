@@ -37,15 +37,18 @@ HELD_TERMS, STEP_PAIRS = 200_000, 500_000
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def _read(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in zip(columns, ("lang", "source", "text"), strict=False)))
+
+
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, n, df): occurrences of each term and the documents that have it. A null term stands for each group."""
-    read = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))))
+    """(lang, source, term, n, df): occurrences of each term and the documents that have it, as each task has counted them."""
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("df", pa.int64())])
 
     def emptied(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
         for (of, by), (counts, documents) in held.items():
-            terms = [None, *(t.decode() for t in counts)]
-            yield record_batch(schema, {"lang": [of] * len(terms), "source": [by] * len(terms), "term": terms, "n": [0, *counts.values()], "df": [0, *(documents[t] for t in counts)]})
+            terms = [t.decode() for t in counts]
+            yield record_batch(schema, {"lang": [of] * len(terms), "source": [by] * len(terms), "term": terms, "n": list(counts.values()), "df": [documents[t] for t in counts]})
         held.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,9 +58,9 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
             for of, by, content in zip(*(batch.column(k) for k in range(3)), strict=True):
                 counts, documents = held.setdefault((of.as_py(), by.as_py()), (Counter(), Counter()))
                 before = len(counts)
-                own = Counter(content.as_buffer().to_pybytes().translate(_TERM_BYTES).split())
-                counts.update(own)
-                documents.update(dict.fromkeys(own, 1))
+                terms = content.as_buffer().to_pybytes().translate(_TERM_BYTES).split()
+                counts.update(terms)
+                documents.update(set(terms))
                 size += len(counts) - before
                 if size > HELD_TERMS:
                     yield from emptied(held)
@@ -65,7 +68,7 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
         yield from emptied(held)
         trim()
 
-    return read.mapInArrow(run, "lang string, source string, term string, n long, df long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    return _read(docs, lang, source, text).mapInArrow(run, "lang string, source string, term string, n long, df long")
 
 
 def share(count: Column, size: Column) -> Column:
@@ -151,14 +154,16 @@ def _summed(schema: pa.Schema, held: dict[tuple[str, int, int], int]) -> pa.Reco
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST_DOCUMENTS, most: int = MOST_TERMS) -> DataFrame:
     """(lang, source, part, item, value, rank): each source's divergence from every other, and the terms that set it apart."""
     bounded_batches(docs.sparkSession)
-    counted = checkpointed(term_counts(docs, text, lang, source))
-    post = F.struct("source", "n")
-    by_term = counted.where("term is not null").groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("all_n"), F.collect_list(post).alias("posts"))
+    # Tasks have added up what they read, so rows are dealt by term at once; all that a term needs is then in one place.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = term_counts(docs, text, lang, source).repartition(n, "lang", "term")
+    counted = dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    by_term = counted.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("all_n"), F.collect_list(F.struct("source", "n")).alias("posts"))
     kept = checkpointed(by_term.where(F.col("df") >= least).select("lang", "term", "all_n", "posts"))
     # One row for each group and language.
     lists = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_n").alias("lang_n"))
     own = kept.select("lang", F.explode("posts").alias("p")).groupBy("lang", F.col("p.source").alias("source")).agg(F.sum("p.n").alias("group_n"))
-    groups = counted.where("term is null").select("lang", "source").join(own, ["lang", "source"], "left").join(lists, "lang", "left")
+    groups = _read(docs, lang, source).distinct().join(own, ["lang", "source"], "left").join(lists, "lang", "left")
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     sid = F.row_number().over(Window.partitionBy("lang").orderBy("source"))
     groups = checkpointed(groups.select("lang", "source", sid.alias("sid"), none("v").alias("v"), (none("group_n") + none("v")).alias("size"), (none("lang_n") + none("v")).alias("lang_size")))
