@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions.words import LANGUAGES
 from tidemark.operators import interval, sequence
-from tidemark.operators.sequence import KEY
+from tidemark.operators.folds import folded
+from tidemark.operators.running import KEY, numbered
 
 # Fixed limits of the decisions.
 SEAM_S, LOOP_RUN, SILENCE_S = 2.0, 4, 0.5
@@ -118,26 +120,27 @@ def trimmed(chunks: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def without_seam_repeats(rows: DataFrame) -> DataFrame:
-    """trimmed() rows without the sentences at a chunk's head that the chunks before it kept.
+    """(recording_id, chunk, ord, start_s, end_s, text) of trimmed() rows without the sentences at a chunk's head that the
+    chunks before it kept.
 
     A segment that starts by SEAM_S after the edge (the last end kept so far) goes if its words are those of one kept that
-    ends within four seams of the edge. What was kept decides on what comes, so a recording's rows are one pandas group.
+    ends within four seams of the edge. What was kept decides on what comes: a fold whose stretches are the chunks.
     """
 
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        kept, edge, tail = [], None, []
-        for _, part in df.sort_values(["chunk", "start_s", "ord"]).groupby("chunk", sort=True):
-            if edge is not None and part["keep_from"].notna().any():
-                known = {key for end, key in tail if end >= edge - 4 * SEAM_S}
-                part = part[~((part["start_s"] <= edge + SEAM_S) & part["key"].isin(known))]
-            kept.append(part)
-            if len(part):
-                edge = max(part["end_s"].max(), edge if edge is not None else float("-inf"))
-                tail = [(end, key) for end, key in [*tail, *zip(part["end_s"], part["key"], strict=True)] if end >= edge - 4 * SEAM_S]
-        return pd.concat(kept)
-
+    def advance(state: list | None, part: Iterable[tuple]) -> tuple[list[tuple], list]:
+        edge, tail = state or (None, [])
+        part = list(part)
+        if edge is not None and any(keep_from is not None and keep_from == keep_from for *_, keep_from in part):
+            known = {key for end, key in tail if end >= edge - 4 * SEAM_S}
+            part = [r for r in part if not (r[1] <= edge + SEAM_S and r[5] in known)]
+        if part:
+            edge = max([r[3] for r in part] + ([] if edge is None else [edge]))
+            tail = [[end, key] for end, key in [*tail, *([r[3], r[5]] for r in part)] if end >= edge - 4 * SEAM_S]
+        return [r[:5] for r in part], [edge, tail]
+
+    columns = ["chunk", "start_s", "ord", "end_s", "text", "key", "keep_from"]
     keyed = rows.withColumn("key", tx.normalise("text"))
-    return keyed.groupBy(KEY).applyInPandas(one, keyed.schema).drop("key")
+    return folded(keyed, columns, ["chunk", "start_s", "ord"], "chunk long, start_s double, ord long, end_s double, text string", advance, stretch=1.0)
 
 
 def assembled(chunks: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -151,8 +154,8 @@ def assembled(chunks: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]
     some, any_left = best.select(*CHUNK).distinct().withColumn("decoded", F.lit(True)), kept.select(*CHUNK).distinct()
     spans = plan.select(*CHUNK, "failed").join(responsibility(plan), CHUNK).join(any_left, CHUNK, "left_anti").join(some, CHUNK, "left")
     reason = F.when(F.col("failed").isNotNull(), F.col("failed")).when(F.col("decoded"), "failed").otherwise("empty")
-    order = F.row_number().over(Window.partitionBy(KEY).orderBy("chunk", "start_s", "ord")) - 1
-    return kept.select(KEY, order.cast("long").alias("ord"), "start_s", "end_s", "text"), spans.select(KEY, "from_s", "to_s", reason.alias("reason"))
+    placed = numbered(kept.withColumnRenamed("ord", "_ord"), ["chunk", "start_s", "_ord"], "ord", stretch=1.0)
+    return placed.select(KEY, "ord", "start_s", "end_s", "text"), spans.select(KEY, "from_s", "to_s", reason.alias("reason"))
 
 
 def language_code(value: Column) -> Column:

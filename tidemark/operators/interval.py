@@ -6,18 +6,18 @@ spread like any other equi-join, also within one long recording.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.sequence import KEY, SEGMENT_CAP, before, capped_end, in_order
+from tidemark.operators.running import KEY, latest, most, previous, running, total
+from tidemark.operators.sequence import ORDER, SEGMENT_CAP, capped_end
 
 
 def coalesce_spans(spans: DataFrame, gap: float = 0.0) -> DataFrame:
     """(recording_id, start_s, end_s, merged): spans joined while the next starts within gap of the end so far."""
-    reach = F.max("end_s").over(before())
-    fresh = F.coalesce(F.col("start_s") > reach + gap, F.lit(True))
-    marked = spans.withColumn("fresh", fresh.cast("long"))
-    marked = marked.withColumn("island", F.sum("fresh").over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    reached = running(spans.select(KEY, "start_s", "end_s", "ord"), ORDER, {"reach": most(F.col("end_s"))})
+    fresh = F.coalesce(F.col("start_s") > F.col("reach") + gap, F.lit(True))
+    marked = running(reached.withColumn("fresh", fresh.cast("long")), ORDER, {"island": total(F.col("fresh"))})
     return marked.groupBy(KEY, "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("merged")).drop("island")
 
 
@@ -45,9 +45,9 @@ def difference(claims: DataFrame, covers: DataFrame, widen: float = 0.5) -> Data
         return out.select(KEY, "e.t", (F.col("e.d") * claim).alias("claim"), (F.col("e.d") * (1 - claim)).alias("cover"))
 
     moments = events(claims, 1).union(events(covers, 0)).groupBy(KEY, "t").agg(F.sum("claim").alias("claim"), F.sum("cover").alias("cover"))
-    order = Window.partitionBy(KEY).orderBy("t")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    open_ = moments.select(KEY, F.col("t").alias("start_s"), F.lead("t").over(order).alias("end_s"), F.sum("claim").over(so_far).alias("claim"), F.sum("cover").over(so_far).alias("cover"), F.monotonically_increasing_id().alias("ord"))
+    summed = running(moments, ["t"], {"claim": total(F.col("claim")), "cover": total(F.col("cover"))})
+    ended = running(summed, ["t"], {"end_s": previous(F.col("t"))}, backwards=True)
+    open_ = ended.select(KEY, F.col("t").alias("start_s"), "end_s", "claim", "cover", F.lit(0).alias("ord"))
     return coalesce_spans(open_.where("claim > 0 and cover = 0 and end_s > start_s")).drop("merged")
 
 
@@ -56,7 +56,8 @@ def coverage(segments: DataFrame, spans: DataFrame | None = None, cap: float = S
 
     spans (recording_id, span_s) gives declared spans instead.
     """
-    reach = F.greatest(F.coalesce(F.max(capped_end(cap)).over(before()), F.lit(0.0)), F.lit(0.0))
+    segments = running(segments, ORDER, {"reach": most(capped_end(cap))})
+    reach = F.greatest(F.coalesce("reach", F.lit(0.0)), F.lit(0.0))
     own = segments.select(KEY, capped_end(cap).alias("end_c"), F.greatest(capped_end(cap) - F.greatest("start_s", reach), F.lit(0.0)).alias("gain"))
     total = own.groupBy(KEY).agg(F.sum("gain").alias("gain"), F.max("end_c").alias("span_s"))
     if spans is not None:
@@ -92,13 +93,11 @@ def nearest(points: DataFrame, frames: DataFrame) -> DataFrame:
     One ordered pass over both tables: the last frame before and the first one after each point.
     """
     both = points.select(KEY, "point_id", "at_s", F.lit(None).cast("double").alias("frame")).unionByName(frames.select(KEY, F.lit(None).cast("long").alias("point_id"), F.col("frame_s").alias("at_s"), F.col("frame_s").alias("frame")))
-    # Frames come before points of the same second.
-    order = Window.partitionBy(KEY).orderBy("at_s", F.col("frame").asc_nulls_last())
-    earlier = F.last("frame", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    # The same window read backwards: a frame that grows forwards is kept up, one that shrinks is built anew for each row.
-    back = Window.partitionBy(KEY).orderBy(F.col("at_s").desc(), F.col("frame").desc_nulls_first())
-    later = F.last("frame", True).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    found = both.select("*", earlier.alias("lo"), later.alias("hi")).where("point_id is not null")
+    # Frames come before points of the same second, however the order is read.
+    both = both.withColumn("_late", F.col("frame").isNull().cast("int"))
+    low = running(both, ["at_s", "_late"], {"lo": latest(F.col("frame"))})
+    found = running(low, ["at_s", "_late"], {"hi": latest(F.col("frame"))}, backwards=True).where("point_id is not null")
+    # A frame at the point's own second stands before it, so the backward reading misses it; the forward one has it.
     pick = F.when(F.col("lo").isNull(), F.col("hi")).when(F.col("hi").isNull(), F.col("lo")).when(F.col("at_s") - F.col("lo") <= F.col("hi") - F.col("at_s"), F.col("lo")).otherwise(F.col("hi"))
     return found.select(KEY, "point_id", "at_s", pick.alias("frame_s"))
 
@@ -106,8 +105,8 @@ def nearest(points: DataFrame, frames: DataFrame) -> DataFrame:
 def widest_gap(frames: DataFrame, durations: DataFrame) -> DataFrame:
     """(recording_id, gap_start, gap_s): the first widest gap among 0, the frames and the duration."""
     edges = frames.select(KEY, F.col("frame_s").alias("t")).union(durations.select(KEY, F.lit(0.0))).union(durations.select(KEY, "duration_s"))
-    order = Window.partitionBy(KEY).orderBy("t")
-    steps = edges.select(KEY, F.col("t").alias("gap_start"), (F.lead("t").over(order) - F.col("t")).alias("gap_s")).where("gap_s is not null")
+    steps = running(edges, ["t"], {"next": previous(F.col("t"))}, backwards=True)
+    steps = steps.select(KEY, F.col("t").alias("gap_start"), (F.col("next") - F.col("t")).alias("gap_s")).where("gap_s is not null")
     best = steps.groupBy(KEY).agg(F.max(F.struct("gap_s", (-F.col("gap_start")).alias("s"))).alias("b"))
     return best.select(KEY, (-F.col("b.s")).alias("gap_start"), "b.gap_s")
 
@@ -115,11 +114,9 @@ def widest_gap(frames: DataFrame, durations: DataFrame) -> DataFrame:
 def coverage_ledger(frames: DataFrame, cited: DataFrame, durations: DataFrame) -> DataFrame:
     """(recording_id, frames, uncited, longest_span): frames no one cites, and the longest stretch between cited ones around one."""
     marked = frames.join(cited.select(KEY, "frame_s").distinct().withColumn("cited", F.col("frame_s")), [KEY, "frame_s"], "left")
-    order = Window.partitionBy(KEY).orderBy("frame_s")
-    lo = F.coalesce(F.last("cited", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    back = Window.partitionBy(KEY).orderBy(F.col("frame_s").desc())
-    hi = F.last("cited", True).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    spans = marked.select(KEY, "cited", lo.alias("lo"), hi.alias("hi")).join(durations, KEY)
+    low = running(marked, ["frame_s"], {"_lo": latest(F.col("cited"), inclusive=False)})
+    high = running(low, ["frame_s"], {"hi": latest(F.col("cited"), inclusive=False)}, backwards=True)
+    spans = high.select(KEY, "cited", F.coalesce("_lo", F.lit(0.0)).alias("lo"), "hi").join(durations, KEY)
     free = F.col("cited").isNull()
     return spans.groupBy(KEY).agg(F.count("*").alias("frames"), F.count_if(free).alias("uncited"), F.max(F.when(free, F.coalesce("hi", "duration_s") - F.col("lo"))).alias("longest_span"))
 

@@ -6,13 +6,16 @@ windows over a note's lines or over the marks of one block; only fence markers a
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock
 from tidemark.functions import text as tx
 from tidemark.operators import interval, witness
-from tidemark.operators.sequence import KEY
+from tidemark.operators.folds import folded
+from tidemark.operators.running import KEY
 
 # How a note writes evidence classes, moments, rows and marks.
 CLASSES = ["ON-SCREEN", "SPOKEN", "INFERRED"]
@@ -69,28 +72,31 @@ def fence_balance(lines: DataFrame) -> DataFrame:
     return counts.withColumn("balanced", F.col("fences") % 2 == 0)
 
 
+#: Lines that a stretch of a note has.
+LINES = 20_000.0
+
+
 def fences(lines: DataFrame) -> DataFrame:
     """(recording_id, open_at, close_at) of code fences; close_at is null for one that nothing closes.
 
     A closer has the opener's character, is at least as long and stands alone. Only marker lines are folded.
     """
     mark = F.regexp_extract("text", STRICT_FENCE, 1)
-    marks = lines.withColumn("mark", mark).where("mark <> ''")
     bare = F.trim(F.regexp_replace(F.col("text"), STRICT_FENCE, "")) == ""
-    held = marks.select(KEY, F.struct(F.col("line_no").cast("long").alias("line_no"), F.substring("mark", 1, 1).alias("sign"), F.length("mark").alias("width"), bare.alias("bare")).alias("m"))
-    held = held.groupBy(KEY).agg(F.array_sort(F.collect_list("m")).alias("marks"))
-    span = "array<struct<open_at:bigint,close_at:bigint>>"
-    none = F.lit(None).cast("struct<line_no:bigint,sign:string,width:int,bare:boolean>")
-    zero = F.struct(none.alias("opener"), F.array().cast(span).alias("spans"))
-
-    def step(state: Column, m: Column) -> Column:
-        closes = (m["sign"] == state["opener"]["sign"]) & (m["width"] >= state["opener"]["width"]) & m["bare"]
-        done = F.concat(state["spans"], F.array(F.struct(state["opener"]["line_no"].alias("open_at"), m["line_no"].alias("close_at"))))
-        opened = F.struct(m.alias("opener"), state["spans"].alias("spans"))
-        return F.when(state["opener"].isNull(), opened).when(closes, F.struct(none.alias("opener"), done.alias("spans"))).otherwise(state)
-
-    left = lambda s: F.when(s["opener"].isNull(), s["spans"]).otherwise(F.concat(s["spans"], F.array(F.struct(s["opener"]["line_no"].alias("open_at"), F.lit(None).cast("long").alias("close_at")))))
-    return held.select(KEY, F.explode(F.aggregate("marks", zero, step, left)).alias("s")).select(KEY, "s.open_at", "s.close_at")
+    marks = lines.where(mark != "").select(KEY, F.col("line_no").cast("long").alias("line_no"), F.substring(mark, 1, 1).alias("sign"), F.length(mark).alias("width"), bare.alias("bare"))
+
+    def advance(opener: list | None, rows: Iterable[tuple]) -> tuple[list[tuple], list | None]:
+        done = []
+        for at, sign, width, alone in rows:
+            if opener is None:
+                opener = [at, sign, width]
+            elif sign == opener[1] and width >= opener[2] and alone:
+                done.append((opener[0], at))
+                opener = None
+        return done, opener
+
+    finish = lambda opener: [] if opener is None else [(opener[0], None)]
+    return folded(marks, ["line_no", "sign", "width", "bare"], ["line_no"], "open_at long, close_at long", advance, finish, stretch=LINES)
 
 
 def quoted(lines: DataFrame) -> DataFrame:

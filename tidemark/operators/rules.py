@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import interval, sequence
-from tidemark.operators.sequence import KEY, capped_end
+from tidemark.operators.running import KEY, most, previous, running, total
+from tidemark.operators.sequence import capped_end
 
 # Fixed limits of the health rules.
 RUN, GAP, DISTINCT, COVERAGE, TOP, NEAR, VOCABULARY, ENOUGH_S, ENOUGH_N, SEGMENT = 4, 20.0, 0.5, 0.5, 0.10, 8, 5.0, 300.0, 20, 120.0
@@ -32,29 +33,29 @@ def health(segments: DataFrame, durations: DataFrame | None = None) -> DataFrame
     durations (recording_id, duration_s) are declared spans: recordings without a segment are among the rows then, and
     missing_s is what lacks at the end. Else the span is the last believed end.
     """
-    order = sequence.in_order()
     keyed = segments.withColumn("key", tx.normalise("text")).withColumn("words", F.size(tx.tokens("text")).cast("long"))
     keyed = keyed.withColumn("content", F.array_distinct(tx.content_tokens("text")))
-    reach = F.greatest(F.coalesce(F.max(F.greatest(capped_end(), F.col("start_s"))).over(sequence.before()), F.lit(0.0)), F.lit(0.0))
-    covered = F.greatest(F.coalesce(F.max(capped_end()).over(sequence.before()), F.lit(0.0)), F.lit(0.0))
-    earlier = F.coalesce(F.lag("content").over(order), F.array().cast("array<string>"))
+    read = running(
+        keyed, sequence.ORDER,
+        {"_reach": most(F.greatest(capped_end(), F.col("start_s"))), "_covered": most(capped_end()), "_key": previous(F.col("key")), "_content": previous(F.col("content"))},
+    )
+    reach, covered = (F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)) for c in ("_reach", "_covered"))
+    earlier = F.coalesce("_content", F.array().cast("array<string>"))
     union, both = F.size(F.array_union("content", earlier)), F.size(F.array_intersect("content", earlier))
-    scanned = keyed.select(
-        KEY, "start_s", "ord", "end_s", "key", "words", "content", capped_end().alias("end_c"),
-        ((F.col("key") == F.lag("key").over(order)) & (F.col("key") != "")).alias("same"),
-        ((union > 0) & (both / union >= 0.8)).alias("alike"),
+    scanned = read.select(
+        KEY, "start_s", "ord", "end_s", "words", capped_end().alias("end_c"),
+        (~F.coalesce((F.col("key") == F.col("_key")) & (F.col("key") != ""), F.lit(False))).alias("fresh"),
+        (~F.coalesce((union > 0) & (both / union >= 0.8), F.lit(False))).alias("unlike"),
         (F.col("start_s") - reach > GAP).alias("gap"),
         F.greatest(capped_end() - F.greatest(F.col("start_s"), covered), F.lit(0.0)).alias("gain"),
     )
-    for flag, run in (("same", "run"), ("alike", "near")):
-        scanned = sequence.with_run(scanned, F.col(flag), run)
-    # Every partitioning below includes the recording, so one exchange serves all scans and the runs are counted in it.
-    length = lambda run: F.row_number().over(Window.partitionBy(KEY, run).orderBy("start_s", "ord"))
-    scanned = scanned.withColumn("run_at", length("run")).withColumn("near_at", length("near"))
+    scanned = running(scanned, sequence.ORDER, {"run": total(F.col("fresh").cast("long")), "near": total(F.col("unlike").cast("long"))})
+    # The longest run is the largest of the runs' counts.
+    longest = [scanned.groupBy(KEY, run).agg(F.count("*").alias("n")).groupBy(KEY).agg(F.max("n").alias(run)) for run in ("run", "near")]
     measured = scanned.groupBy(KEY).agg(
-        F.count("*").alias("segments"), F.sum("words").alias("words"), F.max("run_at").alias("run"), F.max("near_at").alias("near"),
-        F.count_if("gap").alias("gaps"), F.max("end_c").alias("span"), F.sum("gain").alias("gain"), F.max(F.col("end_s") - F.col("start_s")).alias("longest"),
+        F.count("*").alias("segments"), F.sum("words").alias("words"), F.count_if("gap").alias("gaps"), F.max("end_c").alias("span"), F.sum("gain").alias("gain"), F.max(F.col("end_s") - F.col("start_s")).alias("longest"),
     )
+    measured = measured.join(longest[0], KEY).join(longest[1], KEY)
     texts = keyed.groupBy(KEY, "key").agg(F.count("*").alias("n")).groupBy(KEY).agg(F.count("*").alias("distinct"), F.max("n").alias("top"))
     rows = measured.join(texts, KEY).join(vocabulary(segments), KEY, "left").na.fill(0, ["vocabulary"])
     rows = rows.withColumn("missing_s", F.lit(0.0))

@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock
 from tidemark.functions import text as tx
+from tidemark.operators.folds import folded
+from tidemark.operators.running import KEY, most, numbered, previous, running, total
 
-KEY = "recording_id"
 SEGMENT_CAP = 120.0
-#: Columns that rows of a fold are in order of.
-ORDERING = ["cue_no", "start_s", "ts", "at_s", "ord", "idx"]
 
 
-def in_order(*keys: str) -> Window:
-    return Window.partitionBy(*(keys or (KEY,))).orderBy("start_s", "ord")
-
-
-def so_far(*keys: str) -> Window:
-    return in_order(*keys).rowsBetween(Window.unboundedPreceding, 0)
-
-
-def before(*keys: str) -> Window:
-    return in_order(*keys).rowsBetween(Window.unboundedPreceding, -1)
+#: The order of segments.
+ORDER = ["start_s", "ord"]
 
 
 def capped_end(cap: float = SEGMENT_CAP) -> Column:
@@ -35,16 +25,17 @@ def capped_end(cap: float = SEGMENT_CAP) -> Column:
     return F.least(F.col("end_s"), F.col("start_s") + cap)
 
 
-def with_run(segments: DataFrame, same: Column, run: str) -> DataFrame:
-    """Number the islands of rows that continue their predecessor. `same` may use window expressions."""
-    marked = segments.withColumn(run, F.coalesce(same, F.lit(False)))
-    return marked.withColumn(run, F.sum((~F.col(run)).cast("long")).over(so_far()))
+def with_run(segments: DataFrame, earlier: dict[str, Column], same: Column, run: str) -> DataFrame:
+    """Number the islands of rows that continue the row before; earlier: columns of that row that `same` may read, null at first."""
+    read = running(segments, ORDER, {name: previous(value) for name, value in earlier.items()})
+    marked = read.withColumn("_same", F.coalesce(same, F.lit(False)))
+    return running(marked, ORDER, {run: total((~F.col("_same")).cast("long"))}).drop("_same", *earlier)
 
 
 def identical_runs(segments: DataFrame) -> DataFrame:
     """Segments with run_key and run number; a run continues while the normalised text is equal and not empty."""
     keyed = segments.withColumn("run_key", tx.normalise("text"))
-    return with_run(keyed, (F.col("run_key") == F.lag("run_key").over(in_order())) & (F.col("run_key") != ""), "run")
+    return with_run(keyed, {"_key": F.col("run_key")}, (F.col("run_key") == F.col("_key")) & (F.col("run_key") != ""), "run")
 
 
 def longest_identical_run(segments: DataFrame) -> DataFrame:
@@ -57,11 +48,10 @@ def longest_identical_run(segments: DataFrame) -> DataFrame:
 def near_runs(segments: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Segments with a run number; a run continues while neighbouring word sets overlap by the similarity or more."""
     worded = segments.withColumn("words", F.array_distinct(tx.content_tokens("text")))
-    earlier = F.coalesce(F.lag("words").over(in_order()), F.array().cast("array<string>"))
-    worded = worded.withColumn("earlier", earlier)
-    union = F.size(F.array_union("words", "earlier"))
-    same = (union > 0) & (F.size(F.array_intersect("words", "earlier")) / union >= similarity)
-    return with_run(worded, same, "near").drop("words", "earlier")
+    earlier = F.coalesce("_words", F.array().cast("array<string>"))
+    union = F.size(F.array_union("words", earlier))
+    same = (union > 0) & (F.size(F.array_intersect("words", earlier)) / union >= similarity)
+    return with_run(worded, {"_words": F.col("words")}, same, "near").drop("words")
 
 
 def longest_near_run(segments: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -72,24 +62,9 @@ def longest_near_run(segments: DataFrame, similarity: float = 0.8) -> DataFrame:
 
 def gaps(segments: DataFrame, limit: float = 20.0, cap: float = SEGMENT_CAP) -> DataFrame:
     """(recording_id, gap_start, gap_end) of stretches longer than limit without a segment."""
-    reach = F.coalesce(F.max(F.greatest(capped_end(cap), F.col("start_s"))).over(before()), F.lit(0.0))
-    reach = F.greatest(reach, F.lit(0.0))
-    return segments.withColumn("gap_start", reach).where(F.col("start_s") - F.col("gap_start") > limit).select(KEY, "gap_start", F.col("start_s").alias("gap_end"))
-
-
-def folded(rows: DataFrame, columns: list[str], schema: str, one: Callable[[Iterable[tuple]], Iterator[tuple]]) -> DataFrame:
-    """(recording_id, ...) of what one() yields for each recording's rows (columns, which also order them).
-
-    For scans whose state depends on what was kept, which windows can't express: one pass over a recording's sorted rows, in
-    a pandas group.
-    """
-    names = [KEY, *(field.split()[0] for field in schema.split(","))]
-
-    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        ordered = df.sort_values([c for c in columns if c in ORDERING]) if len(df) > 1 else df
-        return pd.DataFrame([(key[0], *r) for r in one(ordered[columns].itertuples(index=False, name=None))], columns=names)
-
-    return rows.select(KEY, *columns).groupBy(KEY).applyInPandas(run, f"{KEY} {rows.schema[KEY].dataType.simpleString()}, {schema}")
+    reached = running(segments, ORDER, {"reach": most(F.greatest(capped_end(cap), F.col("start_s")))})
+    start = F.greatest(F.coalesce("reach", F.lit(0.0)), F.lit(0.0))
+    return reached.withColumn("gap_start", start).where(F.col("start_s") - F.col("gap_start") > limit).select(KEY, "gap_start", F.col("start_s").alias("gap_end"))
 
 
 def mean_difference(a: Column, b: Column) -> Column:
@@ -121,60 +96,75 @@ def transcript(segments: DataFrame) -> DataFrame:
 def merged_frames(sampled: DataFrame, pinned: DataFrame) -> DataFrame:
     """(recording_id, idx, t, pinned) of (recording_id, t) frames in one numbered list, sampled ones first at equal times."""
     both = sampled.select(KEY, "t", F.lit(0).alias("pinned")).union(pinned.select(KEY, "t", F.lit(1)))
-    order = Window.partitionBy(KEY).orderBy("t", "pinned")
-    return both.select(KEY, (F.row_number().over(order) - 1).alias("idx"), "t", "pinned")
+    return numbered(both, ["t", "pinned"], "idx").select(KEY, F.col("idx").cast("int").alias("idx"), "t", "pinned")
 
 
 def last_kept(frames: DataFrame, threshold: float = 2.0) -> DataFrame:
     """(recording_id, idx, ts) of frames that differ from the last kept one by more than the threshold."""
 
-    def one(rows: Iterable[tuple]) -> Iterator[tuple]:
-        last = None
+    def advance(last: list | None, rows: Iterable[tuple]) -> tuple[list[tuple], list | None]:
+        kept, held = [], None if last is None else np.asarray(last)
         for ts, idx, thumb in rows:
             thumb = np.asarray(thumb, dtype=np.float64)
-            if last is None or len(last) != len(thumb) or not len(thumb) or np.abs(last - thumb).mean() > threshold:
-                last = thumb
-                yield idx, float(ts)
+            if held is None or len(held) != len(thumb) or not len(thumb) or np.abs(held - thumb).mean() > threshold:
+                held = thumb
+                kept.append((idx, float(ts)))
+        return kept, None if held is None else held.tolist()
 
-    return folded(frames, ["ts", "idx", "thumb"], "idx long, ts double", one)
+    return folded(frames, ["ts", "idx", "thumb"], ["ts", "idx"], "idx long, ts double", advance)
 
 
 def spaced_picks(times: DataFrame, min_gap: float = 20.0, limit: int = 12) -> DataFrame:
-    """(recording_id, pick_no, at_s): seconds at least min_gap after the last one picked, at most limit of them."""
+    """(recording_id, pick_no, at_s): seconds at least min_gap after the last one picked, at most limit of them.
+
+    A pick is followed by one in the next two stretches of min_gap seconds that have any, so 3 * limit of these stretches
+    (one more for each pick, as places are rounded) hold all picks, and no more are read.
+    """
 
-    def one(rows: Iterable[tuple]) -> Iterator[tuple]:
-        last, picks = None, 0
+    def advance(last: float | None, rows: Iterable[tuple]) -> tuple[list[tuple], float | None]:
+        picked = []
         for (at,) in rows:
-            if picks < limit and (last is None or at - last >= min_gap):
-                yield picks, at
-                last, picks = at, picks + 1
+            if last is None or at - last >= min_gap:
+                picked.append((at,))
+                last = at
+        return picked, last
 
-    return folded(times.where(F.col("at_s").isNotNull()), ["at_s"], "pick_no int, at_s double", one)
+    times = times.where(F.col("at_s").isNotNull()).select(KEY, "at_s").distinct()
+    if min_gap > 0:
+        near = F.floor(F.col("at_s") / min_gap)
+        asked = times.select(KEY, near.alias("_near")).distinct().withColumn("_rank", F.row_number().over(Window.partitionBy(KEY).orderBy("_near"))).where(F.col("_rank") <= 3 * limit)
+        times = times.withColumn("_near", near).join(asked, [KEY, "_near"], "left_semi")
+    found = folded(times, ["at_s"], ["at_s"], "at_s double", advance, number="pick_no")
+    return found.where(F.col("pick_no") < limit).select(KEY, F.col("pick_no").cast("int").alias("pick_no"), "at_s")
 
 
 def collapse_equal(segments: DataFrame) -> DataFrame:
     """Neighbouring segments of equal text as one, which ends where the last of them ends."""
-    runs = with_run(segments, F.col("text") == F.lag("text").over(in_order()), "run")
+    runs = with_run(segments, {"_text": F.col("text")}, F.col("text") == F.col("_text"), "run")
     return runs.groupBy(KEY, "run").agg(F.min("start_s").alias("start_s"), F.max_by("end_s", F.struct("start_s", "ord")).alias("end_s"), F.first("text").alias("text"), F.count("*").alias("merged"))
 
 
 def collapse_growing(segments: DataFrame) -> DataFrame:
     """Neighbours of equal text, or whose text begins with the (grown) one before, as one segment."""
 
-    def one(rows: Iterable[tuple]) -> Iterator[tuple]:
-        held, number = None, 0
+    def advance(held: list | None, rows: Iterable[tuple]) -> tuple[list[tuple], list | None]:
+        done = []
         for start, _, end, text in rows:
             if held is not None and (text == held[2] or text.startswith(held[2] + " ")):
-                held = (held[0], end, text)
+                held = [held[0], end, text]
                 continue
             if held is not None:
-                yield number, *held
-                number += 1
-            held = (start, end, text)
-        if held is not None:
-            yield number, *held
+                done.append(tuple(held))
+            held = [start, end, text]
+        return done, held
 
-    return folded(segments, ["start_s", "ord", "end_s", "text"], "ord int, start_s double, end_s double, text string", one)
+    finish = lambda held: [] if held is None else [tuple(held)]
+    found = folded(segments, ["start_s", "ord", "end_s", "text"], ORDER, "start_s double, end_s double, text string", advance, finish, number="ord")
+    return found.select(KEY, F.col("ord").cast("int").alias("ord"), "start_s", "end_s", "text")
+
+
+#: Cues that a stretch of them has.
+CUES = 2000.0
 
 
 def strip_rollover(cues: DataFrame) -> DataFrame:
@@ -183,23 +173,23 @@ def strip_rollover(cues: DataFrame) -> DataFrame:
     A wholly repeated cue only extends the end of the one before. cues: recording_id, cue_no, start_s, end_s, lines.
     """
 
-    def one(rows: Iterable[tuple]) -> Iterator[tuple]:
-        shown: list[str] = []
-        held = None
+    def advance(state: list | None, rows: Iterable[tuple]) -> tuple[list[tuple], list]:
+        shown, held = state or ([], None)
+        done = []
         for number, start, end, lines in rows:
             lines = list(lines)
             cut = next(k for k in range(min(len(shown), len(lines)), -1, -1) if shown[len(shown) - k :] == lines[:k])
             if len(lines) > cut:
                 if held is not None:
-                    yield held
+                    done.append(tuple(held))
                 shown = lines[cut:]
-                held = (number, start, end, " ".join(shown))
+                held = [number, start, end, " ".join(shown)]
             elif held is not None:
-                held = (held[0], held[1], max(held[2], end), held[3])
-        if held is not None:
-            yield held
+                held = [held[0], held[1], max(held[2], end), held[3]]
+        return done, [shown, held]
 
-    return folded(cues, ["cue_no", "start_s", "end_s", "lines"], "cue_no long, start_s double, end_s double, text string", one)
+    finish = lambda state: [tuple(state[1])] if state and state[1] else []
+    return folded(cues, ["cue_no", "start_s", "end_s", "lines"], ["cue_no", "start_s"], "cue_no long, start_s double, end_s double, text string", advance, finish, stretch=CUES)
 
 
 def regroup_words(words: DataFrame, span: float = 4.0, silence: float = 0.5, sentence: float = 1.0) -> DataFrame:
@@ -208,21 +198,23 @@ def regroup_words(words: DataFrame, span: float = 4.0, silence: float = 0.5, sen
     A new one begins when it would span more than `span`, after `silence`, or after a sentence end once it has lasted.
     """
 
-    def one(rows: Iterable[tuple]) -> Iterator[tuple]:
-        group: list[tuple] = []
-        number = 0
+    def advance(group: list | None, rows: Iterable[tuple]) -> tuple[list[tuple], list]:
+        done, group = [], list(group or [])
         for start, _, end, text in rows:
             if group:
                 begun, ended = group[0][0], group[-1][1]
                 complete = group[-1][2].endswith((".", "?", "!")) and ended - begun >= sentence
                 if end - begun > span or start - ended >= silence or complete:
-                    yield number, begun, ended, " ".join(w for *_, w in group)
-                    number, group = number + 1, []
-            group.append((start, end, text))
-        if group:
-            yield number, group[0][0], group[-1][1], " ".join(w for *_, w in group)
+                    done += finish(group)
+                    group = []
+            group.append([start, end, text])
+        return done, group
+
+    def finish(group: list | None) -> list[tuple]:
+        return [(group[0][0], group[-1][1], " ".join(w for *_, w in group))] if group else []
 
-    return folded(words, ["start_s", "ord", "end_s", "text"], "ord int, start_s double, end_s double, text string", one)
+    found = folded(words, ["start_s", "ord", "end_s", "text"], ORDER, "start_s double, end_s double, text string", advance, finish, number="ord")
+    return found.select(KEY, F.col("ord").cast("int").alias("ord"), "start_s", "end_s", "text")
 
 
 def dead_runs(anchors: DataFrame, spans: DataFrame, bucket: float = 60.0) -> DataFrame:

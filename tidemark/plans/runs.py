@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import clock
 from tidemark.functions import text as tx
 from tidemark.operators import coverage, rules, sequence
+from tidemark.operators.running import previous, running
 from tidemark.plans import views
 from tidemark.plans.registry import Registry, r6
 from tidemark.plans.views import with_views
@@ -168,8 +169,9 @@ SELECT recording_id, cue_no, max_by(start_s, k) AS start_s, max_by(end_s, k) AS
 def rollover_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues of three lines that roll over by two."""
     lines = views.seg_line(spark, sf_dir)
-    order = sequence.in_order()
-    held = F.array_compact(F.array(F.lag("text", 2).over(order), F.lag("text", 1).over(order), F.col("text")))
+    lines = running(lines, sequence.ORDER, {"one": previous(F.col("text"))})
+    lines = running(lines, sequence.ORDER, {"two": previous(F.col("one"))})
+    held = F.array_compact(F.array("two", "one", "text"))
     return sequence.strip_rollover(lines.select("recording_id", F.col("ord").alias("cue_no"), "start_s", "end_s", held.alias("lines")))
 
 
