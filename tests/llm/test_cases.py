@@ -176,3 +176,27 @@ def test_media_hash_by_direct_transform():
     bits[0] = False
     assert media.phash(samples) == np.packbits(bits).tobytes().hex()
     assert zlib.crc32(media.encode(samples)) == zlib.crc32(media.encode(samples))
+
+
+def test_an_id_with_several_texts_is_one_node(spark):
+    x, y, z = (prose(40 + k, 60) for k in range(3))
+    rows = [(1, x), (2, y), (3, x), (3, y), (4, z), (5, z), (5, "a b c d e f g"), (6, "a b c d e f g"), (7, prose(50, 60))]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 7)}
+    assert {r.doc_id for r in found if r.kept} == {1, 4, 7}
+
+
+def test_a_component_never_meets_itself(spark):
+    from pyspark.sql import functions as F
+
+    counts = {}
+    for size in (1000, 4000):
+        # One component of that size, a stray class, and another component under one key.
+        rows = spark.range(size).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("rep"), F.lit(0).cast("long").alias("label"))
+        rows = rows.unionByName(spark.createDataFrame([(1, size + k, size + k) for k in range(3)], "key long, rep long, label long"))
+        block = near_dedup.blocks_of(rows)
+        assert block.count() == size + 3 and block.where("pool is null").count() == 3
+        counts[size] = near_dedup.meetings(rows, block).count()
+    assert counts[4000] < 4.5 * counts[1000] and counts[4000] < 200
+    small = spark.range(600).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("rep"), F.col("id").alias("label"))
+    assert near_dedup.blocks_of(small).where("pool is not null").count() == 0

@@ -8,14 +8,15 @@ at 0.8 below 2.1e-5, at 0.9 below 1e-9.
 Documents with equal sets are one class from the start. Table keys that several classes share are compared in rounds: in
 each, every class meets one leader of its keys, links are verified, and keys whose members are connected by then are done.
 After ROUNDS of these (whose leaders differ), classes of different components that share a key meet in blocks of a bounded
-size, two blocks at a time, and no pair leaves a task before it is known to be a link; so a link is lost only where no
+size, two blocks at a time (never two of one component), and no pair leaves a task before it is known to be a link; so a link is lost only where no
 table brings its ends together. No partner is dropped by number. Signatures of WIDE two-bit minimum hashes stop pairs that
 they put far below the threshold (6 standard deviations: one link in 10^9) before their texts are fetched; all others are
 decided by the exact condition 100 * |A and B| >= 75 * |A or B|.
 
 Cases: null or empty texts have no shingles and no links; texts under five words are one shingle of all their words;
-rows with a null doc_id are kept, unlinked, with a null component; rows that share a doc_id are one node of the graph,
-linked if any of their texts is; repeated rows share a result.
+rows with a null doc_id are kept, unlinked, with a null component; rows that share a doc_id are one node of the graph, so all
+its texts and what they link with are one component; repeated rows share a result; texts of any length are read whole; an
+empty table gives no row; only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -234,21 +235,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def blocks_of(members: DataFrame) -> DataFrame:
-    """(rep, block): classes in blocks of about FAMILY_BLOCK that lie together by the smallest class they share a key with."""
+    """(rep, block, pool): classes in blocks of about FAMILY_BLOCK that lie together by the smallest class they share a key with.
+
+    A component that fills a block has blocks of its own (pool is its label); the classes of small ones share blocks (pool
+    is null).
+    """
     least = members.groupBy("key").agg(F.min("rep").alias("least"))
-    homes = members.join(least, "key").groupBy("rep").agg(F.min("least").alias("home"))
-    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / FAMILY_BLOCK).alias("blocks"))
-    return homes.join(sizes, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"))
+    homes = members.join(least, "key").groupBy("rep").agg(F.min("least").alias("home"), F.first("label").alias("label"))
+    counted = homes.groupBy("home", "label").agg(F.count("*").alias("n"))
+    own = F.col("n") >= FAMILY_BLOCK
+    pools = counted.select("home", "label", own.alias("own"), F.when(own, F.col("label")).otherwise(0).alias("who"), "n")
+    sizes = pools.groupBy("home", "own", "who").agg(F.ceil(F.sum("n") / FAMILY_BLOCK).alias("blocks"))
+    of = homes.join(pools.drop("n"), ["home", "label"]).join(sizes, ["home", "own", "who"])
+    return of.select("rep", F.xxhash64("home", "own", "who", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"), F.when(F.col("own"), F.col("label")).alias("pool"))
 
 
 def meetings(members: DataFrame, block: DataFrame) -> DataFrame:
-    """(g, block): the groups in which two blocks meet, or one meets itself, because a key has classes of both.
+    """(g, block): the groups in which two blocks meet, or a shared one meets itself, because a key has classes of both.
 
-    Keys with the same blocks, as those of a family mostly are, count once before their pairs of blocks are formed.
+    Two blocks of one component have nothing to find and never meet, so a large component that shares a key with a few
+    others costs in proportion to its size. Keys with the same blocks, as those of a family mostly are, count once before
+    their pairs of blocks are formed.
     """
-    held = members.join(block, "rep").groupBy("key").agg(F.sort_array(F.collect_set("block")).alias("blocks")).select("blocks").distinct()
-    firsts = held.select("blocks", F.posexplode("blocks").alias("at", "one"))
-    met = firsts.select("one", F.explode(F.slice("blocks", F.col("at") + 1, F.size("blocks") - F.col("at"))).alias("other")).distinct()
+    held = members.join(block, "rep").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("block", "pool"))).alias("blocks")).select("blocks").distinct()
+    firsts = held.select("blocks", F.posexplode("blocks").alias("at", "b"))
+    later = F.filter(F.slice("blocks", F.col("at") + 1, F.size("blocks") - F.col("at")), lambda o: o["pool"].isNull() | F.col("b.pool").isNull() | (o["pool"] != F.col("b.pool")))
+    met = firsts.select(F.col("b.block").alias("one"), F.explode(later).alias("met")).select("one", F.col("met.block").alias("other")).distinct()
     return met.select(F.xxhash64("one", "other").alias("g"), F.explode(F.array_distinct(F.array("one", "other"))).alias("block"))
 
 
@@ -346,7 +358,7 @@ def across(members: DataFrame, wide: DataFrame, texts: DataFrame) -> DataFrame:
     """
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = checkpointed(blocks_of(members))
-    at = meetings(members, block).join(block, "block").select("g", "rep")
+    at = meetings(members, block).join(block.select("rep", "block"), "block").select("g", "rep")
     known = members.select("rep", "label").distinct().join(wide, "rep")
     at = checkpointed(at.join(known, "rep").select("g", "rep", "label", "n", "sig").repartition(n, "g").sortWithinPartitions("g").mapInArrow(_hopeful, "g long, rep long").distinct())
     labels = members.select("rep", "label").distinct()
@@ -362,6 +374,14 @@ def _relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(mixed.groupBy("content", "size").agg(F.min("key").alias("key")).select("key"), "key")
 
 
+def shared_ids(linkable: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) links between the classes of each id that has several texts: the id is one node, so they are one component."""
+    several = linkable.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")).where("lo <> hi").select("doc_id")
+    of = linkable.join(several, "doc_id").select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
+    first = of.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return of.join(first, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of (doc_id, text)."""
     spark = docs.sparkSession
@@ -376,7 +396,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wide = checkpointed(texts.mapInArrow(_sign_wide, "rep long, n long, sig binary"))
     # The first leader of a class is the smallest class of its keys.
     pairs = members.where("rep > least").groupBy("rep").agg(F.min("least").alias("a")).select("a", F.col("rep").alias("b"))
-    links = checkpointed(verified(in_stars(checkpointed(_agreeing(pairs, wide))), texts))
+    links = checkpointed(verified(in_stars(checkpointed(_agreeing(pairs, wide))), texts).union(shared_ids(linkable, classes)))
     labels = components(links)
     members = checkpointed(_relabelled(members, labels))
     for turn in range(1, ROUNDS):
