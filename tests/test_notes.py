@@ -148,6 +148,62 @@ def test_sets_count_their_members(spark):
     assert "parts (2 listed):\n\n- one more\n- two" in shown and "{{SET:two parts}}" in shown and shown.endswith("`p.md`")
 
 
+def test_repeated_tokens_have_their_own_lines(spark):
+    body = '{{CITE:a.md#"q"}}\n\n{{CITE:a.md#"q"}} {{CITE:a.md#"two\nlines"}}\n{{CITE:a.md#"q"}}\n{{cite:x {{CITE:b {{CITE:c#"d"}}'
+    bodies = spark.createDataFrame([("n", body), ("m", "plain")], "note string, body string")
+    assert [(r.k, r.line_no) for r in filing.citations(bodies).orderBy("k").collect()] == [(0, 0), (1, 2), (2, 2), (3, 4), (4, 5)]
+    found = sorted((r.line_no, r.code) for r in filing.token_defects(bodies).collect())
+    assert found == [(5, "E-CITE-MALFORMED"), (5, "E-CITE-MALFORMED")]
+
+
+def test_sets_that_are_unsound_are_named(spark):
+    cases = {
+        "unclosed": ("a\n{{SET:x}}\n- one\n{{SET:y}}\n- two", [("x", "E-SET-UNCLOSED", 1)], [(1, "E-SET-UNCLOSED"), (3, "E-SET-MALFORMED")]),
+        "nested": ("{{SET:x}}\n{{SET:y}}\n- one\n{{/SET}}\n{{/SET}}", [("x", "E-SET-NESTED", 0), ("y", None, 1)], [(0, "E-SET-NESTED")]),
+        "late": ("{{SET:x}}\n- one\n{{/SET}}\n{{SET:y}}\n- two", [("x", None, 0), ("y", "E-SET-UNCLOSED", 3)], [(3, "E-SET-UNCLOSED")]),
+        "malformed": ("{{ SET:x}}\n- one\n{{/SET}}", [], [(0, "E-SET-MALFORMED")]),
+        "stray": ("{{/SET}} x", [], []),
+    }
+    bodies = spark.createDataFrame([(n, c[0]) for n, c in cases.items()], "note string, body string")
+    found = {}
+    for r in filing.sets(bodies).orderBy("note", "k").collect():
+        found.setdefault(r.note, []).append((r.label, r.code, r.line_no))
+    defects = {}
+    for r in filing.token_defects(bodies).collect():
+        defects.setdefault(r.note, []).append((r.line_no, r.code))
+    for name, (_, sets, wrong) in cases.items():
+        assert found.get(name, []) == sets and sorted(defects.get(name, [])) == wrong, name
+
+
+def test_sets_of_one_label_are_rendered_each(spark):
+    body = "{{SET:x}}\n- a\n{{/SET}}\n\nmid {{SET:x}}\n- b\n- c\n{{/SET}} end {{SET:bad 2}}\n- d\n{{/SET}}"
+    (r,) = filing.rendered(spark.createDataFrame([("n", body)], "note string, body string")).collect()
+    assert r.body == "x (1 listed):\n\n- a\n\nmid x (2 listed):\n\n- b\n- c\n end {{SET:bad 2}}\n- d\n{{/SET}}"
+
+
+def test_a_note_without_status_is_named(spark):
+    heads = [("a", None, None), ("b", "done", None), ("c", "capture", "x"), ("d", "applied", None), ("e", "applied", "gone"), ("f", "applied", "x"), ("g", "capture", None), ("h", " ", None)]
+    found = filing.status_defects(spark.createDataFrame(heads, "note string, status string, applied_to string"), spark.createDataFrame([("x",)], "path string"))
+    assert {r.note: r.code for r in found.collect()} == {"a": "E-STATUS-MISSING", "b": "E-STATUS-UNKNOWN", "c": "E-STATUS-APPLIED", "d": "E-STATUS-NOEDGE", "e": "E-STATUS-EDGE", "h": "E-STATUS-MISSING"}
+
+
+def test_patterns_walk_the_tree(spark):
+    listing = ["runs/vid/x.json", "runs/vid/chunks/c1.json", "runs/vid/chunks/c10.json", "runs/oth/run.json", "runs/oth/x.json", "corpus/a.md", "corpus/deep/er/b.md", "a.md", "/abs/runs/v/r.json", "runs/vid/[odd].txt"]
+    files_ = spark.createDataFrame([(p,) for p in listing], "path string")
+    asked = {
+        "runs/*/x.json": ("runs/oth/x.json", False), "c?.json": (None, False), "chunks/c?.json (what it is)": ("runs/vid/chunks/c1.json", True), "runs/vid/../oth/run.json": ("runs/oth/run.json", False), "chunks/*.json": ("runs/vid/chunks/c1.json", True),
+        "chunks/c[2-9]*.json": (None, False), "chunks/c[!2-9]?.json": ("runs/vid/chunks/c10.json", True), "**/b.md": ("corpus/deep/er/b.md", False), "corpus/**": ("corpus/a.md", False), "./x.json": ("runs/vid/x.json", True), "a.md": ("a.md", False),
+        "/abs/runs/v/r.json": ("/abs/runs/v/r.json", False), "/**/*.json": (None, False), "[[]odd].txt": ("runs/vid/[odd].txt", True), "": (None, False),
+    }
+    declared = spark.createDataFrame([(f"n{k}", "vid", o) for k, o in enumerate(asked)] + [("none", "vid", None)], "note string, recording_id string, oracle string")
+    found = {r.oracle: (r.path, r.related) for r in filing.oracle_targets(declared, files_).collect()}
+    assert found.pop(None) == (None, False)
+    # Without a corpus folder an absolute pattern may only name what lies under the runs folder.
+    assert {k: v for k, v in found.items() if v != asked[k]} == {"/**/*.json": ("/abs/runs/v/r.json", False)}
+    bounded = {r.oracle: r.path for r in filing.oracle_targets(declared, files_, runs="/abs/runs", root="corpus").collect()}
+    assert bounded["/**/*.json"] is None and bounded["a.md"] == "corpus/a.md" and bounded["/abs/runs/v/r.json"] == "/abs/runs/v/r.json"
+
+
 def test_enumerations_must_count(spark):
     text = "There are three parts:\n- a\n- b\n\nboth sides:\n- a\n- b\nplain\n- one of two things:\n- x"
     assert [(r.line_no, r.stated, r.listed) for r in filing.enumerations(lines(spark, text, "note")).collect()] == [(0, 3, 2)]

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from tidemark.functions import clock
 from tidemark.functions import text as tx
 from tidemark.functions.words import COUNTS
-from tidemark.operators import notes
+from tidemark.operators import notes, paths
 
 # Tokens of the notation, section names and marks.
 CITE = r'\{\{CITE:([^#]*?)#"((?:(?!\{\{)[\s\S])*?)"\}\}'
 CITE_START, SET_START = r"(?i)\{\{\s*CITE", r"(?i)\{\{\s*SET"
-SET = r"(?s)\{\{SET:([^}]*)\}\}(.*?)\{\{/SET\}\}"
+SET_TOKEN = r"\{\{SET:[^}]*\}\}|\{\{/SET\}\}"
 COUNT_WORD = r"(?i)\b(?:\d+|" + "|".join(COUNTS) + r"|all|every)\b"
 LANE = r"^[a-z0-9][a-z0-9-]*$"
 CLAIMS, OBJECTIONS, SPECULATION, META = "Claims", "Strongest objection", "Speculation", ["", "Run notes", "Action"]
@@ -41,13 +41,42 @@ def plain_lines(files: DataFrame) -> DataFrame:
     return lines.select("path", F.sum(starts.cast("long")).over(order).alias("block"), "line_no", plain_text(F.col("line")).alias("plain"))
 
 
+def _newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, "\n", ""))
+
+
+def _lines_before(text: Column, pattern: str) -> Column:
+    """For each match of a pattern, in order, how many line ends stand before it."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    own = F.zip_with(F.slice(F.split(text, pattern), 1, F.size(found)), found, lambda gap, token: F.struct(_newlines(gap).alias("gap"), _newlines(token).alias("token")))
+    add = lambda upto: F.aggregate(upto, F.struct(F.lit(0).alias("all"), F.lit(0).alias("before")), lambda s, x: F.struct((s["all"] + x["gap"] + x["token"]).alias("all"), (s["all"] + x["gap"]).alias("before")), lambda s: s["before"])
+    return F.transform(own, lambda _, k: add(F.slice(own, 1, k + 1)))
+
+
 def citations(bodies: DataFrame) -> DataFrame:
-    """(note, k, path, quote, line_no) of every citation token of (note, body), in order; k counts from 0."""
-    pairs = F.arrays_zip(F.regexp_extract_all("body", F.lit(CITE), F.lit(1)).alias("path"), F.regexp_extract_all("body", F.lit(CITE), F.lit(2)).alias("quote"), F.regexp_extract_all("body", F.lit(CITE), F.lit(0)).alias("token"))
-    rows = bodies.select("note", "body", F.posexplode(pairs).alias("k", "c"))
-    before = F.substr(F.col("body"), F.lit(1), F.instr(F.col("body"), F.col("c.token")))
-    line = F.length(before) - F.length(F.translate(before, "\n", ""))
-    return rows.select("note", F.col("k").cast("long").alias("k"), tx.one_line("c.path").alias("path"), plain_text(F.col("c.quote")).alias("quote"), line.cast("long").alias("line_no"))
+    """(note, k, path, quote, line_no) of every citation token of (note, body), in order; k and line_no count from 0."""
+    part = lambda k: F.regexp_extract_all("body", F.lit(CITE), F.lit(k))
+    pairs = F.arrays_zip(part(1).alias("path"), part(2).alias("quote"), _lines_before(F.col("body"), CITE).alias("line"))
+    rows = bodies.select("note", F.posexplode(pairs).alias("k", "c"))
+    return rows.select("note", F.col("k").cast("long").alias("k"), tx.one_line("c.path").alias("path"), plain_text(F.col("c.quote")).alias("quote"), F.col("c.line").cast("long").alias("line_no"))
+
+
+def token_defects(bodies: DataFrame) -> DataFrame:
+    """(note, line_no, code) of what opens a citation or a set and forms none, wherever it stands, and of sets that are unsound."""
+    tokens, gaps = F.regexp_extract_all("body", F.lit(CITE), F.lit(0)), F.split("body", CITE)
+    # Text between citations, and what follows the opening of each: another opening there is malformed.
+    places = _lines_before(F.col("body"), CITE)
+    open_ = lambda text, base: F.transform(_lines_before(text, CITE_START), lambda n: n + base)
+    first = F.get(F.regexp_extract_all("body", F.lit(CITE_START), F.lit(0)), F.lit(0))
+    inner = F.transform(tokens, lambda t, k: open_(F.substr(t, F.lit(3), F.length(t)), F.get(places, k)))
+    outer = F.transform(gaps, lambda g, k: open_(g, F.when(k == 0, 0).otherwise(F.get(places, k - 1) + _newlines(F.get(tokens, k - 1)))))
+    cites = bodies.where(first.isNotNull()).select("note", F.explode(F.flatten(F.concat(inner, outer))).alias("line_no"), F.lit("E-CITE-MALFORMED").alias("code"))
+    begun, recorded = _lines_before(F.col("body"), SET_START), F.filter(_set_blocks(F.col("body")), lambda s: s["recorded"])
+    # Openings that form a set are found in the same order, so the rest are those that the recorded ones don't account for.
+    loose = bodies.select("note", F.posexplode(F.zip_with(begun, _set_starts(F.col("body")), lambda line, k: F.struct(line.alias("line"), k.alias("formed")))).alias("k", "s"), F.transform(recorded, lambda s: s["number"]).alias("sound"))
+    malformed_ = loose.where(F.col("s.formed").isNull() | ~F.array_contains("sound", F.col("s.formed"))).select("note", F.col("s.line").alias("line_no"), F.lit("E-SET-MALFORMED").alias("code"))
+    unsound = sets(bodies).where("code is not null").select("note", "line_no", "code")
+    return cites.select("note", F.col("line_no").cast("long").alias("line_no"), "code").unionByName(malformed_.select("note", F.col("line_no").cast("long").alias("line_no"), "code")).unionByName(unsound)
 
 
 def malformed(bodies: DataFrame) -> DataFrame:
@@ -77,36 +106,70 @@ def resolved_citations(bodies: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("note", "k", "line_no", "path", "quote", "target_line", F.when(code.isNull(), F.col("sha256")).alias("sha256"), code.alias("code"))
 
 
-def sets(bodies: DataFrame) -> DataFrame:
-    """(note, k, label, members, code) of set blocks of (note, body). A member is a list item with the lines after it."""
-    pairs = F.arrays_zip(F.regexp_extract_all("body", F.lit(SET), F.lit(1)).alias("label"), F.regexp_extract_all("body", F.lit(SET), F.lit(2)).alias("inner"))
-    rows = bodies.select("note", F.posexplode(pairs).alias("k", "s")).select("note", F.col("k").cast("long").alias("k"), tx.one_line("s.label").alias("label"), F.split("s.inner", "\n").alias("lines"))
-    item = notes.ITEM
+def _set_starts(body: Column) -> Column:
+    """For each opening of a set however written, the number of the well-formed opening that it is, or null."""
+    formed = F.transform(F.regexp_extract_all(body, F.lit(SET_START + r"(?:[^}]*\}\})?"), F.lit(0)), lambda t: t.rlike(r"^\{\{SET:[^}]*\}\}$"))
+    return F.transform(formed, lambda ok, k: F.when(ok, F.size(F.filter(F.slice(formed, 1, k), lambda x: x))))
+
+
+def _set_blocks(body: Column) -> Column:
+    """array<struct(number, line, label, members, code, recorded, sound, token, after)> of a body's set tokens, in order.
+
+    A set is an opening whose next token closes it. token is the token's text and after what follows it up to the next;
+    closing tokens have no number. Of openings that nothing closes only the first is recorded.
+    """
+    none = F.array().cast("array<string>")
+    tokens, gaps, lines = F.regexp_extract_all(body, F.lit(SET_TOKEN), F.lit(0)), F.split(body, SET_TOKEN), _lines_before(body, SET_TOKEN)
+    is_open = lambda t: t.startswith("{{SET:")
 
     def grow(state: Column, line: Column) -> Column:
         head = F.slice(state, 1, F.size(state) - 1)
         more = F.concat(head, F.array(F.concat(F.element_at(state, -1), F.lit(" "), F.trim(line))))
-        return F.when(line.rlike(item), F.concat(state, F.array(F.rtrim(line)))).when((F.size(state) > 0) & (F.trim(line) != ""), more).otherwise(state)
+        return F.when(line.rlike(notes.ITEM), F.concat(state, F.array(F.rtrim(line)))).when((F.size(state) > 0) & (F.trim(line) != ""), more).otherwise(state)
+
+    def one(token: Column, k: Column) -> Column:
+        after = F.coalesce(F.get(gaps, k + 1), F.lit(""))
+        following = F.get(tokens, k + 1)
+        members = F.when(is_open(token), F.aggregate(F.split(after, "\n"), none, grow)).otherwise(none)
+        label = tx.one_line(F.regexp_extract(token, r"^\{\{SET:([^}]*)\}\}$", 1))
+        closed = F.exists(F.slice(tokens, k + 2, F.size(tokens)), lambda t: ~is_open(t))
+        code = F.when(~closed, "E-SET-UNCLOSED").when(is_open(following), "E-SET-NESTED").when(F.size(members) == 0, "E-SET-EMPTY").when(F.regexp_replace(label, "`[^`]*`", " ").rlike(COUNT_WORD), "E-SET-COUNT")
+        # An unclosed set ends the reading: openings after it aren't sets.
+        last_close = F.size(tokens) - F.array_position(F.reverse(F.transform(tokens, is_open)), F.lit(False))
+        ended = F.when(F.forall(tokens, is_open), k > 0).otherwise(k > last_close + 1)
+        number = F.size(F.filter(F.slice(tokens, 1, k), is_open))
+        return F.struct(
+            F.when(is_open(token), number).alias("number"), F.get(lines, k).alias("line"), label.alias("label"), members.alias("members"), F.when(is_open(token), code).alias("code"),
+            (is_open(token) & ~ended).alias("recorded"), (is_open(token) & ~ended & code.isNull()).alias("sound"), token.alias("token"), after.alias("after"),
+        )
+
+    return F.transform(tokens, one)
+
 
-    rows = rows.withColumn("members", F.aggregate("lines", F.array().cast("array<string>"), grow))
-    inner = F.array_join("lines", "\n")
-    code = F.when(inner.contains("{{SET:"), "E-SET-NESTED").when(F.size("members") == 0, "E-SET-EMPTY").when(F.regexp_replace("label", "`[^`]*`", " ").rlike(COUNT_WORD), "E-SET-COUNT")
-    return rows.select("note", "k", "label", "members", code.alias("code"))
+def sets(bodies: DataFrame) -> DataFrame:
+    """(note, k, label, members, code, line_no) of the sets that (note, body) opens. A member is a list item with the lines after it.
+
+    A set that never closes, holds another, lists nothing or states a count itself has a code.
+    """
+    rows = bodies.select("note", F.explode(F.filter(_set_blocks(F.col("body")), lambda s: s["recorded"])).alias("s"))
+    return rows.select("note", F.col("s.number").cast("long").alias("k"), "s.label", F.when(F.coalesce("s.code", F.lit("")).isin("E-SET-UNCLOSED", "E-SET-NESTED"), F.array().cast("array<string>")).otherwise(F.col("s.members")).alias("members"), "s.code", F.col("s.line").cast("long").alias("line_no"))
 
 
 def rendered(bodies: DataFrame) -> DataFrame:
     """(note, body) with citations as paths in code and sound sets under a written count. Only tokens are touched."""
-    plain = F.regexp_replace("body", CITE, "`$1`")
-    found = sets(bodies.select("note", plain.alias("body"))).where("code is null")
-    heads = found.groupBy("note").agg(F.map_from_entries(F.collect_list(F.struct("label", F.concat(F.col("label"), F.lit(" ("), F.size("members"), F.lit(" listed):\n\n"), F.array_join("members", "\n"))))).alias("texts"))
-    rows = bodies.select("note", plain.alias("body")).join(heads, "note", "left")
-    # A body is cut at its set blocks; the pieces between them and the rendered sets take turns.
-    pieces = F.split("body", SET)
-    labels = F.transform(F.regexp_extract_all("body", F.lit(SET), F.lit(1)), tx.one_line)
-    raw = F.regexp_extract_all("body", F.lit(SET), F.lit(0))
-    shown = F.transform(labels, lambda label, k: F.coalesce(F.try_element_at("texts", label), F.get(raw, k)))
-    joined = F.array_join(F.flatten(F.transform(pieces, lambda p, k: F.array(p, F.coalesce(F.get(shown, k), F.lit(""))))), "")
-    return rows.select("note", F.when(F.size(raw) > 0, joined).otherwise(F.col("body")).alias("body"))
+    rows = bodies.select("note", F.regexp_replace("body", CITE, "`$1`").alias("body"))
+    rows = rows.select("note", "body", _set_blocks(F.col("body")).alias("tokens"))
+
+    def shown(s: Column, k: Column) -> Column:
+        head = F.concat(s["label"], F.lit(" ("), F.size(s["members"]).cast("string"), F.lit(" listed):\n\n"), F.array_join(s["members"], "\n"))
+        # What follows a set is what follows its closing token; a rendered set never runs into it.
+        tail = F.coalesce(F.get("tokens", k + 1)["after"], F.lit(""))
+        closing = (k > 0) & F.coalesce(F.get("tokens", k - 1)["sound"], F.lit(False))
+        own = F.when(s["sound"], F.concat(head, F.when(tail.startswith("\n\n"), "").otherwise("\n"))).when(closing, s["after"]).otherwise(F.concat(s["token"], s["after"]))
+        return own
+
+    lead = F.get(F.split("body", SET_TOKEN), F.lit(0))
+    return rows.select("note", F.concat(lead, F.array_join(F.transform("tokens", shown), "")).alias("body"))
 
 
 def enumerations(lines: DataFrame) -> DataFrame:
@@ -303,9 +366,11 @@ def filing_refusals(notes_: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def status_defects(headers: DataFrame, files: DataFrame) -> DataFrame:
-    """(note, code) of headers (note, status, applied_to): unknown states, and applied notes whose target isn't there."""
-    rows = headers.join(files.select(F.col("path").alias("applied_to"), F.lit(True).alias("there")), "applied_to", "left")
-    code = F.when(~F.col("status").isin(STATUSES), "E-STATUS").when((F.col("status") == "applied") & F.col("applied_to").isNull(), "E-APPLIED-MISSING").when((F.col("status") == "applied") & F.col("there").isNull(), "E-APPLIED-NOFILE").when((F.col("status") != "applied") & F.col("applied_to").isNotNull(), "E-APPLIED-EARLY")
+    """(note, code) of headers (note, status, applied_to): no state, unknown ones, and edges that only one of both claims."""
+    rows = headers.join(files.select(F.col("path").alias("applied_to"), F.lit(True).alias("there")).distinct(), "applied_to", "left")
+    status, target = F.nullif(F.trim("status"), F.lit("")), F.nullif(F.trim("applied_to"), F.lit(""))
+    code = F.when(status.isNull(), "E-STATUS-MISSING").when(~status.isin(STATUSES), "E-STATUS-UNKNOWN").when((status != "applied") & target.isNotNull(), "E-STATUS-APPLIED")
+    code = code.when((status == "applied") & target.isNull(), "E-STATUS-NOEDGE").when((status == "applied") & F.col("there").isNull(), "E-STATUS-EDGE")
     return rows.select("note", code.alias("code")).where("code is not null")
 
 
@@ -330,20 +395,25 @@ def verify_listing(expected: DataFrame, found: DataFrame, closed: bool = False)
     return rows.select("path", code.alias("code")).where("code is not null")
 
 
-def oracle_targets(declared: DataFrame, files: DataFrame) -> DataFrame:
-    """(note, oracle, path, related): the first file, by path, that an oracle (a path or a pattern with *) names.
+def oracle_targets(declared: DataFrame, files: DataFrame, runs: str = "runs", root: str = "") -> DataFrame:
+    """(note, oracle, path, related): the file that an oracle names, and whether it is the recording's own.
 
-    related: one of the path's folders is the recording's id. declared: note, recording_id, oracle.
+    The oracle's first word is a path or a pattern (see paths). A relative one is looked for in the recording's folder of
+    runs, then in root; an absolute pattern only within one of both. related: a folder of the file, or the file, is named as
+    the recording is. declared: note, recording_id, oracle; files: path.
     """
-    like = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("oracle", r"([.+()\[\]{}^$|?])", r"\\$1"), r"\*", "[^/]*"), F.lit("$"))
-    exact = declared.where(~F.col("oracle").contains("*")).join(files.select("path"), F.col("path") == F.col("oracle"), "left")
-    folder = F.regexp_extract("oracle", r"^([^*]*/)", 1)
-    # A pattern meets the files of the folder that it begins with.
-    listed = files.select("path", F.regexp_extract("path", r"^(.*/)", 1).alias("folder"))
-    globbed = declared.where(F.col("oracle").contains("*")).withColumn("folder", folder).join(listed, "folder", "left").where(F.col("path").isNull() | F.expr("true")).withColumn("fits", F.coalesce(F.regexp_like("path", like), F.lit(False)))
-    rows = exact.select("note", "recording_id", "oracle", "path").unionByName(globbed.select("note", "recording_id", "oracle", F.when(F.col("fits"), F.col("path")).alias("path")))
-    best = rows.groupBy("note", "recording_id", "oracle").agg(F.min("path").alias("path"))
-    return best.select("note", "oracle", "path", F.coalesce(F.array_contains(F.split("path", "/"), F.col("recording_id")), F.lit(False)).alias("related"))
+    token = F.regexp_extract("oracle", r"^\s*(\S+)", 1)
+    rows = declared.select("note", F.col("recording_id").cast("string").alias("recording_id"), "oracle", token.alias("token")).withColumn("absolute", F.col("token").startswith("/"))
+    own = F.when(F.coalesce("recording_id", F.lit("")) != "", F.concat(F.lit(f"{runs}/"), "recording_id", F.lit("/"), "token"))
+    places = F.when(F.col("absolute"), F.array("token")).otherwise(F.array(own, F.concat(F.lit(f"{root}/" if root else ""), "token")))
+    asked = rows.where("token <> ''").select("*", F.posexplode(places).alias("turn", "raw")).where("raw is not null").withColumn("pattern", paths.normal(F.col("raw")))
+    anchored = F.regexp_extract(F.concat("pattern", F.lit("/")), rf"^((?:[^/*?\[]*/)*)", 1)
+    within = [anchored.startswith(f"{base.rstrip('/')}/") if base else F.lit(True) for base in (runs, root)]
+    asked = asked.where(~F.col("absolute") | ~F.col("token").rlike(paths.WILD) | within[0] | within[1])
+    found = paths.resolved(asked, files)
+    best = asked.join(found, "pattern").where("path is not null").groupBy("note", "oracle").agg(F.min_by("path", "turn").alias("path"))
+    out = rows.join(best, ["note", "oracle"], "left")
+    return out.select("note", "oracle", "path", F.coalesce(F.array_contains(F.split("path", "/"), F.col("recording_id")), F.lit(False)).alias("related"))
 
 
 def bare_paths(lines: DataFrame) -> DataFrame:

@@ -323,12 +323,12 @@ def filing_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filing.filing_refusals(rows, rows.select("recording_id", "note"))
 
 
-@query("""WITH h AS (SELECT doc_id::VARCHAR AS note, (['capture', 'applied', 'lost', 'applied'])[doc_id % 4 + 1] AS status, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id + 900)::VARCHAR END AS target FROM documents), f AS (SELECT doc_id::VARCHAR AS path FROM documents)
-SELECT note, code FROM (SELECT note, CASE WHEN status = 'lost' THEN 'E-STATUS' WHEN status = 'applied' AND target IS NULL THEN 'E-APPLIED-MISSING' WHEN status = 'applied' AND path IS NULL THEN 'E-APPLIED-NOFILE' WHEN status <> 'applied' AND target IS NOT NULL THEN 'E-APPLIED-EARLY' END AS code FROM h LEFT JOIN f ON path = target) WHERE code IS NOT NULL""")
+@query("""WITH h AS (SELECT doc_id::VARCHAR AS note, (['capture', 'applied', 'lost', 'applied', NULL])[doc_id % 5 + 1] AS status, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id + 900)::VARCHAR END AS target FROM documents), f AS (SELECT doc_id::VARCHAR AS path FROM documents)
+SELECT note, code FROM (SELECT note, CASE WHEN status IS NULL THEN 'E-STATUS-MISSING' WHEN status = 'lost' THEN 'E-STATUS-UNKNOWN' WHEN status <> 'applied' AND target IS NOT NULL THEN 'E-STATUS-APPLIED' WHEN status = 'applied' AND target IS NULL THEN 'E-STATUS-NOEDGE' WHEN status = 'applied' AND path IS NULL THEN 'E-STATUS-EDGE' END AS code FROM h LEFT JOIN f ON path = target) WHERE code IS NOT NULL""")
 def status_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of documents as notes, and whether what they were applied to is there."""
     d = views.table(spark, sf_dir, "documents")
-    status = F.element_at(F.array(*map(F.lit, ["capture", "applied", "lost", "applied"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    status = F.element_at(F.array(*map(F.lit, ["capture", "applied", "lost", "applied", None])), (F.col("doc_id") % 5 + 1).cast("int"))
     heads = d.select(F.col("doc_id").cast("string").alias("note"), status.alias("status"), F.when(F.col("doc_id") % 3 == 0, None).otherwise((F.col("doc_id") + 900).cast("string")).alias("applied_to"))
     return filing.status_defects(heads, d.select(F.col("doc_id").cast("string").alias("path")))
 
@@ -408,3 +408,27 @@ def align_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.seg_conv(spark, sf_dir)
     found = alignment.regions(s.where("role = 'user'"), s.where("role = 'assistant'"))
     return found.select("recording_id", "rank", "tag", "at_s", "size", "is_salient")
+
+
+# Addresses of pages as files of one listing, and patterns made of them: as they are, by *, by ?, by a class, through "..", or by **.
+_PAGE_PATH = r"regexp_extract(url, '://([^?#]*[^?#/])', 1)"
+_PATTERN = """CASE page_id % 6 WHEN 0 THEN path WHEN 1 THEN regexp_replace(path, '[^/]+$', '*') WHEN 2 THEN regexp_replace(path, '[0-9a-z]$', '?') WHEN 3 THEN regexp_replace(path, '[0-9a-z]$', '[0-4a-l]')
+  WHEN 4 THEN host || '/no/../' || substr(path, length(host) + 2) ELSE host || '/**' END"""
+
+
+@query(rf"""WITH p AS (SELECT page_id, {_PAGE_PATH} AS path FROM pages), f AS (SELECT *, regexp_extract(path, '^[^/]*') AS host FROM p WHERE path <> ''), d AS (SELECT *, {_PATTERN} AS oracle FROM f),
+plain AS (SELECT page_id, oracle, replace(oracle, '/no/../', '/') AS want FROM d),
+form AS (SELECT page_id, oracle, '^' || replace(replace(replace(regexp_replace(replace(want, '.', '[.]'), '\*\*$', '@@'), '*', '[^/]*'), '?', '[^/]'), '@@', '.*') || '$' AS form FROM plain),
+met AS (SELECT page_id, oracle, min(string_split(path, '/')) AS best FROM form JOIN (SELECT DISTINCT path FROM f) ON regexp_matches(path, form) GROUP BY ALL)
+SELECT page_id::VARCHAR AS note, oracle, array_to_string(best, '/') AS path, coalesce(list_contains(best, lang), FALSE) AS related
+FROM d LEFT JOIN met USING (page_id, oracle) JOIN (SELECT page_id, string_split({_PAGE_PATH}, '/')[2] AS lang FROM pages) USING (page_id)""")
+def oracle_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page that each page's pattern names, and whether it is in the page's own language."""
+    p = views.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^?#]*[^?#/])", 1).alias("path")).where("path <> ''")
+    host = F.substring_index("path", "/", 1)
+    kinds = [F.col("path"), F.regexp_replace("path", "[^/]+$", "*"), F.regexp_replace("path", "[0-9a-z]$", "?"), F.regexp_replace("path", "[0-9a-z]$", "[0-4a-l]"), F.concat(host, F.lit("/no/../"), F.substr("path", F.length(host) + 2)), F.concat(host, F.lit("/**"))]
+    oracle = kinds[5]
+    for k in range(5):
+        oracle = F.when(F.col("page_id") % 6 == k, kinds[k]).otherwise(oracle)
+    declared = p.select(F.col("page_id").cast("string").alias("note"), F.get(F.split("path", "/"), F.lit(1)).alias("recording_id"), oracle.alias("oracle"))
+    return filing.oracle_targets(declared, p.select("path").distinct())
