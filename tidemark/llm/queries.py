@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,12 +40,12 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir)).drop("media")
 
 
-#: For the driver's synthetic tables only. A corpus of real people sets spark.tidemark.surrogates.key to a secret.
-SYNTHETIC_KEY = "synthetic tables"
-
-
 def surrogate_key(spark: SparkSession) -> bytes:
-    return spark.conf.get("spark.tidemark.surrogates.key", SYNTHETIC_KEY).encode()
+    """The session's secret: spark.tidemark.surrogates.key, or else one drawn for this session, which nobody can repeat."""
+    name = "spark.tidemark.surrogates.key"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, secrets.token_hex(32))
+    return spark.conf.get(name).encode()
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,9 @@ validity, IBANs their country and check digits, addresses their first octet, pho
 under reserved names stay. Given names are permuted within the list of their script and gender. Emails and names are
 matched without regard to case and written in the case found.
 
+Names are found by a listed given name, a form of address, or an introduction ("met", "my name is"), and from then on by any
+of their words alone. A name is replaced word by word, so "Schmidt" is what "Maria Schmidt" has become.
+
 The key is the caller's secret: whoever has it can undo the permutations, and without it nobody can repeat them.
 
 Within a document a surrogate must differ from every entity of the document and from the other surrogates; on a
@@ -17,8 +20,9 @@ collision that entity alone takes the next tweak of the key, in order of first a
 tweaks run out. Such an entity may have another surrogate in another document: distinctness within a document comes
 before coreference across documents.
 
-Cases: null text stays null with no entities; text without entities is unchanged to the byte; repeated rows, ties and
-texts of any length are treated alike; nothing depends on other rows.
+Cases: null text stays null with no entities; a null doc_id stays null; an empty table gives no row; text without entities is
+unchanged to the byte; repeated rows, ties (of two entities that begin together the first kind listed is taken) and texts of
+any length are treated alike and whole; nothing depends on other rows, and columns of other names aren't read.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,7 +51,10 @@ GIVEN = {
     ("greek", "m"): "Γιώργος Νίκος Κώστας Δημήτρης Γιάννης Παναγιώτης Βασίλης Χρήστος".split(),
 }
 # Fixed forms of address, after which one or two capitalised words are a name.
-TITLES = "Mr. Mrs. Ms. Miss Herr Frau Monsieur Madame Mademoiselle Señor Señora Señorita Господин Госпожа Κύριος Κυρία".split()
+TITLES = "Mr. Mrs. Ms. Miss Dr. Prof. Sir Lady Herr Frau Monsieur Madame Mademoiselle Señor Señora Señorita Господин Госпожа Κύριος Κυρία".split()
+
+# Fixed words after which two capitalised words are a name, whatever lists say.
+INTRODUCTIONS = "met named contact signed regards sincerely heiße namens getroffen rencontré nommé appelle llamo encontró llamado".split()
 
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 _ALPHABETS = [
@@ -203,8 +211,17 @@ def _people() -> tuple[frozenset[str], re.Pattern]:
     given = "|".join([*names, *(n.upper() for n in names)])
     upper = "[^\\W\\d_a-zß-öø-ÿа-яα-ω]"
     name = f"{upper}[^\\W\\d_]+(?:-{upper}[^\\W\\d_]+)?"
-    pattern = re.compile(f"(?<!\\w)(?:(?:{titles})[ ](?P<titled>{name}(?:[ ]{name})?)|(?P<full>(?:{given})[ ]{name}))(?!\\w)")
-    return frozenset([*(t.rstrip(".") for t in TITLES), *names, *(n.upper() for n in names)]), pattern
+    pattern = re.compile(f"(?<!\\w)(?:(?:{titles})[ ](?:(?:{titles})[ ])*(?P<titled>{name}(?:[ ]{name})?)|(?P<full>(?:{given})[ ]{name})|(?:{'|'.join(INTRODUCTIONS)}),?[ ](?P<introduced>{name}[ ]{name}))(?!\\w)")
+    return frozenset([*(t.rstrip(".") for t in TITLES), *INTRODUCTIONS, *names, *(n.upper() for n in names)]), pattern
+
+
+#: Letters that a part of a name needs to be looked for by itself.
+ALONE = 3
+
+
+def _name_words(entity: str) -> list[str]:
+    """The words of a name, and what stands between them, in turns."""
+    return re.split(r"(\s+|-)", entity)
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
@@ -218,14 +235,23 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                 start += len(m[0]) - len(m[0].lstrip(".-+"))
             out.append((start, end, m.lastgroup))
     words, people = _people()
-    # A listed name or title has no word character on either side, so it is one whole run of them.
+    # A listed name, title or introduction has no word character on either side, so it is one whole run of them.
     if not words.isdisjoint(re.findall(r"\w+", text)):
-        taken = out
+        marked, parts = len(out), set()
         for m in people.finditer(text):
-            group = "titled" if m["titled"] else "full"
-            start, end = m.span(group)
-            if all(end <= a or start >= b for a, b, _ in taken):
-                out = [*out, (start, end, "person")]
+            start, end = m.span(m.lastgroup)
+            if all(end <= a or start >= b for a, b, _ in out[:marked]):
+                out.append((start, end, "person"))
+                parts.update(w for w in _name_words(m[m.lastgroup])[::2] if len(w) >= ALONE)
+        if parts:
+            # Whoever was named may be named again by one part of the name.
+            taken = sorted(out)
+            alone = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(parts | {w.upper() for w in parts}, key=len, reverse=True))) + r")(?!\w)")
+            starts = [a for a, _, _ in taken]
+            for m in alone.finditer(text):
+                near = bisect_right(starts, m.start()) - 1
+                if (near < 0 or taken[near][1] <= m.start()) and (near + 1 == len(taken) or taken[near + 1][0] >= m.end()):
+                    out.append((*m.span(), "person"))
     return sorted(out)
 
 
@@ -249,23 +275,36 @@ def _candidates(kind: str, entity: str, key: bytes) -> Iterator[str]:
 
 
 def replaced(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with all entities replaced, and what was found."""
+    """The text with all entities replaced, and what was found.
+
+    Names are replaced word by word, so a part of a name gets what it has in the whole one.
+    """
     found = entities(text)
     if not found:
         return text, found
-    originals = {text[a:b] for a, b, _ in found}
-    chosen: dict[tuple[str, str], str] = {}
+    # What is replaced: whole entities, and the words of names, which count as one whatever their case.
+    pieces = [(kind, piece) for a, b, kind in found for piece in (_name_words(text[a:b])[::2] if kind == "person" else [text[a:b]])]
+    same = lambda kind, piece: piece.lower() if kind == "person" else piece
+    originals = {same(kind, piece) for kind, piece in pieces}
+    chosen: dict[tuple[str, str], int] = {}
     used: set[str] = set()
-    for a, b, kind in found:
-        entity = text[a:b]
-        if (kind, entity) in chosen:
-            continue
-        surrogate = next(s for s in _candidates(kind, entity, key) if s not in used and s not in originals)
-        chosen[kind, entity] = surrogate
-        used.add(surrogate)
+    for kind, piece in pieces:
+        if (kind, same(kind, piece)) not in chosen:
+            number, surrogate = next((n, s) for n, s in enumerate(_candidates(kind, piece, key)) if same(kind, s) not in used and same(kind, s) not in originals)
+            chosen[kind, same(kind, piece)] = number
+            used.add(same(kind, surrogate))
+
+    @lru_cache(maxsize=None)
+    def surrogate_of(kind: str, piece: str) -> str:
+        return next(islice(_candidates(kind, piece, key), chosen[kind, same(kind, piece)], None))
+
     out, at = [], 0
     for a, b, kind in found:
-        out += [text[at:a], chosen[kind, text[a:b]]]
+        out.append(text[at:a])
+        if kind == "person":
+            out += [surrogate_of(kind, w) if k % 2 == 0 else w for k, w in enumerate(_name_words(text[a:b]))]
+        else:
+            out.append(surrogate_of(kind, text[a:b]))
         at = b
     return "".join([*out, text[at:]]), found
 
