@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, clean_text, record_batch, text_slices
+from tidemark.llm.common import checkpointed, clean_text, record_batch, text_slices, trim
 from tidemark.llm.word_table import WordTable, per_text
 
 CAPACITY = 2048
@@ -187,6 +187,9 @@ def _pieces(path: str, capacity: int):
                 local[order] = np.arange(len(order)) - np.repeat(first, runs) + seen[sizes[order]]
                 seen += np.bincount(sizes, minlength=capacity + 1)
                 yield record_batch(_PIECES, {"doc_id": doc_ids, "piece": numbers, "start": starts, "length": sizes, "ids_crc32": crcs, "part": np.full(len(sizes), part), "local": local})
+        # Workers outlive tasks and go on to other stages, so what was learned isn't kept.
+        own.table.clear()
+        trim()
 
     return run
 
