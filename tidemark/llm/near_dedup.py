@@ -42,6 +42,7 @@ LEAST_AGREEING = int(WIDE * _CHANCE - 6 * (WIDE * _CHANCE * (1 - _CHANCE)) ** 0.
 #: Texts that meet in one group of comparisons: members of a star, and of either of two blocks of a family.
 STAR_CHUNK = 200
 FAMILY_BLOCK = 128
+EDGES_A_TASK = 100_000
 #: Values that a product of membership matrices takes at a time.
 MATRIX_COLUMNS = 1 << 15
 _BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(31))
@@ -226,9 +227,11 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
         state = now
+        # Few edges need few tasks, each of which would write to all others.
+        edges = edges.coalesce(1 + now.n // EDGES_A_TASK)
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", "m")).distinct()
         edges = checkpointed(small)
@@ -374,12 +377,14 @@ def _relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(mixed.groupBy("content", "size").agg(F.min("key").alias("key")).select("key"), "key")
 
 
-def shared_ids(linkable: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) links between the classes of each id that has several texts: the id is one node, so they are one component."""
-    several = linkable.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")).where("lo <> hi").select("doc_id")
+def with_shared_ids(links: DataFrame, linkable: DataFrame, classes: DataFrame) -> DataFrame:
+    """links and those between the classes of each id that has several texts: the id is one node, so they are one component."""
+    several = checkpointed(linkable.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")).where("lo <> hi").select("doc_id"))
+    if not several.limit(1).count():
+        return links
     of = linkable.join(several, "doc_id").select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
     first = of.groupBy("doc_id").agg(F.min("rep").alias("a"))
-    return of.join(first, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    return links.union(of.join(first, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -396,7 +401,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wide = checkpointed(texts.mapInArrow(_sign_wide, "rep long, n long, sig binary"))
     # The first leader of a class is the smallest class of its keys.
     pairs = members.where("rep > least").groupBy("rep").agg(F.min("least").alias("a")).select("a", F.col("rep").alias("b"))
-    links = checkpointed(verified(in_stars(checkpointed(_agreeing(pairs, wide))), texts).union(shared_ids(linkable, classes)))
+    links = checkpointed(with_shared_ids(verified(in_stars(checkpointed(_agreeing(pairs, wide))), texts), linkable, classes))
     labels = components(links)
     members = checkpointed(_relabelled(members, labels))
     for turn in range(1, ROUNDS):
