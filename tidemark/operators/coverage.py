@@ -64,6 +64,16 @@ def verbatim_share(notes: DataFrame, passages: DataFrame, run: int = VERBATIM_RU
     return sizes.join(covered, "note_id", "left").select("note_id", "words", F.coalesce("verbatim", F.lit(0)).cast("long").alias("verbatim")).withColumn("share", F.when(F.col("words") > 0, F.col("verbatim") / F.col("words")).otherwise(0.0))
 
 
+def verbatim_within(wrote: DataFrame, said: DataFrame, keys: list[str], run: int = VERBATIM_RUN) -> DataFrame:
+    """(keys, share): words of each text (keys, words) inside runs that its own recording (recording_id, said) has, too."""
+    grams = said.select(KEY, F.explode(F.array_distinct(tx.shingles(F.col("said"), run))).alias("gram"))
+    hits = wrote.select(*keys, F.posexplode(tx.shingles(F.col("words"), run)).alias("at", "gram")).join(grams, [KEY, "gram"], "left_semi").select(*keys, "at")
+    step = F.col("at") - F.lag("at").over(Window.partitionBy(*keys).orderBy("at"))
+    covered = hits.select(*keys, F.least(F.coalesce(step, F.lit(run)), F.lit(run)).alias("gain")).groupBy(*keys).agg(F.sum("gain").alias("covered"))
+    rows = wrote.select(*keys, F.size("words").alias("n")).join(covered, keys, "left")
+    return rows.select(*keys, F.when(F.col("n") > 0, F.coalesce("covered", F.lit(0)) / F.col("n")).otherwise(0.0).alias("share"))
+
+
 def near_rows(rows: DataFrame, reach: int = 5, ratio: float = 0.85) -> DataFrame:
     """(recording_id, ord, like_ord): rows that repeat one of the few before them; like_ord is the earliest such row."""
     order = Window.partitionBy(KEY).orderBy("ord")

@@ -14,6 +14,8 @@ from tidemark.functions import clock
 from tidemark.functions import text as tx
 from tidemark.functions.words import COUNTS
 from tidemark.operators import notes, paths
+from tidemark.operators.running import previous, running, total
+from tidemark.operators.stages import stored
 
 # Tokens of the notation, section names and marks.
 CITE = r'\{\{CITE:([^#]*?)#"((?:(?!\{\{)[\s\S])*?)"\}\}'
@@ -35,10 +37,45 @@ def plain_text(text: Column) -> Column:
 
 def plain_lines(files: DataFrame) -> DataFrame:
     """(path, block, line_no, plain): lines as quotes are compared, and the block that no quote may leave."""
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    order = Window.partitionBy("path").orderBy("line_no")
-    starts = notes.is_block_start("line") | (F.trim("line") == "") | F.coalesce(F.lag(F.trim("line") == "").over(order), F.lit(True))
-    return lines.select("path", F.sum(starts.cast("long")).over(order).alias("block"), "line_no", plain_text(F.col("line")).alias("plain"))
+    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("blank", F.trim("line") == "")
+    lines = running(lines, ["line_no"], {"after": previous(F.col("blank"))}, keys=("path",), stretch=notes.LINES)
+    starts = notes.is_block_start("line") | F.col("blank") | F.coalesce("after", F.lit(True))
+    lines = lines.select("path", "line_no", starts.cast("long").alias("starts"), plain_text(F.col("line")).alias("plain"))
+    return running(lines, ["line_no"], {"block": total(F.col("starts"))}, keys=("path",), stretch=notes.LINES).select("path", "block", "line_no", "plain")
+
+
+#: Signs of the pieces by which quotes find blocks; a quote uses the longest that it has.
+PIECES = [8, 2, 1]
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """The different runs of size signs of a text."""
+    signs = F.split(text, "")
+    ends = F.when(F.size(signs) >= size, F.sequence(F.lit(1), F.size(signs) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(ends, lambda k: F.array_join(F.slice(signs, k, size), "")))
+
+
+def holding_blocks(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(path, quote, block, place) of the blocks (path, block, whole) of its file that hold a quote (path, quote).
+
+    An index of the pieces that quotes ask for says in which blocks each is; a quote meets only the blocks that have its
+    rarest piece, and each different quote of a file does so once, however many notes cite it.
+    """
+    asked = quotes.select("path", "quote").where("quote <> ''").distinct()
+    out = None
+    for longer, size in zip([None, *PIECES], PIECES, strict=False):
+        fits = F.length("quote") >= size
+        own = asked.where(fits if longer is None else fits & (F.length("quote") < longer))
+        wanted = own.select("path", "quote", F.explode(_pieces(F.col("quote"), size)).alias("piece"))
+        # Blocks of files that no quote names have no pieces.
+        cited = blocks.join(own.select("path").distinct(), "path", "left_semi")
+        index = cited.select("path", "block", F.explode(_pieces(F.col("whole"), size)).alias("piece")).join(wanted.select("path", "piece").distinct(), ["path", "piece"], "left_semi")
+        often = index.groupBy("path", "piece").agg(F.count("*").alias("blocks"))
+        rarest = wanted.join(often, ["path", "piece"], "left").groupBy("path", "quote").agg(F.min(F.struct(F.coalesce("blocks", F.lit(0)).alias("blocks"), "piece")).alias("r"))
+        near = rarest.where("r.blocks > 0").select("path", "quote", F.col("r.piece").alias("piece")).join(index, ["path", "piece"]).select("path", "quote", "block")
+        met = near.join(blocks, ["path", "block"]).withColumn("place", F.instr(F.col("whole"), F.col("quote"))).where("place > 0").select("path", "quote", "block", "place")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def _newlines(text: Column) -> Column:
@@ -90,19 +127,23 @@ def malformed(bodies: DataFrame) -> DataFrame:
 def resolved_citations(bodies: DataFrame, files: DataFrame) -> DataFrame:
     """citations() with target_line, sha256 and code: why a citation doesn't hold, null where it does.
 
-    A quote must stand within one block of the named file; its first line is the target.
+    A quote must stand within one block of the named file; its first line is the target. A file of null text couldn't be read.
     """
     cites = citations(bodies)
-    blocks = plain_lines(files).groupBy("path", "block").agg(F.array_sort(F.collect_list(F.struct("line_no", "plain"))).alias("l"))
-    blocks = blocks.select("path", F.array_join(F.filter(F.col("l.plain"), lambda p: p != ""), " ").alias("whole"), "l")
-    met = cites.where("quote <> ''").join(blocks, "path").where(F.instr(F.col("whole"), F.col("quote")) > 0)
+    cited = files.join(cites.select("path").distinct(), "path", "left_semi")
+    blocks = plain_lines(cited).groupBy("path", "block").agg(F.array_sort(F.collect_list(F.struct("line_no", "plain"))).alias("l"))
+    # The index, its sizes and the answers all read the blocks.
+    blocks = stored(blocks.select("path", "block", F.array_join(F.filter(F.col("l.plain"), lambda p: p != ""), " ").alias("whole"), "l"))
+    # The first block of a file that holds a quote is where it is found.
+    holds = holding_blocks(cites, blocks.select("path", "block", "whole")).groupBy("path", "quote").agg(F.min_by("place", "block").alias("place"), F.min("block").alias("block"))
     ends = F.aggregate("l", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<upto:int,line_no:int>>").alias("ends")), lambda s, x: F.struct((s["at"] + F.length(x["plain"]) + F.when(x["plain"] != "", 1).otherwise(0)).alias("at"), F.concat(s["ends"], F.array(F.struct((s["at"] + F.length(x["plain"]) + F.when(x["plain"] != "", 1).otherwise(0)).alias("upto"), x["line_no"].cast("int").alias("line_no")))).alias("ends")), lambda s: s["ends"])
-    place = F.instr(F.col("whole"), F.col("quote"))
-    met = met.select("note", "k", F.get(F.filter(ends, lambda e: e["upto"] >= place), F.lit(0))["line_no"].alias("target_line"))
+    lined = holds.join(blocks, ["path", "block"]).select("path", "quote", F.get(F.filter(ends, lambda e: e["upto"] >= F.col("place")), F.lit(0))["line_no"].alias("target_line"))
+    met = cites.where("quote <> ''").join(lined, ["path", "quote"]).select("note", "k", "target_line")
     first = met.groupBy("note", "k").agg(F.min("target_line").alias("target_line"))
-    known = files.select("path", "sha256", F.lit(True).alias("there"))
+    known = files.select("path", "sha256", F.lit(True).alias("there"), F.col("text").isNull().alias("unreadable"))
     rows = cites.join(known, "path", "left").join(first, ["note", "k"], "left")
-    code = F.when(F.col("quote") == "", "E-CITE-EMPTY").when(F.col("path").contains(".."), "E-CITE-PATH").when(F.col("there").isNull(), "E-CITE-NOFILE").when(F.col("path") == F.col("note"), "E-CITE-SELF").when(F.col("target_line").isNull(), "E-CITE-NOMATCH")
+    code = F.when(F.col("quote") == "", "E-CITE-EMPTY").when(F.col("path").contains(".."), "E-CITE-PATH").when(F.col("there").isNull(), "E-CITE-NOFILE").when(F.col("path") == F.col("note"), "E-CITE-SELF")
+    code = code.when(F.col("unreadable"), "E-CITE-UNREADABLE").when(F.col("target_line").isNull(), "E-CITE-NOMATCH")
     return rows.select("note", "k", "line_no", "path", "quote", "target_line", F.when(code.isNull(), F.col("sha256")).alias("sha256"), code.alias("code"))
 
 

@@ -255,35 +255,85 @@ def corpus_census(per_note: DataFrame, spaces: DataFrame) -> DataFrame:
     return totals.withColumn("vacuous", vacuous)
 
 
-def measure(lines: DataFrame, segments: DataFrame) -> DataFrame:
-    """The coverage record of each note over its recording.
+SPAN = [KEY, "span_no"]
 
-    Rows and anchors inside the recording's span; salient tokens carried by the text and by rows; minutes without an anchor;
-    words of the rows and of the note; the share in verbatim runs; list density.
+
+def measure(lines: DataFrame, segments: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """The coverage record of each note (lines) over each span of its recording (segments), all spans in one pass.
+
+    spans: recording_id, span_no, lo_s, hi_s; without them each recording is one span, 0, and the whole note is read. With
+    them only lines that are stamped inside a span are what the note wrote about it. How rare a term is counts over the
+    whole recording either way.
+
+    rows, row_words and note_words in the span, rows_in_note, impossible and misshapen rows of the note; of each kind of
+    salient token (figures, names, terms) how many are said (of_), carried by the text (carried_) and by rows (by_rows_),
+    their sums wanted, carried and carried_by_rows, and recall; anchors, anchored_seconds and refused_seconds; dead minutes of
+    minutes, the longest run dead_run and where it begins; near_rows and near_share; words_per_token and carried_per_row;
+    verbatim, the share of words inside runs that the recording has, too; list_density.
     """
     from tidemark.operators import coverage
+    from tidemark.operators.alignment import streams
     from tidemark.operators.sequence import dead_runs
 
-    spans = segments.groupBy(KEY).agg(F.min("start_s").alias("lo_s"), F.max("end_s").alias("hi_s"))
+    windowed = spans is not None
+    asked = spans.select(*SPAN, "lo_s", "hi_s") if windowed else segments.groupBy(KEY).agg(F.min("start_s").alias("lo_s"), F.max("end_s").alias("hi_s")).select(KEY, F.lit(0).alias("span_no"), "lo_s", "hi_s")
+    near = lambda df, low, high: interval.band_join(df, asked, low, high, F.col("lo_s"), F.col("hi_s"), 3600.0)
     marked = quoted(lines)
-    rows = claim_rows(marked).where("not quoted").join(spans, KEY)
-    in_span = rows.where("kind = 'row' and until_s >= lo_s and at_s <= hi_s")
-    word_count = lambda c: F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""))
-    row_sums = in_span.groupBy(KEY).agg(F.count("*").alias("rows"), F.sum(word_count(F.col("claim"))).alias("row_words"))
-    kinds = rows.groupBy(KEY).agg(F.count_if(F.col("kind") == "impossible").alias("impossible"), F.count_if(F.col("kind").isin("misshapen", "unread")).alias("misshapen"))
-    body = marked.where("not quoted").select(KEY, "text")
-    note_words = body.groupBy(KEY).agg(F.sum(word_count(F.col("text"))).alias("note_words"))
-    wanted = coverage.salient(segments)
-    held = lambda found, name: coverage.recall(wanted, found).groupBy(KEY).agg(F.sum("wanted").alias("wanted"), F.sum("held").alias(name))
-    carried = held(body, "carried").join(held(in_span.select(KEY, F.col("claim").alias("text")), "carried_by_rows").drop("wanted"), KEY)
-    at = line_anchors(lines).join(spans, KEY).where("at_s between lo_s and hi_s")
-    stamped = at.groupBy(KEY).agg(F.count_if("counts").alias("anchors"), F.count_distinct(F.when(F.col("counts"), F.floor("at_s"))).alias("anchored_seconds"), F.count_distinct(F.when(F.col("refused"), F.floor("at_s"))).alias("refused_seconds"))
-    dead = dead_runs(at.where("counts").select(KEY, "at_s"), spans).select(KEY, "dead", F.col("longest").alias("dead_run"))
-    out = spans.select(KEY)
-    for part in (row_sums, kinds, note_words, carried, stamped, dead):
-        out = out.join(part, KEY, "left")
-    out = out.na.fill(0)
-    return out.withColumn("recall", F.when(F.col("wanted") > 0, F.col("carried") / F.col("wanted")).otherwise(0.0)).withColumn("carried_per_row", F.when(F.col("rows") > 0, F.col("carried_by_rows") / F.col("rows")).otherwise(0.0)).withColumn("list_density", F.when(F.col("note_words") > 0, F.col("carried") / F.col("note_words")).otherwise(0.0))
+    claims = claim_rows(marked).where("not quoted")
+    in_span = near(claims.where("kind = 'row'").select(KEY, "line_no", "at_s", "until_s", "claim"), F.col("at_s"), F.col("until_s"))
+    row_sums = in_span.groupBy(*SPAN).agg(F.count("*").alias("rows"), F.sum(tx.word_count(F.col("claim"))).alias("row_words"))
+    kinds = claims.groupBy(KEY).agg(F.count_if(F.col("kind") == "row").alias("rows_in_note"), F.count_if(F.col("kind") == "impossible").alias("impossible"), F.count_if(F.col("kind").isin("misshapen", "unread")).alias("misshapen"))
+
+    # What the note wrote about a span.
+    body = marked.where("not quoted").select(KEY, "line_no", "text")
+    if windowed:
+        stamps = F.filter(F.transform(F.regexp_extract_all("text", F.lit(LOOSE_ANCHOR), F.lit(1)), clock.parse_clock), lambda s: s.isNotNull())
+        stamped_lines = body.select(KEY, "line_no", "text", F.explode(stamps).alias("at_s"))
+        scope = near(stamped_lines, F.col("at_s"), F.col("at_s")).select(*SPAN, "line_no", "text").distinct()
+    else:
+        scope = body.join(asked.select(*SPAN), KEY)
+    note_words = scope.groupBy(*SPAN).agg(F.sum(tx.word_count(F.col("text"))).alias("note_words"))
+
+    # Postings of the recording's tokens: where they are said, and whether as names.
+    own = segments.select(KEY, "start_s", "end_s", F.array_distinct(tx.tokens("text")).alias("tokens"), tx.name_candidates("text").alias("names"))
+    postings = own.select(KEY, "start_s", "end_s", F.explode("tokens").alias("token"), "names").withColumn("named", F.array_contains("names", F.col("token"))).drop("names")
+    cutoff = segments.groupBy(KEY).agg(F.greatest(F.lit(1), F.least(F.lit(coverage.RARE), F.floor(F.count("*") / 20).cast("int"))).alias("cutoff"))
+    often = postings.groupBy(KEY, "token").agg(F.count("*").alias("df"))
+    said = near(postings, F.col("start_s"), F.col("end_s")).groupBy(*SPAN, "token").agg(F.bool_or("named").alias("named"))
+    rare = (F.length("token") >= coverage.TERM_LETTERS) & (F.col("df") <= F.col("cutoff"))
+    kind = F.when(F.col("token").rlike("[0-9]"), "figures").when(F.col("named"), "names").when(rare, "terms")
+    wanted = said.join(often, [KEY, "token"]).join(cutoff, KEY).select(*SPAN, "token", kind.alias("kind")).where("kind is not null").withColumn("stem", tx.stem(F.col("token")))
+
+    def held(texts: DataFrame, name: str) -> DataFrame:
+        words = texts.select(*SPAN, F.explode(F.array_distinct(tx.carried(tx.tokens("text")))).alias("word")).distinct()
+        both = wanted.select(*SPAN, "token", F.explode(F.array_distinct(F.array("token", "stem"))).alias("word")).join(words, [*SPAN, "word"])
+        return both.select(*SPAN, "token").distinct().withColumn(name, F.lit(1))
+
+    met = wanted.join(held(scope, "by_text"), [*SPAN, "token"], "left").join(held(in_span.select(*SPAN, F.col("claim").alias("text")), "by_row"), [*SPAN, "token"], "left")
+    counts = [F.count("*").alias("wanted"), F.count("by_text").alias("carried"), F.count("by_row").alias("carried_by_rows")]
+    for k in ("figures", "names", "terms"):
+        of = F.col("kind") == k
+        counts += [F.count_if(of).alias(f"of_{k}"), F.count(F.when(of, F.col("by_text"))).alias(f"carried_{k}"), F.count(F.when(of, F.col("by_row"))).alias(f"by_rows_{k}")]
+    carried = met.groupBy(*SPAN).agg(*counts)
+
+    at = near(line_anchors(lines), F.col("at_s"), F.col("at_s"))
+    second = F.floor("at_s")
+    stamped = at.groupBy(*SPAN).agg(F.count_if("counts").alias("anchors"), F.count_distinct(F.when(F.col("counts"), second)).alias("anchored_seconds"), F.count_distinct(F.when(F.col("refused"), second)).alias("refused_seconds"))
+    # Spans are recordings of their own to what reads one recording.
+    alone = lambda df: df.withColumn(KEY, F.to_json(F.struct(*SPAN)))
+    dead = dead_runs(alone(at.where("counts").select(*SPAN, "at_s")), alone(asked.select(*SPAN, "lo_s", "hi_s"))).select(F.col(KEY).alias("_span"), "dead", F.col("total").alias("minutes"), F.col("longest").alias("dead_run"), F.col("longest_start").alias("dead_run_at"))
+    repeats = coverage.near_rows(alone(in_span.select(*SPAN, F.col("line_no").cast("long").alias("ord"), F.nullif(tx.normalise("claim"), F.lit("")).alias("text")))).groupBy(F.col(KEY).alias("_span")).agg(F.count("*").alias("near_rows"))
+    wrote = scope.groupBy(*SPAN).agg(F.array_sort(F.collect_list(F.struct("line_no", tx.tokens(F.regexp_replace("text", LOOSE_ANCHOR, " ")).alias("t")))).alias("l"))
+    wrote = wrote.select(*SPAN, F.flatten(F.col("l.t")).alias("words"))
+    verbatim = coverage.verbatim_within(wrote, streams(segments).select(KEY, F.col("words").alias("said")), SPAN).select(*SPAN, F.col("share").alias("verbatim"))
+
+    out = asked.withColumn("_span", F.to_json(F.struct(*SPAN)))
+    for part, keys in ((row_sums, SPAN), (kinds, [KEY]), (note_words, SPAN), (carried, SPAN), (stamped, SPAN), (dead, ["_span"]), (repeats, ["_span"]), (verbatim, SPAN)):
+        out = out.join(part, keys, "left")
+    out = out.drop("_span").na.fill(0)
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    shares = {"recall": ("carried", "wanted"), "carried_per_row": ("carried_by_rows", "rows"), "near_share": ("near_rows", "rows"), "words_per_token": ("row_words", "carried_by_rows"), "list_density": ("carried", "note_words")}
+    return out.select("*", *(ratio(*pair).alias(name) for name, pair in shares.items()))
 
 
 def span_text(lines: DataFrame, low: float, high: float) -> DataFrame:

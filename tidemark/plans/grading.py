@@ -198,11 +198,24 @@ def note_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.density(views.note_line(spark, sf_dir), minutes).select("recording_id", "words", r6("minutes"), r6("wpm"), r6("low"), r6("high"))
 
 
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select(*[r6(c) if kind == "double" else c for c, kind in found.dtypes])
+
+
 @query()
 def note_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The coverage record of each note."""
-    found = notes.measure(views.note_line(spark, sf_dir), views.seg_conv(spark, sf_dir).where("end_s is not null"))
-    return found.select(*[r6(c) if c in ("recall", "carried_per_row", "list_density") else c for c in found.columns])
+    """The coverage record of each note over its whole recording."""
+    return _rounded(notes.measure(views.note_line(spark, sf_dir), views.seg_conv(spark, sf_dir).where("end_s is not null")))
+
+
+@query()
+def note_span_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coverage records of each note over the halves of its recording."""
+    segments = views.seg_conv(spark, sf_dir).where("end_s is not null")
+    ends = segments.groupBy("recording_id").agg(F.min("start_s").alias("lo"), F.max("end_s").alias("hi"))
+    middle = (F.col("lo") + F.col("hi")) / 2
+    halves = F.array(F.struct(F.lit(0).alias("span_no"), F.col("lo").alias("lo_s"), middle.alias("hi_s")), F.struct(F.lit(1).alias("span_no"), middle.alias("lo_s"), F.col("hi").alias("hi_s")))
+    return _rounded(notes.measure(views.note_line(spark, sf_dir), segments, ends.select("recording_id", F.explode(halves).alias("s")).select("recording_id", "s.*")))
 
 
 def _ocr(spark: SparkSession, sf_dir: str) -> DataFrame:

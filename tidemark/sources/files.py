@@ -107,14 +107,14 @@ def without_frontmatter(lines: DataFrame) -> DataFrame:
 
 def raw_cues(spark: SparkSession, path: str) -> DataFrame:
     """(recording_id, ord, start_s, end_s, text) of caption files as they are: tags removed, empty ones dropped, repeats kept."""
-    cues = timed_text.vtt_cues(spark, path)
+    cues = timed_text.vtt_cues(spark, path, "grading")
     text = F.trim(F.regexp_replace(F.regexp_replace(F.array_join("lines", " "), "<[^>]*>", ""), r"\s+", " "))
     return cues.select(KEY, F.col("cue_no").alias("ord"), "start_s", "end_s", text.alias("text")).where("text <> ''")
 
 
 def cue_spans(spark: SparkSession, path: str) -> DataFrame:
     """(recording_id, ord, start_s, end_s) of caption files, those that end before they start left out."""
-    return timed_text.vtt_cues(spark, path).where("end_s >= start_s").select(KEY, F.col("cue_no").alias("ord"), "start_s", "end_s")
+    return timed_text.vtt_cues(spark, path, "grading").where("end_s >= start_s").select(KEY, F.col("cue_no").alias("ord"), "start_s", "end_s")
 
 
 def merged_cue_spans(spans: DataFrame, gap: float = 1.0) -> DataFrame:

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import sequence
 
-_CLOCK = r"((?:\d+:)?\d{1,2}:\d{2}[.,]\d{3})"
-_TIMING = rf"{_CLOCK}\s*-->\s*{_CLOCK}"
+# Times of a cue as the two readers know them: with hours at the line's start, or without them anywhere on it.
+_TIMING = {
+    "capture": r"^(\d{2}:\d{2}:\d{2}[.,]\d{3})\s+-->\s+(\d{2}:\d{2}:\d{2}[.,]\d{3})",
+    "grading": r"((?:\d+:)?\d{1,2}:\d{2}\.\d{3})\s*-->\s*((?:\d+:)?\d{1,2}:\d{2}\.\d{3})",
+}
 
 
 def _seconds(clock):
@@ -28,16 +31,27 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select("recording_id", F.posexplode(F.split(whole, "\n")).alias("line_no", "line"))
 
 
-def vtt_cues(spark: SparkSession, path: str) -> DataFrame:
-    """(recording_id, cue_no, start_s, end_s, lines): a cue's lines end at a blank line or the next timing line."""
+def vtt_cues(spark: SparkSession, path: str, form: str = "capture") -> DataFrame:
+    """(recording_id, cue_no, start_s, end_s, lines) of caption files.
+
+    In the form "grading" a cue's lines end at a blank line or the next times; in "capture" at a blank line only, and times
+    among them are text. datasources reads the same from files too large for one value.
+    """
+    times = _TIMING[form]
     order = Window.partitionBy("recording_id").orderBy("line_no")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    marked = _lines(spark, path).withColumn("timing", F.col("line").rlike(_TIMING))
+    blank = F.trim(F.regexp_replace("line", r"\s", "")) == ""
+    marked = _lines(spark, path).withColumn("timing", F.col("line").rlike(times)).withColumn("blank", blank)
+    marked = marked.withColumn("block", F.sum(F.col("blank").cast("long")).over(so_far)).where("not blank")
+    if form == "capture":
+        first = F.min(F.when(F.col("timing"), F.col("line_no"))).over(Window.partitionBy("recording_id", "block"))
+        marked = marked.withColumn("timing", F.col("timing") & (F.col("line_no") == first))
     marked = marked.withColumn("cue_no", F.sum(F.col("timing").cast("long")).over(so_far) - 1)
-    in_cue = Window.partitionBy("recording_id", "cue_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("ended", F.max((F.trim("line") == "").cast("int")).over(in_cue)).where("cue_no >= 0")
-    held = marked.groupBy("recording_id", "cue_no").agg(F.first(F.when(F.col("timing"), F.col("line")), True).alias("head"), F.array_sort(F.collect_list(F.when(~F.col("timing") & (F.col("ended") == 0), F.struct("line_no", "line")))).alias("body"))
-    return held.select("recording_id", "cue_no", _seconds(F.regexp_extract("head", _TIMING, 1)).alias("start_s"), _seconds(F.regexp_extract("head", _TIMING, 2)).alias("end_s"), F.col("body.line").alias("lines"))
+    # Lines before a block's first times belong to no cue.
+    headed = F.max(F.col("timing").cast("int")).over(Window.partitionBy("recording_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    marked = marked.withColumn("headed", headed).where("headed = 1")
+    held = marked.groupBy("recording_id", "cue_no").agg(F.first(F.when(F.col("timing"), F.col("line")), True).alias("head"), F.array_sort(F.collect_list(F.when(~F.col("timing"), F.struct("line_no", "line")))).alias("body"))
+    return held.select("recording_id", "cue_no", _seconds(F.regexp_extract("head", times, 1)).alias("start_s"), _seconds(F.regexp_extract("head", times, 2)).alias("end_s"), F.col("body.line").alias("lines"))
 
 
 def vtt_segments(spark: SparkSession, path: str) -> DataFrame:
