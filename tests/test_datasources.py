@@ -115,3 +115,32 @@ def test_files_are_left_out_by_name(spark, tmp_path):
         datasources.listed(str(tmp_path / "none"))
     with pytest.raises(ValueError):
         datasources.CueReader({"path": one, "form": "other"})
+
+
+def test_a_tree_is_walked_once_and_read_where_it_may_be(spark, tmp_path, monkeypatch):
+    import os
+
+    root = tmp_path / "root"
+    for name, text in {"a.md": "x", "sub/b.txt": "y", "sub/deep/c": "no suffix", "node_modules/d.md": "no", "out.bin": "z"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    with open(root / "large.bin", "wb") as f:
+        f.truncate(10 << 30)
+    (tmp_path / "beside").mkdir()
+    (tmp_path / "beside/e.md").write_text("linked")
+    os.symlink(root, root / "sub/loop")
+    os.symlink(tmp_path, root / "sub/up")
+    os.symlink(tmp_path / "beside", root / "link1")
+    os.symlink(tmp_path / "beside", root / "link2")
+    os.symlink(root / "node_modules", root / "lent")
+    os.symlink(root / "nothing", root / "gone.md")
+    os.symlink("self.md", root / "self.md")
+    (root / "bytes.txt").write_bytes(b"\0\1\2")
+    found = {os.path.relpath(r.path, root): r for r in files.tree(spark, f"file://{root}").collect()}
+    assert {k: (r.read, r.text, r.error) for k, r in found.items()} == {
+        "a.md": (True, "x", None), "sub/b.txt": (True, "y", None), "sub/deep/c": (True, "no suffix", None), "out.bin": (False, None, "suffix"), "large.bin": (False, None, "suffix"), "link1/e.md": (True, "linked", None),
+        "gone.md": (False, None, "unreadable: No such file or directory"), "self.md": (False, None, "unreadable: Too many levels of symbolic links"), "bytes.txt": (False, None, "binary"),
+    }
+    sizes = {os.path.relpath(r.path, root): r["size"] for r in files.walk(spark, str(root)).collect()}
+    assert sizes["large.bin"] == 10 << 30 and sizes["a.md"] == 1 and sizes["gone.md"] is None
+    assert [r.error for r in files.walk(spark, str(root / "none")).collect()] == ["unlistable: No such file or directory"]

@@ -1,10 +1,15 @@
-"""Readers of runs, notes and published trees, and writers of manifests and reports. Files are read by Spark's readers."""
+"""Readers of runs, notes and published trees, and writers of manifests and reports.
+
+Files are read by Spark's readers, but for trees, whose folders are walked by tasks.
+"""
 
 from __future__ import annotations
 
 import datetime
+import hashlib
 import os
 import tomllib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +20,7 @@ from tidemark.functions import clock
 from tidemark.operators import interval
 from tidemark.operators.scan import suffix
 from tidemark.operators.sequence import KEY
+from tidemark.operators.stages import stored
 from tidemark.sources import timed_text
 
 # Folders that hold no publishable text, suffixes that do, frame names, and the manifest's columns.
@@ -26,49 +32,113 @@ FRONTMATTER_LINES = 80
 _DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 
 
-@F.pandas_udf(_DECODED)
-def decoded(content: pd.Series) -> pd.DataFrame:
-    """Text of bytes in whatever encoding they are, or why there is none.
+def decode(raw: bytes | None) -> tuple[str | None, str | None]:
+    """(text, error) of bytes in whatever encoding they are.
 
     A byte order mark decides (32 bits before 16); else UTF-8, else UTF-16 or 32 without a mark where every other byte or
     more is zero; bytes that still hold zeros aren't text; the rest is Latin-1.
     """
     marks = [(b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"), (b"\xef\xbb\xbf", "utf-8")]
-
-    def one(raw: bytes | None) -> tuple[str | None, str | None]:
-        if raw is None:
-            return None, "unreadable"
-        for mark, name in marks:
-            if raw.startswith(mark):
-                try:
-                    return raw[len(mark) :].decode(name), None
-                except UnicodeDecodeError:
-                    return None, f"not {name}"
-        for name in ("utf-8", "utf-32-le", "utf-32-be", "utf-16-le", "utf-16-be"):
-            if name != "utf-8" and b"\0" not in raw:
-                continue
+    if raw is None:
+        return None, "unreadable"
+    for mark, name in marks:
+        if raw.startswith(mark):
             try:
-                text = raw.decode(name)
+                return raw[len(mark) :].decode(name), None
             except UnicodeDecodeError:
-                continue
-            if "\0" not in text:
-                return text, None
-        return (None, "binary") if b"\0" in raw else (raw.decode("latin-1"), None)
+                return None, f"not {name}"
+    for name in ("utf-8", "utf-32-le", "utf-32-be", "utf-16-le", "utf-16-be"):
+        if name != "utf-8" and b"\0" not in raw:
+            continue
+        try:
+            text = raw.decode(name)
+        except UnicodeDecodeError:
+            continue
+        if "\0" not in text:
+            return text, None
+    return (None, "binary") if b"\0" in raw else (raw.decode("latin-1"), None)
+
+
+@F.pandas_udf(_DECODED)
+def decoded(content: pd.Series) -> pd.DataFrame:
+    """Text of bytes in whatever encoding they are, or why there is none."""
+    return pd.DataFrame([decode(r) for r in content], columns=["text", "error"])
+
 
-    return pd.DataFrame([one(r) for r in content], columns=["text", "error"])
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, resolved, kind, size, error) of what folders (path) hold, read as names and sizes only."""
+    columns = ["path", "resolved", "kind", "size", "error"]
+    for batch in batches:
+        for folder in batch["path"]:
+            made: list[tuple] = []
+            try:
+                with os.scandir(folder) as entries:
+                    for e in entries:
+                        try:
+                            kind = "folder" if e.is_dir() else "file"
+                            made.append((e.path, os.path.realpath(e.path), kind, e.stat().st_size if kind == "file" else None, None))
+                        except OSError as error:
+                            made.append((e.path, None, "file", None, f"unreadable: {error.strerror}"))
+                        if len(made) >= 10_000:
+                            yield pd.DataFrame(made, columns=columns).astype({"size": "Int64"})
+                            made = []
+            except OSError as error:
+                made.append((folder, None, "folder", None, f"unlistable: {error.strerror}"))
+            yield pd.DataFrame(made, columns=columns).astype({"size": "Int64"})
+
+
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """(path, resolved, size, error) of all files below a folder that driver and executors share, names and sizes only.
+
+    Folders are listed level by level, each once, whatever links lead to it, and under the first of its names; a link to the
+    folder itself or above it isn't followed. SKIPPED folders, by the name they really have, are left out. A folder that
+    can't be listed and a file that can't be opened (as a link to nothing) are rows with an error.
+    """
+    root = os.path.normpath(root.removeprefix("file://"))
+    top = os.path.realpath(root)
+    frontier, found = spark.createDataFrame([(root, top)], "path string, resolved string"), None
+    seen = frontier.select("resolved")
+    above = [top[: k + 1].rstrip("/") or "/" for k, c in enumerate(top + "/") if c == "/"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        rows = stored(frontier.select("path").repartition(n, "path").mapInPandas(_entries, "path string, resolved string, kind string, size long, error string"))
+        own = rows.where("kind = 'file' or error is not null").select("path", "resolved", "size", "error")
+        found = own if found is None else found.unionByName(own)
+        real = F.when(F.startswith("resolved", F.lit(top + "/")), F.substr("resolved", F.lit(len(top) + 2))).otherwise(F.col("path"))
+        inside = ~F.arrays_overlap(F.split(real, "/"), F.array(*map(F.lit, SKIPPED)))
+        folders = rows.where("kind = 'folder' and error is null").where(inside & ~F.col("resolved").isin(above))
+        frontier = stored(folders.groupBy("resolved").agg(F.min("path").alias("path")).join(seen, "resolved", "left_anti").select("path", "resolved"))
+        if not frontier.limit(1).count():
+            return found
+        seen = seen.unionByName(frontier.select("resolved"))
+
+
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, text, error, sha256) of files (path), one at a time."""
+    for batch in batches:
+        for path in batch["path"]:
+            try:
+                with open(path, "rb") as f:
+                    raw = f.read()
+                text, error = decode(raw)
+                row = (path, text, error, hashlib.sha256(raw).hexdigest())
+            except OSError as e:
+                row = (path, None, f"unreadable: {e.strerror}", None)
+            yield pd.DataFrame([row], columns=["path", "text", "error", "sha256"])
 
 
 def tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, suffix, read, text, error, sha256) of all files below a folder, those of generated folders left out.
 
-    Files of other suffixes are listed with read = false and no text; Spark's listing doesn't follow links to folders twice.
+    Only files of publishable suffixes, and of none, are opened; the others, however large, are listed with read = false, no
+    text and the error "suffix".
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    kept = files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
-    kept = kept.withColumn("suffix", suffix(F.col("path"))).withColumn("open", F.col("suffix").isin("", *PUBLISHABLE))
-    kept = kept.withColumn("t", decoded(F.when(F.col("open"), F.col("content"))))
-    read = F.col("open") & F.col("t.error").isNull()
-    return kept.select("path", "suffix", read.alias("read"), F.when(read, F.col("t.text")).alias("text"), F.when(F.col("open"), F.col("t.error")).otherwise("suffix").alias("error"), F.sha2("content", 256).alias("sha256"))
+    listed = walk(spark, root).withColumn("suffix", suffix(F.col("path")))
+    wanted = F.col("suffix").isin("", *PUBLISHABLE) & F.col("error").isNull()
+    none = [F.lit(None).cast("string").alias(c) for c in ("text", "sha256")]
+    closed = listed.where(~wanted).select("path", "suffix", F.lit(False).alias("read"), none[0], F.coalesce("error", F.lit("suffix")).alias("error"), none[1])
+    read = listed.where(wanted).select("path").mapInPandas(_contents, "path string, text string, error string, sha256 string")
+    return closed.unionByName(read.select("path", suffix(F.col("path")).alias("suffix"), F.col("error").isNull().alias("read"), "text", "error", "sha256"))
 
 
 def is_note(path: Column) -> Column:
