@@ -36,6 +36,11 @@ def test_unicode_functions(spark):
     assert one(spark, "<b>a</b>&nbsp; b", tx.cue_text) == "a b"
 
 
+def test_header_values(spark):
+    cases = {"plain": "plain", "": "", '"SHIP"': "SHIP", "'\"x\"'": "x", '"\u200b"': "", '"" ""': "", '"': "", "\ufeff１２\u00ad": "12", " a b ": "a b", '"a': '"a', "it's": "it's", "é": "é", "a\u200bb": "a\u200bb"}
+    assert {t: one(spark, t, tx.header_value) for t in cases} == cases
+
+
 def test_id_shaped_and_names(spark):
     assert one(spark, "see dQw4w9WgXcQ and abcdefghijk", tx.id_shaped) == ["dQw4w9WgXcQ"]
     assert one(spark, "Then Maria said. Then I left Paris", tx.name_candidates) == ["maria", "paris"]

@@ -257,6 +257,24 @@ def test_sidecars_and_gates(spark):
     assert [(r["gate"], r["status"], r["defects"]) for r in results] == [("clean", 0, 0), ("defects", 1, 3), ("broken", 2, 0), ("all", 2, 3)]
 
 
+def test_gates_over_the_same_rows_read_them_once(spark):
+    rows = spark.range(100).withColumn("v", F.col("id") % 10)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("gates"))
+    spark.sparkContext.setJobGroup("gates", "gates")
+    try:
+        gates = {f"g{k}": (rows, F.col("v") < k) for k in range(5)} | {"own": lambda: rows.where("v = 9")}
+        found = {r["gate"]: (r["status"], r["defects"]) for r in filing.run_gates(gates)}
+        assert found == {**{f"g{k}": (int(k > 0), 10 * k) for k in range(5)}, "own": (1, 10), "all": (1, 110)}
+        shared = jobs()
+        broken = gates | {"broken": (rows, F.assert_true(F.col("v") < 5).isNull() & (F.col("v") > 90)), "null": (rows, F.lit(None).cast("boolean"))}
+        found = {r["gate"]: (r["status"], r["defects"]) for r in filing.run_gates(broken)}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # One job for the five, and at most two for the gate that counts its own findings.
+    assert shared <= 3
+    assert found["broken"] == (2, 0) and found["g3"] == (1, 30) and found["null"] == (0, 0) and found["all"] == (2, 110)
+
+
 def test_encodings(spark):
     raw = ["é".encode(), "é".encode("utf-16"), "é".encode("utf-32"), "ab".encode("utf-16-le"), "é".encode("latin-1"), b"\xef\xbb\xbfx", b"\x00\x01\x02", None]
     found = spark.createDataFrame([(k, bytearray(r) if r is not None else None) for k, r in enumerate(raw)], "k int, c binary").select("k", files.decoded("c").alias("t")).orderBy("k").collect()

@@ -214,6 +214,34 @@ def slug(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
+def header_value(value: Column | str) -> Column:
+    """A header's value as it reads: compatibility forms folded, unseen signs at its ends and quotes around it taken off.
+
+    Values of visible ASCII without quotes at an end skip Python.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    plain = value.rlike(r"^(?:[\x21\x23-\x26\x28-\x7e](?:[\x20-\x7e]*[\x21\x23-\x26\x28-\x7e])?)?$")
+    return F.coalesce(_shown(F.when(~plain, value)), value)
+
+
+@F.pandas_udf(T.StringType())
+def _shown(text: pd.Series) -> pd.Series:
+    unseen = lambda c: c.isspace() or unicodedata.category(c) in ("Cc", "Cf", "Zs", "Zl", "Zp")
+
+    def one(t: str) -> str:
+        t, size = unicodedata.normalize("NFKC", t), -1
+        while len(t) != size:
+            size = len(t)
+            seen = [k for k, c in enumerate(t) if not unseen(c)]
+            t = t[seen[0] : seen[-1] + 1] if seen else ""
+            if len(t) > 1 and t[0] == t[-1] and t[0] in "\"'":
+                t = t[1:-1]
+        # Quotes alone are nothing.
+        return t if t.strip("\"'") else ""
+
+    return text.map(one, na_action="ignore")
+
+
 def cue_text(text: Column | str) -> Column:
     """A caption line without tags, entities, no-break and zero-width spaces, single-spaced."""
     plain = F.regexp_replace(F.regexp_replace(unescape(strip_tags(text)), " ", " "), "​", "")

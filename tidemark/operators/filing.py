@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock
@@ -275,10 +275,10 @@ def typed_header(headers: DataFrame, types: dict[str, tuple[str, bool]]) -> Data
 
 
 def header_fields(frontmatters: DataFrame) -> DataFrame:
-    """(note, fields): the key: value lines of (note, frontmatter) as a map; the first of a key counts."""
+    """(note, fields): the key: value lines of (note, frontmatter) as a map; the first of a key counts, values as they read."""
     line = r"(?m)^([A-Za-z_][\w-]*)[ \t]*:[ \t]*(.*?)[ \t]*$"
     pairs = F.arrays_zip(F.regexp_extract_all("frontmatter", F.lit(line), F.lit(1)).alias("key"), F.regexp_extract_all("frontmatter", F.lit(line), F.lit(2)).alias("value"))
-    rows = frontmatters.select("note", F.posexplode_outer(pairs).alias("k", "p")).groupBy("note", "p.key").agg(F.min_by("p.value", "k").alias("value"))
+    rows = frontmatters.select("note", F.posexplode_outer(pairs).alias("k", "p")).groupBy("note", "p.key").agg(F.min_by("p.value", "k").alias("value")).withColumn("value", tx.header_value("value"))
     return rows.groupBy("note").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("key", "value")), lambda e: e["key"].isNotNull())).alias("fields"))
 
 
@@ -478,18 +478,49 @@ def paired(notes_: DataFrame, renderings: DataFrame) -> tuple[DataFrame, DataFra
     return both.where("_has").drop("_has"), both.where("_has is null").select("note", "recording_id")
 
 
-def run_gates(gates: dict[str, Callable[[], DataFrame]]) -> list[dict]:
+Gate = Callable[[], DataFrame] | tuple[DataFrame, Column]
+
+
+def _counted(conditions: dict[str, tuple[DataFrame, Column]]) -> dict[str, int]:
+    """How many rows meet each gate's condition, in one pass over the rows that they share."""
+    rows = next(iter(conditions.values()))[0]
+    seen = Observation()
+    marks = [F.count_if(F.coalesce(condition, F.lit(False))).alias(f"g{k}") for k, (_, condition) in enumerate(conditions.values())]
+    # Only what the conditions read is computed; no row leaves its task.
+    rows.observe(seen, *marks).write.format("noop").mode("append").save()
+    return dict(zip(conditions, (seen.get[f"g{k}"] for k in range(len(marks))), strict=True))
+
+
+def run_gates(gates: dict[str, Gate]) -> list[dict]:
     """[{gate, status, defects, error}] and the worst last (gate "all"): 0 clean, 1 with defects, 2 where a gate couldn't run.
 
-    Each gate is a function that gives its findings; only their number comes to the driver.
+    A gate is (rows, condition), whose defects are the rows that meet it, or a function that gives its findings. Gates over
+    the same rows are counted by one job that reads these once; if it fails, each runs alone, so that only what can't run is
+    named. Only numbers come to the driver.
     """
-    rows = []
-    for name, gate in gates.items():
+    found: dict[str, dict] = {}
+
+    def note(name: str, count: Callable[[], int]) -> None:
         try:
-            found = gate().count()
-            rows.append({"gate": name, "status": int(found > 0), "defects": found, "error": None})
+            n = count()
+            found[name] = {"gate": name, "status": int(n > 0), "defects": n, "error": None}
         except Exception as e:  # a gate that can't run is a result of its own and must not hide the others
-            rows.append({"gate": name, "status": 2, "defects": 0, "error": str(e).splitlines()[0][:200]})
+            found[name] = {"gate": name, "status": 2, "defects": 0, "error": str(e).splitlines()[0][:200]}
+
+    shared: dict[int, dict[str, tuple[DataFrame, Column]]] = {}
+    for name, gate in gates.items():
+        if isinstance(gate, tuple):
+            shared.setdefault(id(gate[0]), {})[name] = gate
+        else:
+            note(name, lambda gate=gate: gate().count())
+    for together in shared.values():
+        try:
+            for name, n in _counted(together).items():
+                note(name, lambda n=n: n)
+        except Exception:  # one of them can't run: which one shows by itself
+            for name, gate in together.items():
+                note(name, lambda name=name, gate=gate: _counted({name: gate})[name])
+    rows = [found[name] for name in gates]
     return [*rows, {"gate": "all", "status": max((r["status"] for r in rows), default=2), "defects": sum(r["defects"] for r in rows), "error": None}]
 
 
