@@ -402,12 +402,19 @@ def test_package_citations(spark):
 
 
 def test_reviews_and_briefs(spark):
-    known = spark.createDataFrame([("n", "s", ["facts"])], "note string, sha256 string, lanes array<string>")
-    reviews = spark.createDataFrame([("f1", "n", "facts", "s", "SHIP"), ("f2", "n", "Facts", "t", "OK"), ("f3", "m", "facts", "s", "BLOCK")], "file string, note string, lane string, note_sha256 string, verdict string")
-    found = {(r.file, r.code) for r in filing.review_refusals(reviews, known, spark.createDataFrame([("f1",)], "file string")).collect()}
-    assert found == {("f1", "E-REVIEW-EXISTS"), ("f2", "E-REVIEW-LANE"), ("f2", "E-REVIEW-STALE"), ("f2", "E-REVIEW-VERDICT"), ("f3", "E-REVIEW-NOTE")}
-    asked = spark.createDataFrame([("n", "facts", "x"), ("n", "style", "x"), ("m", "facts", "x")], "note string, lane string, text string")
-    assert {(r.note, r.lane): r.code for r in filing.brief_refusals(asked, known).collect()} == {("n", "style"): "E-BRIEF-LANE", ("m", "facts"): "E-BRIEF-NOTE"}
+    known = spark.createDataFrame([("n", "s")], "note string, sha256 string")
+    stamps = spark.createDataFrame([("n", "facts", "b1"), ("n", "style", None)], "note string, lane string, stamp string")
+    cases = [("f1", "n", "facts", "facts", "s", "b1", None), ("f2", "n", "facts", "facts", "t", None, None), ("f3", "n", "facts", "style", "s", "b2", None), ("f4", "n", "style", "style", "s", "x", None), ("f5", "n", "other", "other", "s", None, None), ("f6", "m", "other", "other", "s", None, None), ("f7", "n", "facts", None, None, None, "no header")]
+    reviews = spark.createDataFrame(cases, "file string, note string, lane string, said_lane string, note_sha256 string, brief_sha256 string, problem string")
+    found = {}
+    for r in filing.review_refusals(reviews, known, stamps).collect():
+        found.setdefault(r.file, []).append(r.code)
+    assert found == {"f2": ["E-FILE-UNBRIEFED", "E-FILE-STALE"], "f3": ["E-FILE-WRONGBRIEF", "E-FILE-MISLABELLED"], "f4": ["E-FILE-BADBRIEF"], "f6": ["E-FILE-STALE"], "f7": ["E-FILE-UNPARSED"]}
+    asked = spark.createDataFrame([("n", "v", "facts", "x"), ("o", "v", "Facts", "x"), ("p", None, "facts", "x"), ("q", "v", "facts", " \n")], "note string, video_id string, lane string, text string")
+    assert {r.note: r.code for r in filing.brief_refusals(asked).collect()} == {"o": "USAGE-BAD-LANE", "p": "USAGE-NO-ID", "q": "E-BRIEF-EMPTY"}
+    runs = spark.createDataFrame([("a", "v1", "12", "Été à Paris!", None, "2024-01-02", "r"), ("b", "v2", "12", "!!!", None, "2024-01-02", "r"), ("c", "v3", "x", "t", None, "2024-01-02", "r"), ("d", "v9", "1", "t", None, "2024-01-02", "r"), ("e", "v4", "1", "t", "my-name", "2024-01-02", None), ("f", "a*b", "1", "t", None, "2024-01-02", "r"), ("g", "", "1", "t", None, "2024-01-02", "r")], "run string, video_id string, duration string, title string, stem string, note_date string, rendering string")
+    opened = {r.run: r.note or r.code for r in filing.note_refusals(runs, spark.createDataFrame([("v9",)], "video_id string")).collect()}
+    assert opened == {"a": "2024-01-02--ete-a-paris--v1.md", "b": "E-NOTE-UNNAMEABLE", "c": "USAGE-NO-DURATION", "d": "E-NOTE-EXISTS", "e": "E-NOTE-BLINDORACLE", "f": "USAGE-BAD-ID", "g": "USAGE-NO-ID"}
     frames = planning.batches(spark.createDataFrame([("r", k, f"f{k:02d}") for k in range(25)], "recording_id string, idx int, path string"))
     written = filing.briefs(spark.createDataFrame([("n", "r", "facts")], "note string, recording_id string, lane string"), frames).orderBy("batch").collect()
     assert [len(r.frames) for r in written] == [20, 5] and written[1].header == "# Review of n: facts, batch 2 of frames"

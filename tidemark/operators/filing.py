@@ -22,7 +22,7 @@ CITE = r'\{\{CITE:([^#]*?)#"((?:(?!\{\{)[\s\S])*?)"\}\}'
 CITE_START, SET_START = r"(?i)\{\{\s*CITE", r"(?i)\{\{\s*SET"
 SET_TOKEN = r"\{\{SET:[^}]*\}\}|\{\{/SET\}\}"
 COUNT_WORD = r"(?i)\b(?:\d+|" + "|".join(COUNTS) + r"|all|every)\b"
-LANE = r"^[a-z0-9][a-z0-9-]*$"
+LANE, VIDEO_ID = r"^[a-z0-9][a-z0-9-]*$", r"^[A-Za-z0-9_-]{1,64}$"
 CLAIMS, OBJECTIONS, SPECULATION, META = "Claims", "Strongest objection", "Speculation", ["", "Run notes", "Action"]
 FALSIFIER = r"(?i)(\*?Falsifier:\*?|refuted by:)"
 ORPHAN_MARK, DEMOTED_MARK = notes.MACHINE_MARKS
@@ -575,24 +575,47 @@ def package_targets(cites: DataFrame, packages: DataFrame) -> DataFrame:
     return rows.select("note", "k", "file", code.alias("code"))
 
 
-def review_refusals(reviews: DataFrame, known: DataFrame, held: DataFrame) -> DataFrame:
-    """(file, code): why a review (file, note, lane, note_sha256, verdict) can't be filed.
+def _first(*codes: Column) -> Column:
+    return F.coalesce(*codes, F.lit(None).cast("string"))
 
-    known: note, sha256, lanes (declared); held: file of reviews that are there.
+
+def note_refusals(runs: DataFrame, existing: DataFrame) -> DataFrame:
+    """(run, note, code): the file that a run's note would be, or the first reason why it can't be opened.
+
+    runs: run, video_id, duration (as written), title, stem (a name given instead of the title's, or null), note_date,
+    rendering (of the run, or null where none reads as a transcript); existing: video_id of the notes that there are. A run
+    that names no usable id or no duration can't be judged at all (USAGE). Two runs of one id get the same file.
     """
-    rows = reviews.join(known, "note", "left").join(held.select("file", F.lit(True).alias("there")).distinct(), "file", "left")
-    codes = F.array(
-        F.when(F.col("sha256").isNull(), "E-REVIEW-NOTE"), F.when(~F.col("lane").rlike(LANE), "E-REVIEW-LANE"),
-        F.when(F.col("sha256").isNotNull() & (F.col("sha256") != F.col("note_sha256")), "E-REVIEW-STALE"), F.when(~F.col("verdict").isin(VERDICTS), "E-REVIEW-VERDICT"), F.when(F.col("there"), "E-REVIEW-EXISTS"),
+    there = existing.select("video_id", F.lit(True).alias("there")).where("video_id is not null").distinct()
+    rows = runs.join(there, "video_id", "left").withColumn("name", F.coalesce(F.nullif("stem", F.lit("")), tx.slug(F.coalesce("title", F.lit("")))))
+    code = _first(
+        F.when(F.coalesce("video_id", F.lit("")) == "", "USAGE-NO-ID"), F.when(~F.col("video_id").rlike(VIDEO_ID), "USAGE-BAD-ID"), F.when(F.trim("duration").try_cast("double").isNull(), "USAGE-NO-DURATION"),
+        F.when(F.col("there"), "E-NOTE-EXISTS"), F.when(~F.col("name").rlike(LANE), "E-NOTE-UNNAMEABLE"), F.when(F.col("rendering").isNull(), "E-NOTE-BLINDORACLE"),
     )
-    return rows.select("file", F.explode(F.array_compact(codes)).alias("code"))
+    note = F.concat(F.col("note_date").cast("string"), F.lit("--"), "name", F.lit("--"), "video_id", F.lit(".md"))
+    return rows.select("run", F.when(code.isNull(), note).alias("note"), code.alias("code"))
 
 
-def brief_refusals(briefs: DataFrame, known: DataFrame) -> DataFrame:
-    """(note, lane, code): why a brief (note, lane, text) can't be filed; known: note, lanes."""
-    rows = briefs.join(known.select("note", "lanes"), "note", "left")
-    code = F.when(F.col("lanes").isNull(), "E-BRIEF-NOTE").when(~F.array_contains("lanes", F.col("lane")), "E-BRIEF-LANE").when(F.trim("text") == "", "E-BRIEF-EMPTY")
-    return rows.select("note", "lane", code.alias("code")).where("code is not null")
+def review_refusals(reviews: DataFrame, known: DataFrame, stamps: DataFrame) -> DataFrame:
+    """(file, code): every reason why a review can't be filed.
+
+    reviews: file, note, lane (it is filed for), and what its header says: said_lane, note_sha256, brief_sha256, or problem,
+    why it has no header; known: note, sha256 (of its body now); stamps: note, lane, stamp of the briefs that were filed (null
+    for a brief that doesn't describe itself). Without a brief there is nothing to echo.
+    """
+    given = stamps.select("note", "lane", "stamp", F.lit(True).alias("briefed")).distinct()
+    rows = reviews.join(known.select("note", "sha256"), "note", "left").join(given, ["note", "lane"], "left")
+    echo = F.coalesce("brief_sha256", F.lit(""))
+    brief = F.when(F.col("briefed"), F.when(F.col("stamp").isNull(), "E-FILE-BADBRIEF").when(echo == "", "E-FILE-UNBRIEFED").when(echo != F.col("stamp"), "E-FILE-WRONGBRIEF"))
+    other, stale = ~F.col("said_lane").eqNullSafe(F.col("lane")), ~F.col("note_sha256").eqNullSafe(F.col("sha256"))
+    codes = F.when(F.col("problem").isNotNull(), F.array(F.lit("E-FILE-UNPARSED"))).otherwise(F.array_compact(F.array(brief, F.when(other, "E-FILE-MISLABELLED"), F.when(stale, "E-FILE-STALE"))))
+    return rows.select("file", F.explode(codes).alias("code"))
+
+
+def brief_refusals(briefs: DataFrame) -> DataFrame:
+    """(note, lane, code): why a brief (note, video_id of its header, lane, text) can't be filed."""
+    code = _first(F.when(F.coalesce("video_id", F.lit("")) == "", "USAGE-NO-ID"), F.when(~F.coalesce("lane", F.lit("")).rlike(LANE), "USAGE-BAD-LANE"), F.when(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "")) == "", "E-BRIEF-EMPTY"))
+    return briefs.select("note", "lane", code.alias("code")).where("code is not null")
 
 
 def briefs(declared: DataFrame, batched: DataFrame) -> DataFrame:

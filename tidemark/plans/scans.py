@@ -432,3 +432,17 @@ def oracle_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         oracle = F.when(F.col("page_id") % 6 == k, kinds[k]).otherwise(oracle)
     declared = p.select(F.col("page_id").cast("string").alias("note"), F.get(F.split("path", "/"), F.lit(1)).alias("recording_id"), oracle.alias("oracle"))
     return filing.oracle_targets(declared, p.select("path").distinct())
+
+
+@query("""WITH r AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'a b' ELSE 'v' || page_id END AS video_id, CASE WHEN page_id % 5 = 0 THEN 'long' ELSE '12.5' END AS duration, CASE WHEN page_id % 11 = 0 THEN 'No/Name' ELSE 'page-' || page_id END AS stem,
+  CASE WHEN page_id % 3 = 0 THEN NULL ELSE url END AS rendering FROM pages), e AS (SELECT 'v' || doc_id AS video_id FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+c AS (SELECT r.*, CASE WHEN r.video_id IS NULL THEN 'USAGE-NO-ID' WHEN r.video_id = 'a b' THEN 'USAGE-BAD-ID' WHEN duration = 'long' THEN 'USAGE-NO-DURATION' WHEN e.video_id IS NOT NULL THEN 'E-NOTE-EXISTS' WHEN stem = 'No/Name' THEN 'E-NOTE-UNNAMEABLE' WHEN rendering IS NULL THEN 'E-NOTE-BLINDORACLE' END AS code FROM r LEFT JOIN e ON e.video_id = r.video_id)
+SELECT page_id::VARCHAR AS run, CASE WHEN code IS NULL THEN '2024-01-02--' || stem || '--' || video_id || '.md' END AS note, code FROM c""")
+def note_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as runs: the notes that they would open, and why some can't."""
+    p, n = views.table(spark, sf_dir, "pages"), F.col("page_id")
+    own = F.when(n % 7 == 0, None).when(n % 7 == 1, "a b").otherwise(F.concat(F.lit("v"), n.cast("string")))
+    stem = F.when(n % 11 == 0, "No/Name").otherwise(F.concat(F.lit("page-"), n.cast("string")))
+    runs = p.select(n.cast("string").alias("run"), own.alias("video_id"), F.when(n % 5 == 0, "long").otherwise("12.5").alias("duration"), F.lit(None).cast("string").alias("title"), stem.alias("stem"), F.lit("2024-01-02").alias("note_date"), F.when(n % 3 > 0, F.col("url")).alias("rendering"))
+    held = views.table(spark, sf_dir, "labels").where("doc_id is not null").select(F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("video_id"))
+    return filing.note_refusals(runs, held)
