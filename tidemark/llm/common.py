@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -77,6 +78,16 @@ def trim() -> None:
         pass  # another C library
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of stages that nothing refers to any more.
+
+    Spark removes them when the driver's JVM collects its garbage, which on a driver with little to do is long after an
+    iterative job has filled the executors' disks; so it is asked to.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def record_batch(schema: pa.Schema, columns: dict[str, object]) -> pa.RecordBatch:
     """Columns as a batch of that schema; numpy arrays and lists both do."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SLICE_CHARS, IdFilter, checkpointed, clean_text, mix64, record_batch, span_hashes, text_slices, trim
+from tidemark.llm.common import SLICE_CHARS, IdFilter, checkpointed, clean_text, mix64, record_batch, release, span_hashes, text_slices, trim
 
 WORDS = 5
 PERCENT = 75
@@ -404,6 +404,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = checkpointed(with_shared_ids(verified(in_stars(checkpointed(_agreeing(pairs, wide))), texts), linkable, classes))
     labels = components(links)
     members = checkpointed(_relabelled(members, labels))
+    release(spark)
     for turn in range(1, ROUNDS):
         # Later leaders are the smallest by a hash that each round draws anew.
         drawn = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("leader"), F.col("label").alias("of"))
@@ -413,7 +414,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = checkpointed(links.union(verified(in_stars(checkpointed(_agreeing(pairs, wide))), texts)))
         labels = components(links)
         members = checkpointed(_relabelled(members, labels))
-    labels = components(links.union(across(members, wide, texts)))
+        release(spark)
+    links = checkpointed(links.union(across(members, wide, texts)))
+    release(spark)
+    labels = components(links)
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     linked = linkable.join(of_class, ["k1", "k2"])
     alone = signed.where("not (n > 0 and doc_id is not null)").withColumn("component_id", F.col("doc_id"))
