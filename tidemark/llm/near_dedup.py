@@ -227,9 +227,10 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
         state = now
-        # Few edges need few tasks, each of which would write to all others.
-        edges = edges.coalesce(1 + now.n // EDGES_A_TASK)
-        both = edges.union(edges.select("v", "u"))
+        # Few edges need few tasks, each of which would write to all others; those that fit one task need no exchange.
+        tasks = 1 + now.n // EDGES_A_TASK
+        edges = edges.coalesce(tasks)
+        both = edges.union(edges.select("v", "u")).coalesce(tasks)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
