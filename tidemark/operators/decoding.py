@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,12 +125,18 @@ def without_seam_repeats(rows: DataFrame) -> DataFrame:
     chunks before it kept.
 
     A segment that starts by SEAM_S after the edge (the last end kept so far) goes if its words are those of one kept that
-    ends within four seams of the edge. What was kept decides on what comes: a fold whose stretches are the chunks.
+    ends within four seams of the edge. What was kept decides on what comes: a fold that takes chunk after chunk.
     """
 
-    def advance(state: list | None, part: Iterable[tuple]) -> tuple[list[tuple], list]:
+    def advance(state: list | None, rows: Iterable[tuple]) -> tuple[list[tuple], list | None]:
+        kept = []
+        for _, part in groupby(rows, key=lambda r: r[0]):
+            own, state = take(state, list(part))
+            kept += own
+        return kept, state
+
+    def take(state: list | None, part: list[tuple]) -> tuple[list[tuple], list]:
         edge, tail = state or (None, [])
-        part = list(part)
         if edge is not None and any(keep_from is not None and keep_from == keep_from for *_, keep_from in part):
             known = {key for end, key in tail if end >= edge - 4 * SEAM_S}
             part = [r for r in part if not (r[1] <= edge + SEAM_S and r[5] in known)]
