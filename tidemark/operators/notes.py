@@ -154,9 +154,10 @@ def item_marks(lined: DataFrame) -> DataFrame:
 
     gap is what stands between the mark and the one before it.
     """
-    pattern = rf"(?s)(.*?)({ANCHOR}|{CLASS_MARK})"
-    texts = items(lined).withColumn("joined", without_marks(F.col("raw")))
-    pairs = F.arrays_zip(F.regexp_extract_all("joined", F.lit(pattern), F.lit(1)).alias("gap"), F.regexp_extract_all("joined", F.lit(pattern), F.lit(2)).alias("mark"))
+    # One pattern with the gap in it would try the rest of a text from each of its signs, once no mark follows.
+    pattern = rf"{ANCHOR}|{CLASS_MARK}"
+    texts = items(lined).withColumn("joined", without_marks(F.col("raw"))).withColumn("marks", F.regexp_extract_all("joined", F.lit(pattern), F.lit(0)))
+    pairs = F.arrays_zip(F.slice(F.split("joined", pattern), 1, F.size("marks")).alias("gap"), F.col("marks").alias("mark"))
     found = texts.select(KEY, "block", "section", "verbatim", "numbers", F.posexplode(pairs).alias("k", "p")).select(KEY, "block", "section", "verbatim", "numbers", "k", "p.gap", "p.mark")
     breaks = F.length("gap") - F.length(F.translate("gap", "\n", ""))
     row = F.sum(breaks).over(Window.partitionBy(KEY, "block").orderBy("k")).cast("int")
