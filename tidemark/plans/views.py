@@ -183,6 +183,9 @@ def with_views(body: str, *names: str) -> str:
 #: Entities of the driver's tables and the signs that they stand for, as SQL; the ampersand comes last.
 ENTITIES = {"&nbsp;": "chr(160)", "&lt;": "'<'", "&gt;": "'>'", "&quot;": "chr(34)", "&#39;": "chr(39)", "&amp;": "'&'"}
 
+#: The same as text, for the operators.
+ENTITY_SIGNS = (("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
 
 def literal_sql(files: str, names: list[str], spelt: list[str]) -> str:
     """WITH tables that end in literal(source_id, line_no, "column", name, way): names in whole texts of files(source_id, text).
