@@ -55,13 +55,27 @@ def _pieces(text: Column, size: int) -> Column:
     return F.array_distinct(F.transform(ends, lambda k: F.array_join(F.slice(signs, k, size), "")))
 
 
+#: Different quotes of a file up to which each reads the whole file.
+FEW_QUOTES = 200
+
+
 def holding_blocks(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
     """(path, quote, block, place) of the blocks (path, block, whole) of its file that hold a quote (path, quote).
 
-    An index of the pieces that quotes ask for says in which blocks each is; a quote meets only the blocks that have its
-    rarest piece, and each different quote of a file does so once, however many notes cite it.
+    Each different quote of a file is looked for once, however many notes cite it: in all blocks, where a file has few quotes,
+    else in those that hold its rarest piece. No file that few quotes name is ever cut into pieces.
     """
     asked = quotes.select("path", "quote").where("quote <> ''").distinct()
+    many = stored(asked.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > FEW_QUOTES).select("path"))
+    within = lambda met: met.withColumn("place", F.instr(F.col("whole"), F.col("quote"))).where("place > 0").select("path", "quote", "block", "place")
+    if not many.limit(1).count():
+        return within(asked.join(blocks, "path"))
+    few = within(asked.join(many, "path", "left_anti").join(blocks, "path"))
+    return few.unionByName(_holding_pieces(asked.join(many, "path", "left_semi"), blocks))
+
+
+def _holding_pieces(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """holding_blocks() by an index of the pieces that quotes ask for, which says in which blocks each is."""
     out = None
     for longer, size in zip([None, *PIECES], PIECES, strict=False):
         fits = F.length("quote") >= size
@@ -136,8 +150,12 @@ def resolved_citations(bodies: DataFrame, files: DataFrame) -> DataFrame:
     blocks = stored(blocks.select("path", "block", F.array_join(F.filter(F.col("l.plain"), lambda p: p != ""), " ").alias("whole"), "l"))
     # The first block of a file that holds a quote is where it is found.
     holds = holding_blocks(cites, blocks.select("path", "block", "whole")).groupBy("path", "quote").agg(F.min_by("place", "block").alias("place"), F.min("block").alias("block"))
-    ends = F.aggregate("l", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<upto:int,line_no:int>>").alias("ends")), lambda s, x: F.struct((s["at"] + F.length(x["plain"]) + F.when(x["plain"] != "", 1).otherwise(0)).alias("at"), F.concat(s["ends"], F.array(F.struct((s["at"] + F.length(x["plain"]) + F.when(x["plain"] != "", 1).otherwise(0)).alias("upto"), x["line_no"].cast("int").alias("line_no")))).alias("ends")), lambda s: s["ends"])
-    lined = holds.join(blocks, ["path", "block"]).select("path", "quote", F.get(F.filter(ends, lambda e: e["upto"] >= F.col("place")), F.lit(0))["line_no"].alias("target_line"))
+    # The first line that ends at the place or after it.
+    upto = lambda s, x: s["at"] + F.length(x["plain"]) + F.when(x["plain"] != "", 1).otherwise(0)
+    hit = lambda s, x: F.coalesce(s["hit"], F.when(upto(s, x) >= F.col("place"), x["line_no"].cast("int")))
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("hit"))
+    target = F.aggregate("l", start, lambda s, x: F.struct(upto(s, x).alias("at"), hit(s, x).alias("hit")), lambda s: s["hit"])
+    lined = holds.join(blocks, ["path", "block"]).select("path", "quote", target.alias("target_line"))
     met = cites.where("quote <> ''").join(lined, ["path", "quote"]).select("note", "k", "target_line")
     first = met.groupBy("note", "k").agg(F.min("target_line").alias("target_line"))
     known = files.select("path", "sha256", F.lit(True).alias("there"), F.col("text").isNull().alias("unreadable"))
