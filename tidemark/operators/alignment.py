@@ -39,6 +39,61 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([r for lo, hi in zip(steps, steps[1:], strict=False) for r in blocks.ratios(pairs[lo:hi]).tolist()], dtype="float64")
 
 
+def _grams(texts: list[str], size: int) -> np.ndarray:
+    """How many runs of size signs of each text fall into each of GRAM_BINS bins."""
+    lengths = np.asarray([len(t) for t in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    hashed, rest = codes.copy(), len(codes) - size + 1
+    for k in range(1, size):
+        hashed[:rest] = hashed[:rest] * np.uint64(1_000_003) + codes[k : k + rest] if rest > 0 else hashed[:0]
+    bins = ((hashed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
+    rest = max(rest, 0)
+    within = owner[:rest] == owner[size - 1 : size - 1 + rest]
+    counts = np.bincount(owner[:rest][within] * (1 << GRAM_BITS) + bins[:rest][within], minlength=len(texts) << GRAM_BITS)
+    return counts.reshape(len(texts), 1 << GRAM_BITS)
+
+
+#: Bits of the bins that runs of signs are counted in, and pairs that are counted at a time.
+GRAM_BITS, GRAM_PAIRS = 8, 2000
+
+
+def may_reach(pairs: list[tuple[str, str]], ratio: float) -> np.ndarray:
+    """False only for pairs whose similarity() is surely less than the ratio.
+
+    Of n signs of both texts let M be in matching blocks (of each text). Blocks are parted by at least one of the n - 2M other
+    signs, so there are at most n - 2M + 1, and at least M - (g - 1)(n - 2M + 1) runs of g signs stand in both texts.
+    """
+    n = np.asarray([len(a) + len(b) for a, b in pairs], dtype=np.int64)
+    least = np.ceil(ratio * n / 2 - 1e-6)
+    out = np.ones(len(pairs), dtype=bool)
+    for size in (1, 2, 3):
+        for lo in range(0, len(pairs), GRAM_PAIRS):
+            at = lo + np.flatnonzero(out[lo : lo + GRAM_PAIRS])
+            if len(at):
+                shared = np.minimum(_grams([pairs[k][0] for k in at], size), _grams([pairs[k][1] for k in at], size)).sum(axis=1)
+                out[at] = shared >= least[at] - (size - 1) * (n[at] - 2 * least[at] + 1)
+    return out
+
+
+def similarity_from(ratio: float):
+    """similarity(), but 0 for pairs that surely stay below the ratio; these are not matched, nor are equal texts (1)."""
+
+    @F.pandas_udf(T.DoubleType())
+    def found(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs = list(zip(a, b, strict=True))
+        out = np.zeros(len(pairs))
+        same = np.asarray([x == y for x, y in pairs], dtype=bool)
+        out[same] = 1.0
+        at = np.flatnonzero(~same)
+        at = at[may_reach([pairs[k] for k in at], ratio)]
+        if len(at):
+            out[at] = similarity.func(pd.Series([pairs[k][0] for k in at]), pd.Series([pairs[k][1] for k in at]))
+        return pd.Series(out)
+
+    return found
+
+
 def streams(segments: DataFrame) -> DataFrame:
     """(recording_id, words, times): a rendering's tokens in order, the time of each, and at the end the last time again."""
     told = segments.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("start_s", "ord", tx.tokens("text").alias("words")))).alias("s"))

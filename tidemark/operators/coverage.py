@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators.alignment import similarity
+from tidemark.operators.alignment import similarity_from
 from tidemark.operators.sequence import KEY
 
 RARE, TERM_LETTERS, VERBATIM_RUN = 3, 4, 12
@@ -83,7 +83,7 @@ def near_rows(rows: DataFrame, reach: int = 5, ratio: float = 0.85) -> DataFrame
     # A ratio can't exceed twice the shorter length over both, which spares most of the comparisons.
     a, b = F.length("text"), F.length("other.text")
     pairs = pairs.where((a + b == 0) | (2.0 * F.least(a, b) / (a + b) >= ratio))
-    met = pairs.select(KEY, "ord", F.col("other.ord").alias("like_ord"), similarity("text", "other.text").alias("r")).where(F.col("r") >= ratio)
+    met = pairs.select(KEY, "ord", F.col("other.ord").alias("like_ord"), similarity_from(ratio)("text", "other.text").alias("r")).where(F.col("r") >= ratio)
     return met.groupBy(KEY, "ord").agg(F.min("like_ord").alias("like_ord"))
 
 
