@@ -110,6 +110,25 @@ def test_suffix_dedup_splits_hot_minimizers(rows, monkeypatch):
     assert found == expected
 
 
+def test_suffix_dedup_sorts_groups_of_bounded_size(rows, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "SORTED_BYTES", 5_000)
+    sizes, repeats = [], suffix_dedup._repeats
+    monkeypatch.setattr(suffix_dedup, "_repeats", lambda pieces, raw, pool: (sizes.append(len(raw)), repeats(pieces, raw, pool))[1])
+    own = [(r[0] if r[0] is not None else suffix_dedup._LAST_ID, r[1] or "") for r in dict.fromkeys((r[0], r[1]) for r in rows)]
+    batch = pa.record_batch({"doc_id": [o[0] for o in own], "text_hash": [0] * len(own), "text": pa.array([o[1].encode() for o in own], pa.binary())})
+    to = lambda f, batches: list(f(iter(batches)))
+    spans = to(suffix_dedup._meet(1), to(suffix_dedup._cut(1), [batch]))
+    texts = to(suffix_dedup._text_blocks(1), [batch])
+    contents = to(suffix_dedup._contents(3), [*spans, *texts])
+    assert sum(b.num_rows for b in contents) <= 3
+    more = to(suffix_dedup._compare(1, 1 << 20), contents)
+    assert len(sizes) > 3 and max(sizes) < sum(sizes) / 3
+    found = {d: tuple(r) for b in to(suffix_dedup._apply, [*spans, *more, *texts]) for d, *r in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True)}
+    assert found == removed_by_brute_force([(o[0], o[1]) for o in own])
+
+
 def test_rewrite_keeps_columns(docs, rows, empty):
     out = suffix_dedup.rewrite(docs)
     assert out.schema.names == docs.schema.names and out.count() == len(rows)

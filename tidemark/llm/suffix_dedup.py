@@ -39,8 +39,13 @@ GRAM = 32
 #: Bytes of text that one vectorised step holds, and steps after which a task hands its segments on.
 PIECE = 1 << 19
 STEPS = 12
-#: Buckets of open segments per shuffle partition; their suffixes are sorted one bucket at a time.
-FINE = 8
+#: Bytes of text for each partition of segments and documents, and for each of open segments (about four bytes to one of
+#: text), beyond what spark.sql.shuffle.partitions asks for.
+PARTITION_BYTES = 64 << 20
+OPEN_BYTES = 16 << 20
+#: Bytes of open segments that a task holds before it hands them on, and whose suffixes are sorted at a time.
+HELD_BYTES = 16 << 20
+SORTED_BYTES = 3 << 20
 HOT_SEGMENTS = 20_000
 _KEEP_BITS = np.uint64(24)
 _LAST_ID = (1 << 63) - 1
@@ -337,8 +342,18 @@ class _Spans:
 def _contents(buckets: int):
     """Step 3: the bytes of open segments, by bucket of their key (minimizer, or window content if that is hot)."""
 
+    def handed(held: list[tuple[np.ndarray, bytes]]) -> pa.RecordBatch:
+        pieces, text = np.concatenate([p for p, _ in held]), b"".join(t for _, t in held)
+        bucket = (pieces["key"] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
+        begins = _begins(pieces)
+        return _batch([(int(bucket[order[a]]), 3, _pack(pieces[order[a:b]], _texts_of(pieces, begins, text, order[a:b]))) for a, b in zip(first, [*first[1:], len(order)], strict=True)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = _Spans()
+        held: list[tuple[np.ndarray, bytes]] = []
+        size = 0
         for batch in batches:
             for kind, block in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if kind == 1:
@@ -368,19 +383,30 @@ def _contents(buckets: int):
                 if not records:
                     continue
                 pieces, where = np.concatenate(records), np.concatenate(wheres)
-                bucket = (pieces["key"] % np.uint64(buckets * FINE)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
-                rows = []
-                for a, b in zip(first, [*first[1:], len(order)], strict=True):
-                    own = order[a:b]
-                    text = b"".join(payload[w : w + n + LENGTH - 1] for w, n in zip(where[own].tolist(), pieces["n"][own].tolist(), strict=True))
-                    rows.append((int(bucket[own[0]]), 3, _pack(pieces[own], text)))
-                yield _batch(rows)
+                text = b"".join(payload[w : w + n + LENGTH - 1] for w, n in zip(where.tolist(), pieces["n"].tolist(), strict=True))
+                held.append((pieces, text))
+                size += len(text)
+                if size >= HELD_BYTES:
+                    yield handed(held)
+                    held, size = [], 0
+        if held:
+            yield handed(held)
+        trim()
 
     return run
 
 
+def _begins(pieces: np.ndarray) -> np.ndarray:
+    """Where each piece's text begins, when they follow each other."""
+    sizes = pieces["n"].astype(np.int64) + LENGTH - 1
+    return np.cumsum(sizes) - sizes
+
+
+def _texts_of(pieces: np.ndarray, begins: np.ndarray, text: bytes, own: np.ndarray) -> bytes:
+    """The texts of some pieces, one after another."""
+    return b"".join(text[b : b + n + LENGTH - 1] for b, n in zip(begins[own].tolist(), pieces["n"][own].tolist(), strict=True))
+
+
 def _repeats(pieces: np.ndarray, raw: np.ndarray, pool: Pool) -> np.ndarray:
     """Windows of the pieces that an earlier piece's window equals, as closed spans of one window each."""
     sizes = pieces["n"].astype(np.int64) + LENGTH - 1
@@ -419,22 +445,34 @@ def _repeats(pieces: np.ndarray, raw: np.ndarray, pool: Pool) -> np.ndarray:
 
 
 def _compare(buckets: int, budget: int):
-    """Step 4: sort the suffixes of each bucket's pieces and close the windows that occur earlier."""
+    """Step 4: sort the suffixes of pieces and close the windows that occur earlier.
+
+    Pieces of one key are sorted together, in groups of about SORTED_BYTES, so sorting costs the same for each byte of the
+    input and doesn't come to scratch files as tables grow.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[np.ndarray], list[bytes]]] = {}
+        held: list[tuple[np.ndarray, bytes]] = []
         for batch in batches:
-            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                pieces, text = _unpack(block, _PIECE)
-                own = held.setdefault(bucket, ([], []))
-                own[0].append(pieces)
-                own[1].append(text)
-        while held:
-            _, (pieces, texts) = held.popitem()
-            found = _merged_spans(_repeats(np.concatenate(pieces), np.frombuffer(b"".join(texts), dtype=np.uint8), Pool(budget=budget, depth=LENGTH)))
+            held += [_unpack(block, _PIECE) for block in batch.column(2).to_pylist()]
+        if not held:
+            return
+        pieces, text = np.concatenate([p for p, _ in held]), b"".join(t for _, t in held)
+        held.clear()
+        begins = _begins(pieces)
+        groups = 1 + len(text) // SORTED_BYTES
+        group = (mix64(pieces["key"]) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        edges = np.searchsorted(group[order], np.arange(groups + 1))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            own = order[a:b]
+            found = _merged_spans(_repeats(pieces[own], np.frombuffer(_texts_of(pieces, begins, text, own), dtype=np.uint8), Pool(budget=budget, depth=LENGTH)))
             if len(found):
                 yield _batch(list(_by_bucket(found, _doc_bucket(found["doc"], buckets), 1)))
-            trim()
+        del pieces, text
+        trim()
 
     return run
 
@@ -510,16 +548,17 @@ def _rewrite(schema: pa.Schema, further: list[str]):
 def _met(docs: DataFrame, further: list[str], budget: int) -> DataFrame:
     """All spans and texts, as sorted blocks: spans before texts in each partition."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = clean_text("text")
+    size, least = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, wide = (max(least, -(-size // most)) for most in (PARTITION_BYTES, OPEN_BYTES))
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))
     own = [ids.alias("_id"), F.xxhash64(text).alias("_hash"), text.cast("binary").alias("_text")]
     bare, whole = docs.select(*own), docs.select(*own, *(F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(further)))
     meet = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("kind")
     cut = bare.mapInArrow(_cut(buckets), _BLOCK_SCHEMA)
     spans = checkpointed(cut.repartition(buckets, "bucket").mapInArrow(_meet(buckets), _BLOCK_SCHEMA))
-    pieces = meet(spans.union(bare.mapInArrow(_text_blocks(buckets), _BLOCK_SCHEMA))).mapInArrow(_contents(buckets), _BLOCK_SCHEMA)
-    more = checkpointed(pieces.repartition(buckets, "bucket").mapInArrow(_compare(buckets, budget), _BLOCK_SCHEMA))
+    pieces = meet(spans.union(bare.mapInArrow(_text_blocks(buckets), _BLOCK_SCHEMA))).mapInArrow(_contents(wide), _BLOCK_SCHEMA)
+    more = checkpointed(pieces.repartition(wide, "bucket").mapInArrow(_compare(buckets, budget), _BLOCK_SCHEMA))
     return meet(spans.union(more).union(whole.mapInArrow(_text_blocks(buckets), _BLOCK_SCHEMA)))
 
 
