@@ -137,6 +137,19 @@ def test_health_of_a_healthy_and_a_looping_recording(spark):
     assert {code for _, code in defects} >= {"E-TS-LOOP", "E-TS-REPEAT", "E-TS-DOMINANT", "E-TS-VOCABULARY"}
 
 
+def test_health_across_stretches_cuts_texts_into_words_few_times(spark):
+    texts = ["same words here"] * 5 + ["one 2 three"] * 3 + ["", "one three four 2"] + ["same words here"] * 2
+    rows = [(1, 900.0 * k, 900.0 * k + 4, t) for k, t in enumerate(texts)] + [(2, 0, 4, "12 34")]
+    found = rules.health(segs(spark, rows))
+    # Each count of words in the plan is a pass of patterns over all texts.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 4
+    one, other = found.orderBy("recording_id").collect()
+    assert (one.segments, one.distinct, one.words, one.run, one.near) == (12, 4, 34, 5, 5)
+    assert one.per_minute == pytest.approx(6 / (one.span / 60)) and one.top_share == pytest.approx(7 / 12)
+    assert (other.distinct, other.words, other.per_minute) == (1, 2, 0.0)
+    assert {r.recording_id: r.vocabulary for r in rules.vocabulary(segs(spark, rows)).collect()} == {1: 6}
+
+
 def test_near_rows_and_alignment(spark):
     rows = spark.createDataFrame([(1, 0, "the quick brown fox jumps"), (1, 1, "something else"), (1, 2, "the quick brown fox jumped")], "recording_id long, ord long, text string")
     assert [(r.ord, r.like_ord) for r in coverage.near_rows(rows).collect()] == [(2, 0)]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import interval, sequence
-from tidemark.operators.running import KEY, most, previous, running, total
+from tidemark.operators.running import KEY, STRETCH, Running, most, running, total
 from tidemark.operators.sequence import capped_end
+from tidemark.operators.stages import stored
 
 # Fixed limits of the health rules.
 RUN, GAP, DISTINCT, COVERAGE, TOP, NEAR, VOCABULARY, ENOUGH_S, ENOUGH_N, SEGMENT = 4, 20.0, 0.5, 0.5, 0.10, 8, 5.0, 300.0, 20, 120.0
@@ -23,8 +24,36 @@ def top_share(segments: DataFrame) -> DataFrame:
 
 def vocabulary(segments: DataFrame) -> DataFrame:
     """(recording_id, vocabulary): distinct content words."""
-    words = segments.select(KEY, F.explode(tx.content_tokens("text")).alias("w")).distinct()
-    return words.groupBy(KEY).agg(F.count("*").alias("vocabulary"))
+    return _vocabulary(segments.withColumn("content", F.array_distinct(tx.content_tokens("text"))))
+
+
+def _vocabulary(worded: DataFrame) -> DataFrame:
+    """vocabulary() of segments with content: words are gathered by stretch; those of several become rows, to meet again."""
+    at = F.floor(F.col("start_s") / STRETCH).alias("_stretch")
+    held = worded.groupBy(KEY, at).agg(F.array_distinct(F.flatten(F.collect_list("content"))).alias("words"))
+    alone = F.count("*").over(Window.partitionBy(KEY)) == 1
+    counts = F.when(alone, F.array(F.struct(F.lit(None).cast("string").alias("w"), F.size("words").alias("n")))).otherwise(F.transform("words", lambda w: F.struct(w.alias("w"), F.lit(1).alias("n"))))
+    words = held.select(KEY, counts.alias("c")).select(KEY, F.explode("c").alias("c")).select(KEY, "c.w", "c.n").distinct()
+    return words.groupBy(KEY).agg(F.sum("n").alias("vocabulary")).where("vocabulary > 0")
+
+
+def _words(text: str | Column) -> Column:
+    """(key, content, words) of a text: its tokens joined, those without a digit, and their number."""
+    return F.transform(F.array(tx.tokens(text)), lambda t: F.struct(F.array_join(t, " ").alias("key"), F.array_distinct(F.filter(t, lambda w: ~w.rlike("[0-9]"))).alias("content"), F.size(t).cast("long").alias("words")))[0]
+
+
+def _keyed(segments: DataFrame) -> DataFrame:
+    """Segments with key, content and words of their texts."""
+    return segments.withColumn("_w", _words("text")).select(KEY, "start_s", "ord", "end_s", "text", "_w.key", "_w.content", "_w.words")
+
+
+#: Words of the row before. Of a stretch only the last text goes on to the next, and is cut into words there.
+_LAST_WORDS = Running(
+    lambda o: F.lag(F.struct("key", "content", "words")).over(o),
+    lambda at, last: last(F.struct(F.col("text").alias("v")), at),
+    lambda o, t: F.lag(t).over(o),
+    lambda a, b: F.coalesce(a, F.when(b.isNotNull(), _words(b["v"]))),
+)
 
 
 def health(segments: DataFrame, durations: DataFrame | None = None) -> DataFrame:
@@ -33,23 +62,23 @@ def health(segments: DataFrame, durations: DataFrame | None = None) -> DataFrame
     durations (recording_id, duration_s) are declared spans: recordings without a segment are among the rows then, and
     missing_s is what lacks at the end. Else the span is the last believed end.
     """
-    keyed = segments.withColumn("key", tx.normalise("text")).withColumn("words", F.size(tx.tokens("text")).cast("long"))
-    keyed = keyed.withColumn("content", F.array_distinct(tx.content_tokens("text")))
+    keyed = _keyed(segments)
     read = running(
         keyed, sequence.ORDER,
-        {"_reach": most(F.greatest(capped_end(), F.col("start_s"))), "_covered": most(capped_end()), "_key": previous(F.col("key")), "_content": previous(F.col("content"))},
+        {"_reach": most(F.greatest(capped_end(), F.col("start_s"))), "_covered": most(capped_end()), "_last": _LAST_WORDS},
     )
     reach, covered = (F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)) for c in ("_reach", "_covered"))
-    earlier = F.coalesce("_content", F.array().cast("array<string>"))
+    earlier = F.coalesce("_last.content", F.array().cast("array<string>"))
     union, both = F.size(F.array_union("content", earlier)), F.size(F.array_intersect("content", earlier))
     scanned = read.select(
         KEY, "start_s", "ord", "end_s", "words", capped_end().alias("end_c"),
-        (~F.coalesce((F.col("key") == F.col("_key")) & (F.col("key") != ""), F.lit(False))).alias("fresh"),
+        (~F.coalesce((F.col("key") == F.col("_last.key")) & (F.col("key") != ""), F.lit(False))).alias("fresh"),
         (~F.coalesce((union > 0) & (both / union >= 0.8), F.lit(False))).alias("unlike"),
         (F.col("start_s") - reach > GAP).alias("gap"),
         F.greatest(capped_end() - F.greatest(F.col("start_s"), covered), F.lit(0.0)).alias("gain"),
     )
-    scanned = running(scanned, sequence.ORDER, {"run": total(F.col("fresh").cast("long")), "near": total(F.col("unlike").cast("long"))})
+    # What follows reads rows without texts several times, so no text is cut into words for each of them.
+    scanned = running(stored(scanned), sequence.ORDER, {"run": total(F.col("fresh").cast("long")), "near": total(F.col("unlike").cast("long"))})
     # The longest run is the largest of the runs' counts.
     longest = [scanned.groupBy(KEY, run).agg(F.count("*").alias("n")).groupBy(KEY).agg(F.max("n").alias(run)) for run in ("run", "near")]
     measured = scanned.groupBy(KEY).agg(
@@ -57,7 +86,7 @@ def health(segments: DataFrame, durations: DataFrame | None = None) -> DataFrame
     )
     measured = measured.join(longest[0], KEY).join(longest[1], KEY)
     texts = keyed.groupBy(KEY, "key").agg(F.count("*").alias("n")).groupBy(KEY).agg(F.count("*").alias("distinct"), F.max("n").alias("top"))
-    rows = measured.join(texts, KEY).join(vocabulary(segments), KEY, "left").na.fill(0, ["vocabulary"])
+    rows = measured.join(texts, KEY).join(_vocabulary(keyed), KEY, "left").na.fill(0, ["vocabulary"])
     rows = rows.withColumn("missing_s", F.lit(0.0))
     if durations is not None:
         counted = ["segments", "words", "run", "near", "gaps", "distinct", "top", "vocabulary"]
