@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.plans import views
 from tidemark.operators import alignment, coverage, decoding, filing, notes, planning, rules, scan, sequence, votes
 from tidemark.sources import files
 
@@ -462,3 +463,23 @@ def test_quotes_are_found_whole_or_by_pieces(spark, monkeypatch, few):
     found = filing.resolved_citations(spark.createDataFrame([("n", body)], "note string, body string"), files).orderBy("k").collect()
     assert [r.target_line for r in found] == [1, 0, 3, None, 3, 3, None, None, None, None, 3, 3]
     assert bool(cut) == (few == 0)
+
+
+def test_measure_reads_the_rows_of_notes_once(spark):
+    lines = spark.createDataFrame([(1, 0, "- `[00:10]` `SPOKEN` — the quick brown fox jumps"), (1, 1, "```"), (1, 2, "[00:20] quoted words that do not count"), (1, 3, "```")], "recording_id long, line_no long, text string")
+    segments = spark.createDataFrame([(1, 0, 0.0, 30.0, "the quick brown fox jumps over 12 dogs")], "recording_id long, ord long, start_s double, end_s double, text string")
+    found = notes.measure(lines, segments)
+    # Fences are folded when rows are read, not again for each measure.
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    row = found.first()
+    assert (row["rows"], row.rows_in_note, row.anchors, row.impossible) == (1, 1, 1, 0)
+
+
+def test_turns_before_the_first_have_no_line_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    spark.createDataFrame([(1, t, "user", "word " * (t + 5)) for t in range(-4, 30)] + [(2, None, "user", "x"), (2, 1, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = [tuple(r) for r in views.note_line(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(found) == sorted(con.execute(views.with_views("SELECT recording_id, line_no, text FROM note_line", "note_line")).fetchall())

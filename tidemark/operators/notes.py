@@ -16,6 +16,7 @@ from tidemark.functions import text as tx
 from tidemark.operators import interval, witness
 from tidemark.operators.folds import folded
 from tidemark.operators.running import KEY
+from tidemark.operators.stages import stored
 
 # How a note writes evidence classes, moments, rows and marks.
 CLASSES = ["ON-SCREEN", "SPOKEN", "INFERRED"]
@@ -123,7 +124,11 @@ def line_anchors(lines: DataFrame, low: Column | None = None, high: Column | Non
 
     A stamp counts if its line carries LINE_WORDS words besides stamps and isn't a row that was read and refused.
     """
-    rows = claim_rows(quoted(lines)).where("not quoted")
+    return _anchors_of(claim_rows(quoted(lines)).where("not quoted"))
+
+
+def _anchors_of(rows: DataFrame) -> DataFrame:
+    """line_anchors() of claim_rows() that aren't quoted."""
     said = F.size(tx.tokens(F.regexp_replace("text", LOOSE_ANCHOR, " ")))
     found = rows.select(KEY, "line_no", (said >= LINE_WORDS).alias("written"), F.col("kind").isin("impossible", "misshapen").alias("refused"), F.explode(F.regexp_extract_all("text", F.lit(LOOSE_ANCHOR), F.lit(1))).alias("stamp"))
     found = found.withColumn("at_s", clock.parse_clock(F.col("stamp"))).where("at_s is not null")
@@ -279,14 +284,15 @@ def measure(lines: DataFrame, segments: DataFrame, spans: DataFrame | None = Non
     windowed = spans is not None
     asked = spans.select(*SPAN, "lo_s", "hi_s") if windowed else segments.groupBy(KEY).agg(F.min("start_s").alias("lo_s"), F.max("end_s").alias("hi_s")).select(KEY, F.lit(0).alias("span_no"), "lo_s", "hi_s")
     near = lambda df, low, high: interval.band_join(df, asked, low, high, F.col("lo_s"), F.col("hi_s"), 3600.0)
-    marked = quoted(lines)
-    claims = claim_rows(marked).where("not quoted")
+    # Lines and what they claim are read by several measures, and so are segments.
+    claims = stored(claim_rows(quoted(lines)).where("not quoted"))
+    segments = stored(segments)
     in_span = near(claims.where("kind = 'row'").select(KEY, "line_no", "at_s", "until_s", "claim"), F.col("at_s"), F.col("until_s"))
     row_sums = in_span.groupBy(*SPAN).agg(F.count("*").alias("rows"), F.sum(tx.word_count(F.col("claim"))).alias("row_words"))
     kinds = claims.groupBy(KEY).agg(F.count_if(F.col("kind") == "row").alias("rows_in_note"), F.count_if(F.col("kind") == "impossible").alias("impossible"), F.count_if(F.col("kind").isin("misshapen", "unread")).alias("misshapen"))
 
     # What the note wrote about a span.
-    body = marked.where("not quoted").select(KEY, "line_no", "text")
+    body = claims.select(KEY, "line_no", "text")
     if windowed:
         stamps = F.filter(F.transform(F.regexp_extract_all("text", F.lit(LOOSE_ANCHOR), F.lit(1)), clock.parse_clock), lambda s: s.isNotNull())
         stamped_lines = body.select(KEY, "line_no", "text", F.explode(stamps).alias("at_s"))
@@ -317,7 +323,7 @@ def measure(lines: DataFrame, segments: DataFrame, spans: DataFrame | None = Non
         counts += [F.count_if(of).alias(f"of_{k}"), F.count(F.when(of, F.col("by_text"))).alias(f"carried_{k}"), F.count(F.when(of, F.col("by_row"))).alias(f"by_rows_{k}")]
     carried = met.groupBy(*SPAN).agg(*counts)
 
-    at = near(line_anchors(lines), F.col("at_s"), F.col("at_s"))
+    at = near(_anchors_of(claims), F.col("at_s"), F.col("at_s"))
     second = F.floor("at_s")
     stamped = at.groupBy(*SPAN).agg(F.count_if("counts").alias("anchors"), F.count_distinct(F.when(F.col("counts"), second)).alias("anchored_seconds"), F.count_distinct(F.when(F.col("refused"), second)).alias("refused_seconds"))
     # Spans are recordings of their own to what reads one recording.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,14 +83,15 @@ NOTE_TEMPLATES = [
 def note_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a note about each conversation."""
     s = seg_conv(spark, sf_dir).withColumn("body", F.coalesce("text", F.lit("")))
-    stamp = lambda c: F.format_string("%02d:%02d", F.floor(c / 60).cast("long"), (F.floor(c) % 60).cast("long"))
+    stamp = lambda c: F.format_string("%02d:%02d", (F.floor(c) / 60).cast("long"), (F.floor(c) % 60).cast("long"))
     parts = {"S": stamp(F.col("start_s")), "E": stamp(F.coalesce("end_s", "start_s")), "P": stamp(F.greatest(F.col("start_s") - 12, F.lit(0.0))), "N": F.col("ord").cast("string"), "T": F.translate("body", "\n`", " ")}
 
     def line(template: str) -> Column:
         return F.concat(*(parts[p] if k % 2 else F.lit(p) for k, p in enumerate(re.split(r"\{(\w)\}", template)) if p or k % 2))
 
     which = ((F.col("ord") + F.length("body")) % len(NOTE_TEMPLATES)).cast("int")
-    texts = F.element_at(F.array(*(F.array(*map(line, t)) if any(t) else F.array() for t in NOTE_TEMPLATES)), which + 1)
+    # One template is filled for each turn, not all of them.
+    texts = reduce(lambda chosen, k: chosen.when(which == k, F.array(*map(line, NOTE_TEMPLATES[k]))), range(1, len(NOTE_TEMPLATES)), F.when(which == 0, F.array(*map(line, NOTE_TEMPLATES[0]))))
     rows = s.select("recording_id", "ord", F.posexplode(texts).alias("k", "text"))
     return rows.select("recording_id", (F.col("ord") * 10 + F.col("k")).alias("line_no"), "text")
 
