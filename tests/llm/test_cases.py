@@ -145,6 +145,19 @@ def test_meetings_find_links_in_large_families(spark):
     assert found == components_by_brute_force(rows)
 
 
+def test_small_graphs_are_contracted_without_exchanges(spark, monkeypatch):
+    parts, stored = [], near_dedup.checkpointed
+    monkeypatch.setattr(near_dedup, "checkpointed", lambda df: (out := stored(df), parts.append(out.rdd.getNumPartitions()))[0])
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        found = near_dedup.components(spark.createDataFrame([(k, k + 1) for k in range(1, 20)] + [(40, 50), (50, 45)], "a long, b long"))
+        assert {r.node: r.component for r in found.collect()} == {k: 1 for k in range(1, 21)} | {40: 40, 45: 40, 50: 40}
+    finally:
+        spark.conf.unset(name)
+    assert len(parts) > 2 and set(parts[1:]) == {1}
+
+
 def test_suffix_dedup_over_many_buckets(spark):
     rng = random.Random(12)
     passages = [prose(100 + k, 40) for k in range(6)]

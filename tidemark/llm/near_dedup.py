@@ -234,7 +234,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", "m")).distinct()
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", "m")).coalesce(tasks).distinct()
         edges = checkpointed(small)
 
 
@@ -365,6 +365,7 @@ def across(members: DataFrame, wide: DataFrame, texts: DataFrame) -> DataFrame:
     at = meetings(members, block).join(block.select("rep", "block"), "block").select("g", "rep")
     known = members.select("rep", "label").distinct().join(wide, "rep")
     at = checkpointed(at.join(known, "rep").select("g", "rep", "label", "n", "sig").repartition(n, "g").sortWithinPartitions("g").mapInArrow(_hopeful, "g long, rep long").distinct())
+    release(members.sparkSession)
     labels = members.select("rep", "label").distinct()
     rows = at.join(labels, "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("g", "rep", "label", "text")
     return rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_meeting_links, "a long, b long")
@@ -400,9 +401,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), clean_text("text").alias("text"))
     texts = checkpointed(IdFilter(wanted).rows(rows, "doc_id", True).join(wanted, "doc_id", "left_semi"))
     wide = checkpointed(texts.mapInArrow(_sign_wide, "rep long, n long, sig binary"))
+    release(spark)
     # The first leader of a class is the smallest class of its keys.
     pairs = members.where("rep > least").groupBy("rep").agg(F.min("least").alias("a")).select("a", F.col("rep").alias("b"))
     links = checkpointed(with_shared_ids(verified(in_stars(checkpointed(_agreeing(pairs, wide))), texts), linkable, classes))
+    release(spark)
     labels = components(links)
     members = checkpointed(_relabelled(members, labels))
     release(spark)
@@ -413,6 +416,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         met = members.join(leaders, "key").where("label <> l.of").groupBy("rep").agg(F.min("l").alias("l"))
         pairs = met.select(F.least("rep", "l.leader").alias("a"), F.greatest("rep", "l.leader").alias("b")).distinct()
         links = checkpointed(links.union(verified(in_stars(checkpointed(_agreeing(pairs, wide))), texts)))
+        release(spark)
         labels = components(links)
         members = checkpointed(_relabelled(members, labels))
         release(spark)
