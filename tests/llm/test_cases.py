@@ -158,6 +158,37 @@ def test_small_graphs_are_contracted_without_exchanges(spark, monkeypatch):
     assert len(parts) > 2 and set(parts[1:]) == {1}
 
 
+def test_few_rows_take_few_tasks(spark, monkeypatch):
+    """Exchanges that Spark doesn't coalesce itself are read by as many tasks as their rows are worth, with the same results."""
+    parts, plans, stored = [], [], near_dedup.checkpointed
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        parts.append((out := stored(df)).rdd.getNumPartitions())
+        return out
+
+    for module in (near_dedup, language_id):
+        monkeypatch.setattr(module, "checkpointed", noted)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    texts = [prose(k % 7, 40) + " end" * (k % 2) for k in range(30)]
+    rows = [(k, t, "en" if k % 2 else "de") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
+        assert language_id.identify(docs).count() == len(rows)
+        contracted = len(plans)
+        components = near_dedup.components(spark.createDataFrame([(k, k + 1) for k in range(1, 9)], "a long, b long"))
+        assert {r.component for r in components.collect()} == {1}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert found == components_by_brute_force([r[:2] for r in rows])
+    assert max(parts[:contracted]) < 8 and not any("Exchange" in p for p in plans[contracted + 1 :])
+
+
 def test_suffix_dedup_over_many_buckets(spark):
     rng = random.Random(12)
     passages = [prose(100 + k, 40) for k in range(6)]

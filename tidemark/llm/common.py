@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: As many tasks as Spark makes.
+MANY = 1 << 30
 #: Characters of text that one vectorised step holds at a time; a longer text is a step of its own.
 SLICE_CHARS = 300_000
 
@@ -88,6 +90,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tasks_for(spark: SparkSession, amount: int, each: int) -> int:
+    """Tasks that an amount is worth at so much for each of them; MANY unless that is fewer than an exchange has partitions."""
+    tasks = 1 + amount // each
+    return tasks if tasks < int(spark.conf.get("spark.sql.shuffle.partitions")) else MANY
+
+
+def at_most(df: DataFrame, tasks: int) -> DataFrame:
+    """df in so many tasks at most; as it is for MANY."""
+    return df if tasks == MANY else df.coalesce(tasks)
+
+
 def record_batch(schema: pa.Schema, columns: dict[str, object]) -> pa.RecordBatch:
     """Columns as a batch of that schema; numpy arrays and lists both do."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
@@ -136,8 +149,8 @@ class IdFilter:
     It spares rows a shuffle before an exact join and never decides anything by itself.
     """
 
-    def __init__(self, ids: DataFrame):
-        """ids: one column of longs; nulls are left out. Bits are gathered by task, then by word."""
+    def __init__(self, ids: DataFrame, tasks: int = MANY):
+        """ids: one column of longs; nulls are left out. Bits are gathered by task, then by word, in so many tasks at most."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
@@ -147,7 +160,7 @@ class IdFilter:
             some = np.flatnonzero(words)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(words[some].view(np.int64), pa.int64())], names=["word", "bits"])
 
-        found = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        found = at_most(ids, tasks).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).transform(at_most, tasks).toArrow()
         words = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
         words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
         self.words = ids.sparkSession.sparkContext.broadcast(words)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import checkpointed, mix64, record_batch, text_slices, trim
+from tidemark.llm.common import MANY, at_most, checkpointed, mix64, record_batch, tasks_for, text_slices, trim
 
 ORDER = 4
 CALIBRATION_ROWS = 2000
@@ -45,6 +45,8 @@ QUANTILE = 0.99
 LEAST_TEXTS = 20
 #: Characters of a part, in which each n-gram is looked up once.
 PART_CHARS = 8_000_000
+#: Exchanges of the n-grams of fewer characters than this for each of their partitions are read by fewer tasks.
+CHARS_A_TASK = 4_000_000
 UNDETERMINED = "und"
 _FLUSH = 1_000_000
 _SPACE, _EDGE = 32, 0
@@ -199,19 +201,19 @@ class Bank:
         self.langs, self.tables = langs, tables
         self.rule = Rule(langs, float(np.log(symbols + 1)))
 
-    def logp(self, grams: DataFrame) -> DataFrame:
+    def logp(self, grams: DataFrame, tasks: int = MANY) -> DataFrame:
         """(gram, logp) of distinct 4-grams: the array of the log-probabilities in each language."""
         wanted = [grams.select(F.col("gram").alias("key"))]
         for order in range(ORDER - 1, 0, -1):
-            wanted.append(wanted[-1].select(_suffix("key", order).alias("key")).distinct())
+            wanted.append(wanted[-1].transform(at_most, tasks).select(_suffix("key", order).alias("key")).distinct())
         found = None
         for order, keys in enumerate(reversed(wanted), 1):
             seen, contexts = self.tables[order - 1]
-            rows = keys.withColumn("context", F.shiftrightunsigned("key", 16)).join(seen, "key", "left").join(contexts, "context", "left")
+            rows = keys.withColumn("context", F.shiftrightunsigned("key", 16)).join(seen, "key", "left").transform(at_most, tasks).join(contexts, "context", "left").transform(at_most, tasks)
             if found is None:
                 rows = rows.withColumn("s", F.array(*[F.lit(-self.rule.none)] * len(self.langs)))
             else:
-                rows = rows.withColumn("lower", _suffix("key", order - 1)).join(found.select(F.col("key").alias("lower"), F.col("logp").alias("s")), "lower")
+                rows = rows.withColumn("lower", _suffix("key", order - 1)).join(found.select(F.col("key").alias("lower"), F.col("logp").alias("s")), "lower").transform(at_most, tasks)
             each = [F.coalesce(F.col("p")[k], F.coalesce(F.col("b")[k], F.lit(0.0)) + F.col("s")[k]) for k in range(len(self.langs))]
             found = rows.select("key", F.array(*each).alias("logp"))
         return found.select(F.col("key").alias("gram"), "logp")
@@ -305,29 +307,30 @@ def fit(labelled: DataFrame) -> Bank:
     # The texts of the smallest hashes; only hashes are sorted, and texts stay where they are read.
     last = labelled.where(F.col("h") < F.lit(CALIBRATION_BELOW)).select("h").distinct().orderBy("h").limit(CALIBRATION_ROWS).agg(F.max("h")).first()[0]
     drawn = F.coalesce(F.col("h") <= F.lit(last).cast("long"), F.lit(False))
-    spared = [r.lang for r in labelled.groupBy("lang").agg(F.min(drawn).alias("all_drawn")).where("all_drawn").collect()]
-    levels = [checkpointed(gram_counts(labelled.where(~drawn | F.col("lang").isin(spared))).withColumnRenamed("gram", "key"))]
-    langs = sorted(r.lang for r in levels[0].select("lang").distinct().collect())
+    found = labelled.groupBy("lang").agg(F.min(drawn).alias("all_drawn"), F.sum(F.length("text")).alias("chars")).collect()
+    spared, tasks = [r.lang for r in found if r.all_drawn], tasks_for(labelled.sparkSession, sum(r.chars for r in found), CHARS_A_TASK)
+    levels = [checkpointed(gram_counts(labelled.where(~drawn | F.col("lang").isin(spared))).withColumnRenamed("gram", "key").transform(at_most, tasks))]
+    langs = sorted(r.lang for r in levels[0].select("lang").distinct().transform(at_most, tasks).collect())
     for order in range(ORDER - 1, 0, -1):
-        levels.append(checkpointed(levels[-1].groupBy("lang", _suffix("key", order).alias("key")).agg(F.count("*").alias("n"))))
-    symbols = levels[-1].select("key").distinct().count()
+        levels.append(checkpointed(levels[-1].groupBy("lang", _suffix("key", order).alias("key")).agg(F.count("*").alias("n")).transform(at_most, tasks)))
+    symbols = levels[-1].select("key").distinct().transform(at_most, tasks).count()
     tables, lower = [], None
     for order, level in enumerate(reversed(levels), 1) if langs else ():
-        few = level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()
+        few = level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).transform(at_most, tasks).collect()
         discounts = {r.lang: min(0.95, max(0.1, r.ones / (r.ones + 2 * r.twos))) if r.ones + r.twos else 0.75 for r in few}
         rows = level.withColumn("context", F.shiftrightunsigned("key", 16))
         discount = F.element_at(F.create_map(*(F.lit(x) for pair in discounts.items() for x in pair)), F.col("lang"))
         contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).withColumn("gamma", discount * F.col("kinds") / F.col("total"))
-        rows = rows.join(contexts, ["lang", "context"]).withColumn("lower", _suffix("key", order - 1))
+        rows = rows.join(contexts, ["lang", "context"]).transform(at_most, tasks).withColumn("lower", _suffix("key", order - 1))
         rows = rows.withColumn("q", F.lit(1.0 / (symbols + 1))) if lower is None else rows.join(lower, ["lang", "lower"])
-        rows = checkpointed(rows.select("lang", "key", ((F.col("n") - discount) / F.col("total") + F.col("gamma") * F.col("q")).alias("q")))
+        rows = checkpointed(rows.select("lang", "key", ((F.col("n") - discount) / F.col("total") + F.col("gamma") * F.col("q")).alias("q")).transform(at_most, tasks))
         seen = _by_language(rows.withColumn("logq", F.log("q")), "key", "logq", "p", langs)
-        backoffs = _by_language(contexts.withColumn("logg", F.log("gamma")), "context", "logg", "b", langs)
-        tables.append((checkpointed(seen), checkpointed(backoffs)))
+        backoffs = _by_language(contexts.transform(at_most, tasks).withColumn("logg", F.log("gamma")), "context", "logg", "b", langs)
+        tables.append((checkpointed(seen.transform(at_most, tasks)), checkpointed(backoffs.transform(at_most, tasks))))
         lower = rows.withColumnRenamed("key", "lower")
     bank = Bank(langs, symbols, tables)
     if langs:
-        sample = checkpointed(labelled.where(drawn).groupBy("h").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.lang", "r.text"))
+        sample = checkpointed(labelled.where(drawn).groupBy("h").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.lang", "r.text").transform(at_most, tasks))
         bank.rule.calibrate(*_sample_entropies(sample, bank))
     return bank
 
@@ -412,12 +415,12 @@ def scored(docs: DataFrame, bank: Bank, make: Callable[[pa.RecordBatch, np.ndarr
     more of the models than its part needs.
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    langs = len(bank.langs)
-    known = checkpointed(bank.logp(checkpointed(docs.select("text").mapInArrow(_distinct_grams, "gram long").distinct())))
+    langs, tasks = len(bank.langs), tasks_for(docs.sparkSession, chars, CHARS_A_TASK)
+    known = checkpointed(bank.logp(checkpointed(docs.select("text").mapInArrow(_distinct_grams, "gram long").distinct().transform(at_most, tasks)), tasks))
     # One exchange of the blocks serves those who ask and those who meet the answers.
     blocks = docs.mapInArrow(_blocks(1 + chars // PART_CHARS), "part long, block binary").repartition("part")
-    asked = blocks.mapInArrow(_requests, "part long, gram long")
-    answers = asked.join(known, "gram").select("part", "gram", F.col("logp").cast("array<float>").alias("logp"))
+    asked = blocks.transform(at_most, tasks).mapInArrow(_requests, "part long, gram long")
+    answers = asked.join(known, "gram").transform(at_most, tasks).select("part", "gram", F.col("logp").cast("array<float>").alias("logp"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = right.column("gram").to_numpy().view(np.uint64)

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SLICE_CHARS, IdFilter, checkpointed, clean_text, mix64, record_batch, release, span_hashes, text_slices, trim
+from tidemark.llm.common import MANY, SLICE_CHARS, IdFilter, at_most, checkpointed, clean_text, mix64, record_batch, release, span_hashes, tasks_for, text_slices, trim
 
 WORDS = 5
 PERCENT = 75
@@ -43,6 +43,8 @@ LEAST_AGREEING = int(WIDE * _CHANCE - 6 * (WIDE * _CHANCE * (1 - _CHANCE)) ** 0.
 STAR_CHUNK = 200
 FAMILY_BLOCK = 128
 EDGES_A_TASK = 100_000
+#: Exchanges of fewer rows than this for each of their partitions are read by fewer tasks.
+ROWS_A_TASK = 4000
 #: Values that a product of membership matrices takes at a time.
 MATRIX_COLUMNS = 1 << 15
 _BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(31))
@@ -148,20 +150,20 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), clean_text("text").alias("text")).mapInArrow(_sign, schema)
 
 
-def table_members(classes: DataFrame) -> DataFrame:
+def table_members(classes: DataFrame, tasks: int = MANY) -> DataFrame:
     """(key, rep, least) of the tensored table keys that several classes share; least is the key's smallest class.
 
     Sub-hashes of the first collection that only one class has can't be part of a shared key and are left out first.
     """
     firsts = classes.select("rep", F.posexplode("a").alias("i", "av"))
     shared = firsts.groupBy("i", "av").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("i", "av")
-    company = firsts.join(shared, ["i", "av"]).join(classes.select("rep", "b"), "rep")
+    company = firsts.join(shared, ["i", "av"]).transform(at_most, tasks).join(classes.select("rep", "b"), "rep").transform(at_most, tasks)
     keys = company.select("rep", "i", "av", F.posexplode("b").alias("j", "bv")).select(F.xxhash64("i", "j", "av", "bv").alias("key"), "rep")
     least = keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("hi")).where("least < hi").select("key", "least")
-    return keys.join(least, "key")
+    return keys.join(least, "key").transform(at_most, tasks)
 
 
-def _agreeing(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, wide: DataFrame, tasks: int = MANY) -> DataFrame:
     """The (a, b) pairs whose sizes and signatures allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +173,8 @@ def _agreeing(pairs: DataFrame, wide: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=_PAIR)
 
     side = lambda name: wide.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long").distinct()
+    joined = pairs.transform(at_most, tasks).join(side("a"), "a").transform(at_most, tasks).join(side("b"), "b").transform(at_most, tasks).where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long").distinct().transform(at_most, tasks)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,68 +205,72 @@ def _similar(one: np.ndarray, other: np.ndarray) -> bool:
     return both > 0 and 100 * both >= PERCENT * (len(one) + len(other) - both)
 
 
-def in_stars(pairs: DataFrame) -> DataFrame:
+def in_stars(pairs: DataFrame, tasks: int = MANY) -> DataFrame:
     """(g, a, b): pairs by their leader a, large stars in several groups."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_CHUNK).alias("chunks"))
-    return pairs.join(sizes, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("chunks"))).alias("g"), "a", "b")
+    return pairs.join(sizes, "a").transform(at_most, tasks).select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("chunks"))).alias("g"), "a", "b")
 
 
-def verified(grouped: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(grouped: DataFrame, texts: DataFrame, tasks: int = MANY) -> DataFrame:
     """The (a, b) pairs of (g, a, b) that are links; a group's texts are held by one task at a time."""
     n = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = grouped.select("g", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = ids.join(texts, "doc_id").select("g", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    ids = grouped.select("g", F.explode(F.array("a", "b")).alias("doc_id")).distinct().transform(at_most, tasks)
+    needed = ids.join(texts, "doc_id").transform(at_most, tasks).select("g", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = needed.union(grouped.select("g", "a", "b", F.lit(None).cast("string"))).repartition(n, "g")
-    return rows.sortWithinPartitions("g", F.col("b").asc_nulls_first()).mapInArrow(_linked, "a long, b long")
+    return rows.sortWithinPartitions("g", F.col("b").asc_nulls_first()).transform(at_most, tasks).mapInArrow(_linked, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, tasks: int) -> DataFrame:
+    """(u, v) rows with m, the least v of their u. In one task that is a window, which needs no exchange; a join has one of either side even there."""
+    if tasks == 1:
+        return rows.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return rows.join(rows.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+
+def components(edges: DataFrame, tasks: int = MANY) -> DataFrame:
     """(node, component) of every node of (a, b) edges, by alternating large and small stars; component: smallest node."""
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct().transform(at_most, tasks)
     edges, state = checkpointed(edges), None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
+        # Few edges need few tasks, each of which would write to all others; those that fit one task need no exchange.
+        edges = edges.coalesce(tasks := 1 + now.n // EDGES_A_TASK)
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
         state = now
-        # Few edges need few tasks, each of which would write to all others; those that fit one task need no exchange.
-        tasks = 1 + now.n // EDGES_A_TASK
-        edges = edges.coalesce(tasks)
         both = edges.union(edges.select("v", "u")).coalesce(tasks)
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", "m")).coalesce(tasks).distinct()
+        large = _with_least(both, tasks).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u > v")
+        small = _with_least(large, tasks).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").coalesce(tasks).distinct()
         edges = checkpointed(small)
 
 
-def blocks_of(members: DataFrame) -> DataFrame:
+def blocks_of(members: DataFrame, tasks: int = MANY) -> DataFrame:
     """(rep, block, pool): classes in blocks of about FAMILY_BLOCK that lie together by the smallest class they share a key with.
 
     A component that fills a block has blocks of its own (pool is its label); the classes of small ones share blocks (pool
     is null).
     """
     least = members.groupBy("key").agg(F.min("rep").alias("least"))
-    homes = members.join(least, "key").groupBy("rep").agg(F.min("least").alias("home"), F.first("label").alias("label"))
+    homes = members.join(least, "key").transform(at_most, tasks).groupBy("rep").agg(F.min("least").alias("home"), F.first("label").alias("label"))
     counted = homes.groupBy("home", "label").agg(F.count("*").alias("n"))
     own = F.col("n") >= FAMILY_BLOCK
     pools = counted.select("home", "label", own.alias("own"), F.when(own, F.col("label")).otherwise(0).alias("who"), "n")
     sizes = pools.groupBy("home", "own", "who").agg(F.ceil(F.sum("n") / FAMILY_BLOCK).alias("blocks"))
-    of = homes.join(pools.drop("n"), ["home", "label"]).join(sizes, ["home", "own", "who"])
+    of = homes.join(pools.drop("n"), ["home", "label"]).transform(at_most, tasks).join(sizes, ["home", "own", "who"])
     return of.select("rep", F.xxhash64("home", "own", "who", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"), F.when(F.col("own"), F.col("label")).alias("pool"))
 
 
-def meetings(members: DataFrame, block: DataFrame) -> DataFrame:
+def meetings(members: DataFrame, block: DataFrame, tasks: int = MANY) -> DataFrame:
     """(g, block): the groups in which two blocks meet, or a shared one meets itself, because a key has classes of both.
 
     Two blocks of one component have nothing to find and never meet, so a large component that shares a key with a few
     others costs in proportion to its size. Keys with the same blocks, as those of a family mostly are, count once before
     their pairs of blocks are formed.
     """
-    held = members.join(block, "rep").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("block", "pool"))).alias("blocks")).select("blocks").distinct()
+    held = members.join(block, "rep").transform(at_most, tasks).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("block", "pool"))).alias("blocks")).select("blocks").transform(at_most, tasks).distinct().transform(at_most, tasks)
     firsts = held.select("blocks", F.posexplode("blocks").alias("at", "b"))
     later = F.filter(F.slice("blocks", F.col("at") + 1, F.size("blocks") - F.col("at")), lambda o: o["pool"].isNull() | F.col("b.pool").isNull() | (o["pool"] != F.col("b.pool")))
-    met = firsts.select(F.col("b.block").alias("one"), F.explode(later).alias("met")).select("one", F.col("met.block").alias("other")).distinct()
+    met = firsts.select(F.col("b.block").alias("one"), F.explode(later).alias("met")).select("one", F.col("met.block").alias("other")).distinct().transform(at_most, tasks)
     return met.select(F.xxhash64("one", "other").alias("g"), F.explode(F.array_distinct(F.array("one", "other"))).alias("block"))
 
 
@@ -354,34 +360,34 @@ def _meeting_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     trim()
 
 
-def across(members: DataFrame, wide: DataFrame, texts: DataFrame) -> DataFrame:
+def across(members: DataFrame, wide: DataFrame, texts: DataFrame, tasks: int = MANY) -> DataFrame:
     """(a, b) links that join the components (label) of (key, rep, label) keys.
 
     Classes meet in blocks, two blocks to a task at a time. Signatures say which classes a meeting needs; only their texts
     are fetched, and no pair leaves a task before it is known to be a link.
     """
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = checkpointed(blocks_of(members))
-    at = meetings(members, block).join(block.select("rep", "block"), "block").select("g", "rep")
-    known = members.select("rep", "label").distinct().join(wide, "rep")
-    at = checkpointed(at.join(known, "rep").select("g", "rep", "label", "n", "sig").repartition(n, "g").sortWithinPartitions("g").mapInArrow(_hopeful, "g long, rep long").distinct())
+    block = checkpointed(blocks_of(members, tasks).transform(at_most, tasks))
+    at = meetings(members, block, tasks).join(block.select("rep", "block"), "block").transform(at_most, tasks).select("g", "rep")
+    labels = checkpointed(members.select("rep", "label").distinct().transform(at_most, tasks))
+    met = at.join(labels, "rep").join(wide, "rep").transform(at_most, tasks).select("g", "rep", "label", "n", "sig").repartition(n, "g").sortWithinPartitions("g").transform(at_most, tasks)
+    at = checkpointed(met.mapInArrow(_hopeful, "g long, rep long").distinct().transform(at_most, tasks))
     release(members.sparkSession)
-    labels = members.select("rep", "label").distinct()
-    rows = at.join(labels, "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("g", "rep", "label", "text")
-    return rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_meeting_links, "a long, b long")
+    rows = at.join(labels, "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep").transform(at_most, tasks).select("g", "rep", "label", "text")
+    return rows.repartition(n, "g").sortWithinPartitions("g").transform(at_most, tasks).mapInArrow(_meeting_links, "a long, b long")
 
 
-def _relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _relabelled(members: DataFrame, labels: DataFrame, tasks: int = MANY) -> DataFrame:
     """(key, rep, label) of the keys that still hold several components; of keys with the same members one."""
-    rows = members.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
+    rows = members.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").transform(at_most, tasks).select("key", "rep", F.coalesce("component", "rep").alias("label"))
     content = F.sum(F.xxhash64("rep").cast("decimal(20,0)"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), content.alias("content"), F.count("*").alias("size")).where("lo < hi")
-    return rows.join(mixed.groupBy("content", "size").agg(F.min("key").alias("key")).select("key"), "key")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), content.alias("content"), F.count("*").alias("size")).where("lo < hi").transform(at_most, tasks)
+    return rows.join(mixed.groupBy("content", "size").agg(F.min("key").alias("key")).select("key").transform(at_most, tasks), "key").transform(at_most, tasks)
 
 
-def with_shared_ids(links: DataFrame, linkable: DataFrame, classes: DataFrame) -> DataFrame:
+def with_shared_ids(links: DataFrame, linkable: DataFrame, classes: DataFrame, tasks: int = MANY) -> DataFrame:
     """links and those between the classes of each id that has several texts: the id is one node, so they are one component."""
-    several = checkpointed(linkable.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")).where("lo <> hi").select("doc_id"))
+    several = checkpointed(linkable.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")).where("lo <> hi").select("doc_id").transform(at_most, tasks))
     if not several.limit(1).count():
         return links
     of = linkable.join(several, "doc_id").select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
@@ -392,39 +398,40 @@ def with_shared_ids(links: DataFrame, linkable: DataFrame, classes: DataFrame) -
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of (doc_id, text)."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = checkpointed(signatures(docs))
+    # Every exchange is read by at most so many tasks, which grow with the rows: what few rows leave empty costs files and events only.
+    tasks = tasks_for(spark, signed.count(), ROWS_A_TASK)
     linkable = signed.where("n > 0 and doc_id is not null")
-    classes = checkpointed(linkable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "a", "b")).alias("r")).select("k1", "k2", F.col("r.doc_id").alias("rep"), "r.a", "r.b"))
-    members = checkpointed(table_members(classes))
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    classes = checkpointed(linkable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "a", "b")).alias("r")).select("k1", "k2", F.col("r.doc_id").alias("rep"), "r.a", "r.b").transform(at_most, tasks))
+    members = checkpointed(table_members(classes, tasks))
+    wanted = checkpointed(members.select(F.col("rep").alias("doc_id")).distinct().transform(at_most, tasks))
     rows = docs.select(F.col("doc_id").cast("long"), clean_text("text").alias("text"))
-    texts = checkpointed(IdFilter(wanted).rows(rows, "doc_id", True).join(wanted, "doc_id", "left_semi"))
+    texts = checkpointed(IdFilter(wanted, tasks).rows(rows, "doc_id", True).join(wanted, "doc_id", "left_semi").transform(at_most, tasks))
     wide = checkpointed(texts.mapInArrow(_sign_wide, "rep long, n long, sig binary"))
     release(spark)
     # The first leader of a class is the smallest class of its keys.
     pairs = members.where("rep > least").groupBy("rep").agg(F.min("least").alias("a")).select("a", F.col("rep").alias("b"))
-    links = checkpointed(with_shared_ids(verified(in_stars(checkpointed(_agreeing(pairs, wide))), texts), linkable, classes))
+    links = checkpointed(with_shared_ids(verified(in_stars(checkpointed(_agreeing(pairs, wide, tasks)), tasks), texts, tasks), linkable, classes, tasks))
     release(spark)
-    labels = components(links)
-    members = checkpointed(_relabelled(members, labels))
+    labels = components(links, tasks)
+    members = checkpointed(_relabelled(members, labels, tasks))
     release(spark)
     for turn in range(1, ROUNDS):
         # Later leaders are the smallest by a hash that each round draws anew.
         drawn = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("leader"), F.col("label").alias("of"))
         leaders = members.groupBy("key").agg(F.min(drawn).alias("l"))
-        met = members.join(leaders, "key").where("label <> l.of").groupBy("rep").agg(F.min("l").alias("l"))
+        met = members.join(leaders, "key").transform(at_most, tasks).where("label <> l.of").groupBy("rep").agg(F.min("l").alias("l"))
         pairs = met.select(F.least("rep", "l.leader").alias("a"), F.greatest("rep", "l.leader").alias("b")).distinct()
-        links = checkpointed(links.union(verified(in_stars(checkpointed(_agreeing(pairs, wide))), texts)))
+        links = checkpointed(links.union(verified(in_stars(checkpointed(_agreeing(pairs, wide, tasks)), tasks), texts, tasks)))
         release(spark)
-        labels = components(links)
-        members = checkpointed(_relabelled(members, labels))
+        labels = components(links, tasks)
+        members = checkpointed(_relabelled(members, labels, tasks))
         release(spark)
-    links = checkpointed(links.union(across(members, wide, texts)))
+    links = checkpointed(links.union(across(members, wide, texts, tasks)))
     release(spark)
-    labels = components(links)
-    of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    linked = linkable.join(of_class, ["k1", "k2"])
+    labels = components(links, tasks)
+    of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id")).transform(at_most, tasks)
+    linked = linkable.join(of_class, ["k1", "k2"]).transform(at_most, tasks)
     alone = signed.where("not (n > 0 and doc_id is not null)").withColumn("component_id", F.col("doc_id"))
     out = linked.select("doc_id", "n", "component_id").union(alone.select("doc_id", "n", "component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

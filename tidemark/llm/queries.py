@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import divergence, fingerprint, language_id, media, near_dedup, packing, piece_bpe, secret_scan, sharding, suffix_dedup, surrogates, url_filter, whitening
-from tidemark.llm.common import IdFilter, bounded_batches, checkpointed, documents, has_repeats
+from tidemark.llm.common import IdFilter, at_most, bounded_batches, checkpointed, documents, has_repeats, tasks_for
 
 
 def tokenizer_path(name: str) -> str:
@@ -198,9 +198,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The first document of each group of near-duplicates, with all its different texts; repeated rows become one."""
     bounded_batches(spark)
     found = checkpointed(near_dedup.near_duplicates(docs))
-    gone = found.where("not kept").select("doc_id").distinct()
-    maybe = IdFilter(gone)
-    kept = maybe.rows(docs, "doc_id", False).unionByName(maybe.rows(docs, "doc_id", True).join(gone, "doc_id", "left_anti").select(docs.columns))
+    tasks = tasks_for(spark, found.count(), near_dedup.ROWS_A_TASK)
+    gone = checkpointed(found.where("not kept").select("doc_id").distinct().transform(at_most, tasks))
+    maybe = IdFilter(gone, tasks)
+    kept = maybe.rows(docs, "doc_id", False).unionByName(maybe.rows(docs, "doc_id", True).join(gone, "doc_id", "left_anti").select(docs.columns).transform(at_most, tasks))
     if has_repeats(docs.where("doc_id is not null"), "doc_id"):
         # Repeated rows are one; different texts of an id are one document's and stay or go together.
         rest = [c for c in docs.columns if c not in ("doc_id", "text")]
