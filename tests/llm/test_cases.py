@@ -8,11 +8,13 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm.test_operators import components_by_brute_force, removed_by_brute_force
 
 import corpus_pipeline
 from tidemark.llm import fingerprint, language_id, media, near_dedup, packing, piece_bpe, sharding, suffix_dedup, surrogates, url_filter
+from tidemark.llm.common import bounded_batches
 from tidemark.llm.queries import drop_near_duplicates, tokenizer_path
 from tidemark.llm.word_table import WordTable
 
@@ -246,6 +248,40 @@ def test_a_component_never_meets_itself(spark):
     assert near_dedup.blocks_of(small).where("pool is not null").count() == 0
 
 
+def test_joins_of_meetings_grow_with_the_classes_of_a_family(spark):
+    def joined(size):
+        rng = random.Random(size)
+        members = spark.range(size).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("rep"), F.col("id").alias("label"))
+        wide = spark.createDataFrame([(k, 60, bytearray(rng.randbytes(near_dedup.WIDE // 4))) for k in range(size)], "rep long, n long, sig binary")
+        texts = spark.createDataFrame([(k, " ".join(f"t{k}x{j}" for j in range(64))) for k in range(size)], "doc_id long, text string")
+        store = spark._jsparkSession.sharedState().statusStore()
+        before = store.executionsCount()
+        assert near_dedup.across(members, wide, texts).count() == 0
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        rows, runs = 0, store.executionsList()
+        for run in (runs.apply(k) for k in range(before, runs.size())):
+            metrics, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                for metric in (node.metrics().apply(k) for k in range(node.metrics().size()) if "Join" in node.name()):
+                    if metric.name() == "number of output rows" and metrics.contains(metric.accumulatorId()):
+                        rows += int(metrics.apply(metric.accumulatorId()).replace(",", ""))
+        return rows
+
+    from pyspark.sql import functions as F
+
+    few, many = joined(600), joined(3000)
+    assert 600 < few and many < 6 * few
+
+
+def test_batches_of_long_rows_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    bounded_batches(spark)
+    sizes = lambda batches: (pa.record_batch({"n": [b.nbytes]}) for b in batches)
+    found = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 100_000)).mapInArrow(sizes, "n long").collect()
+    assert sum(r.n for r in found) > 20_000_000 and max(r.n for r in found) < 5_000_000
+
+
 def test_names_stay_themselves_within_a_text():
     text = "Dr. Maria Schmidt met Zoltan Kovacs. Schmidt and Kovacs agreed; MARIA SCHMIDT left with Maria, not with Schmidtchen."
     out, found = surrogates.replaced(text, b"k")

@@ -37,13 +37,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 #: Rows of an Arrow batch: whole texts are in it, on both sides of the Python worker.
 BATCH_ROWS = 3000
+#: Bytes after which an Arrow batch takes no further row: rows that hold blocks are far longer than texts.
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for texts, unless the session keeps them smaller still."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Keep Arrow batches small enough for texts and blocks, unless the session keeps them smaller still."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(re.match(r"-?\d+", spark.conf.get(name))[0]) <= most:
+            spark.conf.set(name, str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ at 0.8 below 2.1e-5, at 0.9 below 1e-9.
 Documents with equal sets are one class from the start. Table keys that several classes share are compared in rounds: in
 each, every class meets one leader of its keys, links are verified, and keys whose members are connected by then are done.
 After ROUNDS of these (whose leaders differ), classes of different components that share a key meet in blocks of a bounded
-size, two blocks at a time (never two of one component), and no pair leaves a task before it is known to be a link; so a link is lost only where no
-table brings its ends together. No partner is dropped by number. Signatures of WIDE two-bit minimum hashes stop pairs that
+size, two blocks at a time (never two of one component). A block is one row, so joins take rows by blocks and by classes, not
+for each class and meeting; no pair leaves a task before it is known to be a link, and a link is lost only where no table
+brings its ends together. No partner is dropped by number. Signatures of WIDE two-bit minimum hashes stop pairs that
 they put far below the threshold (6 standard deviations: one link in 10^9) before their texts are fetched; all others are
 decided by the exact condition 100 * |A and B| >= 75 * |A or B|.
 
@@ -39,9 +40,11 @@ ROUNDS = 2
 WIDE = 512
 _CHANCE = 0.25 + 0.75 * PERCENT / 100
 LEAST_AGREEING = int(WIDE * _CHANCE - 6 * (WIDE * _CHANCE * (1 - _CHANCE)) ** 0.5)
-#: Texts that meet in one group of comparisons: members of a star, and of either of two blocks of a family.
+#: Texts that meet in one group of comparisons: members of a star, and of either of two parts of a family.
 STAR_CHUNK = 200
 FAMILY_BLOCK = 128
+#: Parts whose signatures are one block.
+BLOCK_PARTS = 8
 EDGES_A_TASK = 100_000
 #: Exchanges of fewer rows than this for each of their partitions are read by fewer tasks.
 ROWS_A_TASK = 4000
@@ -56,7 +59,7 @@ _ADD = mix64(np.arange(HASHES + WIDE, dtype=np.uint64) + np.uint64(7700))
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int32()))])
 _WIDE = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_HOPEFUL = pa.schema([("g", pa.int64()), ("rep", pa.int64())])
+_HOPEFUL = pa.schema([("g", pa.int64()), ("part", pa.int64()), ("reps", pa.list_(pa.int64()))])
 
 
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -245,19 +248,21 @@ def components(edges: DataFrame, tasks: int = MANY) -> DataFrame:
 
 
 def blocks_of(members: DataFrame, tasks: int = MANY) -> DataFrame:
-    """(rep, block, pool): classes in blocks of about FAMILY_BLOCK that lie together by the smallest class they share a key with.
+    """(rep, label, block, part, pool): classes in parts of about FAMILY_BLOCK, and in blocks of BLOCK_PARTS of these, that
+    lie together by the smallest class they share a key with.
 
-    A component that fills a block has blocks of its own (pool is its label); the classes of small ones share blocks (pool
-    is null).
+    A component that fills a part has parts and blocks of its own (pool is its label); the classes of small ones share them
+    (pool is null).
     """
     least = members.groupBy("key").agg(F.min("rep").alias("least"))
     homes = members.join(least, "key").transform(at_most, tasks).groupBy("rep").agg(F.min("least").alias("home"), F.first("label").alias("label"))
     counted = homes.groupBy("home", "label").agg(F.count("*").alias("n"))
     own = F.col("n") >= FAMILY_BLOCK
     pools = counted.select("home", "label", own.alias("own"), F.when(own, F.col("label")).otherwise(0).alias("who"), "n")
-    sizes = pools.groupBy("home", "own", "who").agg(F.ceil(F.sum("n") / FAMILY_BLOCK).alias("blocks"))
+    sizes = pools.groupBy("home", "own", "who").agg(F.ceil(F.sum("n") / FAMILY_BLOCK).alias("parts"))
     of = homes.join(pools.drop("n"), ["home", "label"]).transform(at_most, tasks).join(sizes, ["home", "own", "who"])
-    return of.select("rep", F.xxhash64("home", "own", "who", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block"), F.when(F.col("own"), F.col("label")).alias("pool"))
+    slot = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    return of.select("rep", "label", F.xxhash64("home", "own", "who", F.floor(slot / BLOCK_PARTS)).alias("block"), F.xxhash64("home", "own", "who", slot, F.lit("part")).alias("part"), F.when(F.col("own"), F.col("label")).alias("pool"))
 
 
 def meetings(members: DataFrame, block: DataFrame, tasks: int = MANY) -> DataFrame:
@@ -267,43 +272,58 @@ def meetings(members: DataFrame, block: DataFrame, tasks: int = MANY) -> DataFra
     others costs in proportion to its size. Keys with the same blocks, as those of a family mostly are, count once before
     their pairs of blocks are formed.
     """
-    held = members.join(block, "rep").transform(at_most, tasks).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("block", "pool"))).alias("blocks")).select("blocks").transform(at_most, tasks).distinct().transform(at_most, tasks)
+    held = members.join(block.select("rep", "block", "pool"), "rep").transform(at_most, tasks).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("block", "pool"))).alias("blocks")).select("blocks").transform(at_most, tasks).distinct().transform(at_most, tasks)
     firsts = held.select("blocks", F.posexplode("blocks").alias("at", "b"))
     later = F.filter(F.slice("blocks", F.col("at") + 1, F.size("blocks") - F.col("at")), lambda o: o["pool"].isNull() | F.col("b.pool").isNull() | (o["pool"] != F.col("b.pool")))
     met = firsts.select(F.col("b.block").alias("one"), F.explode(later).alias("met")).select("one", F.col("met.block").alias("other")).distinct().transform(at_most, tasks)
     return met.select(F.xxhash64("one", "other").alias("g"), F.explode(F.array_distinct(F.array("one", "other"))).alias("block"))
 
 
-def _promising(label: np.ndarray, n: np.ndarray, sig: np.ndarray, k: int) -> np.ndarray:
-    """Which rows after k have another label, and a size and signature that allow a link with row k."""
-    fits = (label[k + 1 :] != label[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= PERCENT * np.maximum(n[k + 1 :], n[k]))
-    other = k + 1 + np.flatnonzero(fits)
+def _promising(label: np.ndarray, n: np.ndarray, sig: np.ndarray, k: int, start: int) -> np.ndarray:
+    """Which rows from start on have another label than row k, and a size and signature that allow a link with it."""
+    fits = (label[start:] != label[k]) & (100 * np.minimum(n[start:], n[k]) >= PERCENT * np.maximum(n[start:], n[k]))
+    other = start + np.flatnonzero(fits)
     return other[agreeing(sig[other], sig[k]) >= LEAST_AGREEING]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
-    """Rows of consecutive equal first columns, group by group; a group has two blocks at most."""
-    held: list[tuple] = []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.StructArray]]:
+    """The classes in rows (g, rows) of consecutive equal g, for each row an array; a group has two rows at most."""
+    owner, held = None, []
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(width)), strict=True):
-            if held and row[0] != held[0][0]:
+        for k, g in enumerate(batch.column(0).to_pylist()):
+            if held and g != owner:
                 yield held
                 held = []
-            held.append(row)
+            owner = g
+            held.append(batch.column(1).slice(k, 1).flatten())
     if held:
         yield held
 
 
+def _columns(sides: list[pa.StructArray], names: list[str]) -> list[np.ndarray]:
+    """Columns of whole numbers of all sides, one after another."""
+    fields = [dict(zip((f.name for f in side.type), side.flatten(), strict=True)) for side in sides]
+    return [np.concatenate([np.asarray(f[name], dtype=np.int64) for f in fields]) for name in names]
+
+
 def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (g, rep, label, n, sig) sorted by g the (g, rep) that may have a link in their group."""
-    for rows in _groups(batches, 5):
-        rep, label, n = (np.asarray([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
-        sig, some = _unpacked([r[4] for r in rows]), np.zeros(len(rows), dtype=bool)
-        for k in range(len(rows) - 1):
-            other = _promising(label, n, sig, k)
-            some[other] = True
-            some[k] |= len(other) > 0
-        yield record_batch(_HOPEFUL, {"g": np.full(int(some.sum()), rows[0][0]), "rep": rep[some]})
+    """Of rows (g, classes of a block) sorted by g the classes that may have a link: (g, part, reps), a g for each two parts.
+
+    Two blocks compare classes of the one with those of the other only; a block by itself is a meeting of its own.
+    """
+    for sides in _groups(batches):
+        rep, label, part, n = _columns(sides, ["rep", "label", "part", "n"])
+        sig = _unpacked([s for side in sides for s in side.flatten()[-1].to_pylist()])
+        parts, of = np.unique(part, return_inverse=True)
+        some = np.zeros((len(rep), len(parts)), dtype=bool)
+        for k in range(len(sides[0])):
+            other = _promising(label, n, sig, k, len(sides[0]) if len(sides) > 1 else k + 1)
+            some[k, of[other]] = True
+            some[other, of[k]] = True
+        for a, b in zip(*np.nonzero(np.triu([some[of == a].any(axis=0) for a in range(len(parts))])), strict=True):
+            g = mix64(parts[[a]].view(np.uint64) ^ mix64(parts[[b]].view(np.uint64))).view(np.int64)[0]
+            met = [(x, rep[(of == x) & some[:, y]]) for x, y in {(a, b), (b, a)}]
+            yield record_batch(_HOPEFUL, {"g": [g] * len(met), "part": [parts[x] for x, _ in met], "reps": [reps for _, reps in met]})
     trim()
 
 
@@ -312,15 +332,15 @@ def _sets(texts: list[str | None]) -> list[np.ndarray]:
     return [own.copy() for own in np.split(values, np.cumsum(sizes)[:-1])]
 
 
-def _within(rows: list[tuple], column: int) -> Iterator[list[tuple]]:
-    """Runs of rows whose texts in that column have about SLICE_CHARS characters."""
+def _within(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts that have about SLICE_CHARS characters."""
     start = total = 0
-    for k, row in enumerate(rows):
-        if total and total + len(row[column]) > SLICE_CHARS:
-            yield rows[start:k]
+    for k, text in enumerate(texts):
+        if total and total + len(text) > SLICE_CHARS:
+            yield texts[start:k]
             start, total = k, 0
-        total += len(row[column])
-    yield rows[start:]
+        total += len(text)
+    yield texts[start:]
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -343,11 +363,11 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _meeting_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (g, rep, label, text) sorted by g links that join all labels of a group which are linked, decided on full sets."""
-    for rows in _groups(batches, 4):
-        sets = [s for part in _within(rows, 3) for s in _sets([r[3] for r in part])]
+    """Of rows (g, classes of a part with their texts) sorted by g links that join all labels of a group which are linked, decided on full sets."""
+    for sides in _groups(batches):
+        rep, label = _columns(sides, ["rep", "label"])
+        sets = [s for run in _within([t for side in sides for t in side.flatten()[-1].to_pylist()]) for s in _sets(run)]
         sizes = np.asarray([len(s) for s in sets])
-        rep, label = (np.asarray([r[k] for r in rows], dtype=np.int64) for k in (1, 2))
         both = shared_counts(sets)
         linked = np.triu((both > 0) & (100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)), 1)
         found: list[tuple[int, int]] = []
@@ -363,17 +383,20 @@ def _meeting_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def across(members: DataFrame, wide: DataFrame, texts: DataFrame, tasks: int = MANY) -> DataFrame:
     """(a, b) links that join the components (label) of (key, rep, label) keys.
 
-    Classes meet in blocks, two blocks to a task at a time. Signatures say which classes a meeting needs; only their texts
-    are fetched, and no pair leaves a task before it is known to be a link.
+    Classes meet in blocks, two blocks to a task at a time; a block's signatures are gathered in one row before it goes to
+    its meetings. They say which classes two parts of blocks need; only their texts are fetched, gathered by part likewise,
+    and no pair leaves a task before it is known to be a link.
     """
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = checkpointed(blocks_of(members, tasks).transform(at_most, tasks))
-    at = meetings(members, block, tasks).join(block.select("rep", "block"), "block").transform(at_most, tasks).select("g", "rep")
-    labels = checkpointed(members.select("rep", "label").distinct().transform(at_most, tasks))
-    met = at.join(labels, "rep").join(wide, "rep").transform(at_most, tasks).select("g", "rep", "label", "n", "sig").repartition(n, "g").sortWithinPartitions("g").transform(at_most, tasks)
-    at = checkpointed(met.mapInArrow(_hopeful, "g long, rep long").distinct().transform(at_most, tasks))
+    signed = block.join(wide, "rep").groupBy("block").agg(F.collect_list(F.struct("rep", "label", "part", "n", "sig")).alias("rows")).transform(at_most, tasks)
+    met = meetings(members, block, tasks).join(signed, "block").transform(at_most, tasks).select("g", "rows").repartition(n, "g").sortWithinPartitions("g").transform(at_most, tasks)
+    hopeful = checkpointed(met.mapInArrow(_hopeful, "g long, part long, reps array<long>"))
     release(members.sparkSession)
-    rows = at.join(labels, "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep").transform(at_most, tasks).select("g", "rep", "label", "text")
+    wanted = hopeful.groupBy("part").agg(F.array_distinct(F.flatten(F.collect_list("reps"))).alias("reps")).select(F.explode("reps").alias("rep"))
+    held = wanted.join(block.select("rep", "part", "label"), "rep").transform(at_most, tasks).join(texts.withColumnRenamed("doc_id", "rep"), "rep").transform(at_most, tasks)
+    told = held.groupBy("part").agg(F.collect_list(F.struct("rep", "label", "text")).alias("rows")).transform(at_most, tasks)
+    rows = hopeful.join(told, "part").transform(at_most, tasks).select("g", F.filter("rows", lambda r: F.array_contains("reps", r["rep"])).alias("rows"))
     return rows.repartition(n, "g").sortWithinPartitions("g").transform(at_most, tasks).mapInArrow(_meeting_links, "a long, b long")
 
 
