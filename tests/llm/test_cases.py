@@ -282,6 +282,27 @@ def test_batches_of_long_rows_are_bounded(spark):
     assert sum(r.n for r in found) > 20_000_000 and max(r.n for r in found) < 5_000_000
 
 
+def test_sorting_a_bucket_takes_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    pieces = np.zeros(20_000, dtype=suffix_dedup._PIECE)
+    pieces["key"], pieces["doc"], pieces["n"] = rng.integers(0, 1 << 62, len(pieces)), np.arange(len(pieces)), 51
+    text = rng.integers(97, 123, len(pieces) * 150).astype(np.uint8)
+    text[-150:] = text[:150]
+    pieces["key"][-1] = pieces["key"][0]
+    batch = suffix_dedup._batch([(0, 3, suffix_dedup._pack(pieces, text.tobytes()))])
+    tracemalloc.start()
+    try:
+        found = list(suffix_dedup._compare(1, 64 << 20)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    spans = np.concatenate([suffix_dedup._unpack(x, suffix_dedup.SPAN)[0] for b in found for x in b.column(2).to_pylist()])
+    assert [(s["doc"], s["start"], s["n"]) for s in spans] == [(len(pieces) - 1, 0, 51)]
+    assert most < 130 << 20
+
+
 def test_names_stay_themselves_within_a_text():
     text = "Dr. Maria Schmidt met Zoltan Kovacs. Schmidt and Kovacs agreed; MARIA SCHMIDT left with Maria, not with Schmidtchen."
     out, found = surrogates.replaced(text, b"k")

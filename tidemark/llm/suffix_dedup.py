@@ -45,7 +45,7 @@ PARTITION_BYTES = 64 << 20
 OPEN_BYTES = 16 << 20
 #: Bytes of open segments that a task holds before it hands them on, and whose suffixes are sorted at a time.
 HELD_BYTES = 16 << 20
-SORTED_BYTES = 3 << 20
+SORTED_BYTES = 1 << 20
 HOT_SEGMENTS = 20_000
 _KEEP_BITS = np.uint64(24)
 _LAST_ID = (1 << 63) - 1
