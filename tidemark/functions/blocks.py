@@ -13,6 +13,8 @@ import numpy as np
 
 #: Columns of rectangles: a number that stays with them, and both stretches.
 OWNER, A0, A1, B0, B1 = range(5)
+#: Signs after which share_in_order() looks whether so many can still be reached.
+LOOK_SIGNS = 64
 
 
 def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -129,3 +131,36 @@ def ratios(pairs: list[tuple[str, str]]) -> np.ndarray:
     _, left = split(a, b, np.stack([np.arange(len(pairs)), ends[0] - one, ends[0], ends[1] - other, ends[1]], axis=1))
     unmatched = np.bincount(left[:, OWNER], weights=left[:, A1] - left[:, A0], minlength=len(pairs))
     return np.where(one + other > 0, 2.0 * (one - unmatched) / np.maximum(one + other, 1), 1.0)
+
+
+def places(text: str) -> dict[str, int]:
+    """The places of each sign of a text, as bits of a number."""
+    out, place = dict.fromkeys(text, 0), 1
+    for c in text:
+        out[c] |= place
+        place <<= 1
+    return out
+
+
+def share_in_order(held: dict[str, int], size: int, other: str, least: int) -> bool:
+    """Whether a text of size signs, given by its places(), and another one have a common subsequence of at least so many signs.
+
+    The zeros among the first k bits of open_ are the longest one of the text's first k signs and what was read of the other.
+    If least are shared, at most spare of the text are not, so those shared with what was read lie in its first read + spare.
+    """
+    if min(size, len(other)) < least:
+        return False
+    open_ = whole = (1 << size) - 1
+    spare, unshared = size - least, len(other) - least
+    for lo in range(0, len(other), LOOK_SIGNS):
+        part = other[lo : lo + LOOK_SIGNS]
+        for c in part:
+            hit = open_ & held.get(c, 0)
+            if hit:
+                open_ = (open_ + hit) | (open_ - hit)
+        open_ &= whole
+        read = lo + len(part)
+        first = min(size, read + spare)
+        if read - (first - (open_ & ((1 << first) - 1)).bit_count()) > unshared:
+            return False
+    return True

@@ -30,49 +30,53 @@ LOCAL_TOKENS, SPLIT_LEVELS, STEP_SIGNS = 60_000, 4, 120_000
 _PIECE = "is_open boolean, a_at long, b_at long, a array<string>, b array<string>, times array<double>"
 
 
+def _steps(sizes: list[int] | np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Where to cut so that the sizes of a step add up to about so much at most, unless one alone is larger."""
+    steps = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=-1)).tolist() + [len(sizes)]
+    return list(zip(steps, steps[1:], strict=False))
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the signs in matching blocks over all signs of two texts; all pairs of a step are matched at once."""
     pairs = list(zip(a, b, strict=True))
-    ends = np.cumsum([len(x) + len(y) for x, y in pairs])
-    steps = np.flatnonzero(np.diff(ends // STEP_SIGNS, prepend=-1)).tolist() + [len(pairs)]
-    return pd.Series([r for lo, hi in zip(steps, steps[1:], strict=False) for r in blocks.ratios(pairs[lo:hi]).tolist()], dtype="float64")
+    return pd.Series([r for lo, hi in _steps([len(x) + len(y) for x, y in pairs], STEP_SIGNS) for r in blocks.ratios(pairs[lo:hi]).tolist()], dtype="float64")
 
 
-def _grams(texts: list[str], size: int) -> np.ndarray:
-    """How many runs of size signs of each text fall into each of GRAM_BINS bins."""
-    lengths = np.asarray([len(t) for t in texts])
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    hashed, rest = codes.copy(), len(codes) - size + 1
-    for k in range(1, size):
-        hashed[:rest] = hashed[:rest] * np.uint64(1_000_003) + codes[k : k + rest] if rest > 0 else hashed[:0]
-    bins = ((hashed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
-    rest = max(rest, 0)
-    within = owner[:rest] == owner[size - 1 : size - 1 + rest]
-    counts = np.bincount(owner[:rest][within] * (1 << GRAM_BITS) + bins[:rest][within], minlength=len(texts) << GRAM_BITS)
-    return counts.reshape(len(texts), 1 << GRAM_BITS)
+#: Bins that signs are counted in, signs (and bins) that are counted at a time, signs of the longest text that is read for an order.
+SIGN_BINS, COUNT_SIGNS, ORDER_SIGNS = 256, 2_000_000, 100_000
 
 
-#: Bits of the bins that runs of signs are counted in, and pairs that are counted at a time.
-GRAM_BITS, GRAM_PAIRS = 8, 2000
+def _signs(texts: list[str]) -> np.ndarray:
+    """How many signs of each text fall into each bin."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % SIGN_BINS
+    first = np.repeat(np.arange(len(texts)) * SIGN_BINS, [len(t) for t in texts])
+    return np.bincount(first + codes, minlength=len(texts) * SIGN_BINS).reshape(len(texts), SIGN_BINS)
 
 
 def may_reach(pairs: list[tuple[str, str]], ratio: float) -> np.ndarray:
     """False only for pairs whose similarity() is surely less than the ratio.
 
-    Of n signs of both texts let M be in matching blocks (of each text). Blocks are parted by at least one of the n - 2M other
-    signs, so there are at most n - 2M + 1, and at least M - (g - 1)(n - 2M + 1) runs of g signs stand in both texts.
+    Matching blocks follow each other in both texts, so they hold no more signs than both texts share in one order, and these
+    are no more than they share in any order, which is counted first. Pairs with longer texts than ORDER_SIGNS, for which the
+    order would take longer than the blocks, are only counted.
     """
     n = np.asarray([len(a) + len(b) for a, b in pairs], dtype=np.int64)
     least = np.ceil(ratio * n / 2 - 1e-6)
     out = np.ones(len(pairs), dtype=bool)
-    for size in (1, 2, 3):
-        for lo in range(0, len(pairs), GRAM_PAIRS):
-            at = lo + np.flatnonzero(out[lo : lo + GRAM_PAIRS])
-            if len(at):
-                shared = np.minimum(_grams([pairs[k][0] for k in at], size), _grams([pairs[k][1] for k in at], size)).sum(axis=1)
-                out[at] = shared >= least[at] - (size - 1) * (n[at] - 2 * least[at] + 1)
+    for lo, hi in _steps(n + SIGN_BINS, COUNT_SIGNS):
+        number: dict[str, int] = {}
+        at = np.asarray([[number.setdefault(t, len(number)) for t in p] for p in pairs[lo:hi]])
+        counts = _signs(list(number))
+        out[lo:hi] = np.minimum(counts[at[:, 0]], counts[at[:, 1]]).sum(axis=1) >= least[lo:hi]
+    held, of = {}, ""
+    for k in np.flatnonzero(out).tolist():
+        a, b = pairs[k]
+        if max(len(a), len(b)) <= ORDER_SIGNS:
+            # A row is met by several before it, one after the other.
+            if a != of:
+                held, of = blocks.places(a), a
+            out[k] = blocks.share_in_order(held, len(a), b, int(least[k]))
     return out
 
 
