@@ -77,13 +77,14 @@ def verbatim_within(wrote: DataFrame, said: DataFrame, keys: list[str], run: int
 def near_rows(rows: DataFrame, reach: int = 5, ratio: float = 0.85) -> DataFrame:
     """(recording_id, ord, like_ord): rows that repeat one of the few before them; like_ord is the earliest such row."""
     order = Window.partitionBy(KEY).orderBy("ord")
-    near = F.array(*(F.lag(F.struct("ord", "n", "text"), k).over(order) for k in range(1, reach + 1)))
-    held = rows.select(KEY, "ord", "text", F.length("text").alias("n")).withColumn("near", near)
+    # A row travels as one struct: lags of a struct made by the window would take each text through the exchange twice.
+    own = rows.select(KEY, "ord", F.struct("ord", F.length("text").alias("n"), "text").alias("own"))
+    held = own.withColumn("near", F.array(*(F.lag("own", k).over(order) for k in range(1, reach + 1))))
     # A ratio can't exceed twice the shorter length over both, which spares most of the comparisons.
-    both, shorter = lambda o: F.col("n") + o["n"], lambda o: F.least("n", o["n"])
+    both, shorter = lambda o: F.col("own.n") + o["n"], lambda o: F.least("own.n", o["n"])
     may = F.filter("near", lambda o: (both(o) == 0) | (2.0 * shorter(o) / both(o) >= ratio))
-    pairs = held.select(KEY, "ord", "text", F.explode(may).alias("other"))
-    met = pairs.select(KEY, "ord", F.col("other.ord").alias("like_ord"), similarity_from(ratio)("text", "other.text").alias("r")).where(F.col("r") >= ratio)
+    pairs = held.select(KEY, "ord", "own", F.explode(may).alias("other"))
+    met = pairs.select(KEY, "ord", F.col("other.ord").alias("like_ord"), similarity_from(ratio)("own.text", "other.text").alias("r")).where(F.col("r") >= ratio)
     return met.groupBy(KEY, "ord").agg(F.min("like_ord").alias("like_ord"))
 
 
